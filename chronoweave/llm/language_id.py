@@ -231,6 +231,29 @@ def fit_languages(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[
     return models, {r["lang"]: tuple(r["q"]) for r in levels.collect()}
 
 
+class Judge:
+    """Fitted models with their rejection levels, applied to lists of whole texts."""
+
+    def __init__(self, models: LanguageModels | None, levels: dict[str, tuple[float, float]], reject_at: float):
+        self.models = models
+        langs = models.langs if models else []
+        self.middle = np.array([levels.get(x, (np.inf, 0))[0] for x in langs])
+        self.way = np.array([reject_at * max(q[1] - q[0], 0.05) if (q := levels.get(x)) else 0.0 for x in langs])
+
+    def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Language, score, cross-entropy, letters and rejection of each text."""
+        if self.models is None:
+            zeros = np.zeros(len(texts))
+            return [UNDETERMINED] * len(texts), zeros, np.full(len(texts), np.nan), zeros.astype(np.int64), np.ones(len(texts), bool)
+        ce, n = self.models.cross_entropies(texts)
+        best = np.argmin(ce, axis=1)
+        ce_best = ce[np.arange(len(texts)), best]
+        weight = np.exp(-(ce - ce_best[:, None]) * np.minimum(n, EVIDENCE)[:, None])
+        rejected = (n == 0) | (ce_best > self.middle[best] + self.way[best] * (1 + np.sqrt(SHORT / np.maximum(n, 1))))
+        name = [self.models.langs[b] if k else UNDETERMINED for b, k in zip(best.tolist(), n.tolist(), strict=True)]
+        return name, np.where(n > 0, 1 / weight.sum(axis=1), 0.0), np.where(n > 0, ce_best, np.nan), n, rejected
+
+
 def identify_language(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, reject_at: float = REJECT_AT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Language of every whole text.
 
@@ -239,27 +262,19 @@ def identify_language(docs: DataFrame, labelled: DataFrame, sample_docs: int = S
     where nothing could be learnt. score is the winner's share of the languages'
     evidence. rejected marks `und` and texts unlike the winner's documents. A language
     of a single document works like any other; ties go to the first by name. Repeated
-    rows are judged alike, null ids stay null. docs pass row by row, without a shuffle.
+    rows are judged alike, null ids stay null, an empty table gives an empty one; other
+    columns, of any name, are not read. docs pass row by row, without a shuffle.
     """
-    models, levels = fit_languages(labelled, sample_docs)
-    sent = docs.sparkSession.sparkContext.broadcast((models, levels))
+    sent = docs.sparkSession.sparkContext.broadcast(Judge(*fit_languages(labelled, sample_docs), reject_at))
 
     def judge(batch: pa.RecordBatch) -> pa.RecordBatch:
-        models, levels = sent.value
-        texts = texts_of(batch)
-        if models is None:
-            best, name, ce_best, n, score = None, [UNDETERMINED] * len(texts), np.full(len(texts), np.nan), np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            rejected = np.ones(len(texts), bool)
-        else:
-            ce, n = models.cross_entropies(texts)
-            best = np.argmin(ce, axis=1)
-            ce_best = ce[np.arange(len(texts)), best]
-            weight = np.exp(-(ce - ce_best[:, None]) * np.minimum(n, EVIDENCE)[:, None])
-            score = np.where(n > 0, 1 / weight.sum(axis=1), 0.0)
-            name = [models.langs[b] if k else UNDETERMINED for b, k in zip(best.tolist(), n.tolist(), strict=True)]
-            middle = np.array([levels.get(x, (np.inf, 0))[0] for x in models.langs])
-            way = np.array([reject_at * max(q[1] - q[0], 0.05) if (q := levels.get(x)) else 0.0 for x in models.langs])
-            rejected = (n == 0) | (ce_best > middle[best] + way[best] * (1 + np.sqrt(SHORT / np.maximum(n, 1))))
-        return pa.record_batch([column_of(batch, "doc_id"), pa.array(name, pa.string()), pa.array(score), pa.array(np.where(n > 0, ce_best, np.nan)), pa.array(n), pa.array(rejected)], ["doc_id", "lang_pred", "score", "cross_entropy", "n_letters", "rejected"])
+        name, *numbers = sent.value(texts_of(batch))
+        return pa.record_batch([column_of(batch, "doc_id"), pa.array(name, pa.string()), *map(pa.array, numbers)], ["doc_id", "lang_pred", "score", "cross_entropy", "n_letters", "rejected"])
 
     return map_arrow(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), judge, SCHEMA)
+
+
+def drop_rejected(docs: DataFrame, labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, reject_at: float = REJECT_AT, text_col: str = "text") -> DataFrame:
+    """Rows of docs that identify_language does not reject, all columns as they are; no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(Judge(*fit_languages(labelled, sample_docs), reject_at))
+    return map_arrow(docs, lambda batch: batch.filter(pa.array(~sent.value(texts_of(batch, text_col))[-1])), docs.schema)

@@ -183,3 +183,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from=None, id_col: s
         return pa.record_batch([column_of(batch, "doc_id"), pa.array(got), pa.array((got >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     return map_arrow(stats, score, "doc_id long, score double, predicted int")
+
+
+def drop_low_quality(docs: DataFrame, labels: DataFrame, learn_from=None, text_col: str = "text") -> DataFrame:
+    """Rows of docs with score >= 0.5 (all rows if there is nothing to learn from), columns as they are.
+
+    The model is fitted on docs' own labelled rows; then docs pass row by row.
+    """
+    known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").cast("double").alias("y"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    stats = document_statistics(texts if learn_from is None else texts.where(learn_from))
+    sent = docs.sparkSession.sparkContext.broadcast(fit_quality(written(stats.join(known, "doc_id").select("stats", "y"), "quality-train")))
+
+    def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if sent.value is None:
+            return batch
+        return batch.filter(pa.array(sent.value.score(np.array([statistics(t) for t in texts_of(batch, text_col)])) >= 0.5))
+
+    return map_arrow(docs, keep, docs.schema)
