@@ -117,6 +117,8 @@ def _one_dimension(data: DataFrame, queries: DataFrame, n: int, top: float, k: i
     # summaries: a row for each pivot, and k + 1 distances (a query may meet itself)
     count = {r["cell"]: r["n"] for r in data.groupBy("cell").agg(F.count("*").alias("n")).collect()}
     reach = {r["cell"]: (r["d"], r["n"]) for r in queries.groupBy("cell").agg(F.max("d").alias("d"), F.count("*").alias("n")).collect()}
+    if not reach:
+        return spark.createDataFrame([], "query_id long, vec_id long, score long")
     near = _nearest_of_cells(data, k + 1).collect()
     between = _distances(points, points)
     limits, splits = {}, {}
