@@ -27,7 +27,7 @@ from chronoweave.llm.components import connected_components
 COMMON_FROM = 48
 COMMON_KEPT = 100_000
 #: Partners that a document is verified against in the first product.
-FIRST_PARTNERS = 2
+FIRST_PARTNERS = 1
 
 #: ASCII letters lowered; all other bytes as they are.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -91,88 +91,169 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int64), *[a.view(np.int64) for a in arrays]])))
 
 
+def digests(h: np.ndarray) -> bytes:
+    """128 bits of a set of hashes, and its size."""
+    with np.errstate(over="ignore"):
+        one, two = (np.add.reduce(mixed(x), dtype=np.uint64) for x in (h + np.uint64(1), h ^ np.uint64(0x5851F42D4C957F2D)))
+    return np.array([one, two, len(h)], np.uint64).tobytes()
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, h1, h2: size and a 128-bit digest of each document's set."""
+    """doc_id, n, h1, h2: size and digest of each document's set."""
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        n, one, two = [], [], []
-        for t in texts_of(batch):
-            h = shingle_hashes(t, width)
-            n.append(len(h))
-            with np.errstate(over="ignore"):
-                one.append(np.add.reduce(mixed(h + np.uint64(1)), dtype=np.uint64))
-                two.append(np.add.reduce(mixed(h ^ np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-        return pa.record_batch([column_of(batch, "doc_id"), pa.array(n, pa.int64()), pa.array(np.array(one, np.uint64).view(np.int64)), pa.array(np.array(two, np.uint64).view(np.int64))], ["doc_id", "n", "h1", "h2"])
+        got = np.frombuffer(b"".join([digests(shingle_hashes(t, width)) for t in texts_of(batch)]), np.int64).reshape(-1, 3)
+        return pa.record_batch([column_of(batch, "doc_id"), *(pa.array(np.ascontiguousarray(got[:, k])) for k in (2, 0, 1))], ["doc_id", "n", "h1", "h2"])
 
     return map_arrow(docs, digest, "doc_id long, n long, h1 long, h2 long")
 
 
-#: Parts of the hash space for each shuffle partition. Inside a part 32 bits tell
-#: shingles apart while they are counted; what falls together counts as more common.
+#: Parts of the hash space for each shuffle partition. Inside a part 16 bits stand for a
+#: shingle while they are counted: a handful fall together, far fewer than count as common.
 PARTS_PER_TASK = 4
 
 
+def _part_bits(docs: DataFrame) -> int:
+    return max(8, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PARTS_PER_TASK - 1).bit_length())
+
+
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Integer arrays as one compressed run; ascending ones should come as differences."""
+    sizes = np.array([a.nbytes for a in arrays], np.int64)
+    raw = b"".join([sizes.tobytes(), *[a.tobytes() for a in arrays]])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def _unpacked(run: bytes, *kinds: type) -> list[np.ndarray]:
+    raw = pa.decompress(run[8:], int.from_bytes(run[:8], "little"), "zstd", asbytes=True)
+    at, out = 8 * len(kinds), []
+    for size, kind in zip(np.frombuffer(raw, np.int64, len(kinds)).tolist(), kinds, strict=True):
+        out.append(np.frombuffer(raw, kind, size // np.dtype(kind).itemsize, at))
+        at += size
+    return out
+
+
 def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
     """The most common shingles: their hashes' leading bits, sorted, document counts, and the shift to those bits.
 
     Every shingle of every document is counted. Batches send sorted runs of hashes
     rather than rows; each part of the hash space is counted in one task.
     """
-    bits = max(6, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PARTS_PER_TASK - 1).bit_length())
+    bits = _part_bits(docs)
     parts = 1 << bits
 
     def runs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         held = [h for t in texts_of(batch) if len(h := shingle_hashes(t, width))]
         if not held:
             return None
-        every = np.sort(np.concatenate(held))
-        cuts = np.searchsorted(every, np.arange(1, parts, dtype=np.uint64) << np.uint64(64 - bits))
-        low = ((every << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
-        return pa.record_batch([pa.array(np.arange(parts)), pa.array([b.tobytes() for b in np.split(low, cuts)])], ["part", "run"])
+        every = np.sort(np.concatenate(held) >> np.uint64(48 - bits))
+        cuts = np.searchsorted(every, np.arange(1, parts, dtype=np.uint64) << np.uint64(16))
+        blobs = [_packed(np.diff(b, prepend=np.uint16(0))) for b in np.split(every.astype(np.uint16), cuts)]
+        return pa.record_batch([pa.array(np.arange(parts)), pa.array(blobs)], ["part", "run"])
 
     def count(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        every = np.sort(np.frombuffer(b"".join(table.column("run").to_pylist()), np.uint32))
-        first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]])) if len(every) else np.empty(0, np.int64)
-        n = np.diff(np.append(first, len(every)))
-        often = n >= COMMON_FROM
-        key = (np.uint64(part) << np.uint64(32)) | every[first[often]].astype(np.uint64)
-        return pa.table({"key": pa.array(key.astype(np.int64)), "n": pa.array(n[often].astype(np.int64))})
+        n = np.zeros(1 << 16, np.int64)
+        for run in table.column("run").to_pylist():
+            n += np.bincount(np.cumsum(_unpacked(run, np.uint16)[0], dtype=np.uint16), minlength=1 << 16)
+        often = np.flatnonzero(n >= COMMON_FROM)
+        return pa.table({"key": pa.array((part << 16) | often), "n": pa.array(n[often])})
 
     counted = map_arrow(docs.select("text"), runs, "part long, run binary").groupBy("part").applyInArrow(count, "key long, n long")
     top = counted.orderBy(F.desc("n"), "key").limit(COMMON_KEPT).toPandas().sort_values("key")
-    return top["key"].to_numpy(np.uint64), top["n"].to_numpy(np.int64), 32 - bits
+    return top["key"].to_numpy(np.uint64), top["n"].to_numpy(np.int64), 48 - bits
 
 
-def _prefixes(docs: DataFrame, width: int, t: int, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
-    """doc_id, n, cols: the shingles that a partner must share one of, rarest first."""
+def _prefix(h: np.ndarray, t: int, common: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
+    """The shingles that a partner must share one of, rarest first."""
+    keys, counts, shift = common
+    n = len(h)
+    if n and len(keys):
+        short = h >> np.uint64(shift)
+        at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
+        h = h[np.lexsort((h, np.where(keys[at] == short, counts[at], 0)))]
+    # a partner has t/100 of the shingles at least, so it has one of the first of them
+    return h[: n - -(-t * n // 100) + 1] if n else h
+
+
+#: Stands for documents that a batch has sent on by itself.
+_SENT = np.iinfo(np.int64).min
+
+
+def _shared_cells(docs: DataFrame, width: int, t: int, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
+    """col, doc_id, pos: prefix cells of columns that two documents or more share.
+
+    A column is the leading bits of a shingle's hash. A batch keeps one document of each
+    set, the smallest id. Columns that a batch itself finds shared leave it as rows, and
+    only a mark of them goes on; all others go to their part of the hash space in
+    compressed runs, where those that meet no other are dropped. A column of any number
+    of documents thus sends a mark for each batch, and most cells never become rows.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(common)
+    bits = _part_bits(docs)
+    parts = 1 << bits
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        keys, counts, shift = sent.value
-        held, sizes = [], []
-        for text in texts_of(batch):
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        first: dict[bytes, tuple[int, np.ndarray]] = {}
+        for doc, text in zip(column_of(batch, "doc_id").to_pylist(), texts_of(batch), strict=True):
             h = shingle_hashes(text, width)
-            n = len(h)
-            if n and len(keys):
-                short = h >> np.uint64(shift)
-                at = np.minimum(np.searchsorted(keys, short), len(keys) - 1)
-                h = h[np.lexsort((h, np.where(keys[at] == short, counts[at], 0)))]
-            # a partner has t/100 of the shingles at least, so it has one of the first of them
-            held.append(h[: n - -(-t * n // 100) + 1] if n else h)
-            sizes.append(n)
-        return pa.record_batch([column_of(batch, "doc_id"), pa.array(sizes, pa.int64()), _lists(held)], ["doc_id", "n", "cols"])
+            if len(h):
+                key = digests(h)
+                if key not in first or doc < first[key][0]:
+                    first[key] = (doc, h)
+        if not first:
+            return None
+        prefixes = [(doc, _prefix(h, t, sent.value)) for doc, h in first.values()]
+        sizes = [len(p) for _, p in prefixes]
+        col = np.concatenate([p for _, p in prefixes]) >> np.uint64(32 - bits)
+        doc = np.repeat(np.array([d for d, _ in prefixes], np.int64), sizes)
+        pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+        order = np.lexsort((doc, col))
+        col, doc, pos = col[order], doc[order], pos[order]
+        new = np.concatenate([[True], col[1:] != col[:-1]])
+        run = np.cumsum(new) - 1
+        met = np.bincount(run)[run] > 1
+        sent_on = new & met
+        go = ~met | sent_on
+        c, d, p = col[go], np.where(met, _SENT, doc)[go], pos[go]
+        cuts = np.searchsorted(c, np.arange(1, parts, dtype=np.uint64) << np.uint64(32))
+        blobs = [_packed(np.diff(x.astype(np.uint32), prepend=np.uint32(0)), y, z) for x, y, z in zip(np.split(c, cuts), np.split(d, cuts), np.split(p, cuts), strict=True)]
+        rows = int(met.sum())
+        none = lambda kind: pa.nulls(rows, kind)
+        return pa.record_batch(
+            [
+                pa.concat_arrays([pa.array(np.arange(parts)), none(pa.int64())]), pa.concat_arrays([pa.array(blobs, pa.binary()), none(pa.binary())]),
+                pa.concat_arrays([pa.nulls(parts, pa.int64()), pa.array(col[met].astype(np.int64))]), pa.concat_arrays([pa.nulls(parts, pa.int64()), pa.array(doc[met])]),
+                pa.concat_arrays([pa.nulls(parts, pa.int32()), pa.array(pos[met])]),
+            ],
+            ["part", "run", "col", "doc_id", "pos"],
+        )
+
+    def meet(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        held = [_unpacked(run, np.uint32, np.int64, np.int32) for run in table.column("run").to_pylist()]
+        col = np.concatenate([np.cumsum(c, dtype=np.uint32) for c, _, _ in held])
+        doc, pos = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+        order = np.argsort(col, kind="stable")
+        col, doc, pos = col[order], doc[order], pos[order]
+        run = np.cumsum(np.concatenate([[True], col[1:] != col[:-1]])[: len(col)]) - 1
+        keep = (np.bincount(run)[run] > 1) & (doc != _SENT) if len(col) else np.empty(0, bool)
+        return pa.table({"col": pa.array((part << 32) | col[keep].astype(np.int64)), "doc_id": pa.array(doc[keep]), "pos": pa.array(pos[keep])})
 
-    return map_arrow(docs, cut, "doc_id long, n long, cols array<long>")
+    cells = "col long, doc_id long, pos int"
+    sent_cells = written(map_arrow(docs, cut, f"part long, run binary, {cells}"), "jaccard-runs")
+    across = sent_cells.where("part is not null").select("part", "run").groupBy("part").applyInArrow(meet, cells)
+    return sent_cells.where("part is null").select("col", "doc_id", "pos").unionByName(across)
 
 
 def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """doc_id, cols of the wanted documents."""
+    """doc_id, cols of the wanted documents; a batch gives an id once."""
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.record_batch([column_of(batch, "doc_id"), _lists([shingle_hashes(t, width) for t in texts_of(batch)])], ["doc_id", "cols"])
+        texts = dict(zip(column_of(batch, "doc_id").to_pylist(), texts_of(batch), strict=True))
+        return pa.record_batch([pa.array(list(texts), pa.int64()), _lists([shingle_hashes(t, width) for t in texts.values()])], ["doc_id", "cols"])
 
-    return map_arrow(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), whole, "doc_id long, cols array<long>").dropDuplicates(["doc_id"])
+    return map_arrow(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), whole, "doc_id long, cols array<long>")
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, t: int) -> DataFrame:
@@ -199,7 +280,14 @@ def _products(left: DataFrame, right: DataFrame, t: int, apart: bool) -> DataFra
     met = met.select(F.col("a.doc_id").alias("u"), F.col("a.n").alias("nu"), F.col("b.doc_id").alias("v"), F.col("b.n").alias("nv"), F.col("a.pos").alias("pu"), F.col("b.pos").alias("pv"))
     met = met.groupBy("u", "nu", "v", "nv").agg(F.count("*").alias("shared"), F.max("pu").alias("pu"), F.max("pv").alias("pv"))
     # the prefixes' shared columns, and after the last of them what the shorter rest holds
-    return met.where(F.col("shared") + F.least(F.col("nu") - F.col("pu") - 1, F.col("nv") - F.col("pv") - 1) >= F.ceil(F.lit(t) * (F.col("nu") + F.col("nv")) / (100 + t)))
+    need = F.ceil(F.lit(t) * (F.col("nu") + F.col("nv")) / (100 + t))
+    met = met.where(F.col("shared") + F.least(F.col("nu") - F.col("pu") - 1, F.col("nv") - F.col("pv") - 1) >= need)
+    if not apart:
+        return met
+    # all but n - need of a set's shingles are shared, so that many of its prefix are, and
+    # the k-th shared one lies among the first k + n - need of either set
+    prefix = lambda n: n - F.ceil(F.lit(t) * n / 100) + 1
+    return met.where(F.col("shared") >= need + F.least(prefix(F.col("nu")) - F.col("nu"), prefix(F.col("nv")) - F.col("nv")))
 
 
 def jaccard_components(docs: DataFrame, threshold: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,10 +306,10 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, width: int = 5, id_
     classes = written(filled.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
     known = rows.where("doc_id is not null")
 
-    # incidence rows of one document for each set, and only their prefixes
-    prefixes = _prefixes(known, width, threshold, _common(known, width))
-    prefixes = prefixes.join(classes.select(F.col("rep").alias("doc_id"), "n").distinct(), ["doc_id", "n"], "left_semi").dropDuplicates(["doc_id", "n"])
-    cells = prefixes.select("doc_id", "n", F.posexplode("cols").alias("pos", "col"))
+    # prefix cells of one document for each set, in columns that others have too
+    common = _common(known, width)
+    own_rows = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
+    cells = written(_shared_cells(known, width, threshold, common).join(own_rows, "doc_id"), "jaccard-cells")
     met = cells.groupBy("col").agg(F.count("*").alias("k"), F.min_by("doc_id", F.xxhash64("doc_id", "col")).alias("hub")).where("k > 1")
     cells = written(cells.join(met.select("col", "hub"), "col"), "jaccard-cells")
 

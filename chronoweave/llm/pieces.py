@@ -50,6 +50,7 @@ class PieceModel:
         self._id = {self._pieces[i]: i for i in plain}
         self._score = {self._pieces[i]: sp.get_score(i) for i in plain}
         self._longest = max(map(len, self._id), default=1)
+        self._ends = {p[k:] for p in self._id for k in range(len(p))}
         self._unknown = sp.unk_id()
         self._byte = {int(self._pieces[i][3:5], 16): i for i in range(len(self._pieces)) if sp.is_byte(i)}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self._id):
@@ -88,30 +89,34 @@ class PieceModel:
         Unknown characters give their bytes. Holds a window of a few piece lengths,
         however long the stream is, unless the model leaves more open.
         """
-        window: list[str] = []  # characters from boundary base on
         back: list[tuple[int, int]] = [(-1, -1)]  # from boundary base on: previous boundary, piece
-        base, end = 0, 0
-        due = 4 * self._longest
+        base, end, tail = 0, 0, ""
+        longest, due = self._longest, 4 * self._longest
+        ends, ids_of, pairs = self._ends, self._id, self._pairs
         for char in text:
-            window.append(char)
+            tail = (tail + char)[-longest:]
             end += 1
-            tail = "".join(window[-self._longest :])
             found = None
-            for n in range(len(tail), 0, -1):
-                piece = self._id.get(tail[-n:])
-                if piece is not None and self._fits(back[end - n - base][1], piece):
-                    found = (end - n, piece)
+            # exactly one piece can end here; longer ones are tried while some piece ends so
+            for n in range(1, len(tail) + 1):
+                last = tail[-n:]
+                if last not in ends:
                     break
-            if found is None:
-                found = (end - 1, -2 - ord(char))
-            back.append(found)
+                if (piece := ids_of.get(last)) is not None:
+                    before = back[end - n - base][1]
+                    if (fits := pairs.get((before if before >= 0 else -1, piece))) is None:
+                        fits = self._fits(before, piece)
+                    if fits:
+                        found = (end - n, piece)
+                        break
+            back.append(found or (end - 1, -2 - ord(char)))
             if end - base >= due:
                 base_new, ids = self._settled(back, base, end)
                 if base_new > base:
                     yield from ids
-                    window, back = window[base_new - base :], back[base_new - base :]
+                    back = back[base_new - base :]
                     base = base_new
-                due = end - base + self._longest
+                due = end - base + longest
         yield from self._path(back, base, end)
 
     def _settled(self, back: list[tuple[int, int]], base: int, end: int) -> tuple[int, list[int]]:
@@ -138,23 +143,24 @@ class PieceModel:
             else:
                 yield self._unknown
 
-    def _word(self, word: str) -> bytes:
-        if (ids := self._words.get(word)) is None:
-            if len(self._words) > MEMO_WORDS:
-                self._words.clear()
-            ids = self._words[word] = np.fromiter(self.search(iter(word)), np.int32).tobytes()
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text; an empty text has none."""
         if not text:
             return np.empty(0, np.int32)
-        words = (MARK + text).replace(" ", MARK)
-        return np.frombuffer(b"".join(map(self._word, _RUNS.findall(words))), np.int32)
+        words = _RUNS.findall((MARK + text).replace(" ", MARK))
+        found = list(map(self._words.get, words))
+        if None in found:
+            if len(self._words) > MEMO_WORDS:
+                self._words.clear()
+            for w in words:
+                if w not in self._words:
+                    self._words[w] = np.fromiter(self.search(iter(w)), np.int32).tobytes()
+            found = map(self._words.get, words)
+        return np.frombuffer(b"".join(found), np.int32)
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined, marks as spaces, the mark at the front left out."""
-        text = b"".join([self._bytes[i] for i in ids.tolist()]).decode("utf-8", "replace")
+        text = b"".join(map(self._bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 
 
