@@ -6,9 +6,11 @@ are multiplied: of each row the few shingles that come first in an order by rari
 The product is summed per pair, pairs whose overlap cannot reach the bound that their
 sizes give are discarded, and the rest is counted on whole sets.
 
-Large groups of near copies never expand into all their pairs. In a first product
-each column meets only one of its documents; what that links is contracted, and the
-second product pairs only documents of different components, until nothing is left.
+Large groups of near copies never expand into all their pairs. In the first products
+each column meets only one of its documents; what that links is contracted, columns
+that hold one component alone drop out, and the next product meets another document.
+The last product pairs all documents that are still of different components; a sketch
+of each set gives an upper bound of a pair's overlap before whole sets are compared.
 """
 
 from __future__ import annotations
@@ -26,8 +28,11 @@ from chronoweave.llm.components import connected_components
 #: Shingles in so many documents or more count as common; the most common of them, at most, are ordered last.
 COMMON_FROM = 48
 COMMON_KEPT = 100_000
-#: Partners that a document is verified against in the first product.
-FIRST_PARTNERS = 1
+#: Contracting products at most, and the share of the documents still apart that one must link for another to follow.
+ROUNDS, GOES_ON = 4, 0.02
+#: Bits of a set's sketch, in words of 64.
+SKETCH_WORDS = 8
+SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
 
 #: ASCII letters lowered; all other bytes as they are.
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -98,14 +103,25 @@ def digests(h: np.ndarray) -> bytes:
     return np.array([one, two, len(h)], np.uint64).tobytes()
 
 
+def sketch(h: np.ndarray) -> bytes:
+    """A bit for each part of the hash space: the parity of the set's hashes there.
+
+    Two sets differ in at least as many shingles as their sketches differ in bits.
+    """
+    bits = 64 * SKETCH_WORDS
+    return np.packbits((np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+
+
 def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, h1, h2: size and digest of each document's set."""
+    """doc_id, n, h1, h2 and SKETCH: size, digest and sketch of each document's set."""
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        got = np.frombuffer(b"".join([digests(shingle_hashes(t, width)) for t in texts_of(batch)]), np.int64).reshape(-1, 3)
-        return pa.record_batch([column_of(batch, "doc_id"), *(pa.array(np.ascontiguousarray(got[:, k])) for k in (2, 0, 1))], ["doc_id", "n", "h1", "h2"])
+        sets = [shingle_hashes(t, width) for t in texts_of(batch)]
+        got = np.frombuffer(b"".join([digests(h) + sketch(h) for h in sets]), np.int64).reshape(-1, 3 + SKETCH_WORDS)
+        order = (2, 0, 1, *range(3, 3 + SKETCH_WORDS))
+        return pa.record_batch([column_of(batch, "doc_id"), *(pa.array(np.ascontiguousarray(got[:, k])) for k in order)], ["doc_id", "n", "h1", "h2", *SKETCH])
 
-    return map_arrow(docs, digest, "doc_id long, n long, h1 long, h2 long")
+    return map_arrow(docs, digest, "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in SKETCH))
 
 
 #: Parts of the hash space for each shuffle partition. Inside a part 16 bits stand for a
@@ -258,31 +274,34 @@ def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, width: int, t: int) -> DataFrame:
     """u, v of the pairs (u, nu, v, nv) whose whole sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).distinct()
+    wanted = pairs.select(F.col("u").alias("doc_id")).distinct().unionByName(pairs.select(F.col("v").alias("doc_id")).distinct()).distinct()
     sets = written(_whole_sets(docs, wanted, width), "jaccard-sets")
     both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("cols").alias("cu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("cols").alias("cv")), "v")
     shared = F.size(F.array_intersect("cu", "cv"))
     return both.withColumn("shared", shared).where(f"100 * shared >= {t} * (nu + nv - shared)").select("u", "v")
 
 
-def _products(left: DataFrame, right: DataFrame, t: int, apart: bool) -> DataFrame:
-    """Pairs with the overlap of their prefixes, cut by the bound that their sizes give.
+def _products(left: DataFrame, right: DataFrame, t: int, once: bool) -> DataFrame:
+    """Pairs of different components with the overlap of their prefixes, cut by the bound that their sizes give.
 
     left, right: col, doc_id, n, pos (the column's place in the document's order), comp.
+    once: both sides hold all documents, and each pair comes once.
     """
     a, b = left.alias("a"), right.alias("b")
     fits = (F.col("a.n") * 100 >= F.col("b.n") * t) & (F.col("b.n") * 100 >= F.col("a.n") * t)
     # what can still be shared after this column, and at most all that came before it
     room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) + F.least("a.pos", "b.pos")
     bound = F.ceil(F.lit(t) * (F.col("a.n") + F.col("b.n")) / (100 + t))
-    keep = (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.comp") != F.col("b.comp")) if apart else F.col("a.doc_id") != F.col("b.doc_id")
+    keep = F.col("a.comp") != F.col("b.comp")
+    if once:
+        keep &= F.col("a.doc_id") < F.col("b.doc_id")
     met = a.join(b, (F.col("a.col") == F.col("b.col")) & keep & fits & (room >= bound))
     met = met.select(F.col("a.doc_id").alias("u"), F.col("a.n").alias("nu"), F.col("b.doc_id").alias("v"), F.col("b.n").alias("nv"), F.col("a.pos").alias("pu"), F.col("b.pos").alias("pv"))
     met = met.groupBy("u", "nu", "v", "nv").agg(F.count("*").alias("shared"), F.max("pu").alias("pu"), F.max("pv").alias("pv"))
     # the prefixes' shared columns, and after the last of them what the shorter rest holds
     need = F.ceil(F.lit(t) * (F.col("nu") + F.col("nv")) / (100 + t))
     met = met.where(F.col("shared") + F.least(F.col("nu") - F.col("pu") - 1, F.col("nv") - F.col("pv") - 1) >= need)
-    if not apart:
+    if not once:
         return met
     # all but n - need of a set's shingles are shared, so that many of its prefix are, and
     # the k-th shared one lies among the first k + n - need of either set
@@ -290,6 +309,25 @@ def _products(left: DataFrame, right: DataFrame, t: int, apart: bool) -> DataFra
     return met.where(F.col("shared") >= need + F.least(prefix(F.col("nu")) - F.col("nu"), prefix(F.col("nv")) - F.col("nv")))
 
 
+def _near_enough(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
+    """The pairs (u, nu, v, nv) whose sketches allow the overlap that they need."""
+    # an id of several different sets has no sketch and passes
+    one = (F.min("h1") == F.max("h1")) & (F.min("h2") == F.max("h2"))
+    known = sets.groupBy("doc_id").agg(*(F.when(one, F.first(c)).alias(c) for c in SKETCH))
+    of = lambda end: known.select(F.col("doc_id").alias(end), *(F.col(c).alias(end + c) for c in SKETCH))
+    both = pairs.join(of("u"), "u").join(of("v"), "v")
+    apart = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in SKETCH), F.lit(0))
+    shared = (F.col("nu") + F.col("nv") - F.coalesce(apart, F.lit(0))) / 2
+    return both.where((100 + t) * shared >= t * (F.col("nu") + F.col("nv"))).select("u", "nu", "v", "nv")
+
+
+def _still_apart(cells: DataFrame, parts: DataFrame) -> DataFrame:
+    """The cells with their documents' components, of columns that hold several components."""
+    placed = cells.drop("comp").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("col", "doc_id", "n", "pos", F.coalesce("component_id", "doc_id").alias("comp"))
+    several = placed.groupBy("col").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    return placed.join(several.select("col"), "col", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, threshold: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Set size and component of every document: doc_id, n_shingles, component_id.
 
@@ -309,22 +347,32 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, width: int = 5, id_
     # prefix cells of one document for each set, in columns that others have too
     common = _common(known, width)
     own_rows = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
-    cells = written(_shared_cells(known, width, threshold, common).join(own_rows, "doc_id"), "jaccard-cells")
-    met = cells.groupBy("col").agg(F.count("*").alias("k"), F.min_by("doc_id", F.xxhash64("doc_id", "col")).alias("hub")).where("k > 1")
-    cells = written(cells.join(met.select("col", "hub"), "col"), "jaccard-cells")
-
-    # first product: each column's documents with one of them
-    hubs = cells.where("doc_id = hub").select("col", "doc_id", "n", "pos", F.lit(0).alias("comp"))
-    pairs = _products(hubs, cells.select("col", "doc_id", "n", "pos", F.lit(1).alias("comp")), threshold, False)
-    best = pairs.select("v", F.struct("shared", "u", "nu", "nv").alias("p")).groupBy("v").agg(F.slice(F.sort_array(F.collect_list("p"), False), 1, FIRST_PARTNERS).alias("p"))
-    pairs = written(best.select("v", F.explode("p").alias("p")).select("p.u", "p.nu", "v", "p.nv"), "jaccard-pairs")
-    links = written(_verified(known, pairs, width, threshold), "jaccard-links")
-
-    # second product: what is still apart
-    parts = connected_components(links)
-    placed = cells.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("col", "doc_id", "n", "pos", F.coalesce("component_id", "doc_id").alias("comp"))
-    pairs = written(_products(placed, placed, threshold, True).select("u", "nu", "v", "nv"), "jaccard-pairs")
-    links = parts.select(F.col("id").alias("u"), F.col("component_id").alias("v")).unionByName(_verified(known, pairs, width, threshold))
+    cells = _shared_cells(known, width, threshold, common).join(own_rows, "doc_id").withColumn("comp", F.col("doc_id"))
+    several = lambda c: c.groupBy("col").agg(F.count("*").alias("k")).where("k > 1").select("col")
+    cells = written(cells, "jaccard-cells")
+    cells = written(cells.join(several(cells), "col", "left_semi"), "jaccard-cells")
+
+    parts, edges = None, None
+    for k in range(ROUNDS):
+        # each column's documents with one of them: by turns the one with the fewest rarer shingles, as the
+        # middle of a group of near copies has, and any
+        first = F.struct("pos", F.xxhash64("doc_id", "col")) if k % 2 == 0 else F.struct(F.xxhash64("doc_id", "col", F.lit(k)))
+        hub = cells.groupBy("col").agg(F.min(F.struct(first.alias("first"), "doc_id", "n", "pos", "comp")).alias("h"))
+        hubs = hub.select("col", "h.doc_id", "h.n", "h.pos", "h.comp")
+        pairs = _products(hubs, cells, threshold, False)
+        best = pairs.groupBy("v").agg(F.max(F.struct("shared", "u", "nu", "nv")).alias("p")).select("p.u", "p.nu", "v", "p.nv")
+        new = written(_verified(known, written(best, "jaccard-pairs"), width, threshold), "jaccard-links")
+        edges = new if edges is None else edges.unionByName(new)
+        parts = connected_components(edges)
+        edges = parts.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
+        cells = written(_still_apart(cells, parts), "jaccard-cells")
+        if new.count() <= GOES_ON * cells.select("doc_id").distinct().count():
+            break
+
+    # the last product: whatever is still apart
+    pairs = written(_products(cells, cells, threshold, True).select("u", "nu", "v", "nv"), "jaccard-pairs")
+    pairs = written(_near_enough(pairs, filled, threshold), "jaccard-pairs")
+    links = edges.unionByName(_verified(known, pairs, width, threshold))
 
     # an id may stand for several sets, and a set for several ids
     own = filled.join(classes, ["n", "h1", "h2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))

@@ -266,6 +266,18 @@ def test_jaccard(spark, docs, none):
     assert jaccard_components(none).count() == 0
 
 
+def test_sketch_never_exceeds_the_difference():
+    from chronoweave.llm.ngram_join import mixed, sketch
+
+    rnd = np.random.default_rng(3)
+    for shared, left, right in ((0, 0, 0), (0, 0, 1), (140, 0, 0), (140, 20, 25), (3000, 400, 900)):
+        h = np.unique(mixed(rnd.integers(0, 1 << 62, shared + left + right, dtype=np.uint64)))
+        a, b = h[: shared + left], np.concatenate([h[:shared], h[shared + left :]])
+        x, y = (np.frombuffer(sketch(v), np.uint8) for v in (a, b))
+        bits = int(np.bitwise_count(x ^ y).sum())
+        assert bits <= left + right and (bits == 0) == (left + right == 0)
+
+
 def test_components(spark):
     from chronoweave.llm.components import connected_components
 
