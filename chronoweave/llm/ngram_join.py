@@ -285,7 +285,7 @@ def _products(left: DataFrame, right: DataFrame, t: int, once: bool) -> DataFram
     """Pairs of different components with the overlap of their prefixes, cut by the bound that their sizes give.
 
     left, right: col, doc_id, n, pos (the column's place in the document's order), comp.
-    once: both sides hold all documents, and each pair comes once.
+    once: both sides hold all documents with their sketches, and each pair comes once.
     """
     a, b = left.alias("a"), right.alias("b")
     fits = (F.col("a.n") * 100 >= F.col("b.n") * t) & (F.col("b.n") * 100 >= F.col("a.n") * t)
@@ -294,7 +294,9 @@ def _products(left: DataFrame, right: DataFrame, t: int, once: bool) -> DataFram
     bound = F.ceil(F.lit(t) * (F.col("a.n") + F.col("b.n")) / (100 + t))
     keep = F.col("a.comp") != F.col("b.comp")
     if once:
-        keep &= F.col("a.doc_id") < F.col("b.doc_id")
+        differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCH), F.lit(0))
+        shared = (F.col("a.n") + F.col("b.n") - F.coalesce(differ, F.lit(0))) / 2
+        keep &= (F.col("a.doc_id") < F.col("b.doc_id")) & ((100 + t) * shared >= t * (F.col("a.n") + F.col("b.n")))
     met = a.join(b, (F.col("a.col") == F.col("b.col")) & keep & fits & (room >= bound))
     met = met.select(F.col("a.doc_id").alias("u"), F.col("a.n").alias("nu"), F.col("b.doc_id").alias("v"), F.col("b.n").alias("nv"), F.col("a.pos").alias("pu"), F.col("b.pos").alias("pv"))
     met = met.groupBy("u", "nu", "v", "nv").agg(F.count("*").alias("shared"), F.max("pu").alias("pu"), F.max("pv").alias("pv"))
@@ -309,16 +311,11 @@ def _products(left: DataFrame, right: DataFrame, t: int, once: bool) -> DataFram
     return met.where(F.col("shared") >= need + F.least(prefix(F.col("nu")) - F.col("nu"), prefix(F.col("nv")) - F.col("nv")))
 
 
-def _near_enough(pairs: DataFrame, sets: DataFrame, t: int) -> DataFrame:
-    """The pairs (u, nu, v, nv) whose sketches allow the overlap that they need."""
-    # an id of several different sets has no sketch and passes
+def _sketched(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """cells with their documents' sketches; an id of several different sets has none."""
     one = (F.min("h1") == F.max("h1")) & (F.min("h2") == F.max("h2"))
     known = sets.groupBy("doc_id").agg(*(F.when(one, F.first(c)).alias(c) for c in SKETCH))
-    of = lambda end: known.select(F.col("doc_id").alias(end), *(F.col(c).alias(end + c) for c in SKETCH))
-    both = pairs.join(of("u"), "u").join(of("v"), "v")
-    apart = sum((F.bit_count(F.col(f"u{c}").bitwiseXOR(F.col(f"v{c}"))) for c in SKETCH), F.lit(0))
-    shared = (F.col("nu") + F.col("nv") - F.coalesce(apart, F.lit(0))) / 2
-    return both.where((100 + t) * shared >= t * (F.col("nu") + F.col("nv"))).select("u", "nu", "v", "nv")
+    return cells.join(known, "doc_id", "left")
 
 
 def _still_apart(cells: DataFrame, parts: DataFrame) -> DataFrame:
@@ -370,8 +367,8 @@ def jaccard_components(docs: DataFrame, threshold: int = 75, width: int = 5, id_
             break
 
     # the last product: whatever is still apart
+    cells = written(_sketched(cells, filled), "jaccard-cells")
     pairs = written(_products(cells, cells, threshold, True).select("u", "nu", "v", "nv"), "jaccard-pairs")
-    pairs = written(_near_enough(pairs, filled, threshold), "jaccard-pairs")
     links = edges.unionByName(_verified(known, pairs, width, threshold))
 
     # an id may stand for several sets, and a set for several ids
