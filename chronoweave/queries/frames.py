@@ -164,6 +164,18 @@ def theil_sen(spark, sf_dir):
     return out.select("label", "axis", F.round("value", 6).alias("value"))
 
 
+#: Consecutive vectors in a block: the groups of theil_sen_blocks stay this small on any table.
+BLOCK = 500
+
+
+def theil_sen_blocks(spark, sf_dir):
+    """Over every vector, an anchor per label and block; block 0 is what theil_sen returns."""
+    block = F.floor(F.col("vec_id") / BLOCK).cast("long")
+    rows = _bodies(spark, sf_dir).select("label", block.alias("block"), ((F.col("vec_id") - block * BLOCK - BLOCK // 2) / (BLOCK / 2)).alias("relative_time"), g.at(F.col("points"), 0).alias("anchor"))
+    out = pose.theil_sen_anchor(rows, ["label", "block"])
+    return out.select("label", "block", "axis", F.round("value", 6).alias("value"))
+
+
 _E = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)"
 _PTS = "pts AS (SELECT vec_id, p AS pos, v[6*p+1] AS x, v[6*p+2] AS y, v[6*p+3] AS z, v[6*p+4] AS d, v FROM e, range(0, 10) AS r(p))"
 _JOINTS = "j AS (SELECT vec_id, label, k AS joint, v[3*k+1] AS x, v[3*k+2] AS y, v[3*k+3] AS z, v[1] AS rx, v[2] AS ry, v[3] AS rz FROM e, range(0, 17) AS r(k))"
@@ -233,9 +245,14 @@ SELECT label, count(DISTINCT vec_id) AS frames, round(avg(e) * 1000, 5) AS mpjpe
 WITH {_E}, a AS (SELECT label, (vec_id - 250) / 250.0::DOUBLE AS t, unnest([0, 1, 2]) AS axis, unnest([v[1], v[2], v[3]]) AS y FROM e WHERE vec_id < 500),
 s AS (SELECT a.label, a.axis, median((b.y - a.y) / (b.t - a.t)) AS m FROM a JOIN a b ON a.label = b.label AND a.axis = b.axis AND b.t - a.t > 1e-12 GROUP BY ALL)
 SELECT a.label, CAST(a.axis AS INTEGER) AS axis, round(median(y - m * t), 6) AS value FROM a JOIN s ON a.label = s.label AND a.axis = s.axis GROUP BY ALL""",
+    "theil_sen_blocks": f"""
+WITH {_E}, b AS (SELECT label, CAST(floor(vec_id / {BLOCK}::DOUBLE) AS BIGINT) AS block, vec_id, v FROM e),
+a AS (SELECT label, block, (vec_id - block * {BLOCK} - {BLOCK // 2}) / {BLOCK / 2}::DOUBLE AS t, unnest([0, 1, 2]) AS axis, unnest([v[1], v[2], v[3]]) AS y FROM b),
+s AS (SELECT a.label, a.block, a.axis, median((b.y - a.y) / (b.t - a.t)) AS m FROM a JOIN a b ON a.label = b.label AND a.block = b.block AND a.axis = b.axis AND b.t - a.t > 1e-12 GROUP BY ALL)
+SELECT a.label, a.block, CAST(a.axis AS INTEGER) AS axis, round(median(y - coalesce(m, 0) * t), 6) AS value FROM a LEFT JOIN s ON a.label = s.label AND a.block = s.block AND a.axis = s.axis GROUP BY ALL""",
 }
 
 QUERIES = {f.__name__: f for f in (
     index_window, index_range, strided_windows, change_segments, valid_centres, sliding_support, temporal_split, calibration_split, lag_sweep, even_subsample, stratified_cap, matched_sample, ragged_offsets, jsonl_offsets,
-    skeleton_distance, world_points, projected_points, joint_statistics, pose_metrics, pose_metrics_aligned, geometric_median, farthest_points, axis_search, pose_axis_search, point_axis_search, theil_sen,
+    skeleton_distance, world_points, projected_points, joint_statistics, pose_metrics, pose_metrics_aligned, geometric_median, farthest_points, axis_search, pose_axis_search, point_axis_search, theil_sen, theil_sen_blocks,
 )}
