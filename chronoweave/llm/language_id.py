@@ -26,10 +26,15 @@ SAMPLE_DOCS = 3000
 SEGMENT = 1 << 20
 #: Characters up to which a text's evidence counts in full in the score.
 EVIDENCE = 200.0
-#: A text is rejected beyond the median plus so many times the way to the 99th percentile;
-#: with few letters that way is longer, as the spread falls with the root of their number.
+#: A text may lie so many times the way from the median to the 90th percentile beyond the median;
+#: few letters lengthen it, as the spread falls with the root of their number.
 REJECT_AT = 6.0
 SHORT = 64.0
+#: Where that is farther, it is this part of the way to the median of foreign text: past a half,
+#: so that texts of two languages in equal parts stay.
+FOREIGN = 2 / 3
+#: Levels are measured on this part of the sample, with models of the rest, in languages of so many documents.
+HELD, HELD_FROM = 0.2, 100
 
 #: Odd multipliers of the n-gram hash, from the last character backwards (fixed values).
 _HASH = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
@@ -182,63 +187,89 @@ class LanguageModels:
 
 
 def _count_grams(train: DataFrame) -> DataFrame:
-    """lang, gram (three code points packed in 63 bits), n."""
+    """lang, held, gram (three code points packed in 63 bits), n."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        langs, grams, counts = [], [], []
-        texts, of = texts_of(batch), column_of(batch, "lang").to_pylist()
-        for lang in sorted(set(of)):
-            held = [s.astype(np.uint64) for t, x in zip(texts, of, strict=True) if x == lang and len(s := symbols(t)) > 2]
-            if held:
-                g, n = np.unique(np.concatenate([(s[:-2] << np.uint64(42)) | (s[1:-1] << np.uint64(21)) | s[2:] for s in held]), return_counts=True)
+        langs, parts, grams, counts = [], [], [], []
+        texts, of = texts_of(batch), list(zip(column_of(batch, "lang").to_pylist(), column_of(batch, "held").to_pylist(), strict=True))
+        for lang, held in sorted(set(of)):
+            seqs = [s.astype(np.uint64) for t, x in zip(texts, of, strict=True) if x == (lang, held) and len(s := symbols(t)) > 2]
+            if seqs:
+                g, n = np.unique(np.concatenate([(s[:-2] << np.uint64(42)) | (s[1:-1] << np.uint64(21)) | s[2:] for s in seqs]), return_counts=True)
                 langs.append(np.full(len(g), lang, object))
+                parts.append(np.full(len(g), held))
                 grams.append(g.astype(np.int64))
                 counts.append(n)
         if not langs:
             return None
-        return pa.record_batch([pa.array(np.concatenate(langs), pa.string()), pa.array(np.concatenate(grams)), pa.array(np.concatenate(counts))], ["lang", "gram", "n"])
+        return pa.record_batch([pa.array(np.concatenate(langs), pa.string()), *(pa.array(np.concatenate(x)) for x in (parts, grams, counts))], ["lang", "held", "gram", "n"])
+
+    return map_arrow(train.select("text", "lang", "held"), count, "lang string, held boolean, gram long, n long").groupBy("lang", "held", "gram").agg(F.sum("n").alias("n"))
 
-    return map_arrow(train.select("text", "lang"), count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+def _models(table) -> LanguageModels:
+    grams = {}
+    for lang, part in table.groupby("lang"):
+        part = part.groupby("gram", as_index=False)["n"].sum()
+        g = part["gram"].to_numpy(np.uint64)
+        grams[lang] = (np.stack([(g >> np.uint64(s)) & np.uint64(0x1FFFFF) for s in (42, 21, 0)], 1).astype(np.int64), part["n"].to_numpy(np.int64))
+    return LanguageModels(grams)
 
 
-def fit_languages(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[LanguageModels | None, dict[str, tuple[float, float]]]:
+def fit_languages(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[LanguageModels | None, dict[str, tuple[float, float, float]]]:
     """Models and rejection levels from labelled: doc_id, text, lang.
 
     Fitted on about sample_docs documents of each language, drawn by a hash of the id;
     rows with a null language or text are left out. Without any, the models are None.
-    A level is the median and the 99th percentile of the cross-entropies of the
-    language's own documents in the sample.
+    A level is the median and the 90th percentile of the cross-entropies of the
+    language's own documents, and the median of the nearest other language's documents
+    under its model (without any other, half way to its own read backwards). Up to a
+    tenth of odd documents in a language, however odd, does not widen it. Levels are
+    measured with models of one part of the sample on the other; languages of few
+    documents serve as both.
     """
     rows = labelled.where("lang is not null and text is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    drawn = rows.join(sizes, "lang").where(uniform(F.col("doc_id"), "lang-1") * F.col("n") < sample_docs).select("text", "lang")
+    held = (F.col("n") >= HELD_FROM) & F.coalesce(uniform(F.col("doc_id"), "lang-2") < HELD, F.lit(False))
+    drawn = rows.join(F.broadcast(sizes), "lang").where(uniform(F.col("doc_id"), "lang-1") * F.col("n") < sample_docs).select("text", "lang", held.alias("held"), (held | (F.col("n") < HELD_FROM)).alias("measured"))  # a row per language
     table = _count_grams(drawn).toPandas()
     if table.empty:
         return None, {}
-    grams = {}
-    for lang, part in table.groupby("lang"):
-        g = part["gram"].to_numpy(np.uint64)
-        grams[lang] = (np.stack([(g >> np.uint64(s)) & np.uint64(0x1FFFFF) for s in (42, 21, 0)], 1).astype(np.int64), part["n"].to_numpy(np.int64))
-    models = LanguageModels(grams)
-    sent = labelled.sparkSession.sparkContext.broadcast(models)
+    models = _models(table)
+    learnt = table[~table["held"]]
+    # a language whose texts with letters are all among the held ones: every text serves as both
+    part = _models(learnt) if set(learnt["lang"]) == set(models.langs) else models
+    sent = labelled.sparkSession.sparkContext.broadcast(part)
 
     def measure(batch: pa.RecordBatch) -> pa.RecordBatch:
-        ce, n = sent.value.cross_entropies(texts_of(batch))
-        own = [sent.value.langs.index(x) if x in sent.value.langs else 0 for x in column_of(batch, "lang").to_pylist()]
-        return pa.record_batch([column_of(batch, "lang"), pa.array(np.where(n > 0, ce[np.arange(len(own)), own], np.nan))], ["lang", "ce"])
-
-    levels = map_arrow(drawn, measure, "lang string, ce double").where("not isnan(ce)").groupBy("lang").agg(F.percentile("ce", F.array(F.lit(0.5), F.lit(0.99))).alias("q"))
-    return models, {r["lang"]: tuple(r["q"]) for r in levels.collect()}
+        under = sent.value.langs
+        texts, of = texts_of(batch), column_of(batch, "lang").to_pylist()
+        ce, n = sent.value.cross_entropies(texts)
+        other = under
+        if len(under) == 1:
+            ce, other = np.concatenate([ce, sent.value.cross_entropies([t[::-1] for t in texts])[0]], axis=1), [under[0], under[0]]
+        ce = np.where(n[:, None] > 0, ce, np.nan)
+        own = [x == y and k < len(under) for x in of for k, y in enumerate(other)]
+        return pa.record_batch([pa.array(np.repeat(np.array(of, object), len(other)), pa.string()), pa.array(list(other) * len(of), pa.string()), pa.array(own, pa.bool_()), pa.array(ce.reshape(-1))], ["lang", "under", "own", "ce"])
+
+    measured = map_arrow(drawn.where("measured").select("text", "lang"), measure, "lang string, under string, own boolean, ce double").where("not isnan(ce)")
+    found = measured.groupBy("under", "own", "lang").agg(F.percentile("ce", F.array(F.lit(0.5), F.lit(0.9))).alias("q")).collect()
+    own = {r["under"]: r["q"] for r in found if r["own"]}
+    foreign = {x: min((r["q"][0] for r in found if r["under"] == x and not r["own"]), default=np.nan) for x in own}
+    if len(models.langs) == 1:
+        foreign = {x: (own[x][0] + y) / 2 for x, y in foreign.items()}
+    return models, {x: (*q, foreign[x]) for x, q in own.items()}
 
 
 class Judge:
     """Fitted models with their rejection levels, applied to lists of whole texts."""
 
-    def __init__(self, models: LanguageModels | None, levels: dict[str, tuple[float, float]], reject_at: float):
+    def __init__(self, models: LanguageModels | None, levels: dict[str, tuple[float, float, float]], reject_at: float):
         self.models = models
         langs = models.langs if models else []
-        self.middle = np.array([levels.get(x, (np.inf, 0))[0] for x in langs])
+        self.middle = np.array([levels.get(x, (np.inf,))[0] for x in langs])
         self.way = np.array([reject_at * max(q[1] - q[0], 0.05) if (q := levels.get(x)) else 0.0 for x in langs])
+        self.least = np.array([FOREIGN * max(np.nan_to_num(q[2] - q[0]), 0.0) if (q := levels.get(x)) else 0.0 for x in langs])
 
     def __call__(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Language, score, cross-entropy, letters and rejection of each text."""
@@ -249,7 +280,7 @@ class Judge:
         best = np.argmin(ce, axis=1)
         ce_best = ce[np.arange(len(texts)), best]
         weight = np.exp(-(ce - ce_best[:, None]) * np.minimum(n, EVIDENCE)[:, None])
-        rejected = (n == 0) | (ce_best > self.middle[best] + self.way[best] * (1 + np.sqrt(SHORT / np.maximum(n, 1))))
+        rejected = (n == 0) | (ce_best > self.middle[best] + np.maximum(self.least, self.way)[best] + self.way[best] * np.sqrt(SHORT / np.maximum(n, 1)))
         name = [self.models.langs[b] if k else UNDETERMINED for b, k in zip(best.tolist(), n.tolist(), strict=True)]
         return name, np.where(n > 0, 1 / weight.sum(axis=1), 0.0), np.where(n > 0, ce_best, np.nan), n, rejected
 
