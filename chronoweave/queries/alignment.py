@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from chronoweave.functions.names import asset_id, is_absolute_path, normalise_as
 from chronoweave.functions.times import format_datetime, from_epoch_seconds, micros, parse_datetime
 from chronoweave.operators import nearest, piecewise, timelines
 from chronoweave.operators.lookup import best_rows, nearest_by_time, source_of_target
-from chronoweave.queries.data import ANCHORS, RUN, SAMPLES, SEGMENTS, anchors, of_type, samples, table
+from chronoweave.queries.data import ALL_ANCHORS, ANCHORS, RUN, SAMPLES, SEGMENTS, all_anchors, anchors, of_type, samples, table
 from chronoweave.sources.store import upserted
 from chronoweave.sources.validation import duplicate_keys, null_required
 
@@ -119,45 +121,45 @@ def first_per_key(spark, sf_dir):
     return timelines.first_per_key(table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", "o_orderstatus"), ["o_custkey"], ["o_orderdate", "o_orderkey"]).select("o_custkey", "o_orderkey", "o_orderstatus")
 
 
-def anchor_pairs(spark, sf_dir):
-    return anchors(samples(spark, sf_dir))
+def anchor_pairs(spark, sf_dir, pick=anchors):
+    return pick(samples(spark, sf_dir))
 
 
-def piecewise_segments(spark, sf_dir):
-    s = piecewise.fit_segments(anchors(samples(spark, sf_dir)), ["user_id"])
+def piecewise_segments(spark, sf_dir, pick=anchors):
+    s = piecewise.fit_segments(pick(samples(spark, sf_dir)), ["user_id"])
     return s.select("user_id", F.col("segment_index").cast("long").alias("segment_index"), "left_anchor_id", "right_anchor_id", F.round("slope", 9).alias("slope"))
 
 
-def _predicted(spark, sf_dir, policy):
+def _predicted(spark, sf_dir, policy, pick):
     rows = samples(spark, sf_dir)
-    segments = piecewise.fit_segments(anchors(rows), ["user_id"])
+    segments = piecewise.fit_segments(pick(rows), ["user_id"])
     times = of_type(rows, "click").select("user_id", "sample_index", (F.col("t") / 1e6).alias("source_time"))
     out = piecewise.predict(times, segments, ["user_id"], policy)
     return out.select("user_id", "sample_index", F.round("target_time", 3).alias("target_time"), "region", F.col("segment_index").cast("long").alias("segment_index"))
 
 
-def piecewise_predict(spark, sf_dir):
-    return _predicted(spark, sf_dir, "allow_linear")
+def piecewise_predict(spark, sf_dir, pick=anchors):
+    return _predicted(spark, sf_dir, "allow_linear", pick)
 
 
-def piecewise_predict_inside(spark, sf_dir):
-    return _predicted(spark, sf_dir, "disallow")
+def piecewise_predict_inside(spark, sf_dir, pick=anchors):
+    return _predicted(spark, sf_dir, "disallow", pick)
 
 
-def piecewise_residuals(spark, sf_dir):
-    a = anchors(samples(spark, sf_dir))
+def piecewise_residuals(spark, sf_dir, pick=anchors):
+    a = pick(samples(spark, sf_dir))
     out = piecewise.anchor_residuals(a, piecewise.fit_segments(a, ["user_id"]), ["user_id"])
     return out.select("user_id", "anchor_id", F.round("residual_ms", 1).alias("residual_ms"), "region")
 
 
-def piecewise_loo(spark, sf_dir):
-    out = piecewise.leave_one_out(anchors(samples(spark, sf_dir)), ["user_id"])
+def piecewise_loo(spark, sf_dir, pick=anchors):
+    out = piecewise.leave_one_out(pick(samples(spark, sf_dir)), ["user_id"])
     return out.select("user_id", "anchor_id", "status", F.round(F.col("error_ms") / 1000, 2).alias("error_sec"))
 
 
-def piecewise_mapping(spark, sf_dir):
+def piecewise_mapping(spark, sf_dir, pick=anchors):
     rows = samples(spark, sf_dir)
-    segments = piecewise.fit_segments(anchors(rows), ["user_id"])
+    segments = piecewise.fit_segments(pick(rows), ["user_id"])
     out = piecewise.piecewise_mapping(of_type(rows, "click"), of_type(rows, "purchase"), segments, ["user_id"], CONFIG, "allow_linear")
     return out.select("user_id", "source_sample_index", "rank", "target_sample_index", F.round(F.col("delta_ms") / 1000, 1).alias("delta_sec"), "region", "support_status")
 
@@ -339,3 +341,8 @@ QUERIES = {f.__name__: f for f in (
     first_per_key, anchor_pairs, piecewise_segments, piecewise_predict, piecewise_predict_inside, piecewise_residuals, piecewise_loo, piecewise_mapping, lookup_forward, lookup_inverse,
     lookup_by_time, upsert_left_anti, duplicate_key_rows, null_required_counts, missing_summary, slugs, asset_refs, time_columns,
 )}
+
+#: The same over every anchor of a user.
+for _name in ("anchor_pairs", "piecewise_segments", "piecewise_predict", "piecewise_predict_inside", "piecewise_residuals", "piecewise_loo", "piecewise_mapping"):
+    QUERIES[f"{_name}_all"] = partial(QUERIES[_name], pick=all_anchors)
+    SQL[f"{_name}_all"] = SQL[_name].replace(ANCHORS, ALL_ANCHORS).replace("WITH ", "WITH RECURSIVE ", 1)

@@ -43,6 +43,21 @@ def anchors(rows: DataFrame, every: int = 3) -> DataFrame:
     return pairs.join(many, "user_id").select("user_id", F.concat(F.lit("a"), F.lpad(F.col("sample_index").cast("string"), 6, "0")).alias("anchor_id"), "sample_index", "source_time", "target_time")
 
 
+def all_anchors(rows: DataFrame) -> DataFrame:
+    """Every click of a user with the purchase of the same number, less those that do not come after the last one kept in both times."""
+    click, buy = (of_type(rows, k) for k in ("click", "purchase"))
+    pairs = click.select("user_id", "sample_index", (F.col("t") / 1e6).alias("source_time")).join(buy.select("user_id", "sample_index", (F.col("t") / 1e6).alias("target_time")), ["user_id", "sample_index"])
+    lists = pairs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("sample_index", "source_time", "target_time"))).alias("p"))
+
+    def step(kept, x):
+        last = F.get(kept, F.size(kept) - 1)
+        later = (x["source_time"] > last["source_time"]) & (x["target_time"] > last["target_time"])
+        return F.when(later, F.concat(kept, F.array(x))).otherwise(kept)
+
+    kept = lists.select("user_id", F.aggregate(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1), step).alias("p")).where(F.size("p") >= 2)
+    return kept.select("user_id", F.explode("p").alias("a")).select("user_id", F.concat(F.lit("a"), F.lpad(F.col("a.sample_index").cast("string"), 6, "0")).alias("anchor_id"), "a.*")
+
+
 ANCHORS = """
 pairs AS (
   SELECT c.user_id, 'a' || lpad(CAST(c.sample_index AS VARCHAR), 6, '0') AS anchor_id, c.sample_index,
@@ -52,6 +67,24 @@ pairs AS (
 ),
 anchors AS (SELECT * FROM pairs WHERE user_id IN (SELECT user_id FROM pairs GROUP BY user_id HAVING count(*) >= 2))"""
 
+ALL_ANCHORS = """
+pairs AS (
+  SELECT c.user_id, 'a' || lpad(CAST(c.sample_index AS VARCHAR), 6, '0') AS anchor_id, c.sample_index,
+         c.t / 1e6 AS source_time, b.t / 1e6 AS target_time
+  FROM samples c JOIN samples b ON c.user_id = b.user_id AND c.sample_index = b.sample_index
+  WHERE c.event_type = 'click' AND b.event_type = 'purchase'
+),
+walk AS (
+  SELECT user_id, sample_index, source_time, target_time, TRUE AS kept FROM pairs WHERE sample_index = 0
+  UNION ALL
+  SELECT user_id, sample_index, CASE WHEN later THEN ps ELSE ws END, CASE WHEN later THEN pt ELSE wt END, later FROM (
+    SELECT p.user_id, p.sample_index, p.source_time AS ps, p.target_time AS pt, w.source_time AS ws, w.target_time AS wt,
+           p.source_time > w.source_time AND p.target_time > w.target_time AS later
+    FROM walk w JOIN pairs p ON p.user_id = w.user_id AND p.sample_index = w.sample_index + 1)
+),
+thinned AS (SELECT pairs.* FROM pairs JOIN walk USING (user_id, sample_index) WHERE kept),
+anchors AS (SELECT * FROM thinned WHERE user_id IN (SELECT user_id FROM thinned GROUP BY user_id HAVING count(*) >= 2))"""
+
 SEGMENTS = """
 segments AS (
   SELECT *, (target_end - target_start) / (source_end - source_start) AS slope FROM (
