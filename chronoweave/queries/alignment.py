@@ -201,8 +201,7 @@ def missing_summary(spark, sf_dir):
 
 def slugs(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
-    text = F.substring("text", 1, 60)
-    return d.select("doc_id", slugify(text, 30).alias("slug"), asset_id(F.col("source"), F.col("lang"), F.lit("a b"), F.lit("")).alias("asset"), version_id((F.col("source"), 40), (F.col("lang"), 30)).alias("version"))
+    return d.select("doc_id", slugify(F.col("text"), 30).alias("slug"), asset_id(F.col("source"), F.col("lang"), F.lit("a b"), F.lit("")).alias("asset"), version_id((F.col("source"), 40), (F.col("lang"), 30)).alias("version"))
 
 
 def asset_refs(spark, sf_dir):

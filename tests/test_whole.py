@@ -53,3 +53,9 @@ def test_anchors_leave_out_only_what_breaks_the_order(spark):
     rows = [(1, kind, k, pair[side] * 1_000_000) for k, pair in enumerate(times) for side, kind in enumerate(("click", "purchase"))]
     kept = all_anchors(spark.createDataFrame(rows, "user_id long, event_type string, sample_index long, t long"))
     assert sorted(r.sample_index for r in kept.collect()) == [0, 2, 3, 5]
+
+
+def test_slugs_read_the_whole_text(spark, tmp_path):
+    spark.createDataFrame([(1, " -" * 40 + "ä" * 40 + "word " * 9, "s", "en"), (2, "." + "é" * 90 + "end", "s", "en")], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r.slug for r in entry.queries()["slugs"](spark, str(tmp_path)).collect()}
+    assert found == {1: "-_" * 15, 2: "._end"}
