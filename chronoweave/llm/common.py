@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,6 +14,10 @@ from pyspark.sql.types import StructType
 
 #: ASCII white space, the separator of the word contracts.
 SPACES = "\\x20\\x09-\\x0D"
+#: An Arrow batch ends at so many bytes, however few rows that is.
+BATCH_BYTES = 8 << 20
+#: A side of a join with so few rows of a few numbers may be broadcast (about 100 MB in a worker); larger ones are shuffled.
+BROADCAST_ROWS = 2_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,9 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the cluster names none, as in local tests, a local default stands in.
+    Where a local session names none, as in tests, a local default stands in; on a cluster that is an error.
     """
     named = spark.conf.get("spark.checkpoint.dir", "") or ""
+    if not named and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     return (named or "file:///tmp/checkpoints/chronoweave").rstrip("/")
 
 
@@ -42,15 +50,66 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one run in the shared folder, dropped by name once what needs them is written."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self._spark, self._base, self._paths = spark, fresh_path(spark, label), {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """df, written and read back; a table of that name from before is dropped after."""
+        before = self._paths.get(name)
+        path = self._paths[name] = f"{self._base}/{name}-{uuid.uuid4().hex[:8]}"
+        df.write.parquet(path)
+        if before:
+            self._delete(before)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        """Tables that no later plan reads; shuffles behind them go when the cleaner finds them unreferenced."""
+        for name in names:
+            self._delete(self._paths.pop(name))
+        self._spark._jvm.System.gc()
+
+    def _delete(self, path: str) -> None:
+        at = self._spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(self._spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table of a few numbers a row, marked for broadcast if its row count allows it; else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def _give_back() -> None:
+    """Hands the worker's freed memory back to the system, as the worker outlives its task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library keeps it
+
+
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
+    """mapInArrow over batches of bounded bytes."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from fn(batches)
+        _give_back()
+
+    return df.mapInArrow(run, schema)
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """mapInArrow with a function from batch to batch; empty batches are skipped."""
+    """map_batches with a function from batch to batch; empty batches are skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
@@ -62,6 +121,12 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def partial_batch(schema: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
+    """A batch with some of the columns; the others are null."""
+    rows = len(next(iter(columns.values())))
+    return pa.record_batch([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(rows, f.type) for f in schema], schema=schema)
+
+
 def crc_mod(column: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo modulus; null for a null id."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus

@@ -4,6 +4,7 @@ Alternates the large-star and small-star steps: each round is a fixed number of
 shuffles, and the number of rounds grows with the logarithm of the graph's
 diameter. Edges stay distributed; after each round they are written to the
 shared folder, so lineage stays short and lost executors cost one round at most.
+A round's edges are dropped once the next are written.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import written
+from chronoweave.llm.common import Scratch
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -33,10 +34,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges: columns u, v (long). Nulls and self-loops are ignored; direction and
     repeated edges do not matter. An empty table gives an empty table.
     """
-    now = written(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    scratch = Scratch(edges.sparkSession, "components")
+    now = scratch.write(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     for _ in range(max_rounds):
-        now = written(_small_star(_large_star(now)), "edges")
+        now = scratch.write(_small_star(_large_star(now)), "edges")
         # a star forest is reached when each node has one edge, to a node that has none
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:

@@ -1,35 +1,47 @@
 """N-gram Jaccard join as a blocked product of the document by n-gram incidence.
 
-A document is the set of its word shingles. Documents with one set are one class.
-Of the incidence matrix only the columns that a pair above the threshold must share
-are multiplied: of each row the few shingles that come first in an order by rarity.
-The product is summed per pair, pairs whose overlap cannot reach the bound that their
-sizes give are discarded, and the rest is counted on whole sets.
+A document is the set of its word shingles. Documents with one set are one class, and
+classes are the rows of the incidence matrix. Only the columns that a pair above the
+threshold must share are multiplied: of each row the few shingles that come first in an
+order by rarity. The product is summed per pair, pairs whose overlap cannot reach the
+bound that their sizes give are discarded, and the rest is counted on whole sets.
 
 Large groups of near copies never expand into all their pairs. In the first products
-each column meets only one of its documents; what that links is contracted, columns
-that hold one component alone drop out, and the next product meets another document.
-The last product pairs all documents that are still of different components; a sketch
-of each set gives an upper bound of a pair's overlap before whole sets are compared.
+each column meets only one of its rows; what that links is contracted, columns that
+hold one component alone drop out, and the next product meets another row. The last
+product pairs all rows that are still of different components, in blocks: the pairs of
+one column spread over as many tasks as it has pairs of blocks. A sketch of each set
+gives an upper bound of a pair's overlap before whole sets are compared.
+
+Texts are read three times: to count shingles, to cut the columns, and, of the rows
+that share a column at all, for whole sets. Intermediate tables go as soon as the next
+is written.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from chronoweave.llm.common import column_of, map_arrow, texts_of, written
+from chronoweave.llm.common import Scratch, column_of, map_arrow, map_batches, partial_batch, small, texts_of
 from chronoweave.llm.components import connected_components
 
 #: Shingles in so many documents or more count as common; the most common of them, at most, are ordered last.
 COMMON_FROM = 48
 COMMON_KEPT = 100_000
-#: Contracting products at most, and the share of the documents still apart that one must link for another to follow.
+#: Contracting products at most, and the share of the rows still apart that one must link for another to follow.
 ROUNDS, GOES_ON = 4, 0.02
+#: Rows of a column that form a block of the last product.
+BLOCK = 256
+#: Hashes, or cells, that a task gathers before it sends them on.
+GATHER = 1 << 21
 #: Bits of a set's sketch, in words of 64.
 SKETCH_WORDS = 8
 SKETCH = [f"s{k}" for k in range(SKETCH_WORDS)]
@@ -112,18 +124,6 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, h1, h2 and SKETCH: size, digest and sketch of each document's set."""
-
-    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_hashes(t, width) for t in texts_of(batch)]
-        got = np.frombuffer(b"".join([digests(h) + sketch(h) for h in sets]), np.int64).reshape(-1, 3 + SKETCH_WORDS)
-        order = (2, 0, 1, *range(3, 3 + SKETCH_WORDS))
-        return pa.record_batch([column_of(batch, "doc_id"), *(pa.array(np.ascontiguousarray(got[:, k])) for k in order)], ["doc_id", "n", "h1", "h2", *SKETCH])
-
-    return map_arrow(docs, digest, "doc_id long, n long, h1 long, h2 long, " + ", ".join(f"{c} long" for c in SKETCH))
-
-
 #: Parts of the hash space for each shuffle partition. Inside a part 16 bits stand for a
 #: shingle while they are counted: a handful fall together, far fewer than count as common.
 PARTS_PER_TASK = 4
@@ -149,33 +149,54 @@ def _unpacked(run: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-def _common(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most common shingles: their hashes' leading bits, sorted, document counts, and the shift to those bits.
+_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("part", pa.int64()), ("run", pa.binary())])
 
-    Every shingle of every document is counted. Batches send sorted runs of hashes
-    rather than rows; each part of the hash space is counted in one task.
-    """
+
+def _digested(docs: DataFrame, width: int) -> DataFrame:
+    """doc_id, n, h1, h2 of each row; and part, run: its task's hashes, sorted, by parts of the hash space."""
     bits = _part_bits(docs)
     parts = 1 << bits
 
-    def runs(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        held = [h for t in texts_of(batch) if len(h := shingle_hashes(t, width))]
-        if not held:
-            return None
+    def runs(held: list[np.ndarray]) -> pa.RecordBatch:
         every = np.sort(np.concatenate(held) >> np.uint64(48 - bits))
         cuts = np.searchsorted(every, np.arange(1, parts, dtype=np.uint64) << np.uint64(16))
-        blobs = [_packed(np.diff(b, prepend=np.uint16(0))) for b in np.split(every.astype(np.uint16), cuts)]
-        return pa.record_batch([pa.array(np.arange(parts)), pa.array(blobs)], ["part", "run"])
+        blobs = [(k, _packed(np.diff(b, prepend=np.uint16(0)))) for k, b in enumerate(np.split(every.astype(np.uint16), cuts)) if len(b)]
+        return partial_batch(_DIGESTS, part=pa.array([k for k, _ in blobs]), run=pa.array([b for _, b in blobs], pa.binary()))
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            sets = [shingle_hashes(t, width) for t in texts_of(batch)]
+            got = np.frombuffer(b"".join(map(digests, sets)), np.int64).reshape(-1, 3)
+            yield partial_batch(_DIGESTS, doc_id=column_of(batch, "doc_id"), **{name: pa.array(np.ascontiguousarray(got[:, k])) for k, name in enumerate(("h1", "h2", "n"))})
+            held += [h for h in sets if len(h)]
+            size += sum(map(len, sets))
+            if size >= GATHER:
+                yield runs(held)
+                held, size = [], 0
+        if held:
+            yield runs(held)
+
+    return map_batches(docs, digest, "doc_id long, n long, h1 long, h2 long, part long, run binary")
+
+
+def _common(runs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most common shingles: their hashes' leading bits, sorted, document counts, and the shift to those bits.
+
+    Every shingle of every document is counted, each part of the hash space in one task.
+    """
+    bits = _part_bits(runs)
 
     def count(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         n = np.zeros(1 << 16, np.int64)
-        for run in table.column("run").to_pylist():
-            n += np.bincount(np.cumsum(_unpacked(run, np.uint16)[0], dtype=np.uint16), minlength=1 << 16)
+        for run in table.column("run"):
+            n += np.bincount(np.cumsum(_unpacked(run.as_py(), np.uint16)[0], dtype=np.uint16), minlength=1 << 16)
         often = np.flatnonzero(n >= COMMON_FROM)
         return pa.table({"key": pa.array((part << 16) | often), "n": pa.array(n[often])})
 
-    counted = map_arrow(docs.select("text"), runs, "part long, run binary").groupBy("part").applyInArrow(count, "key long, n long")
+    counted = runs.groupBy("part").applyInArrow(count, "key long, n long")
     top = counted.orderBy(F.desc("n"), "key").limit(COMMON_KEPT).toPandas().sort_values("key")
     return top["key"].to_numpy(np.uint64), top["n"].to_numpy(np.int64), 48 - bits
 
@@ -192,100 +213,123 @@ def _prefix(h: np.ndarray, t: int, common: tuple[np.ndarray, np.ndarray, int]) -
     return h[: n - -(-t * n // 100) + 1] if n else h
 
 
-#: Stands for documents that a batch has sent on by itself.
+#: Stands for rows that a task has sent on by itself.
 _SENT = np.iinfo(np.int64).min
 
+_CELLS = pa.schema([("part", pa.int64()), ("run", pa.binary()), ("col", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+
 
-def _shared_cells(docs: DataFrame, width: int, t: int, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
-    """col, doc_id, pos: prefix cells of columns that two documents or more share.
+def _cut(docs: DataFrame, width: int, t: int, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
+    """Prefix cells of every set, by task: one row number for each set of what it has gathered.
 
-    A column is the leading bits of a shingle's hash. A batch keeps one document of each
-    set, the smallest id. Columns that a batch itself finds shared leave it as rows, and
-    only a mark of them goes on; all others go to their part of the hash space in
-    compressed runs, where those that meet no other are dropped. A column of any number
-    of documents thus sends a mark for each batch, and most cells never become rows.
+    Three kinds of rows come out. row, n, h1, h2: the sets. col, row, pos: cells of
+    columns that the task itself finds shared; only a mark of these goes on. part, run:
+    all other cells, compressed, for the part of the hash space that they belong to.
+    A column of any number of documents thus sends a mark for each task.
     """
     sent = docs.sparkSession.sparkContext.broadcast(common)
     bits = _part_bits(docs)
     parts = 1 << bits
 
-    def cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        first: dict[bytes, tuple[int, np.ndarray]] = {}
-        for doc, text in zip(column_of(batch, "doc_id").to_pylist(), texts_of(batch), strict=True):
-            h = shingle_hashes(text, width)
-            if len(h):
-                key = digests(h)
-                if key not in first or doc < first[key][0]:
-                    first[key] = (doc, h)
-        if not first:
-            return None
-        prefixes = [(doc, _prefix(h, t, sent.value)) for doc, h in first.values()]
-        sizes = [len(p) for _, p in prefixes]
-        col = np.concatenate([p for _, p in prefixes]) >> np.uint64(32 - bits)
-        doc = np.repeat(np.array([d for d, _ in prefixes], np.int64), sizes)
+    def cells(prefixes: list[np.ndarray], first_row: int) -> Iterator[pa.RecordBatch]:
+        sizes = [len(p) for p in prefixes]
+        col = np.concatenate(prefixes) >> np.uint64(32 - bits)
+        row = np.repeat(np.arange(first_row, first_row + len(sizes)), sizes)
         pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-        order = np.lexsort((doc, col))
-        col, doc, pos = col[order], doc[order], pos[order]
+        order = np.lexsort((row, col))
+        col, row, pos = col[order], row[order], pos[order]
         new = np.concatenate([[True], col[1:] != col[:-1]])
         run = np.cumsum(new) - 1
         met = np.bincount(run)[run] > 1
-        sent_on = new & met
-        go = ~met | sent_on
-        c, d, p = col[go], np.where(met, _SENT, doc)[go], pos[go]
+        yield partial_batch(_CELLS, col=pa.array(col[met].astype(np.int64)), row=pa.array(row[met]), pos=pa.array(pos[met]))
+        go = ~met | new
+        c, r, p = col[go], np.where(met, _SENT, row)[go], pos[go]
         cuts = np.searchsorted(c, np.arange(1, parts, dtype=np.uint64) << np.uint64(32))
-        blobs = [_packed(np.diff(x.astype(np.uint32), prepend=np.uint32(0)), y, z) for x, y, z in zip(np.split(c, cuts), np.split(d, cuts), np.split(p, cuts), strict=True)]
-        rows = int(met.sum())
-        none = lambda kind: pa.nulls(rows, kind)
-        return pa.record_batch(
-            [
-                pa.concat_arrays([pa.array(np.arange(parts)), none(pa.int64())]), pa.concat_arrays([pa.array(blobs, pa.binary()), none(pa.binary())]),
-                pa.concat_arrays([pa.nulls(parts, pa.int64()), pa.array(col[met].astype(np.int64))]), pa.concat_arrays([pa.nulls(parts, pa.int64()), pa.array(doc[met])]),
-                pa.concat_arrays([pa.nulls(parts, pa.int32()), pa.array(pos[met])]),
-            ],
-            ["part", "run", "col", "doc_id", "pos"],
-        )
+        each = zip(np.split(c, cuts), np.split(r, cuts), np.split(p, cuts), strict=True)
+        blobs = [(k, _packed(np.diff(x.astype(np.uint32), prepend=np.uint32(0)), y, z)) for k, (x, y, z) in enumerate(each) if len(x)]
+        yield partial_batch(_CELLS, part=pa.array([k for k, _ in blobs]), run=pa.array([b for _, b in blobs], pa.binary()))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first_row = TaskContext.get().partitionId() << 40
+        seen: set[bytes] = set()
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            keys = []
+            for text in texts_of(batch):
+                h = shingle_hashes(text, width)
+                if len(h) and (key := digests(h)) not in seen:
+                    seen.add(key)
+                    keys.append(key)
+                    held.append(_prefix(h, t, sent.value))
+                    size += len(held[-1])
+            got = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 3)
+            rows = np.arange(first_row + len(held) - len(keys), first_row + len(held))
+            yield partial_batch(_CELLS, row=pa.array(rows), **{name: pa.array(np.ascontiguousarray(got[:, k])) for k, name in enumerate(("h1", "h2", "n"))})
+            if size >= GATHER:
+                yield from cells(held, first_row)
+                first_row += len(held)
+                seen, held, size = set(), [], 0
+        if held:
+            yield from cells(held, first_row)
+
+    return map_batches(docs.select("text"), cut, "part long, run binary, col long, row long, pos int, n long, h1 long, h2 long")
+
+
+def _met(runs: DataFrame) -> DataFrame:
+    """col, row, pos: cells whose column the runs of a part hold twice or more."""
 
     def meet(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        held = [_unpacked(run, np.uint32, np.int64, np.int32) for run in table.column("run").to_pylist()]
+        held = [_unpacked(run.as_py(), np.uint32, np.int64, np.int32) for run in table.column("run")]
         col = np.concatenate([np.cumsum(c, dtype=np.uint32) for c, _, _ in held])
-        doc, pos = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+        row, pos = (np.concatenate([h[k] for h in held]) for k in (1, 2))
         order = np.argsort(col, kind="stable")
-        col, doc, pos = col[order], doc[order], pos[order]
+        col, row, pos = col[order], row[order], pos[order]
         run = np.cumsum(np.concatenate([[True], col[1:] != col[:-1]])[: len(col)]) - 1
-        keep = (np.bincount(run)[run] > 1) & (doc != _SENT) if len(col) else np.empty(0, bool)
-        return pa.table({"col": pa.array((part << 32) | col[keep].astype(np.int64)), "doc_id": pa.array(doc[keep]), "pos": pa.array(pos[keep])})
+        keep = (np.bincount(run)[run] > 1) & (row != _SENT) if len(col) else np.empty(0, bool)
+        return pa.table({"col": pa.array((part << 32) | col[keep].astype(np.int64)), "row": pa.array(row[keep]), "pos": pa.array(pos[keep])})
+
+    return runs.groupBy("part").applyInArrow(meet, "col long, row long, pos int")
+
 
-    cells = "col long, doc_id long, pos int"
-    sent_cells = written(map_arrow(docs, cut, f"part long, run binary, {cells}"), "jaccard-runs")
-    across = sent_cells.where("part is not null").select("part", "run").groupBy("part").applyInArrow(meet, cells)
-    return sent_cells.where("part is null").select("col", "doc_id", "pos").unionByName(across)
+def _several(cells: DataFrame) -> DataFrame:
+    """The cells of columns that several components share."""
+    shared = cells.groupBy("col").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    return cells.join(shared.select("col"), "col", "left_semi")
 
 
-def _whole_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """doc_id, cols of the wanted documents; a batch gives an id once."""
+def _whole_sets(known: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """cid, cols and SKETCH of the wanted classes, from a text of each.
+
+    wanted: cid, rep, n, h1, h2, written. An id of several texts gives the class its own text.
+    """
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = dict(zip(column_of(batch, "doc_id").to_pylist(), texts_of(batch), strict=True))
-        return pa.record_batch([pa.array(list(texts), pa.int64()), _lists([shingle_hashes(t, width) for t in texts.values()])], ["doc_id", "cols"])
+        sets = [shingle_hashes(t, width) for t in texts_of(batch)]
+        got = np.frombuffer(b"".join([digests(h) + sketch(h) for h in sets]), np.int64).reshape(-1, 3 + SKETCH_WORDS)
+        columns = [pa.array(np.ascontiguousarray(got[:, k])) for k in range(got.shape[1])]
+        return pa.record_batch([column_of(batch, "doc_id"), _lists(sets), *columns], ["rep", "cols", "h1", "h2", "n", *SKETCH])
 
-    return map_arrow(docs.join(wanted, "doc_id", "left_semi").select("doc_id", "text"), whole, "doc_id long, cols array<long>")
+    texts = known.join(small(wanted.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
+    found = map_arrow(texts.select("doc_id", "text"), whole, "rep long, cols array<long>, h1 long, h2 long, n long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return found.join(wanted, ["rep", "n", "h1", "h2"]).groupBy("cid").agg(*(F.first(c).alias(c) for c in ("cols", *SKETCH)))
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, width: int, t: int) -> DataFrame:
-    """u, v of the pairs (u, nu, v, nv) whose whole sets reach the threshold."""
-    wanted = pairs.select(F.col("u").alias("doc_id")).distinct().unionByName(pairs.select(F.col("v").alias("doc_id")).distinct()).distinct()
-    sets = written(_whole_sets(docs, wanted, width), "jaccard-sets")
-    both = pairs.join(sets.select(F.col("doc_id").alias("u"), F.col("cols").alias("cu")), "u").join(sets.select(F.col("doc_id").alias("v"), F.col("cols").alias("cv")), "v")
+def _verified(sets: DataFrame, pairs: DataFrame, t: int) -> DataFrame:
+    """u, v of the pairs (u, nu, v, nv; written) whose whole sets reach the threshold."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("cid")).distinct()
+    some = sets.select("cid", "cols").join(needed, "cid", "left_semi")
+    both = pairs.join(some.withColumnsRenamed({"cid": "u", "cols": "cu"}), "u").join(some.withColumnsRenamed({"cid": "v", "cols": "cv"}), "v")
     shared = F.size(F.array_intersect("cu", "cv"))
     return both.withColumn("shared", shared).where(f"100 * shared >= {t} * (nu + nv - shared)").select("u", "v")
 
 
-def _products(left: DataFrame, right: DataFrame, t: int, once: bool) -> DataFrame:
+def _products(left: DataFrame, right: DataFrame, t: int, on: list[str]) -> DataFrame:
     """Pairs of different components with the overlap of their prefixes, cut by the bound that their sizes give.
 
-    left, right: col, doc_id, n, pos (the column's place in the document's order), comp.
-    once: both sides hold all documents with their sketches, and each pair comes once.
+    left, right: col, cid, n, pos (the column's place in the row's order), comp. With
+    blocks in `on`, both sides hold all rows with their sketches, and each pair comes once.
     """
     a, b = left.alias("a"), right.alias("b")
     fits = (F.col("a.n") * 100 >= F.col("b.n") * t) & (F.col("b.n") * 100 >= F.col("a.n") * t)
@@ -293,12 +337,15 @@ def _products(left: DataFrame, right: DataFrame, t: int, once: bool) -> DataFram
     room = F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) + F.least("a.pos", "b.pos")
     bound = F.ceil(F.lit(t) * (F.col("a.n") + F.col("b.n")) / (100 + t))
     keep = F.col("a.comp") != F.col("b.comp")
+    for c in on:
+        keep &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    once = len(on) > 1
     if once:
         differ = sum((F.bit_count(F.col(f"a.{c}").bitwiseXOR(F.col(f"b.{c}"))) for c in SKETCH), F.lit(0))
-        shared = (F.col("a.n") + F.col("b.n") - F.coalesce(differ, F.lit(0))) / 2
-        keep &= (F.col("a.doc_id") < F.col("b.doc_id")) & ((100 + t) * shared >= t * (F.col("a.n") + F.col("b.n")))
-    met = a.join(b, (F.col("a.col") == F.col("b.col")) & keep & fits & (room >= bound))
-    met = met.select(F.col("a.doc_id").alias("u"), F.col("a.n").alias("nu"), F.col("b.doc_id").alias("v"), F.col("b.n").alias("nv"), F.col("a.pos").alias("pu"), F.col("b.pos").alias("pv"))
+        shared = (F.col("a.n") + F.col("b.n") - differ) / 2
+        keep &= (F.col("a.cid") < F.col("b.cid")) & ((100 + t) * shared >= t * (F.col("a.n") + F.col("b.n")))
+    met = a.join(b, keep & fits & (room >= bound))
+    met = met.select(F.col("a.cid").alias("u"), F.col("a.n").alias("nu"), F.col("b.cid").alias("v"), F.col("b.n").alias("nv"), F.col("a.pos").alias("pu"), F.col("b.pos").alias("pv"))
     met = met.groupBy("u", "nu", "v", "nv").agg(F.count("*").alias("shared"), F.max("pu").alias("pu"), F.max("pv").alias("pv"))
     # the prefixes' shared columns, and after the last of them what the shorter rest holds
     need = F.ceil(F.lit(t) * (F.col("nu") + F.col("nv")) / (100 + t))
@@ -311,68 +358,123 @@ def _products(left: DataFrame, right: DataFrame, t: int, once: bool) -> DataFram
     return met.where(F.col("shared") >= need + F.least(prefix(F.col("nu")) - F.col("nu"), prefix(F.col("nv")) - F.col("nv")))
 
 
-def _sketched(cells: DataFrame, sets: DataFrame) -> DataFrame:
-    """cells with their documents' sketches; an id of several different sets has none."""
-    one = (F.min("h1") == F.max("h1")) & (F.min("h2") == F.max("h2"))
-    known = sets.groupBy("doc_id").agg(*(F.when(one, F.first(c)).alias(c) for c in SKETCH))
-    return cells.join(known, "doc_id", "left")
-
+def _blocked(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the last product: each row of a column stands in its own block, before all blocks of the other side."""
+    blocks = cells.groupBy("col").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    rows = cells.join(blocks, "col").withColumn("own", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    return rows.withColumn("i", F.col("own")).withColumn("j", every), rows.withColumn("i", every).withColumn("j", F.col("own"))
 
-def _still_apart(cells: DataFrame, parts: DataFrame) -> DataFrame:
-    """The cells with their documents' components, of columns that hold several components."""
-    placed = cells.drop("comp").join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("col", "doc_id", "n", "pos", F.coalesce("component_id", "doc_id").alias("comp"))
-    several = placed.groupBy("col").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
-    return placed.join(several.select("col"), "col", "left_semi")
 
+def _classes(rows: DataFrame, t: int, width: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, h1, h2) of all rows; and (cid, n, h1, h2, rep, root) of the classes of rows with an id.
 
-def jaccard_components(docs: DataFrame, threshold: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Set size and component of every document: doc_id, n_shingles, component_id.
-
-    Two documents link when 100 * intersection >= threshold * union of their shingle
-    sets. Null and empty texts, and texts without a word, have no set and link with
-    nothing. A row comes back for each row of docs; an id given to several texts links
-    them all (their sizes are each row's own). Rows with a null id have a null
-    component. Of an id with several different texts one stands for it when pairs are
-    verified. Other columns, of any name, are not read.
+    rep is a class's smallest id, root the cid of its component's smallest class.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = written(_sets(rows, width), "jaccard-digests")
-    filled = sets.where("n > 0 and doc_id is not null")
-    classes = written(filled.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")), "jaccard-classes")
+    first = scratch.write(_digested(rows, width), "first")
+    ids = scratch.write(first.where("n is not null").select("doc_id", "n", "h1", "h2"), "ids")
+    filled = ids.where("n > 0 and doc_id is not null")
+    classes = filled.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id())
+    classes = scratch.write(classes.select("cid", "n", "h1", "h2", "rep"), "classes")
     known = rows.where("doc_id is not null")
 
-    # prefix cells of one document for each set, in columns that others have too
-    common = _common(known, width)
-    own_rows = classes.select(F.col("rep").alias("doc_id"), "n").distinct()
-    cells = _shared_cells(known, width, threshold, common).join(own_rows, "doc_id").withColumn("comp", F.col("doc_id"))
-    several = lambda c: c.groupBy("col").agg(F.count("*").alias("k")).where("k > 1").select("col")
-    cells = written(cells, "jaccard-cells")
-    cells = written(cells.join(several(cells), "col", "left_semi"), "jaccard-cells")
-
-    parts, edges = None, None
+    common = _common(first.where("part is not null").select("part", "run"))
+    scratch.drop("first")
+    cut = scratch.write(_cut(known, width, t, common), "cut")
+    heads = cut.where("n is not null").select("row", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("row", "cid", "n")
+    cells = cut.where("col is not null").select("col", "row", "pos").unionByName(_met(cut.where("part is not null").select("part", "run")))
+    cells = cells.join(heads, "row").groupBy("col", "cid", "n").agg(F.min("pos").alias("pos")).withColumn("comp", F.col("cid"))
+    cells = scratch.write(cells, "cells")
+    scratch.drop("cut")
+    cells = scratch.write(_several(cells), "cells")
+    wanted = scratch.write(cells.select("cid").distinct().join(classes, "cid"), "wanted")
+    sets = scratch.write(_whole_sets(known, wanted, width), "sets")
+
+    edges = None
     for k in range(ROUNDS):
-        # each column's documents with one of them: by turns the one with the fewest rarer shingles, as the
+        # each column's rows with one of them: by turns the one with the fewest rarer shingles, as the
         # middle of a group of near copies has, and any
-        first = F.struct("pos", F.xxhash64("doc_id", "col")) if k % 2 == 0 else F.struct(F.xxhash64("doc_id", "col", F.lit(k)))
-        hub = cells.groupBy("col").agg(F.min(F.struct(first.alias("first"), "doc_id", "n", "pos", "comp")).alias("h"))
-        hubs = hub.select("col", "h.doc_id", "h.n", "h.pos", "h.comp")
-        pairs = _products(hubs, cells, threshold, False)
+        order = F.struct("pos", F.xxhash64("cid", "col")) if k % 2 == 0 else F.struct(F.xxhash64("cid", "col", F.lit(k)))
+        hub = cells.groupBy("col").agg(F.min(F.struct(order.alias("order"), "cid", "n", "pos", "comp")).alias("h"))
+        pairs = _products(hub.select("col", "h.cid", "h.n", "h.pos", "h.comp"), cells, t, ["col"])
         best = pairs.groupBy("v").agg(F.max(F.struct("shared", "u", "nu", "nv")).alias("p")).select("p.u", "p.nu", "v", "p.nv")
-        new = written(_verified(known, written(best, "jaccard-pairs"), width, threshold), "jaccard-links")
-        edges = new if edges is None else edges.unionByName(new)
-        parts = connected_components(edges)
+        new = scratch.write(_verified(sets, scratch.write(best, "pairs"), t), "links")
+        found = new.count()
+        if not found and edges is not None:
+            break
+        parts = scratch.write(connected_components(new if edges is None else edges.unionByName(new)), "parts")
         edges = parts.select(F.col("id").alias("u"), F.col("component_id").alias("v"))
-        cells = written(_still_apart(cells, parts), "jaccard-cells")
-        if new.count() <= GOES_ON * cells.select("doc_id").distinct().count():
+        placed = cells.drop("comp").join(parts.withColumnRenamed("id", "cid"), "cid", "left").select("col", "cid", "n", "pos", F.coalesce("component_id", "cid").alias("comp"))
+        cells = scratch.write(_several(placed), "cells")
+        if found <= GOES_ON * cells.select("cid").distinct().count():
             break
 
     # the last product: whatever is still apart
-    cells = written(_sketched(cells, filled), "jaccard-cells")
-    pairs = written(_products(cells, cells, threshold, True).select("u", "nu", "v", "nv"), "jaccard-pairs")
-    links = edges.unionByName(_verified(known, pairs, width, threshold))
-
-    # an id may stand for several sets, and a set for several ids
-    own = filled.join(classes, ["n", "h1", "h2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    parts = connected_components(links.unionByName(own))
-    out = sets.join(parts.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    left, right = _blocked(cells.join(sets.drop("cols"), "cid"))
+    pairs = scratch.write(_products(left, right, t, ["col", "i", "j"]).select("u", "nu", "v", "nv"), "pairs")
+    new = scratch.write(_verified(sets, pairs, t), "links")
+    parts = connected_components(edges.unionByName(new))
+    classes = scratch.write(classes.join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("component_id", "cid")).drop("component_id"), "classes")
+    scratch.drop("wanted", "sets", "pairs", "links", "parts", "cells")
+    return ids, classes
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+
+
+def jaccard_components(docs: DataFrame, threshold: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Set size and component of every document: doc_id, n_shingles, component_id.
+
+    Two documents link when 100 * intersection >= threshold * union of their shingle
+    sets. Null and empty texts, and texts without a word, have no set and link with
+    nothing. A row comes back for each row of docs; an id given to several texts is
+    compared by each of them, and links them all (their sizes are each row's own). Rows
+    with a null id have a null component. Other columns, of any name, are not read.
+    """
+    scratch = Scratch(docs.sparkSession, "jaccard")
+    ids, classes = _classes(_rows(docs, id_col, text_col), threshold, width, scratch)
+    member = ids.join(classes, ["n", "h1", "h2"]).where("doc_id is not null")
+    roots = classes.groupBy("root").agg(F.min("rep").alias("least"))
+    # an id of several texts brings their components together
+    tied = member.groupBy("doc_id").agg(F.min("root").alias("u"), F.max("root").alias("most"), F.collect_set("root").alias("roots")).where("u < most")
+    tied = scratch.write(tied.select("u", F.explode("roots").alias("v")), "tied")
+    if tied.isEmpty():
+        roots = roots.withColumn("top", F.col("root"))
+    else:
+        joined = connected_components(tied).withColumnsRenamed({"id": "root", "component_id": "top"})
+        roots = roots.join(joined, "root", "left").withColumn("top", F.coalesce("top", "root"))
+    tops = roots.groupBy("top").agg(F.min("least").alias("component_id"))
+    placed = classes.join(roots.select("root", "top"), "root").join(tops, "top").select("n", "h1", "h2", "component_id")
+    out = ids.join(placed, ["n", "h1", "h2"], "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, threshold: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without near copies: of each group of linked texts the one of the smallest id stays, once.
+
+    Columns are as in docs. Of several texts of that id in one group the first by digest
+    stays; texts of one id that are no near copies of each other all stay. Rows without
+    an id, and rows whose text has no word, stay; of rows equal in id and text one does.
+    """
+    scratch = Scratch(docs.sparkSession, "distinct")
+    ids, classes = _classes(_rows(docs, id_col, text_col), threshold, width, scratch)
+    chosen = classes.groupBy("root").agg(F.min(F.struct("rep", "h1", "h2", "n")).alias("c")).select(F.col("c.rep").alias("doc_id"), "c.h1", "c.h2", "c.n", F.lit(True).alias("kept"))
+    known = ids.where("doc_id is not null").join(chosen, ["doc_id", "n", "h1", "h2"], "left").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_and(F.coalesce("kept", F.col("n") == 0)).alias("stays"))
+    out_ids = scratch.write(known.where("rows > 1 or not stays").select("doc_id", (F.col("rows") > 1).alias("again")), "out")
+    id_of = F.col(id_col).cast("long")
+    clear = docs.join(small(out_ids.select(F.col("doc_id").alias("_out"))), id_of == F.col("_out"), "left_anti")
+    # ids of several rows: by the digest of each row's own text
+    again = docs.join(small(scratch.write(out_ids.where("again").select(F.col("doc_id").alias("_again")), "again")), id_of == F.col("_again"), "left_semi")
+
+    def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = np.frombuffer(b"".join([digests(shingle_hashes(t, width)) for t in texts_of(batch, text_col)]), np.int64).reshape(-1, 3)
+        return pa.record_batch([*batch.columns, *(pa.array(np.ascontiguousarray(got[:, k])) for k in range(3))], [*batch.schema.names, "_h1", "_h2", "_n"])
+
+    marked = map_arrow(again, digest, StructType([*docs.schema.fields, *(StructField(c, LongType()) for c in ("_h1", "_h2", "_n"))]))
+    c = chosen.select(*(F.col(x).alias(f"_c_{x}") for x in ("doc_id", "n", "h1", "h2")))
+    same = (id_of == F.col("_c_doc_id")) & (F.col("_n") == F.col("_c_n")) & (F.col("_h1") == F.col("_c_h1")) & (F.col("_h2") == F.col("_c_h2"))
+    kept = marked.where("_n > 0").join(c, same, "left_semi").dropDuplicates([id_col, "_h1", "_h2", "_n"])
+    bare = marked.where("_n = 0").dropDuplicates([id_col, text_col])
+    return clear.select(docs.columns).unionByName(kept.select(docs.columns)).unionByName(bare.select(docs.columns))

@@ -266,6 +266,31 @@ def test_jaccard(spark, docs, none):
     assert jaccard_components(none).count() == 0
 
 
+def near_copies(text, n, seed):
+    rnd = random.Random(seed)
+    out = []
+    for _ in range(n):
+        w = text.split()
+        w[rnd.randrange(len(w))] = f"y{rnd.randrange(10**6)}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_every_text_of_a_repeated_id_is_compared(spark):
+    from chronoweave.llm.ngram_join import drop_near_copies, jaccard_components
+
+    one, two, three = (" ".join(f"{x}{i}" for i in range(120)) for x in "abc")
+    a, b = near_copies(one, 3, 1), near_copies(two, 3, 2)
+    rows = [(7, a[0]), (7, b[0]), (9, a[1]), (8, b[1]), (5, three), (7, a[0]), (None, a[2]), (None, a[2]), (4, ""), (4, ""), (4, None), (6, "p q")]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, h1 string").repartition(4)
+    got = {(r.doc_id, r.component_id) for r in jaccard_components(df).collect()}
+    assert got == {(7, 7), (9, 7), (8, 7), (5, 5), (None, None), (4, 4), (6, 6)}
+    kept = [(r.doc_id, r.text) for r in drop_near_copies(df).collect()]
+    # both texts of 7 stay once, what is near them goes; rows without an id or a word stay
+    want = [(7, a[0]), (7, b[0]), (5, three), (None, a[2]), (None, a[2]), (4, ""), (4, None), (6, "p q")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+
+
 def test_sketch_never_exceeds_the_difference():
     from chronoweave.llm.ngram_join import mixed, sketch
 
