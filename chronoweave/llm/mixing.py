@@ -1,12 +1,14 @@
 """Mixing sources to target weights by Pareto order sampling, with DataFrame functions alone.
 
 A source's target is a multiple of its words: whole copies of every document are
-certain, and a sample of fixed size in words fills the rest. Documents are ranked by
-random odds over inclusion odds, and taken in that order while they fit.
-
-Sources may be of any size: ranks are cut into slices whose word counts are
-pre-aggregated, and only the documents of the one slice in which the quota runs out
-are put in order.
+certain, and a sample of fixed size in words fills the rest. A document's probability
+of entering the sample grows with the root of its words; those that reach 1 are
+certain, and the others' are rescaled. Documents are ranked by random odds over
+inclusion odds, and taken in that order until the words are full.
+
+Sources may be of any size: no row is sent to its source. Ranks are cut into slices
+whose word counts are pre-aggregated; only the documents of the one slice in which the
+words run out are put in order. What each source needs besides is one row of numbers.
 """
 
 from __future__ import annotations
@@ -15,12 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import written
+from chronoweave.llm.common import Scratch, small
 
 #: Slices of a source's rank order.
 SLICES = 4096
-#: Passes over what still fits into the rest of a quota.
-PASSES = 3
+#: Inclusion probabilities are in proportion to this power of a document's words.
+POWER = 0.5
+#: Documents that may be added to a source at last, one at a time, each where it brings the words nearer the target.
+LAST = 3
+
+_KEY = ["src", "doc_id", "size", "nth"]
 
 
 def words(text: Column) -> Column:
@@ -66,76 +72,129 @@ def targets(sizes: DataFrame, cap: float = 3.0, weights: tuple[int, ...] = (1, 2
     return s.select("src", "source_size", F.when(F.col("capped"), F.col("c")).otherwise(free).alias("target"))
 
 
-def _fill(pool: DataFrame, quota: DataFrame) -> DataFrame:
-    """One pass: pool with `sampled` set on documents that fit, in rank order, into their source's quota.
+def _sizes(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
+    """doc_id, src, size, nth of every row; nth tells rows apart that agree in the others."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), source_key(F.col(source_col)).alias("src"), words(F.col(text_col)).alias("size"))
+    rows = rows.groupBy("doc_id", "src", "size").count()
+    return rows.select("doc_id", "src", "size", F.explode(F.sequence(F.lit(0), F.col("count").cast("int") - 1)).alias("nth"))
+
+
+def _scales(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """src, scale: inclusion probabilities are scale times size ** POWER, at most 1, and their words add up to the room.
 
-    pool: src, size, rank, sampled and more; quota: src, room (words still to take).
+    Works on a count per source and document size. Without a row a source takes all that fits.
     """
-    fits = ~F.col("sampled") & (F.col("size") > 0) & (F.col("size") <= F.col("room"))
-    rows = pool.join(quota, "src").withColumn("open", fits).withColumn("slice", F.floor(F.col("rank") * SLICES))
-    slices = rows.where("open").groupBy("src", "slice").agg(F.sum("size").alias("words"), F.first("room").alias("room"))
-    running = F.sum("words").over(W.partitionBy("src").orderBy("slice"))
-    cut = slices.withColumn("upto", running).where("upto > room").groupBy("src").agg(F.min_by(F.struct("slice", (F.col("upto") - F.col("words")).alias("taken")), "slice").alias("cut"))
-    rows = rows.join(cut, "src", "left").select(*pool.columns, "room", "open", "slice", F.col("cut.slice").alias("cut"), F.col("cut.taken").alias("before"))
-    clear = rows.where("not (open and cut is not null and slice = cut)")
-    clear = clear.withColumn("sampled", F.col("sampled") | (F.col("open") & (F.col("cut").isNull() | (F.col("slice") < F.col("cut")))))
-    last = rows.where("open and cut is not null and slice = cut")
-    upto = F.sum("size").over(W.partitionBy("src").orderBy("rank", "doc_id", "size", "nth").rowsBetween(W.unboundedPreceding, 0))
-    last = last.withColumn("sampled", F.col("before") + upto <= F.col("room"))
-    return clear.select(pool.columns).unionByName(last.select(pool.columns))
+    sizes = rows.join(sources.select("src", "room"), "src").where("size > 0 and size <= room").groupBy("src", "room", "size").agg(F.count("*").alias("k"))
+    order = W.partitionBy("src").orderBy(F.desc("size"))
+    held, weight = (F.col("size") * F.col("k")).cast("double"), F.pow(F.col("size").cast("double"), F.lit(POWER))
+    longer = F.coalesce(F.sum(held).over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    scale = (F.col("room") - longer) / F.sum(weight * held).over(order.rowsBetween(0, W.unboundedFollowing))
+    return sizes.withColumn("scale", scale).where(F.col("scale") * weight < 1).groupBy("src").agg(F.max_by("scale", "size").alias("scale"))
+
+
+def _ranked(rows: DataFrame, plan: DataFrame, seed: str) -> DataFrame:
+    """rows (_KEY) with their source's plan, inclusion, and rank: odds over inclusion odds in [0, 1); null where never sampled."""
+    out = rows.join(plan, "src")
+    chance = F.when((F.col("size") <= 0) | (F.col("size") > F.col("room")), 0.0).when(F.col("scale").isNull(), 1.0)
+    out = out.withColumn("inclusion", chance.otherwise(F.least(F.lit(1.0), F.col("scale") * F.pow(F.col("size").cast("double"), F.lit(POWER)))))
+    u = uniform(F.concat_ws(".", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("nth").cast("string")), seed)
+    odds = u / (1 - u) / (F.col("inclusion") / (1 - F.col("inclusion")))
+    rank = F.when(F.col("inclusion") >= 1, 0.0).when(F.col("inclusion") > 0, odds / (1 + odds))
+    return out.withColumn("rank", rank).withColumn("slice", F.floor(F.col("rank") * SLICES))
+
+
+def _planned(rows: DataFrame, cap: float, weights: tuple[int, ...], seed: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The plan, a row for each source, and the documents of _KEY that are taken besides what the plan says.
+
+    A source takes what ranks before its slice `cut`; of that slice, and at last, single documents.
+    """
+    sources = targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), cap, weights)
+    size = F.col("source_size").cast("double")
+    times = F.when(F.col("source_size") > 0, F.col("target") / size).otherwise(0.0)
+    sources = scratch.write(sources.withColumn("certain", F.floor(times).cast("long")).withColumn("room", F.col("target") - F.col("certain") * size), "sources")
+    plan = scratch.write(sources.join(_scales(rows, small(sources)), "src", "left"), "plan")
+
+    ranked = _ranked(rows, small(plan), seed).where("rank is not null")
+    slices = ranked.groupBy("src", "room", "slice").agg(F.sum("size").alias("words"))
+    upto = F.sum("words").over(W.partitionBy("src").orderBy("slice"))
+    cuts = slices.withColumn("upto", upto).withColumn("over", F.col("upto") > F.col("room"))
+    # the first slice that does not fit whole, and the words of those before it
+    cuts = cuts.groupBy("src").agg(F.min(F.when(F.col("over"), F.col("slice"))).alias("cut"), F.coalesce(F.max(F.when(~F.col("over"), F.col("upto"))), F.lit(0)).alias("before"))
+    plan = scratch.write(plan.join(cuts, "src", "left").withColumn("cut", F.when(F.col("before").isNotNull(), F.coalesce("cut", F.lit(SLICES + 1)))), "cut-plan")
+
+    of_cut = _ranked(rows, small(plan), seed).where("slice = cut")
+    within = F.sum("size").over(W.partitionBy("src").orderBy("rank", "doc_id", "size", "nth").rowsBetween(W.unboundedPreceding, 0))
+    taken = scratch.write(of_cut.withColumn("upto", F.col("before") + within).where("upto <= room").select(*_KEY), "taken")
+    room = sources.select("src", "room").join(plan.select("src", "before"), "src").join(taken.groupBy("src").agg(F.sum("size").alias("more")), "src", "left")
+    room = scratch.write(room.select("src", (F.col("room") - F.coalesce("before", F.lit(0)) - F.coalesce("more", F.lit(0))).alias("left")), "left")
+    for k in range(LAST):
+        # of the documents not taken, the one that comes nearest to what is left, if it comes nearer than nothing
+        rest = _ranked(rows, small(plan), seed).where("size > 0 and not coalesce(slice < cut, false)").join(small(room.where("left > 0")), "src").where("size < 2 * left")
+        rest = _without(rest, taken)
+        nearest = rest.groupBy("src").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("miss"), F.coalesce("rank", F.lit(2.0)).alias("rank"), "doc_id", "size", "nth")).alias("x"))
+        extra = scratch.write(nearest.select("src", "x.doc_id", "x.size", "x.nth"), f"extra-{k}")
+        if extra.isEmpty():
+            break
+        taken = scratch.write(taken.unionByName(extra), "taken")
+        room = scratch.write(room.join(extra.select("src", F.col("size").alias("got")), "src", "left").select("src", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left")), "left")
+    return plan, taken
+
+
+def _same(a: str, b: str):
+    return (F.col(f"{a}.src") == F.col(f"{b}.src")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.size") == F.col(f"{b}.size")) & (F.col(f"{a}.nth") == F.col(f"{b}.nth"))
+
+
+def _without(rows: DataFrame, taken: DataFrame) -> DataFrame:
+    return rows.alias("r").join(small(taken).alias("t"), _same("r", "t"), "left_anti")
+
+
+def _copied(rows: DataFrame, plan: DataFrame, taken: DataFrame, seed: str) -> DataFrame:
+    """rows (_KEY and others) with source_size, target, inclusion and copies; nothing is shuffled while plan and taken are small."""
+    ranked = _ranked(rows, small(plan), seed)
+    mark = small(taken).withColumn("extra", F.lit(True))
+    found = ranked.alias("r").join(mark.alias("t"), _same("r", "t"), "left").select("r.*", "t.extra")
+    once = F.coalesce(F.col("slice") < F.col("cut"), F.lit(False)) | F.coalesce("extra", F.lit(False))
+    return found.withColumn("copies", F.col("certain") + once.cast("long")).select(*rows.columns, "source_size", "target", "inclusion", "copies")
 
 
 def mix(docs: DataFrame, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """What the mix takes of each row of docs.
 
-    Columns: doc_id, nth, size, source_size, target, copies, taken. copies is the
-    number of times the mix holds the document, at most cap; taken is copies times
-    size. A source's taken words miss its target by less than half its smallest
-    document that is left out, or by what its certain copies leave no document for.
+    Columns: doc_id, nth, src, size, source_size, target, inclusion, copies, taken.
+    copies is the number of times the mix holds the document: the source's certain
+    copies, and one more with probability `inclusion`; at most cap. taken is copies
+    times size. A source's taken words miss its target by no more than half its
+    smallest document that is left out, or by what its certain copies leave no document for.
 
     The order is a hash of id and seed: reruns agree. Rows of one id are told apart by
     nth, 0 but for repeated ids. Null texts have size 0, a null source is a source of
-    its own, a null id is an id. Documents of size 0 come with their certain copies.
-    An empty table gives an empty table. Other columns, of any name, are not read.
+    its own, a null id is an id. Documents of size 0 come with their certain copies;
+    those longer than what is left to sample are not sampled (inclusion 0), but may be
+    the last to be added. An empty table gives an empty table. Other columns, of any
+    name, are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), source_key(F.col(source_col)).alias("src"), words(F.col(text_col)).alias("size"))
-    rows = rows.groupBy("doc_id", "src", "size").count()
-    rows = rows.select("doc_id", "src", "size", F.explode(F.sequence(F.lit(0), F.col("count").cast("int") - 1)).alias("nth"))
-    rows = written(rows, "mix-sizes")
-    sources = written(targets(rows.groupBy("src").agg(F.sum("size").alias("source_size")), cap, weights), "mix-sources")
-
-    size = F.col("source_size").cast("double")
-    times = F.when(F.col("source_size") > 0, F.col("target") / size).otherwise(0.0)
-    sources = sources.withColumn("certain", F.floor(times).cast("long")).withColumn("room", F.col("target") - F.col("certain") * size)
-    # a document longer than the room has inclusion probability 0, the others share the room by their words
-    able = rows.join(sources.select("src", "room"), "src").where("size > 0 and size <= room").groupBy("src").agg(F.sum("size").alias("able"))
-    sources = sources.join(able, "src", "left")
-    part = F.col("room") / F.col("able")
-    u = uniform(F.col("doc_id"), seed)
-    odds = u / (1 - u) / (part / (1 - part))
-    rank = F.when((F.col("size") > F.col("room")) | F.col("able").isNull(), F.lit(None)).when(part >= 1, 0.0).otherwise(odds / (1 + odds))
-    pool = rows.join(sources.select("src", "able", "room"), "src").select("doc_id", "nth", "src", "size", F.coalesce(rank, F.lit(1.0)).alias("rank"), F.lit(False).alias("sampled"))
-    room = sources.select("src", "room")
-    for _ in range(PASSES):
-        pool = written(_fill(pool, room), "mix-pool")
-        got = pool.where("sampled").groupBy("src").agg(F.sum("size").alias("got"))
-        room = sources.select("src", "room").join(got, "src", "left").select("src", (F.col("room") - F.coalesce("got", F.lit(0))).alias("room"))
-    # one more document where going over comes nearer than staying under
-    near = pool.join(room, "src").where("not sampled and size > 0 and size > room and size < 2 * room")
-    near = near.withColumn("n", F.row_number().over(W.partitionBy("src").orderBy("size", "rank", "doc_id", "nth"))).where("n = 1").select("src", "doc_id", "size", "nth", F.lit(True).alias("extra"))
-    pool = pool.alias("p").join(near.alias("e"), (F.col("p.src") == F.col("e.src")) & F.col("p.doc_id").eqNullSafe(F.col("e.doc_id")) & (F.col("p.size") == F.col("e.size")) & (F.col("p.nth") == F.col("e.nth")), "left").select("p.*", "extra")
-    copies = (F.col("certain") + (F.col("sampled") | F.coalesce("extra", F.lit(False))).cast("long")).alias("copies")
-    out = pool.join(sources.select("src", "source_size", "target", "certain"), "src").select("doc_id", "nth", "src", "size", "source_size", "target", copies)
+    scratch = Scratch(docs.sparkSession, "mix")
+    rows = scratch.write(_sizes(docs, id_col, source_col, text_col), "sizes")
+    plan, taken = _planned(rows, cap, weights, seed, scratch)
+    out = _copied(rows, plan, taken, seed).select("doc_id", "nth", "src", "size", "source_size", "target", "inclusion", "copies")
     return out.withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def apply_mix(docs: DataFrame, **how) -> DataFrame:
-    """docs itself, mixed: each row as often as the mix holds it, columns unchanged."""
-    taken = mix(docs, **how).where("copies > 0").select("doc_id", "nth", "src", "size", F.col("copies").alias("_copies"))
-    id_col, source_col, text_col = (how.get(k, d) for k, d in (("id_col", "doc_id"), ("source_col", "source"), ("text_col", "text")))
-    # rows of one id, source and size are numbered alike on both sides; which is which does not matter
-    key = {"_id": F.col(id_col).cast("long"), "_src": source_key(F.col(source_col)), "_size": words(F.col(text_col))}
-    rows = docs.withColumns(key).withColumn("_nth", F.row_number().over(W.partitionBy("_id", "_src", "_size").orderBy(F.xxhash64(F.col(text_col)))) - 1)
-    on = F.col("_id").eqNullSafe(F.col("t.doc_id")) & (F.col("_src") == F.col("t.src")) & (F.col("_size") == F.col("t.size")) & (F.col("_nth") == F.col("t.nth"))
-    mixed = rows.alias("d").join(taken.alias("t"), on)
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("t._copies").cast("int")))).select(*[F.col(f"d.{c}").alias(c) for c in docs.columns])
+def apply_mix(docs: DataFrame, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix-1", id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
+    """docs itself, mixed: each row as often as the mix holds it, columns unchanged.
+
+    Texts pass row by row; only rows that agree in id, source and size with another are
+    brought together, to be numbered.
+    """
+    scratch = Scratch(docs.sparkSession, "mixed")
+    rows = scratch.write(_sizes(docs, id_col, source_col, text_col), "sizes")
+    plan, taken = _planned(rows, cap, weights, seed, scratch)
+    own = {"doc_id": F.col(f"_row.{id_col}").cast("long"), "src": source_key(F.col(f"_row.{source_col}")), "size": words(F.col(f"_row.{text_col}"))}
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")).withColumns(own).withColumn("nth", F.lit(0))
+    again = scratch.write(rows.where("nth = 1").select(*_KEY).withColumn("nth", F.lit(0)), "again")
+    alone = keyed.alias("k").join(small(again).alias("g"), _same("k", "g"), "left_anti")
+    # rows of one id, source and size: which is which does not matter
+    several = keyed.alias("k").join(small(again).alias("g"), _same("k", "g"), "left_semi")
+    number = F.row_number().over(W.partitionBy("doc_id", "src", "size").orderBy(F.xxhash64(F.col(f"_row.{text_col}")))) - 1
+    mixed = _copied(alone.unionByName(several.withColumn("nth", number)), plan, taken, seed).where("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_row.*")

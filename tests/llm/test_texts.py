@@ -355,3 +355,24 @@ def test_mixing(spark, docs, none):
     mixed = apply_mix(df)
     assert mixed.columns == df.columns and mixed.count() == sum(r.copies for r in out)
     assert mix(none).count() == 0 and targets(spark.createDataFrame([("0a", 0)], "src string, source_size long")).first().target == 0
+
+
+def test_mix_inclusion_rates(spark):
+    """Sources of equal documents are draws of one design: rates follow each document's own probability."""
+    from chronoweave.llm.mixing import mix
+
+    sizes = [10 + 5 * ((7 * i) % 12) for i in range(240)] + [1500]
+    rows = [(k * 1000 + i, "w " * n, f"s{k:03d}") for k in range(60) for i, n in enumerate(sizes)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    half = [r for r in out if abs(r.target / r.source_size - 0.5) < 1e-9]
+    assert len(half) == 20 * len(sizes)
+    by: dict = {}
+    for r in half:
+        by.setdefault(r.size, []).append((r.inclusion, r.copies))
+    assert all(len({round(p, 12) for p, _ in v}) == 1 for v in by.values())
+    chance = {n: v[0][0] for n, v in by.items()}
+    assert abs(sum(chance[n] * n for n in sizes) - sum(sizes) / 2) < 1e-6  # the words that are to be sampled
+    assert all(abs(chance[n] / chance[10] - (n / 10) ** 0.5) < 1e-6 for n in chance if chance[n] < 1) and chance[1500] == 1
+    for n, v in by.items():
+        rate = sum(c for _, c in v) / len(v)
+        assert abs(rate - chance[n]) < 0.02 + 3.3 * (chance[n] * (1 - chance[n]) / len(v)) ** 0.5, (n, rate, chance[n])
