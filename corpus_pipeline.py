@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from chronoweave.llm.common import crc_mod, table, written
 from chronoweave.llm.language_id import drop_rejected
 from chronoweave.llm.mixing import apply_mix
-from chronoweave.llm.ngram_join import jaccard_components
+from chronoweave.llm.ngram_join import drop_near_copies
 from chronoweave.llm.pieces import encode_pieces
 from chronoweave.llm.quality import drop_low_quality
 
@@ -28,12 +28,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near copies, once; rows without an id stay."""
-    groups = jaccard_components(docs, threshold=75, width=5)
-    dropped = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    once = kept.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return once.unionByName(kept.where("doc_id is null"))
+    """Keeps the smallest id of each group of near copies, once; rows without an id or a word stay."""
+    return drop_near_copies(docs, threshold=75, width=5)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
