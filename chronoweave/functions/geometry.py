@@ -25,6 +25,10 @@ POSE_ORDER = (0, 2, 1)
 SENSOR_HEIGHT_M, SENSOR_PITCH_DOWN_DEG = 1.76, 30.0
 DOPPLER_LIMIT = 3.0
 SIGNAL_LIMIT = math.log2(100)
+#: The colour of points without a scale; the ramp's red (slope, offset), green (top, slope, middle) and blue (slope, offset).
+CONSTANT_COLOUR = (1.0, 0.2, 0.1, 0.85)
+RAMP = ((2.0, -0.2), (1.0, -2.0, 0.5), (-2.0, 1.2))
+RAMP_ALPHA = 0.9
 
 
 def is_finite(x: Column) -> Column:
@@ -274,43 +278,63 @@ COLOUR_CAMERA = Camera(
 )
 
 
+def bound(value: Column, fn) -> Column:
+    """fn(value), with value computed once: an expression that uses it several times does not repeat it."""
+    return at(F.transform(F.array(value), fn), 0)
+
+
 def project(p: Column, camera: Camera = COLOUR_CAMERA) -> Column:
     """Pixel [u, v] of a camera-space point in mm; null beside the camera plane or where not finite."""
-    q = rigid(F.slice(p, 1, 3), camera.rotation, camera.translation)
-    x, y = at(q, 0) / at(q, 2) - camera.codx, at(q, 1) / at(q, 2) - camera.cody
-    r2 = x * x + y * y
-    poly = lambda a, b, c: 1.0 + r2 * (a + r2 * (b + r2 * c))
-    top, below = poly(*camera.k[:3]), poly(*camera.k[3:])
-    d = F.when(below != 0, top / below).otherwise(top)
-    u = x * d + (r2 + 2 * x * x) * camera.p2 + 2 * x * y * camera.p1
-    v = y * d + (r2 + 2 * y * y) * camera.p1 + 2 * x * y * camera.p2
-    pixel = F.array((u + camera.codx) * camera.fx + camera.cx, (v + camera.cody) * camera.fy + camera.cy)
-    ok = is_finite(at(q, 0)) & is_finite(at(q, 1)) & is_finite(at(q, 2)) & (F.abs(at(q, 2)) >= 1e-9)
-    return F.when(ok & F.forall(pixel, is_finite), pixel)
+
+    def pixel(xy: Column, r2: Column, d: Column) -> Column:
+        x, y = at(xy, 0), at(xy, 1)
+        u = x * d + (r2 + 2 * x * x) * camera.p2 + 2 * x * y * camera.p1
+        v = y * d + (r2 + 2 * y * y) * camera.p1 + 2 * x * y * camera.p2
+        return F.array((u + camera.codx) * camera.fx + camera.cx, (v + camera.cody) * camera.fy + camera.cy)
+
+    def distorted(xy: Column, r2: Column) -> Column:
+        poly = lambda a, b, c: 1.0 + r2 * (a + r2 * (b + r2 * c))
+        both = F.array(poly(*camera.k[:3]), poly(*camera.k[3:]))
+        factor = bound(both, lambda t: F.when(at(t, 1) != 0, at(t, 0) / at(t, 1)).otherwise(at(t, 0)))
+        return bound(factor, lambda d: pixel(xy, r2, d))
+
+    def seen(q: Column) -> Column:
+        xy = F.array(at(q, 0) / at(q, 2) - camera.codx, at(q, 1) / at(q, 2) - camera.cody)
+        flat = bound(xy, lambda w: bound(at(w, 0) * at(w, 0) + at(w, 1) * at(w, 1), lambda r2: distorted(w, r2)))
+        return F.when(F.forall(q, is_finite) & (F.abs(at(q, 2)) >= 1e-9), flat)
+
+    return bound(bound(rigid(F.slice(p, 1, 3), camera.rotation, camera.translation), seen), lambda uv: F.when(F.forall(uv, is_finite), uv))
 
 
 def project_cloud(cloud: Column, noise_filter: bool = False, max_points: int | None = 8000, camera: Camera = COLOUR_CAMERA) -> Column:
     """Cloud as [u, v, z, Doppler, signal, id, ...]; every n-th point where there are more than max_points."""
     kept = valid_points(cloud, noise_filter)
     if max_points:
-        step = F.greatest(F.lit(1), F.ceil(F.size(kept) / max_points))
-        kept = F.filter(kept, lambda p, i: i % step == 0)
-    seen = lambda p: project(F.array(at(p, 0) * 1e3, at(p, 2) * -1e3, at(p, 1) * 1e3), camera)
-    pad = lambda p: F.concat(F.slice(p, 3, F.size(p) - 2), F.array_repeat(F.lit(float("nan")), F.greatest(6 - F.size(p), F.lit(0))))
-    return F.filter(F.transform(kept, lambda p: F.when(seen(p).isNotNull(), F.concat(seen(p), pad(p)))), lambda p: p.isNotNull())
+        every = lambda ps: bound(F.greatest(F.lit(1), F.ceil(F.size(ps) / max_points)), lambda step: F.filter(ps, lambda p, i: i % step == 0))
+        kept = bound(kept, every)
+    pad = lambda p: F.concat(F.slice(p, F.lit(3), F.size(p) - 2), F.array_repeat(F.lit(float("nan")), F.greatest(6 - F.size(p), F.lit(0))))
+    pixel = lambda p: project(F.array(at(p, 0) * 1e3, at(p, 2) * -1e3, at(p, 1) * 1e3), camera)
+    placed = F.transform(kept, lambda p: bound(pixel(p), lambda uv: F.when(uv.isNotNull(), F.concat(uv, pad(p)))))
+    return F.filter(placed, lambda p: p.isNotNull())
 
 
 def point_colour(p: Column, mode: str = "constant") -> Column:
-    """RGBA of a point by Doppler or signal on a blue, green, red ramp; one colour otherwise."""
+    """RGBA of a point by Doppler or signal on a blue, green, red ramp; one colour otherwise, and for points without that column."""
+    constant = F.array(*map(F.lit, CONSTANT_COLOUR))
     if mode not in ("doppler", "snr"):
-        return F.array(*map(F.lit, (1.0, 0.2, 0.1, 0.85)))
+        return constant
+    return F.when(F.size(p) > (3 if mode == "doppler" else 4), _ramp(p, mode)).otherwise(constant)
+
+
+def _ramp(p: Column, mode: str) -> Column:
     if mode == "doppler":
         n = (F.greatest(F.lit(-DOPPLER_LIMIT), F.least(F.lit(DOPPLER_LIMIT), at(p, 3))) + DOPPLER_LIMIT) / (2 * DOPPLER_LIMIT)
     else:
         n = F.when(at(p, 4) > 0, F.log2(at(p, 4)) / SIGNAL_LIMIT).otherwise(0.0)
     n = F.coalesce(F.when(~F.isnan(n), n), F.lit(0.5))
     cut = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
-    return F.array(cut(2.0 * n - 0.2), cut(1.0 - F.abs(n - 0.5) * 2.0), cut(1.2 - 2.0 * n), F.lit(0.9))
+    red, green, blue = RAMP
+    return bound(n, lambda n: F.array(cut(red[0] * n + red[1]), cut(green[0] + green[1] * F.abs(n - green[2])), cut(blue[0] * n + blue[1]), F.lit(RAMP_ALPHA)))
 
 
 def finite_limbs(people: Column, connections: Sequence[tuple[int, int]] = LIMBS) -> Column:
