@@ -4,6 +4,8 @@ The tokenizer's pattern always starts a new piece at a single space or line brea
 between two other characters. Texts are cut there; a Python worker has the library
 merge each distinct piece once and remembers its ids, so a text's ids are looked
 up chunk by chunk. Texts with any other white space are split by the pattern whole.
+Strings of the tokenizer's special tokens stand for those tokens, as the library has
+it by default; what lies between them is encoded by itself.
 """
 
 from __future__ import annotations
@@ -41,16 +43,22 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self._merges = Tokenizer(self.library.model)  # the merges alone: pieces come ready split
         self._pattern = regex.compile(public_tokenizers.PATTERN)
         self._letters = _byte_letters()
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.dtype = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         #: Bytes of text behind each id.
-        self.id_bytes = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
+        self.id_bytes = np.zeros(max([*vocabulary.values(), *special.values()]) + 1, np.int64)
         for token, i in vocabulary.items():
             self.id_bytes[i] = len(token)
+        for token, i in special.items():
+            self.id_bytes[i] = len(token.encode())
+        if len(self.id_bytes) > 1 << 16:
+            self.dtype = np.dtype("<u4")
+        self._special = {t: np.array([i], self.dtype).tobytes() for t, i in special.items()}
+        self._special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")")
         # byte 0xFF is no part of UTF-8, so its letter can stand between pieces if nothing merges with it
         self._mark = chr(self._letters[0xFF])
         self._mark_id = vocabulary[self._mark]
@@ -102,6 +110,23 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each whole text as bytes of dtype; an empty text has none."""
+        marked = [k for k, t in enumerate(texts) if any(x in t for x in self._special)]
+        if not marked:
+            return self._encode_plain(texts)
+        plain = list(texts)
+        parts = {k: self._special_pattern.split(texts[k]) for k in marked}
+        for k in marked:
+            plain[k] = ""
+        out = self._encode_plain(plain)
+        for k, found in parts.items():
+            between = self._encode_plain(found[::2])
+            ids = [between[0]]
+            for token, after in zip(found[1::2], between[1:], strict=True):
+                ids += [self._special[token], after]
+            out[k] = b"".join(ids)
+        return out
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
         if len(self._memo) + len(self._bare) > MEMO_CHUNKS:
             self._memo.clear()
             self._bare.clear()

@@ -13,9 +13,10 @@ product pairs all rows that are still of different components, in blocks: the pa
 one column spread over as many tasks as it has pairs of blocks. A sketch of each set
 gives an upper bound of a pair's overlap before whole sets are compared.
 
-Texts are read three times: to count shingles, to cut the columns, and, of the rows
-that share a column at all, for whole sets. Intermediate tables go as soon as the next
-is written.
+Before any product the whole matrix passes the shuffle once, compressed, to count for
+each row the columns that it shares with any other; rows that share too few for a link
+are left out. Texts are read twice, the second time those of rows that are left.
+Intermediate tables go as soon as the next is written.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ COMMON_KEPT = 100_000
 ROUNDS, GOES_ON = 4, 0.02
 #: Rows of a column that form a block of the last product.
 BLOCK = 256
-#: Hashes, or cells, that a task gathers before it sends them on.
+#: Hashes that a task gathers before it sends them on.
 GATHER = 1 << 21
 #: Bits of a set's sketch, in words of 64.
 SKETCH_WORDS = 8
@@ -124,13 +125,14 @@ def sketch(h: np.ndarray) -> bytes:
     return np.packbits((np.bincount((h % np.uint64(bits)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-#: Parts of the hash space for each shuffle partition. Inside a part 16 bits stand for a
-#: shingle while they are counted: a handful fall together, far fewer than count as common.
-PARTS_PER_TASK = 4
+#: Shingles of a part of the hash space, about: what a task holds of it is bounded, whatever the input.
+PART_SHINGLES = 1 << 20
 
 
-def _part_bits(docs: DataFrame) -> int:
-    return max(8, (int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")) * PARTS_PER_TASK - 1).bit_length())
+def _part_bits(rows: DataFrame) -> int:
+    """Parts of the hash space in bits, by the texts' length at about six characters a word."""
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    return max(4, (chars // (6 * PART_SHINGLES)).bit_length())
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -149,56 +151,115 @@ def _unpacked(run: bytes, *kinds: type) -> list[np.ndarray]:
     return out
 
 
-_DIGESTS = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("part", pa.int64()), ("run", pa.binary())])
+_FIRST = pa.schema([("part", pa.int64()), ("base", pa.int64()), ("run", pa.binary()), ("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
+_SEEN = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("base", pa.int64()), ("counts", pa.binary()), ("key", pa.int64()), ("df", pa.int64())])
+#: Rows that a task numbers from one base, at most, in bits.
+_ROW_BITS = 20
 
 
-def _digested(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n, h1, h2 of each row; and part, run: its task's hashes, sorted, by parts of the hash space."""
-    bits = _part_bits(docs)
-    parts = 1 << bits
+def _incidence(docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """The whole incidence matrix, compressed, dealt to parts of the hash space.
 
-    def runs(held: list[np.ndarray]) -> pa.RecordBatch:
-        every = np.sort(np.concatenate(held) >> np.uint64(48 - bits))
-        cuts = np.searchsorted(every, np.arange(1, parts, dtype=np.uint64) << np.uint64(16))
-        blobs = [(k, _packed(np.diff(b, prepend=np.uint16(0)))) for k, b in enumerate(np.split(every.astype(np.uint16), cuts)) if len(b)]
-        return partial_batch(_DIGESTS, part=pa.array([k for k, _ in blobs]), run=pa.array([b for _, b in blobs], pa.binary()))
+    part, base, run: the hashes in a part of the rows from base on, ascending, and each
+    one's row. part, row, doc_id, n, h1, h2: the digest of every document; parts from
+    2 ** bits on hold these. Of equal sets that a task meets together one is in the runs.
+    """
+    parts = 1 << bits
 
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(held: list[np.ndarray], at: list[int], base: int) -> pa.RecordBatch:
+        col = np.concatenate(held) >> np.uint64(32 - bits)
+        row = np.repeat(np.array(at, np.uint32), [len(h) for h in held])
+        order = np.argsort(col, kind="stable")
+        col, row = col[order], row[order]
+        cuts = np.searchsorted(col, np.arange(1, parts, dtype=np.uint64) << np.uint64(32))
+        each = zip(np.split(col, cuts), np.split(row, cuts), strict=True)
+        blobs = [(k, _packed(np.diff(x.astype(np.uint32), prepend=np.uint32(0)), y)) for k, (x, y) in enumerate(each) if len(x)]
+        return partial_batch(_FIRST, part=pa.array([k for k, _ in blobs]), base=pa.array(np.full(len(blobs), base)), run=pa.array([b for _, b in blobs], pa.binary()))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        base, rows, size = task << 40, 0, 0
+        seen: set[bytes] = set()
         held: list[np.ndarray] = []
-        size = 0
+        at: list[int] = []
         for batch in batches:
             sets = [shingle_hashes(t, width) for t in texts_of(batch)]
-            got = np.frombuffer(b"".join(map(digests, sets)), np.int64).reshape(-1, 3)
-            yield partial_batch(_DIGESTS, doc_id=column_of(batch, "doc_id"), **{name: pa.array(np.ascontiguousarray(got[:, k])) for k, name in enumerate(("h1", "h2", "n"))})
-            held += [h for h in sets if len(h)]
-            size += sum(map(len, sets))
-            if size >= GATHER:
-                yield runs(held)
-                held, size = [], 0
+            keys = [digests(h) for h in sets]
+            got = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 3)
+            digest = {name: pa.array(np.ascontiguousarray(got[:, k])) for k, name in enumerate(("h1", "h2", "n"))}
+            part = pa.array(np.full(len(sets), parts + task % parts))
+            yield partial_batch(_FIRST, part=part, row=pa.array(np.arange(base + rows, base + rows + len(sets))), doc_id=column_of(batch, "doc_id"), **digest)
+            for k, (h, key) in enumerate(zip(sets, keys, strict=True)):
+                if len(h) and key not in seen:
+                    seen.add(key)
+                    held.append(h)
+                    at.append(rows + k)
+                    size += len(h)
+            rows += len(sets)
+            if size >= GATHER or rows >= 1 << (_ROW_BITS - 1):
+                if held:
+                    yield runs(held, at, base)
+                base, rows, size, seen, held, at = base + (1 << _ROW_BITS), 0, 0, set(), [], []
         if held:
-            yield runs(held)
+            yield runs(held, at, base)
 
-    return map_batches(docs, digest, "doc_id long, n long, h1 long, h2 long, part long, run binary")
+    return map_batches(docs, read, "part long, base long, run binary, row long, doc_id long, n long, h1 long, h2 long")
 
 
-def _common(runs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
-    """The most common shingles: their hashes' leading bits, sorted, document counts, and the shift to those bits.
+def _met(first: DataFrame, bits: int) -> DataFrame:
+    """What the parts show: the digests as they are, how many shingles of each row others have too, and common shingles.
 
-    Every shingle of every document is counted, each part of the hash space in one task.
+    base, counts: for the rows from base on, the number of their shingles in one part
+    that two rows or more share. key, df: leading bits of a shingle that COMMON_FROM
+    rows or more have, and how many.
     """
-    bits = _part_bits(runs)
+    parts = 1 << bits
 
-    def count(table: pa.Table) -> pa.Table:
+    def meet(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
-        n = np.zeros(1 << 16, np.int64)
-        for run in table.column("run"):
-            n += np.bincount(np.cumsum(_unpacked(run.as_py(), np.uint16)[0], dtype=np.uint16), minlength=1 << 16)
-        often = np.flatnonzero(n >= COMMON_FROM)
-        return pa.table({"key": pa.array((part << 16) | often), "n": pa.array(n[often])})
+        table = table.combine_chunks()
+        if part >= parts:
+            rows = {x: table.column(x).combine_chunks() for x in ("row", "doc_id", "n", "h1", "h2")}
+            return pa.Table.from_batches([partial_batch(_SEEN, **rows)])
+        held = [_unpacked(run.as_py(), np.uint32, np.uint32) for run in table.column("run")]
+        col = np.concatenate([np.cumsum(c, dtype=np.uint32) for c, _ in held])
+        source = np.repeat(np.arange(len(held)), [len(r) for _, r in held])
+        cell = (source << _ROW_BITS) | np.concatenate([r for _, r in held])
+        order = np.argsort(col, kind="stable")
+        col, cell = col[order], cell[order]
+        new = np.concatenate([[True], col[1:] != col[:-1]])
+        run = np.cumsum(new) - 1
+        df = np.bincount(run)
+        cells, counts = np.unique(cell[df[run] > 1], return_counts=True)
+        cuts = np.searchsorted(cells, np.arange(1, len(held)) << _ROW_BITS)
+        each = zip(table.column("base").to_pylist(), np.split(cells & ((1 << _ROW_BITS) - 1), cuts), np.split(counts, cuts), strict=True)
+        blobs = [(base, _packed(x.astype(np.uint32), y.astype(np.uint32))) for base, x, y in each if len(x)]
+        often = df >= COMMON_FROM
+        keys = (part << 32) | col[new][often].astype(np.int64)
+        out = [partial_batch(_SEEN, base=pa.array([b for b, _ in blobs], pa.int64()), counts=pa.array([x for _, x in blobs], pa.binary()))]
+        return pa.Table.from_batches([*out, partial_batch(_SEEN, key=pa.array(keys), df=pa.array(df[often]))])
+
+    return first.groupBy("part").applyInArrow(meet, "row long, doc_id long, n long, h1 long, h2 long, base long, counts binary, key long, df long")
+
+
+def _shared_counts(seen: DataFrame) -> DataFrame:
+    """row, shared: how many of its shingles other rows have too, over all parts."""
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(1 << _ROW_BITS, np.int64)
+        for blob in table.column("counts"):
+            row, count = _unpacked(blob.as_py(), np.uint32, np.uint32)
+            total[row] += count
+        some = np.flatnonzero(total)
+        return pa.table({"row": pa.array(table.column("base")[0].as_py() + some), "shared": pa.array(total[some])})
+
+    return seen.where("base is not null").select("base", "counts").groupBy("base").applyInArrow(add, "row long, shared long")
 
-    counted = runs.groupBy("part").applyInArrow(count, "key long, n long")
-    top = counted.orderBy(F.desc("n"), "key").limit(COMMON_KEPT).toPandas().sort_values("key")
-    return top["key"].to_numpy(np.uint64), top["n"].to_numpy(np.int64), 48 - bits
+
+def _common(seen: DataFrame, bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The most common shingles: their hashes' leading bits, sorted, document counts, and the shift to those bits."""
+    top = seen.where("key is not null").select("key", "df").orderBy(F.desc("df"), "key").limit(COMMON_KEPT).toPandas().sort_values("key")
+    return top["key"].to_numpy(np.uint64), top["df"].to_numpy(np.int64), 32 - bits
 
 
 def _prefix(h: np.ndarray, t: int, common: tuple[np.ndarray, np.ndarray, int]) -> np.ndarray:
@@ -213,107 +274,29 @@ def _prefix(h: np.ndarray, t: int, common: tuple[np.ndarray, np.ndarray, int]) -
     return h[: n - -(-t * n // 100) + 1] if n else h
 
 
-#: Stands for rows that a task has sent on by itself.
-_SENT = np.iinfo(np.int64).min
-
-_CELLS = pa.schema([("part", pa.int64()), ("run", pa.binary()), ("col", pa.int64()), ("row", pa.int64()), ("pos", pa.int32()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64())])
-
-
-def _cut(docs: DataFrame, width: int, t: int, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
-    """Prefix cells of every set, by task: one row number for each set of what it has gathered.
-
-    Three kinds of rows come out. row, n, h1, h2: the sets. col, row, pos: cells of
-    columns that the task itself finds shared; only a mark of these goes on. part, run:
-    all other cells, compressed, for the part of the hash space that they belong to.
-    A column of any number of documents thus sends a mark for each task.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(common)
-    bits = _part_bits(docs)
-    parts = 1 << bits
-
-    def cells(prefixes: list[np.ndarray], first_row: int) -> Iterator[pa.RecordBatch]:
-        sizes = [len(p) for p in prefixes]
-        col = np.concatenate(prefixes) >> np.uint64(32 - bits)
-        row = np.repeat(np.arange(first_row, first_row + len(sizes)), sizes)
-        pos = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-        order = np.lexsort((row, col))
-        col, row, pos = col[order], row[order], pos[order]
-        new = np.concatenate([[True], col[1:] != col[:-1]])
-        run = np.cumsum(new) - 1
-        met = np.bincount(run)[run] > 1
-        yield partial_batch(_CELLS, col=pa.array(col[met].astype(np.int64)), row=pa.array(row[met]), pos=pa.array(pos[met]))
-        go = ~met | new
-        c, r, p = col[go], np.where(met, _SENT, row)[go], pos[go]
-        cuts = np.searchsorted(c, np.arange(1, parts, dtype=np.uint64) << np.uint64(32))
-        each = zip(np.split(c, cuts), np.split(r, cuts), np.split(p, cuts), strict=True)
-        blobs = [(k, _packed(np.diff(x.astype(np.uint32), prepend=np.uint32(0)), y, z)) for k, (x, y, z) in enumerate(each) if len(x)]
-        yield partial_batch(_CELLS, part=pa.array([k for k, _ in blobs]), run=pa.array([b for _, b in blobs], pa.binary()))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first_row = TaskContext.get().partitionId() << 40
-        seen: set[bytes] = set()
-        held: list[np.ndarray] = []
-        size = 0
-        for batch in batches:
-            keys = []
-            for text in texts_of(batch):
-                h = shingle_hashes(text, width)
-                if len(h) and (key := digests(h)) not in seen:
-                    seen.add(key)
-                    keys.append(key)
-                    held.append(_prefix(h, t, sent.value))
-                    size += len(held[-1])
-            got = np.frombuffer(b"".join(keys), np.int64).reshape(-1, 3)
-            rows = np.arange(first_row + len(held) - len(keys), first_row + len(held))
-            yield partial_batch(_CELLS, row=pa.array(rows), **{name: pa.array(np.ascontiguousarray(got[:, k])) for k, name in enumerate(("h1", "h2", "n"))})
-            if size >= GATHER:
-                yield from cells(held, first_row)
-                first_row += len(held)
-                seen, held, size = set(), [], 0
-        if held:
-            yield from cells(held, first_row)
-
-    return map_batches(docs.select("text"), cut, "part long, run binary, col long, row long, pos int, n long, h1 long, h2 long")
-
-
-def _met(runs: DataFrame) -> DataFrame:
-    """col, row, pos: cells whose column the runs of a part hold twice or more."""
-
-    def meet(table: pa.Table) -> pa.Table:
-        part = table.column("part")[0].as_py()
-        held = [_unpacked(run.as_py(), np.uint32, np.int64, np.int32) for run in table.column("run")]
-        col = np.concatenate([np.cumsum(c, dtype=np.uint32) for c, _, _ in held])
-        row, pos = (np.concatenate([h[k] for h in held]) for k in (1, 2))
-        order = np.argsort(col, kind="stable")
-        col, row, pos = col[order], row[order], pos[order]
-        run = np.cumsum(np.concatenate([[True], col[1:] != col[:-1]])[: len(col)]) - 1
-        keep = (np.bincount(run)[run] > 1) & (row != _SENT) if len(col) else np.empty(0, bool)
-        return pa.table({"col": pa.array((part << 32) | col[keep].astype(np.int64)), "row": pa.array(row[keep]), "pos": pa.array(pos[keep])})
-
-    return runs.groupBy("part").applyInArrow(meet, "col long, row long, pos int")
-
-
 def _several(cells: DataFrame) -> DataFrame:
     """The cells of columns that several components share."""
     shared = cells.groupBy("col").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
     return cells.join(shared.select("col"), "col", "left_semi")
 
 
-def _whole_sets(known: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """cid, cols and SKETCH of the wanted classes, from a text of each.
+def _candidate_sets(known: DataFrame, wanted: DataFrame, width: int, t: int, common: tuple[np.ndarray, np.ndarray, int]) -> DataFrame:
+    """cid, n, cols, prefix and SKETCH of the wanted classes, from a text of each.
 
     wanted: cid, rep, n, h1, h2, written. An id of several texts gives the class its own text.
     """
+    sent = known.sparkSession.sparkContext.broadcast(common)
 
     def whole(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_hashes(t, width) for t in texts_of(batch)]
+        sets = [shingle_hashes(x, width) for x in texts_of(batch)]
         got = np.frombuffer(b"".join([digests(h) + sketch(h) for h in sets]), np.int64).reshape(-1, 3 + SKETCH_WORDS)
         columns = [pa.array(np.ascontiguousarray(got[:, k])) for k in range(got.shape[1])]
-        return pa.record_batch([column_of(batch, "doc_id"), _lists(sets), *columns], ["rep", "cols", "h1", "h2", "n", *SKETCH])
+        prefixes = _lists([_prefix(h, t, sent.value) for h in sets])
+        return pa.record_batch([column_of(batch, "doc_id"), _lists(sets), prefixes, *columns], ["rep", "cols", "prefix", "h1", "h2", "n", *SKETCH])
 
     texts = known.join(small(wanted.select(F.col("rep").alias("doc_id"))), "doc_id", "left_semi")
-    found = map_arrow(texts.select("doc_id", "text"), whole, "rep long, cols array<long>, h1 long, h2 long, n long, " + ", ".join(f"{c} long" for c in SKETCH))
-    return found.join(wanted, ["rep", "n", "h1", "h2"]).groupBy("cid").agg(*(F.first(c).alias(c) for c in ("cols", *SKETCH)))
+    found = map_arrow(texts.select("doc_id", "text"), whole, "rep long, cols array<long>, prefix array<long>, h1 long, h2 long, n long, " + ", ".join(f"{c} long" for c in SKETCH))
+    return found.join(wanted, ["rep", "n", "h1", "h2"]).groupBy("cid", "n").agg(*(F.first(c).alias(c) for c in ("cols", "prefix", *SKETCH)))
 
 
 def _verified(sets: DataFrame, pairs: DataFrame, t: int) -> DataFrame:
@@ -371,24 +354,21 @@ def _classes(rows: DataFrame, t: int, width: int, scratch: Scratch) -> tuple[Dat
 
     rep is a class's smallest id, root the cid of its component's smallest class.
     """
-    first = scratch.write(_digested(rows, width), "first")
-    ids = scratch.write(first.where("n is not null").select("doc_id", "n", "h1", "h2"), "ids")
+    bits = _part_bits(rows)
+    seen = scratch.write(_met(_incidence(rows, width, bits), bits), "seen")
+    ids = scratch.write(seen.where("n is not null").select("row", "doc_id", "n", "h1", "h2"), "ids")
+    common, shared = _common(seen, bits), scratch.write(_shared_counts(seen), "shared")
+    scratch.drop("seen")
     filled = ids.where("n > 0 and doc_id is not null")
     classes = filled.groupBy("n", "h1", "h2").agg(F.min("doc_id").alias("rep")).withColumn("cid", F.monotonically_increasing_id())
     classes = scratch.write(classes.select("cid", "n", "h1", "h2", "rep"), "classes")
-    known = rows.where("doc_id is not null")
-
-    common = _common(first.where("part is not null").select("part", "run"))
-    scratch.drop("first")
-    cut = scratch.write(_cut(known, width, t, common), "cut")
-    heads = cut.where("n is not null").select("row", "n", "h1", "h2").join(classes, ["n", "h1", "h2"]).select("row", "cid", "n")
-    cells = cut.where("col is not null").select("col", "row", "pos").unionByName(_met(cut.where("part is not null").select("part", "run")))
-    cells = cells.join(heads, "row").groupBy("col", "cid", "n").agg(F.min("pos").alias("pos")).withColumn("comp", F.col("cid"))
-    cells = scratch.write(cells, "cells")
-    scratch.drop("cut")
+
+    # a link takes t/100 of a set's shingles, so that many must be in other sets at all
+    wanted = ids.where("n > 0").join(shared, "row").where(f"100 * shared >= {t} * n").select("n", "h1", "h2").distinct().join(classes, ["n", "h1", "h2"])
+    wanted = scratch.write(wanted, "wanted")
+    sets = scratch.write(_candidate_sets(rows.where("doc_id is not null"), wanted, width, t, common), "sets")
+    cells = sets.select("cid", "n", F.posexplode("prefix").alias("pos", "col"), F.col("cid").alias("comp"))
     cells = scratch.write(_several(cells), "cells")
-    wanted = scratch.write(cells.select("cid").distinct().join(classes, "cid"), "wanted")
-    sets = scratch.write(_whole_sets(known, wanted, width), "sets")
 
     edges = None
     for k in range(ROUNDS):
@@ -410,13 +390,13 @@ def _classes(rows: DataFrame, t: int, width: int, scratch: Scratch) -> tuple[Dat
             break
 
     # the last product: whatever is still apart
-    left, right = _blocked(cells.join(sets.drop("cols"), "cid"))
+    left, right = _blocked(cells.join(sets.select("cid", *SKETCH), "cid"))
     pairs = scratch.write(_products(left, right, t, ["col", "i", "j"]).select("u", "nu", "v", "nv"), "pairs")
     new = scratch.write(_verified(sets, pairs, t), "links")
     parts = connected_components(edges.unionByName(new))
     classes = scratch.write(classes.join(parts.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("component_id", "cid")).drop("component_id"), "classes")
-    scratch.drop("wanted", "sets", "pairs", "links", "parts", "cells")
-    return ids, classes
+    scratch.drop("wanted", "sets", "pairs", "links", "parts", "cells", "shared")
+    return ids.drop("row"), classes
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

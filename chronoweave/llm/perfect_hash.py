@@ -7,8 +7,6 @@ slot is the number of set bits before its own, so n keys fill slots 0 to n-1.
 
 from __future__ import annotations
 
-import io
-
 import numpy as np
 
 _MAGIC = np.uint64(0x9E3779B97F4A7C15)
@@ -70,16 +68,45 @@ class PerfectHash:
             slots[(slots >= 0) & (self.prints[slots] != mix(keys, 977).astype(np.uint32))] = -1
         return slots
 
-    def dump(self) -> dict[str, np.ndarray]:
-        return {"sizes": self.sizes, "words": self.words, "prints": self.prints}
-
-
-def to_bytes(arrays: dict[str, np.ndarray]) -> bytes:
-    out = io.BytesIO()
-    np.savez(out, **arrays)
-    return out.getvalue()
-
-
-def from_bytes(data: bytes) -> dict[str, np.ndarray]:
-    with np.load(io.BytesIO(data), allow_pickle=False) as z:
-        return {k: z[k] for k in z.files}
+    def to_bytes(self, records: np.ndarray) -> bytes:
+        """A file for lookups in place: header, then each word with the set bits before it, then a record for each slot.
+
+        records: structured array in slot order, of one width. Fingerprints stand before it.
+        """
+        words = np.empty((len(self.words), 2), np.uint64)
+        words[:, 0], words[:, 1] = self.words, self.ranks[:-1]
+        slots = np.empty(len(records), np.dtype([("print", "<u4"), ("record", records.dtype)]))
+        slots["print"], slots["record"] = self.prints, records
+        head = np.array([len(self.sizes), len(records), *self.sizes], np.uint64)
+        return head.tobytes() + words.tobytes() + slots.tobytes()
+
+
+class HashFile:
+    """A perfect hash in a file: a lookup reads a word for each level it passes, and one slot."""
+
+    def __init__(self, file, record: np.dtype):
+        self._file, self._slot = file, np.dtype([("print", "<u4"), ("record", record)])
+        levels, self.n = np.frombuffer(self._read(0, 16), np.uint64).tolist()
+        self._sizes = np.frombuffer(self._read(16, 8 * levels), np.uint64).tolist()
+        self._words = 16 + 8 * levels
+        self._slots = self._words + 16 * (sum(self._sizes) // 64)
+        self.reads = 0
+
+    def _read(self, at: int, n: int) -> bytes:
+        self._file.seek(at)
+        return self._file.read(n)
+
+    def find(self, key: int) -> np.void | None:
+        """The key's record; None for a key that the fingerprint shows to be foreign."""
+        as_array, base = np.array([key], np.int64).view(np.uint64), 0
+        for level, size in enumerate(self._sizes):
+            bit = base + int(mix(as_array, level)[0]) % size
+            word, rank = np.frombuffer(self._read(self._words + 16 * (bit >> 6), 16), np.uint64).tolist()
+            self.reads += 1
+            if word >> (bit & 63) & 1:
+                slot = rank + (word & ((1 << (bit & 63)) - 1)).bit_count()
+                found = np.frombuffer(self._read(self._slots + self._slot.itemsize * slot, self._slot.itemsize), self._slot)[0]
+                self.reads += 1
+                return found["record"] if int(found["print"]) == int(mix(as_array, 977)[0]) & 0xFFFFFFFF else None
+            base += size
+        return None
