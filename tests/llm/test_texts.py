@@ -1,5 +1,6 @@
 """Operators on texts against plain Python."""
 
+import io
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import numpy as np
 import pytest
 
 LONG = "ab cd " * 40_000
-EDGE = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "no id at all"), (5, LONG), (6, "ünï 中文 😀 a\x00b"), (7, "All rights reserved. CC BY\nx"), (8, "MIT License " * 3)]
+EDGE = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "no id at all"), (5, LONG), (6, "ünï 中文 😀 a\x00b"), (7, "All rights reserved. CC BY\nx"), (8, "MIT License " * 3), (9, "a <|endoftext|> b<|endoftext|>"), (10, "<|endoftext|>")]
 
 
 @pytest.fixture(scope="module")
@@ -47,25 +48,45 @@ def test_license_scan(docs, edge, none):
 
 
 def test_license_expressions():
-    from chronoweave.llm.licenses import evaluate, parse_expression, scan_text
-
-    assert parse_expression("mit or apache-2.0 and gpl-2.0 with classpath") == ["mit", "apache-2.0", "gpl-2.0", "classpath", "with", "and", "or"]
-    assert evaluate(parse_expression("(mit or bsd) and isc")) == [{"mit", "isc"}, {"bsd", "isc"}]
-    for bad in ("", "and mit", "mit or", "(mit", "mit)", ") mit"):
+    from chronoweave.llm.licenses import evaluate, infix, licences, parse_expression, scan_text, tokens_at
+
+    parse = lambda x: parse_expression(tokens_at(x.encode()))
+    assert parse("MIT OR Apache-2.0 and gpl-2.0 with classpath") == ["mit", "apache-2.0", "gpl-2.0-with-classpath", "and", "or"]
+    nested = parse("(mit or bsd) and isc")
+    assert infix(nested) == "(mit or bsd) and isc" and licences(nested) == {"mit", "bsd", "isc"}
+    assert evaluate(nested, {"bsd", "isc"}) and not evaluate(nested, {"mit", "bsd"})
+    for bad in ("", "and mit", "mit or", "(mit", ") mit", "(mit or isc) with classpath"):
         with pytest.raises(ValueError):
-            parse_expression(bad)
+            parse(bad)
     row = scan_text("// SPDX-License-Identifier: MIT OR Apache-2.0\ncode")
-    assert row[5] == "apache-2.0,mit" and row[6] == ["mit or apache-2.0"]
+    assert row[5] == "apache-2.0,mit" and row[6] == ["mit or apache-2.0"] and row[8] is True
+    assert scan_text("(SPDX-License-IDentifier : GPL-3.0-only)")[5] == "gpl-3.0-only"
+    assert scan_text("spdx-LICENSE-identifier:\nMIT")[5] == ""
+    # a hundred groups of alternatives stay a hundred groups
+    wide = " AND ".join(f"(a{i} OR b{i})" for i in range(100))
+    row = scan_text("x SPDX-License-Identifier: " + wide)
+    assert len(row[5].split(",")) == 200 and len(row[6][0]) == len(wide)
+
+
+def test_license_scan_is_linear():
+    import time
+
+    from chronoweave.llm.licenses import scan_text
+
+    text = "all rights reserved CC BY " * 200_000 + "SPDX-License-Identifier: (MIT OR ISC) " * 20_000
+    began = time.process_time()
+    row = scan_text(text)
+    assert time.process_time() - began < 30
+    assert row[:5] == (5 * 200_000 + 6 * 20_000, 400_000, 0, 5 * 199_999 + 3, "cc-by,reserved") and len(row[6]) == 20_000
 
 
 def test_token_store(spark, docs, edge, none):
     from chronoweave.llm.bpe import default_tokenizer
     from chronoweave.llm.common import fresh_path
-    from chronoweave.llm.token_store import get_documents, read_token_store, write_token_store
+    from chronoweave.llm.token_store import find_documents, get_documents, read_token_store, write_token_store
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(default_tokenizer())
-    tok.encode_special_tokens = True
     for df in (docs.limit(120), edge):
         rows = sorted(((r.doc_id, r.text or "") for r in df.collect()), key=lambda x: (x[0] is not None, x[0] or 0))
         path = fresh_path(spark, "test-store")
@@ -77,6 +98,8 @@ def test_token_store(spark, docs, edge, none):
             assert row == (key, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
             at += len(ids)
         known = [k for k, _ in rows if k is not None]
+        again = find_documents(spark.createDataFrame([(k,) for k in [*set(known), -5, None]], "doc_id long"), path).collect()
+        assert sorted((r.doc_id, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in again) == sorted((r[0], r[3]) for r in got if r[0] is not None)
         found = get_documents(spark, path, [known[0], known[-1], -77])
         assert set(found) == {known[0], known[-1]}
         assert len(found[known[0]]) == known.count(known[0])
@@ -85,7 +108,7 @@ def test_token_store(spark, docs, edge, none):
 
 
 def test_perfect_hash():
-    from chronoweave.llm.perfect_hash import PerfectHash
+    from chronoweave.llm.perfect_hash import HashFile, PerfectHash
 
     keys = np.unique(np.random.default_rng(1).integers(-(1 << 62), 1 << 62, 20_000))
     h = PerfectHash.build(keys)
@@ -94,6 +117,17 @@ def test_perfect_hash():
     assert len(PerfectHash.build(np.empty(0, np.int64)).prints) == 0
     with pytest.raises(ValueError):
         PerfectHash.build(np.array([1, 1]))
+    # in a file, a lookup reads as little of a large one as of a small one
+    reads = []
+    for some in (keys[:100], keys):
+        h, record = PerfectHash.build(some), np.dtype([("x", "<i8")])
+        data = np.zeros(len(some), record)
+        data["x"][h.slots(some)] = some
+        file = HashFile(io.BytesIO(h.to_bytes(data)), record)
+        assert all(file.find(int(k))["x"] == k for k in some[:100])
+        reads.append(file.reads / 100)
+        assert sum(file.find(k) is None for k in range(1000)) > 990
+    assert max(reads) < 4 and file.reads < 8 * 1100
 
 
 @pytest.mark.parametrize("rule", ["first", "largest", "shared"])
@@ -103,7 +137,6 @@ def test_token_counts(docs, edge, none, rule):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(default_tokenizer())
-    tok.encode_special_tokens = True
     some = docs.limit(40)
     texts = {r.doc_id: r.text or "" for r in some.collect()}
     out: dict = {}
