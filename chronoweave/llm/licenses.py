@@ -192,7 +192,6 @@ def infix(rpn: list[str]) -> str:
             continue
         (right, r), (left, x) = stack.pop(), stack.pop()
         both = [["(", *side, ")"] if token == "and" and kind == "or" else side for side, kind in ((left, x), (right, r))]
-        # the longer side takes up the other: nested expressions stay linear to build
         left = both[0]
         left.append(token)
         left.extend(both[1])

@@ -1,15 +1,19 @@
 """SentencePiece encoding and decoding with a streaming Viterbi search.
 
-The lattice's nodes are character boundaries, its arcs vocabulary pieces. A piece may
-follow another only where the model's merges, run on the two together, leave that
-boundary alone; the best path to each boundary is then the model's own encoding of
-what comes before it, so the search gives the library's ids for merge (BPE) models.
+The lattice's nodes are character boundaries, its arcs vocabulary pieces. For each
+boundary the search keeps the best path's score and a backpointer to the boundary and
+piece before. In a unigram model a path scores the sum of its pieces' scores. In a merge
+(BPE) model a path counts only if the model's merges, run on any two neighbours
+together, leave the boundary between them alone: one path is left to each boundary, the
+model's own encoding of what comes before, and the search gives the library's ids.
+
 Only a window as long as the longest piece can still be extended: whenever the
 backpointer paths of all its boundaries meet in one boundary, what lies before is
 final, its ids are committed and forgotten.
 
-Pieces hold the space mark at their front alone, so a text's words are independent;
-a Python worker searches each distinct word once and remembers its ids.
+Pieces hold the space mark at their front alone. All paths therefore meet where a word
+begins, and what the window holds is committed there; a Python worker remembers the ids
+that it has committed for a word, and reads them again when the stream brings that word.
 """
 
 from __future__ import annotations
@@ -52,6 +56,9 @@ class PieceModel:
         self._longest = max(map(len, self._id), default=1)
         self._ends = {p[k:] for p in self._id for k in range(len(p))}
         self._unknown = sp.unk_id()
+        self._unigram = _model_type(sp.serialized_model_proto()) == 1
+        # the library's score of a character that no piece covers
+        self._unknown_score = min(self._score.values(), default=0.0) - 10.0
         self._byte = {int(self._pieces[i][3:5], 16): i for i in range(len(self._pieces)) if sp.is_byte(i)}
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self._id):
             raise ValueError(f"{path} has pieces that run over a word's end")
@@ -83,39 +90,70 @@ class PieceModel:
             known = self._pairs[key] = self.merged("".join(left) + own) == [*left, own]
         return known
 
+    def _best(self, tail: str, end: int, base: int, back: list[tuple[int, int]], scores: list[float]) -> tuple[tuple[int, int], float]:
+        """The best arc to the boundary end, in a unigram model: where it starts and its piece, and the path's score."""
+        best, found = scores[end - 1 - base] + self._unknown_score, (end - 1, -2 - ord(tail[-1]))
+        for n in range(1, len(tail) + 1):
+            last = tail[-n:]
+            if last not in self._ends:
+                break
+            if (piece := self._id.get(last)) is not None:
+                score = scores[end - n - base] + self._score[last]
+                if score >= best or n == 1:  # of equal paths, the one whose last piece is the longest
+                    best, found = score, (end - n, piece)
+        return found, best
+
+    def _only(self, tail: str, end: int, base: int, back: list[tuple[int, int]]) -> tuple[int, int]:
+        """The one arc to the boundary end that a merge model allows."""
+        ends, ids_of, pairs = self._ends, self._id, self._pairs
+        for n in range(1, len(tail) + 1):
+            last = tail[-n:]
+            if last not in ends:
+                break
+            if (piece := ids_of.get(last)) is not None:
+                before = back[end - n - base][1]
+                if (fits := pairs.get((before if before >= 0 else -1, piece))) is None:
+                    fits = self._fits(before, piece)
+                if fits:
+                    return end - n, piece
+        return end - 1, -2 - ord(tail[-1])
+
     def search(self, text: Iterator[str]) -> Iterator[int]:
         """Ids of a stream of characters, spaces as marks; committed as soon as they are final.
 
-        Unknown characters give their bytes. Holds a window of a few piece lengths,
-        however long the stream is, unless the model leaves more open.
+        Unknown characters give their bytes, or one unknown id a run in a model without bytes.
+        """
+        before = -1
+        for piece in self._stream(text):
+            if piece != self._unknown or before != piece:
+                yield piece
+            before = piece
+
+    def _stream(self, text: Iterator[str]) -> Iterator[int]:
+        """The search itself: holds a window of a few piece lengths, however long the stream is, unless the model leaves more open.
         """
         back: list[tuple[int, int]] = [(-1, -1)]  # from boundary base on: previous boundary, piece
+        scores: list[float] = [0.0]
         base, end, tail = 0, 0, ""
-        longest, due = self._longest, 4 * self._longest
-        ends, ids_of, pairs = self._ends, self._id, self._pairs
+        longest = self._longest
+        due = 2 * longest
+        self.widest = 0
         for char in text:
             tail = (tail + char)[-longest:]
             end += 1
-            found = None
-            # exactly one piece can end here; longer ones are tried while some piece ends so
-            for n in range(1, len(tail) + 1):
-                last = tail[-n:]
-                if last not in ends:
-                    break
-                if (piece := ids_of.get(last)) is not None:
-                    before = back[end - n - base][1]
-                    if (fits := pairs.get((before if before >= 0 else -1, piece))) is None:
-                        fits = self._fits(before, piece)
-                    if fits:
-                        found = (end - n, piece)
-                        break
-            back.append(found or (end - 1, -2 - ord(char)))
+            if self._unigram:
+                arc, score = self._best(tail, end, base, back, scores)
+                scores.append(score)
+            else:
+                arc = self._only(tail, end, base, back)
+            back.append(arc)
             if end - base >= due:
-                base_new, ids = self._settled(back, base, end)
-                if base_new > base:
+                self.widest = max(self.widest, end - base)
+                meet, ids = self._settled(back, base, end)
+                if meet > base:
                     yield from ids
-                    back = back[base_new - base :]
-                    base = base_new
+                    back, scores = back[meet - base :], scores[meet - base :]
+                    base = meet
                 due = end - base + longest
         yield from self._path(back, base, end)
 
@@ -144,7 +182,7 @@ class PieceModel:
                 yield self._unknown
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text; an empty text has none."""
+        """Ids of a whole text, committed word by word; an empty text has none."""
         if not text:
             return np.empty(0, np.int32)
         words = _RUNS.findall((MARK + text).replace(" ", MARK))
@@ -164,6 +202,37 @@ class PieceModel:
         return text[1:] if text.startswith(" ") else text
 
 
+def _model_type(proto: bytes) -> int:
+    """The trainer's model type in a serialised model: 1 unigram, 2 merges (fields 2 and 3 of the public format)."""
+
+    def fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
+        at = 0
+
+        def number() -> int:
+            nonlocal at
+            value, shift = 0, 0
+            while True:
+                byte = data[at]
+                at += 1
+                value |= (byte & 0x7F) << shift
+                if byte < 0x80:
+                    return value
+                shift += 7
+
+        while at < len(data):
+            key = number()
+            kind = key & 7
+            if kind == 0:
+                yield key >> 3, number()
+            else:
+                n = number() if kind == 2 else 8 if kind == 1 else 4
+                yield key >> 3, data[at : at + n]
+                at += n
+
+    trainer = next((value for field, value in fields(proto) if field == 2), b"")
+    return next((value for field, value in fields(trainer) if field == 3), 1)
+
+
 _models: dict[str, PieceModel] = {}
 
 

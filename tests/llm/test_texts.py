@@ -3,6 +3,7 @@
 import io
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -207,6 +208,50 @@ def test_streaming_search_keeps_a_window():
     assert len(list(stream)) == 4000
 
 
+def test_whole_texts_through_the_stream(docs):
+    from chronoweave.llm.pieces import default_model, model
+
+    m = model(default_model())
+    for r in docs.limit(25).collect():
+        text = r.text or ""
+        assert list(m.search(iter(("▁" + text).replace(" ", "▁")))) == m.library.encode(text)
+        assert m.widest <= 6 * m._longest
+
+
+def unigram_model(pieces):
+    """A unigram model in the public format, from pieces and scores given."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    def field(k, data):
+        return number(k << 3) + number(data) if isinstance(data, int) else number(k << 3 | 2) + number(len(data)) + data
+
+    def piece(text, score, kind):
+        return field(1, text.encode()) + number(2 << 3 | 5) + struct.pack("<f", score) + field(3, kind)
+
+    proto = b"".join(field(1, piece(*p)) for p in [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((t, s, 1) for t, s in pieces)])
+    return proto + field(2, field(3, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 0) + field(5, 1))
+
+
+def test_unigram_search_takes_the_best_score(tmp_path):
+    from chronoweave.llm.pieces import PieceModel
+
+    rnd = random.Random(5)
+    made = {"▁"} | set("abcd") | {"".join(rnd.choice("abcd") for _ in range(rnd.randint(2, 6))) for _ in range(120)}
+    made |= {"▁" + p for p in list(made)[:60] if p != "▁"}
+    (tmp_path / "u.model").write_bytes(unigram_model([(p, -rnd.randint(1024, 12000) / 1024) for p in sorted(made)]))
+    m = PieceModel(str(tmp_path / "u.model"))
+    for n in (1, 5, 60, 900):
+        for _ in range(10):
+            text = "".join(rnd.choice("abcdabcdabcd xy") for _ in range(n)).strip() or "a"
+            assert list(m.search(iter(("▁" + text).replace(" ", "▁")))) == m.library.encode(text) == m.encode(text).tolist()
+    assert m.widest == 0 or m.widest <= 6 * m._longest
+
+
 def test_language(spark, docs, edge, none):
     from chronoweave.llm.common import crc_mod
     from chronoweave.llm.language_id import drop_rejected, identify_language
