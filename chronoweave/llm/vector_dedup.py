@@ -1,14 +1,16 @@
 """Near-duplicate vectors through an inverted multi-index.
 
 Each half of the vectors has a codebook of its own; a pair of codewords is a cell of
-the product grid. A vector visits the cells in the order of their distance (a
-multi-sequence traversal of the two sorted lists of codewords) and stops where, by the
-codebooks' geometry, the target recall is reached. What the cells hold is verified by
-exact cosine, in blocks of bounded size.
+the product grid. A vector walks the cells from the nearest on (a multi-sequence
+traversal of its two sorted lists of codewords, by a heap) and stops where the target
+recall is reached. What the cells hold is verified by exact cosine, in blocks of
+bounded size.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,8 +22,13 @@ from chronoweave.llm.vector_topk import _distances, _matrix, usable
 
 #: Vectors that the codebooks are fitted on, at most: a bounded sample by a hash of the id.
 SAMPLE = 4096
-#: Vectors of a cell that meet in one task.
-BLOCK = 2048
+#: Vectors of a cell that meet in one task, and of a cell on average, about.
+BLOCK, CELL = 2048, 32
+#: Codewords of a half at most; the sample has several vectors for each.
+WORDS = 256
+#: A partner lies in any direction alike, so the part of its distance that leads to one cell is this many
+#: standard deviations long at most: all but two in a million partners' cells are walked to.
+DEVIATIONS = 5.0
 
 
 def codebook(half: np.ndarray, words: int, rounds: int = 12) -> np.ndarray:
@@ -56,11 +63,18 @@ class MultiIndex:
         one, two = (np.argmin(d, axis=1) for d in self._to_words(unit))
         return one * len(self.books[1]) + two
 
-    def visits(self, unit: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-        """(vector, cell) of the cells visited, nearest first for each vector.
+    def stop(self, radius: float) -> float:
+        """How far beyond its own cell a vector walks for partners within radius.
+
+        In few dimensions it is the radius itself, and no partner is missed.
+        """
+        return radius * min(1.0, DEVIATIONS / (2 * self.cut) ** 0.5)
+
+    def visits(self, unit: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, cell) of the cells walked to, nearest first for each vector.
 
         A codeword's region is at least the distance to the bisector with the vector's
-        own codeword away, so cells beyond radius hold nothing within it: recall 1.
+        own codeword away; a cell is as far as its two codewords' regions together.
         """
         low = []
         for d, between in zip(self._to_words(unit), self.between, strict=True):
@@ -69,14 +83,28 @@ class MultiIndex:
             far = (d * d - least * least) / (2 * between[own])
             far[np.arange(len(d)), own] = 0
             low.append(np.maximum(far, 0) ** 2)
-        # both lists in ascending order; pairs whose sum stays within the radius are a staircase
         order = [np.argsort(x, axis=1, kind="stable") for x in low]
-        one, two = (np.take_along_axis(x, o, axis=1) for x, o in zip(low, order, strict=True))
-        within = one[:, :, None] + two[:, None, :] <= radius * radius
-        vector, i, j = np.nonzero(within)
-        nearest = np.lexsort((one[vector, i] + two[vector, j], vector))
-        vector, i, j = vector[nearest], i[nearest], j[nearest]
-        return vector, order[0][vector, i] * len(self.books[1]) + order[1][vector, j]
+        near = [np.take_along_axis(x, o, axis=1) for x, o in zip(low, order, strict=True)]
+        end = stop * stop
+        # of either list, the codewords that can be reached at all
+        reach = [(x <= end).sum(axis=1).tolist() for x in near]
+        vectors, cells = [], []
+        for v in range(len(unit)):
+            one, two = near[0][v, : reach[0][v]].tolist(), near[1][v, : reach[1][v]].tolist()
+            first, second = order[0][v], order[1][v]
+            heap = [(one[0] + two[0], 0, 0)]
+            while heap:
+                far, i, j = heapq.heappop(heap)
+                if far > end:
+                    break
+                vectors.append(v)
+                cells.append(int(first[i]) * len(self.books[1]) + int(second[j]))
+                # each pair of places has one before it: the same row, or the row above at its start
+                if j + 1 < len(two):
+                    heapq.heappush(heap, (one[i] + two[j + 1], i, j + 1))
+                if j == 0 and i + 1 < len(one):
+                    heapq.heappush(heap, (one[i + 1] + two[0], i + 1, 0))
+        return np.array(vectors, np.int64), np.array(cells, np.int64)
 
 
 def _unit(v: np.ndarray) -> np.ndarray:
@@ -95,7 +123,8 @@ def _verified(q: pa.Table, x: pa.Table, least: float) -> pa.Table:
         a, b = _matrix(q).astype(np.float64), _matrix(x).astype(np.float64)
         qi, xi, n = q.column("vec_id").to_numpy(), x.column("vec_id").to_numpy(), x.column("n").to_numpy()
         linked = (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None]) >= least
-        linked &= qi[:, None] != xi[None]
+        _, label = np.unique(np.concatenate([q.column("label").to_numpy(zero_copy_only=False), x.column("label").to_numpy(zero_copy_only=False)]).astype(str), return_inverse=True)
+        linked &= (qi[:, None] != xi[None]) & (label[: len(qi), None] == label[None, len(qi) :])
         counts = linked @ n
         left, right = np.full(len(qi), -1, np.int64), np.full(len(xi), -1, np.int64)
         for start in np.flatnonzero(linked.any(axis=1)).tolist():
@@ -121,11 +150,13 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, words: int | None =
     One row per row of vectors: vec_id, n_links (other rows linked to it), component_id
     (smallest vec_id reachable), kept (the component's own smallest). Null or zero
     vectors, those with null or non-finite components, rows without a label or an id and
-    vectors of another length link with nothing. Identical vectors are one class, so
-    thousands of copies cost as much as one; other columns, of any name, are not read.
+    vectors of another length link with nothing. Identical vectors of one label are one
+    class, so thousands of copies cost as much as one; each row of a repeated id counts by
+    its own vector. Links found are exact; of the links there are, the index finds all but
+    a share set by DEVIATIONS. Other columns, of any name, are not read.
     """
     v = F.col(vector_col)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.transform(v, lambda x: x.cast("double")).alias("v"))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.transform(v, lambda x: x.cast("double")).alias("v"))
     rows = rows.withColumn("usable", usable(F.col("v")) & F.exists("v", lambda x: x != 0.0) & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     rows = written(rows.withColumn("usable", F.coalesce("usable", F.lit(False))), "vectors")
     classes = written(rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "vector-classes")
@@ -150,11 +181,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, words: int | None =
 def _linked(classes: DataFrame, dim: int, n: int, least: float, words: int | None) -> DataFrame:
     """vec_id, links, root of the classes of one vector length."""
     spark = classes.sparkSession
-    words = words or int(np.clip((n / 256) ** 0.5, 4, 64))
+    words = words or int(np.clip((n / CELL) ** 0.5, 4, WORDS))
     sample = classes.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"]
     index = MultiIndex(_unit(np.stack(sample.to_list())), words)
     sent = spark.sparkContext.broadcast(index)
-    radius = float(np.sqrt(2 - 2 * least)) * (1 + 1e-9) + 1e-9
+    stop = index.stop(float(np.sqrt(2 - 2 * least)) * (1 + 1e-9) + 1e-9)
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         cell = sent.value.cells(_unit(_matrix(batch)))
@@ -164,7 +195,7 @@ def _linked(classes: DataFrame, dim: int, n: int, least: float, words: int | Non
         unit = _unit(_matrix(batch))
         rows, cells = [], []
         for a in range(0, len(unit), 512):
-            r, c = sent.value.visits(unit[a : a + 512], radius)
+            r, c = sent.value.visits(unit[a : a + 512], stop)
             rows.append(r + a)
             cells.append(c)
         at = pa.array(np.concatenate(rows))
@@ -173,12 +204,12 @@ def _linked(classes: DataFrame, dim: int, n: int, least: float, words: int | Non
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", cell long"
     data, visitors = map_arrow(classes, place, schema), map_arrow(classes, visit, schema)
     blocks = lambda rows: F.ceil(F.count("*") / rows).cast("int")
-    held = data.groupBy("label", "cell").agg(blocks(BLOCK).alias("held"))
-    sizes = written(visitors.groupBy("label", "cell").agg(blocks(BLOCK).alias("come")).join(held, ["label", "cell"]), "vector-cells")
+    held = data.groupBy("cell").agg(blocks(BLOCK).alias("held"))
+    sizes = written(visitors.groupBy("cell").agg(blocks(BLOCK).alias("come")).join(held, "cell"), "vector-cells")
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visitors.join(sizes, ["label", "cell"]).withColumn("a", own("come")).withColumn("b", every("held"))
-    right = data.join(sizes, ["label", "cell"]).withColumn("b", own("held")).withColumn("a", every("come"))
-    key = ["label", "cell", "a", "b"]
-    pairs = left.select(*key, "vec_id", "n", "v").groupBy(key).cogroup(right.select(*key, "vec_id", "n", "v").groupBy(key))
+    left = visitors.join(sizes, "cell").withColumn("a", own("come")).withColumn("b", every("held"))
+    right = data.join(sizes, "cell").withColumn("b", own("held")).withColumn("a", every("come"))
+    key = ["cell", "a", "b"]
+    pairs = left.select(*key, "label", "vec_id", "n", "v").groupBy(key).cogroup(right.select(*key, "label", "vec_id", "n", "v").groupBy(key))
     return pairs.applyInArrow(lambda q, x: _verified(q, x, least), "vec_id long, links long, root long")

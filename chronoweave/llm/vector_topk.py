@@ -3,8 +3,9 @@
 Vectors are lifted by one coordinate so that all have the same length; then the
 largest inner products are the smallest distances. Queries and vectors are grouped by
 their nearest pivot. Summaries of the groups give each query group a bound on the
-distance of its k-th neighbour; a vector is sent only to query groups that it may
-still concern, in blocks of bounded size, and the blocks' best are merged.
+distance of its k-th neighbour; neighbouring query groups join up to a block's size, and
+a vector is sent once to each of the joined groups that it may still concern. What
+meets is searched in blocks of bounded size, and the blocks' best are merged.
 """
 
 from __future__ import annotations
@@ -19,9 +20,9 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.common import column_of, map_arrow, written
 
-#: Pivots; vectors and queries in a block. What a task holds is bounded by them.
-PIVOTS = 32
-DATA_BLOCK, QUERY_BLOCK = 8192, 2048
+#: Pivots at least and at most, and queries for each; vectors and queries in a block. What a task holds is bounded by them.
+PIVOTS, MOST_PIVOTS, PIVOT_QUERIES = 32, 1024, 64
+DATA_BLOCK, QUERY_BLOCK = 8192, 4096
 
 _ROW = "vec_id long, dim int, v array<long>"
 
@@ -107,8 +108,25 @@ def _best(queries: pa.Table, data: pa.Table, k: int) -> pa.Table:
     return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
 
-def _one_dimension(data: DataFrame, queries: DataFrame, n: int, top: float, k: int, pivots: int) -> DataFrame:
+def joined_groups(sizes: dict[int, int], between: np.ndarray, most: int) -> dict[int, int]:
+    """Query groups put together, neighbours first, while they hold no more than `most` queries: group to joined group."""
+    left, out, number = set(sizes), {}, 0
+    while left:
+        at = min(left)
+        room = most
+        while at is not None:
+            left.discard(at)
+            out[at] = number
+            room -= sizes[at]
+            fits = [j for j in left if sizes[j] <= room]
+            at = min(fits, key=lambda j: (between[at, j], j)) if fits else None
+        number += 1
+    return out
+
+
+def _one_dimension(data: DataFrame, queries: DataFrame, n: int, top: float, k: int, pivots: int | None) -> DataFrame:
     spark = data.sparkSession
+    pivots = pivots or int(np.clip(queries.count() // PIVOT_QUERIES, PIVOTS, MOST_PIVOTS))
     chosen = data.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(pivots, n)).toPandas()["v"]
     points = _lifted(np.stack(chosen.to_list()), top, True)
     data = written(_assigned(data, points, top, True), "topk-data")
@@ -122,21 +140,27 @@ def _one_dimension(data: DataFrame, queries: DataFrame, n: int, top: float, k: i
     near = _nearest_of_cells(data, k + 1).collect()
     between = _distances(points, points)
     limits, splits = {}, {}
-    for i, (radius, n_queries) in reach.items():
-        upper = np.sort([radius + between[i, r["cell"]] + r["d"] for r in near])
-        limits[i] = (float(upper[k]) if len(upper) > k else np.inf, radius)
-        splits[i] = (-(-sum(count.values()) // DATA_BLOCK), -(-n_queries // QUERY_BLOCK))
-    sent = spark.sparkContext.broadcast((limits, splits, between))
+    cells, d_near = np.array([r["cell"] for r in near]), np.array([r["d"] for r in near])
+    group = joined_groups({i: q for i, (_, q) in reach.items()}, between, QUERY_BLOCK)
+    for i, (radius, _) in reach.items():
+        upper = np.sort(radius + between[i, cells] + d_near)
+        limits.setdefault(group[i], []).append((i, float(upper[k]) if len(upper) > k else np.inf, radius))
+    for g, own in limits.items():
+        splits[g] = (-(-sum(count.values()) // DATA_BLOCK), -(-sum(reach[i][1] for i, _, _ in own) // QUERY_BLOCK))
+    sent = spark.sparkContext.broadcast((limits, splits, between, group))
 
     def route(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """A vector goes to the groups whose bound its own lower bound does not pass, to one block, for all query blocks."""
-        limits, splits, between = sent.value
+        """A vector goes to the joined groups of which it may concern a part, to one block, for all query blocks."""
+        limits, splits, between, _ = sent.value
         cell, d, ids = column_of(batch, "cell").to_numpy(), column_of(batch, "d").to_numpy(), column_of(batch, "vec_id").to_numpy()
         rows, keys = [], []
-        for i, (limit, radius) in limits.items():
-            # distances carry rounding errors far below a millionth of their size
-            low = between[i][cell] - radius - d
-            hit = np.flatnonzero(low <= limit + 1e-6 * (1 + between[i][cell] + radius + d))
+        for i, own in limits.items():
+            needed = np.zeros(len(cell), bool)
+            for part, limit, radius in own:
+                # distances carry rounding errors far below a millionth of their size
+                low = between[part][cell] - radius - d
+                needed |= low <= limit + 1e-6 * (1 + between[part][cell] + radius + d)
+            hit = np.flatnonzero(needed)
             blocks, query_blocks = splits[i]
             block = (ids[hit].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)
             for b in range(query_blocks):
@@ -146,9 +170,9 @@ def _one_dimension(data: DataFrame, queries: DataFrame, n: int, top: float, k: i
         return pa.record_batch([pa.array(keys), *(column_of(batch, c).take(pa.array(rows)) for c in ("vec_id", "v"))], ["key", "vec_id", "v"])
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
-        """A query goes to one block of its group, for all vector blocks."""
-        _, splits, _ = sent.value
-        cell, ids = column_of(batch, "cell").to_pylist(), column_of(batch, "vec_id").to_pylist()
+        """A query goes to one block of its joined group, for all vector blocks."""
+        _, splits, _, group = sent.value
+        cell, ids = [group[c] for c in column_of(batch, "cell").to_pylist()], column_of(batch, "vec_id").to_pylist()
         pairs = [(r, (c << 40) | (b << 20) | ((v * 0x9E3779B1 >> 7) % splits[c][1])) for r, (c, v) in enumerate(zip(cell, ids, strict=True)) for b in range(splits[c][0])]
         rows = pa.array([p[0] for p in pairs])
         return pa.record_batch([pa.array([p[1] for p in pairs], pa.int64()), *(column_of(batch, c).take(rows) for c in ("vec_id", "v"))], ["key", "vec_id", "v"])
@@ -158,14 +182,15 @@ def _one_dimension(data: DataFrame, queries: DataFrame, n: int, top: float, k: i
     return left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(lambda q, x: _best(q, x, k), "query_id long, vec_id long, score long")
 
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pivots: int = PIVOTS, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k vectors of highest integer inner product for each query, exactly.
 
     vectors: all rows, queries among them where is_query holds. Returns query_id, rank
     (from 1), vec_id, score; ties go to the smaller vec_id, fewer rows if there are
     fewer vectors. Null vectors, and those with null or non-finite components, and rows
-    without an id take no part; identical rows count once; only vectors of the query's
-    own length are its candidates. An empty table gives an empty result.
+    without an id take no part; identical rows count once, a repeated id with different
+    vectors once for each of them, as query and as candidate (never as its own); only
+    vectors of the query's own length are its candidates. An empty table gives an empty result.
     """
     rows = written(quantised(vectors, scale, id_col, vector_col), "topk-rows")
     norm = F.aggregate(F.col("v"), F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))

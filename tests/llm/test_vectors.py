@@ -83,3 +83,72 @@ def test_visits_reach_all_within_radius():
     d = np.linalg.norm(x[:, None] - x[None], axis=2)
     assert all((a, int(cell[b])) in seen for a, b in zip(*np.nonzero(d <= 0.4), strict=True))
     assert len(seen) < 600 * 36 * 0.9
+
+
+def test_recall_of_the_index_against_brute_force(spark):
+    """64 dimensions: the walk stops by the target recall, not by the radius."""
+    from chronoweave.llm.vector_dedup import MultiIndex, near_duplicates
+
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    rows = [(r.vec_id, r.embedding, r.label) for r in table.collect()]
+    rng = np.random.default_rng(8)
+    for k in range(600):  # near copies, up to the limit
+        v = np.array(rows[k % 200][1], np.float64)
+        step = rng.normal(size=64)
+        step *= np.linalg.norm(v) * rng.uniform(0.05, 0.199) / np.linalg.norm(step)
+        rows.append((10_000 + k, [float(np.float32(x)) for x in v + step], rows[k % 200][2]))
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    m = np.array([v for _, v, _ in rows], np.float64)
+    lab = np.array([x for _, _, x in rows])
+    n = np.sqrt((m * m).sum(1))
+    link = ((m @ m.T) / (n[:, None] * n[None]) >= 0.98) & (lab[:, None] == lab[None])
+    np.fill_diagonal(link, False)
+    found = {r.vec_id: r.n_links for r in near_duplicates(table).collect()}
+    want = int(link.sum())
+    assert want > 100 and sum(found.values()) >= 0.99 * want
+    assert all(found[i] <= k for (i, _, _), k in zip(rows, link.sum(1).tolist(), strict=True))
+    unit = m / n[:, None]
+    index = MultiIndex(unit, 16)
+    stop = index.stop(0.2)
+    assert stop < 0.13
+    who, cells = index.visits(unit, stop)
+    assert len(cells) < 0.2 * len(unit) * 256  # a fraction of the grid
+    assert all(np.unique(cells[who == v]).size == (who == v).sum() for v in range(50))  # no cell twice
+
+
+def test_top_k_sends_a_vector_where_it_matters(spark):
+    from chronoweave.llm import vector_topk as vt
+
+    rng = np.random.default_rng(2)
+    centres = 40 * np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    rows = [(i, [float(x) for x in centres[i % 16] + 0.1 * rng.normal(size=16)]) for i in range(1600)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    sent = []
+    best = vt._best
+    counted = spark.sparkContext.accumulator(0)
+
+    def counting(q, x, k):
+        counted.add(x.num_rows)
+        return best(q, x, k)
+
+    vt._best = counting
+    block, vt.QUERY_BLOCK = vt.QUERY_BLOCK, 8
+    try:
+        got = vt.top_k(df, F.col("vec_id") % 20 == 0, k=5, pivots=64).collect()
+    finally:
+        vt._best, vt.QUERY_BLOCK = best, block
+    sent.append(counted.value / 1600)
+    m = np.floor(64 * np.array([v for _, v in rows])).astype(int)
+    for q in range(0, 1600, 20):
+        s = m @ m[q]
+        want = [k for k in np.lexsort((np.arange(1600), -s)) if k != q][:5]
+        assert sorted((r["rank"], r.vec_id) for r in got if r.query_id == q) == [(n + 1, int(k)) for n, k in enumerate(want)]
+    assert sent[0] < 8, sent  # of ten groups or more
+
+
+def test_joined_groups():
+    from chronoweave.llm.vector_topk import joined_groups
+
+    at = np.array([0.0, 1.0, 10.0, 11.0, 30.0])
+    got = joined_groups({0: 3, 1: 3, 2: 3, 3: 9, 4: 1}, np.abs(at[:, None] - at[None]), 6)
+    assert got[0] == got[1] != got[2] == got[4] and got[3] not in (got[0], got[2])
