@@ -3,7 +3,7 @@
 A text becomes a vector of statistics. Random Fourier features of the standardised
 vector approximate a Gaussian kernel; each partition sums its part of the normal
 equations, which stay of one size whatever the input; ridge scores go through an
-isotonic fit on a fixed grid of score bins.
+isotonic fit, on a fixed grid of score bins, of labelled rows that the ridge has not seen.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.llm.common import column_of, map_arrow, texts_of, written
@@ -21,6 +21,8 @@ from chronoweave.llm.common import column_of, map_arrow, texts_of, written
 #: Number of random features, kernel width (in units of the statistics' dimension), ridge, bins of the calibration.
 FEATURES, WIDTH, RIDGE, BINS = 256, 0.8, 1e-3, 400
 SEED = 20240917
+#: Share of the labelled rows that the calibration is fitted on; the ridge has the others.
+CALIBRATION = 0.2
 #: Partitions' sums are added up in so many groups before the driver sees them.
 SUM_GROUPS = 8
 
@@ -141,13 +143,24 @@ class QualityModel:
         return np.clip(0.999 * np.interp(raw, self.at, self.level) + 0.001 * np.clip(raw, 0, 1), 0, 1)
 
 
+def calibration_fold(doc_id: str) -> Column:
+    """Whether a labelled row is kept for the calibration: by a hash of its id."""
+    return F.pmod(F.xxhash64(F.lit("calibration"), F.col(doc_id)), F.lit(1000)) < int(1000 * CALIBRATION)
+
+
 def fit_quality(labelled: DataFrame, features: int = FEATURES, width: float = WIDTH, ridge: float = RIDGE, seed: int = SEED) -> QualityModel | None:
-    """A model from labelled: stats, y (0 to 1), a row per document; None without rows."""
+    """A model from labelled: doc_id, stats, y (0 to 1), a row per document; None without rows.
+
+    Where one of the two folds has no row, both fits take all rows.
+    """
+    labelled = labelled.withColumn("held", calibration_fold("doc_id"))
+    folds = {r["held"] for r in labelled.select("held").distinct().collect()}
+    learn, rest = (labelled.where("not held"), labelled.where("held")) if len(folds) > 1 else (labelled, labelled)
     cells = labelled.select(F.posexplode("stats").alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s")).orderBy("i").collect()
     if not cells:
         return None
     made = Features(np.array([c["m"] for c in cells]), np.array([c["s"] for c in cells]), features, width, seed)
-    sums = _normal_equations(labelled, made)
+    sums = _normal_equations(learn, made)
     left, right = sums
     n = left[-1, -1]
     model = QualityModel(made, np.linalg.solve(left + ridge * max(n, 1.0) ** 0.5 * np.eye(len(left)), right))
@@ -157,7 +170,7 @@ def fit_quality(labelled: DataFrame, features: int = FEATURES, width: float = WI
         raw = sent.value.raw(_stats_of(batch))
         return pa.record_batch([pa.array(np.clip((raw + 0.5) / 2 * BINS, 0, BINS - 1).astype(np.int64)), column_of(batch, "y")], ["b", "y"])
 
-    rows = map_arrow(labelled, bins, "b long, y double").groupBy("b").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("b").collect()
+    rows = map_arrow(rest, bins, "b long, y double").groupBy("b").agg(F.count("*").alias("n"), F.avg("y").alias("y")).orderBy("b").collect()
     at = np.array([(r["b"] + 0.5) * 2 / BINS - 0.5 for r in rows])
     model.at, model.level = at, isotonic(np.array([float(r["n"]) for r in rows]), np.array([r["y"] for r in rows]))
     return model
@@ -175,7 +188,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, learn_from=None, id_col: s
     stats = written(document_statistics(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "quality-stats")
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").cast("double").alias("y"))
     train = stats if learn_from is None else stats.where(learn_from)
-    train = written(train.join(known, "doc_id").select("stats", "y"), "quality-train")
+    train = written(train.join(known, "doc_id").select("doc_id", "stats", "y"), "quality-train")
     sent = docs.sparkSession.sparkContext.broadcast(fit_quality(train))
 
     def score(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -193,7 +206,7 @@ def drop_low_quality(docs: DataFrame, labels: DataFrame, learn_from=None, text_c
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").cast("double").alias("y"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     stats = document_statistics(texts if learn_from is None else texts.where(learn_from))
-    sent = docs.sparkSession.sparkContext.broadcast(fit_quality(written(stats.join(known, "doc_id").select("stats", "y"), "quality-train")))
+    sent = docs.sparkSession.sparkContext.broadcast(fit_quality(written(stats.join(known, "doc_id").select("doc_id", "stats", "y"), "quality-train")))
 
     def keep(batch: pa.RecordBatch) -> pa.RecordBatch:
         if sent.value is None:

@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 
 LONG = "ab cd " * 40_000
-EDGE = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "no id at all"), (5, LONG), (6, "ünï 中文 😀 a\x00b"), (7, "All rights reserved. CC BY\nx"), (8, "MIT License " * 3), (9, "a <|endoftext|> b<|endoftext|>"), (10, "<|endoftext|>")]
+EDGE = [(1, None), (2, ""), (3, " \n\t "), (4, "one"), (4, "one"), (None, "no id at all"), (None, None), (5, LONG), (6, "ünï 中文 😀 a\x00b"), (7, "All rights reserved. CC BY\nx"), (8, "MIT License " * 3), (9, "a <|endoftext|> b<|endoftext|>"), (10, "<|endoftext|>")]
 
 
 @pytest.fixture(scope="module")
@@ -269,16 +269,60 @@ def test_language(spark, docs, edge, none):
     assert kept.columns == docs.columns and kept.count() >= docs.count() - 2 and kept.where("lang = 'x'").count() == 0
 
 
-def test_kneser_ney_sums_to_one():
+def plain_kneser_ney(texts):
+    """Interpolated Kneser-Ney by its definition, with dictionaries: a function of a, b, c."""
+    three: dict = {}
+    for seq in texts:
+        for g in zip(seq, seq[1:], seq[2:], strict=False):
+            three[g] = three.get(g, 0) + 1
+    two: dict = {}
+    for _, b, c in three:
+        two[b, c] = two.get((b, c), 0) + 1
+    one: dict = {}
+    for _, c in two:
+        one[c] = one.get(c, 0) + 1
+    alphabet = len({x for g in three for x in g}) + 1
+
+    def discount(counts):
+        n1, n2 = (sum(v == k for v in counts.values()) for k in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    d3, d2, d1 = map(discount, (three, two, one))
+
+    def p1(c):
+        n = sum(one.values())
+        return max(one.get(c, 0) - d1, 0) / n + d1 * len(one) / n / alphabet
+
+    def p2(b, c):
+        follow = [v for (x, _), v in two.items() if x == b]
+        return max(two.get((b, c), 0) - d2, 0) / sum(follow) + d2 * len(follow) / sum(follow) * p1(c) if follow else p1(c)
+
+    def p3(a, b, c):
+        follow = [v for (x, y, _), v in three.items() if (x, y) == (a, b)]
+        return max(three.get((a, b, c), 0) - d3, 0) / sum(follow) + d3 * len(follow) / sum(follow) * p2(b, c) if follow else p2(b, c)
+
+    return p3
+
+
+def test_kneser_ney_equals_its_definition():
     from chronoweave.llm.language_id import LanguageModels, symbols
 
-    s = symbols("the cat sat on the mat and the rat ate that hat").astype(np.int64)
-    g, n = np.unique(np.stack([s[:-2], s[1:-1], s[2:]], 1), axis=0, return_counts=True)
-    m = LanguageModels({"en": (g, n)})
-    every = np.unique(s)
-    for a, b in ((ord("t"), ord("h")), (0, ord("c")), (ord("z"), ord("h")), (ord("q"), ord("q"))):
-        p = np.exp(m.log_probabilities(np.full(len(every), a), np.full(len(every), b), every))[:, 0]
-        assert abs(p.sum() + np.exp(m.unseen[0]) - 1) < 1e-3 or p.sum() < 1  # the rest is for characters never seen
+    texts = {"en": ["the cat sat on the mat and the rat ate that hat", "then that hen sat there"], "xx": ["kto to tam tak to jest tom", "tam to kot"]}
+    seqs = {k: [symbols(t).astype(np.int64) for t in v] for k, v in texts.items()}
+    grams = {k: np.unique(np.concatenate([np.stack([s[:-2], s[1:-1], s[2:]], 1) for s in v]), axis=0, return_counts=True) for k, v in seqs.items()}
+    both = LanguageModels(grams)
+    unseen = 0x4E2D
+    for lang in texts:
+        m = LanguageModels({lang: grams[lang]})
+        p3 = plain_kneser_ney([s.tolist() for s in seqs[lang]])
+        every = np.append(np.unique(np.concatenate(seqs[lang])), unseen)
+        for a, b in ((ord("t"), ord("h")), (0, ord("t")), (ord("z"), ord("h")), (ord("q"), ord("q")), (ord("a"), 0)):
+            got = np.exp(m.log_probabilities(np.full(len(every), a), np.full(len(every), b), every))[:, 0]
+            np.testing.assert_allclose(got, [p3(a, b, int(c)) for c in every], rtol=1e-5)
+            assert abs(got.sum() - 1) < 1e-4
+    # each language's own text is likelier under it
+    ce, _ = both.cross_entropies(["the hat that sat", "to tam kot"])
+    assert np.argmin(ce, axis=1).tolist() == [0, 1]
 
 
 def test_quality(spark, docs, edge, none, sf_dir):
@@ -298,6 +342,40 @@ def test_quality(spark, docs, edge, none, sf_dir):
     assert isotonic(np.ones(4), np.array([0.1, 0.5, 0.3, 0.9])).tolist() == [0.1, 0.4, 0.4, 0.9]
 
 
+def test_quality_model_equals_numpy(spark):
+    """Statistics by plain Python, features and ridge by direct numpy, over all labelled rows."""
+    from chronoweave.llm import quality as ql
+
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abc dE,.9|\n ü") for _ in range(rnd.randint(1, 300))) for _ in range(150)]
+    for t in texts[:40]:
+        w = t.split() or [""]
+        letters = max(sum("a" <= c <= "z" or "A" <= c <= "Z" for c in t), 1)
+        got = dict(zip(ql.STATISTICS, ql.statistics(t), strict=True))
+        size = len(t.encode())
+        assert np.isclose(got["log_chars"], np.log(1 + len(t))) and np.isclose(got["distinct_words"], len(set(w)) / len(w))
+        assert np.isclose(got["upper"], sum("A" <= c <= "Z" for c in t) / letters) and np.isclose(got["digits"], sum("0" <= c <= "9" for c in t) / size)
+        assert np.isclose(got["word_length"], np.mean([len(x) for x in w])) and np.isclose(got["outside_ascii"], sum(b > 127 for b in t.encode()) / size)
+        assert np.isclose(got["repeats"], sum(x == y for x, y in zip(w, w[1:], strict=False)) / len(w)) and np.isclose(got["stops"], sum(t.count(c) for c in ".,;:?") / len(w))
+    y = [float("E" in t) for t in texts]
+    rows = [(i, [float(x) for x in ql.statistics(t)], v) for i, (t, v) in enumerate(zip(texts, y, strict=True))]
+    model = ql.fit_quality(spark.createDataFrame(rows, "doc_id long, stats array<double>, y double").repartition(5))
+    held = np.array([r.h for r in spark.createDataFrame(rows, "doc_id long, stats array<double>, y double").select("doc_id", ql.calibration_fold("doc_id").alias("h")).orderBy("doc_id").collect()])
+    x, y = np.array([r[1] for r in rows]), np.array(y)
+    made = ql.Features(x.mean(0), x.std(0), ql.FEATURES, ql.WIDTH, ql.SEED)
+    z = made(x[~held])
+    weights = np.linalg.solve(z.T @ z + ql.RIDGE * len(z) ** 0.5 * np.eye(z.shape[1]), z.T @ y[~held])
+    np.testing.assert_allclose(model.raw(x), made(x) @ weights, atol=1e-6)
+    assert 0 < held.sum() < 80
+    # calibrated on the fold that the ridge has not seen
+    raw = made(x[held]) @ weights
+    bins = np.clip((raw + 0.5) / 2 * ql.BINS, 0, ql.BINS - 1).astype(int)
+    level = ql.isotonic(np.bincount(bins)[np.unique(bins)].astype(float), np.array([y[held][bins == b].mean() for b in np.unique(bins)]))
+    np.testing.assert_allclose(model.level, level)
+    score = model.score(x)
+    assert np.all(np.diff(score[np.argsort(made(x) @ weights)]) >= -1e-12) and score.min() >= 0 and score.max() <= 1
+
+
 def brute_components(rows, width=5, t=75):
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     sets = {}
