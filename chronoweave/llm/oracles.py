@@ -17,4 +17,114 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
 """
 
-ORACLES = {"op5_top_k": OP5}
+#: Reachability of links (u, v both ways) over nodes (id).
+_REACHED = """
+reached(id, c) AS (SELECT id, id FROM nodes UNION SELECT l.v, r.c FROM reached r JOIN links l ON l.u = r.id)
+"""
+
+OP6 = rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS sh
+  FROM w
+),
+n AS (SELECT doc_id, CAST(len(sh) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(sh) AS x FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT u, v FROM p JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 75 * (a.n + b.n - k)),
+links AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+nodes AS (SELECT DISTINCT doc_id AS id FROM n),
+{_REACHED}
+SELECT n.doc_id, n.n AS n_shingles, r.c AS component_id FROM n JOIN (SELECT id, min(c) AS c FROM reached GROUP BY id) r ON r.id = n.doc_id
+"""
+
+OP7 = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+l AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.98
+),
+links AS (SELECT DISTINCT u, v FROM l),
+nodes AS (SELECT DISTINCT vec_id AS id FROM embeddings),
+{_REACHED},
+k AS (SELECT u, count(*) AS n FROM l GROUP BY u)
+SELECT e.vec_id, coalesce(k.n, 0) AS n_links, r.c AS component_id, e.vec_id = r.c AS kept
+FROM embeddings e JOIN (SELECT id, min(c) AS c FROM reached GROUP BY id) r ON r.id = e.vec_id LEFT JOIN k ON k.u = e.vec_id
+"""
+
+#: Sizes, targets, inclusion and rank of op8's documents.
+_MIX = r"""
+d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS src, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size
+  FROM documents
+),
+x AS (SELECT *, row_number() OVER (PARTITION BY doc_id, src, size) - 1 AS nth FROM d),
+s0 AS (
+  SELECT src, source_size, CAST([1, 2, 3][CAST((row_number() OVER (ORDER BY src) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS w, CAST(source_size AS DOUBLE) * 3.0 AS c
+  FROM (SELECT src, CAST(sum(size) AS BIGINT) AS source_size FROM x GROUP BY src)
+),
+s1 AS (
+  SELECT *, sum(CAST(source_size AS DOUBLE)) OVER () AS total, sum(w) OVER (ORDER BY c / w, src ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS w_rest,
+    coalesce(sum(c) OVER (ORDER BY c / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS c_before
+  FROM s0
+),
+s2 AS (SELECT *, c * w_rest <= w * (total - c_before) AS capped FROM s1),
+s3 AS (SELECT *, sum(CASE WHEN capped THEN c ELSE 0 END) OVER () AS c_all, sum(CASE WHEN capped THEN 0 ELSE w END) OVER () AS w_free FROM s2),
+s4 AS (SELECT src, source_size, CASE WHEN capped THEN c ELSE (total - c_all) * w / w_free END AS target FROM s3),
+s AS (
+  SELECT *, target - certain * CAST(source_size AS DOUBLE) AS room
+  FROM (SELECT *, CAST(floor(CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END) AS BIGINT) AS certain FROM s4)
+),
+h AS (SELECT src, room, size, count(*) AS k FROM x JOIN s USING (src) WHERE size > 0 AND size <= room GROUP BY ALL),
+h1 AS (
+  SELECT src, size, (room - coalesce(sum(CAST(size * k AS DOUBLE)) OVER (PARTITION BY src ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(pow(size, 0.5) * CAST(size * k AS DOUBLE)) OVER (PARTITION BY src ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale
+  FROM h
+),
+h2 AS (SELECT src, max_by(scale, size) AS scale FROM h1 WHERE scale * pow(size, 0.5) < 1 GROUP BY src),
+i AS (
+  SELECT x.*, s.* EXCLUDE (src), CASE WHEN size <= 0 OR size > room THEN 0 WHEN scale IS NULL THEN 1 ELSE least(1, scale * pow(size, 0.5)) END AS p,
+    (CAST('0x' || substr(md5('mix-1' || coalesce(CAST(doc_id AS VARCHAR), 'null') || '.' || nth), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0 AS u
+  FROM x JOIN s USING (src) LEFT JOIN h2 USING (src)
+),
+r AS (SELECT *, CASE WHEN p >= 1 THEN 0 WHEN p > 0 THEN 1 - 1 / (1 + u / (1 - u) / (p / (1 - p))) END AS rank FROM i),
+f0 AS (
+  SELECT *, coalesce(rank IS NOT NULL AND sum(CASE WHEN rank IS NOT NULL THEN size END) OVER (PARTITION BY src ORDER BY rank NULLS LAST, doc_id, size, nth ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= room, false) AS got
+  FROM r
+)"""
+
+#: One more document of a source, that which comes nearest to what is left.
+_NEAREST = """
+g{n} AS (SELECT *, room - coalesce(sum(CASE WHEN got THEN size END) OVER (PARTITION BY src), 0) AS gap FROM f{m}),
+f{n} AS (
+  SELECT * EXCLUDE (got, gap, o), got OR (o = 1 AND NOT got AND size > 0 AND gap > 0 AND size < 2 * gap) AS got
+  FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY CASE WHEN NOT got AND size > 0 AND gap > 0 AND size < 2 * gap THEN 0 ELSE 1 END, abs(size - gap), coalesce(rank, 2), doc_id, size, nth) AS o FROM g{n})
+)"""
+
+OP8 = "WITH " + _MIX + "".join("," + _NEAREST.format(n=k + 1, m=k) for k in range(3)) + """
+SELECT doc_id, size, source_size, target, (certain + CAST(got AS BIGINT)) * size AS taken FROM f3
+"""
+
+#: op3's columns that the contract fixes: places and labels of its phrases.
+LICENSES_BASE = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+),
+p AS (SELECT * FROM (VALUES (['cc', 'by'], 'cc-by'), (['general', 'public', 'license'], 'gpl'), (['all', 'rights', 'reserved'], 'reserved')) t(phrase, label)),
+hits AS (
+  SELECT doc_id, label, unnest(list_filter(range(1, len(w) + 1), lambda i: w[i:i + len(phrase) - 1] = phrase)) - 1 AS place FROM w, p
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, count(h.place) AS n_base, CAST(min(h.place) AS BIGINT) AS first_word, CAST(max(h.place) AS BIGINT) AS last_word,
+  coalesce(string_agg(DISTINCT h.label, ',' ORDER BY h.label), '') AS base_labels
+FROM w LEFT JOIN hits h ON h.doc_id = w.doc_id GROUP BY w.doc_id, w.w
+"""
+
+ORACLES = {"op5_top_k": OP5, "op6_jaccard": OP6, "op7_vector_dedup": OP7, "op8_mixing": OP8, "licenses_base": LICENSES_BASE}
