@@ -23,7 +23,7 @@ UNDETERMINED = "und"
 #: Documents a language's model is fitted on, about (a bounded sample of the labelled rows).
 SAMPLE_DOCS = 3000
 #: Characters scored at a time: longer texts go through in segments, batches in groups.
-SEGMENT = 1 << 20
+SEGMENT = 1 << 18
 #: Characters up to which a text's evidence counts in full in the score.
 EVIDENCE = 200.0
 #: A text may lie so many times the way from the median to the 90th percentile beyond the median;

@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from chronoweave.llm.common import column_of, map_arrow, texts_of
 
 MARK = "▁"
-#: Words, and pairs of pieces, that a worker remembers before it starts afresh.
-MEMO_WORDS = 600_000
-MEMO_PAIRS = 600_000
+#: Words, and pairs of pieces, that a worker remembers before it starts afresh (about 200 and 100 bytes each).
+MEMO_WORDS = 200_000
+MEMO_PAIRS = 200_000
 
 SCHEMA = "doc_id long, n_ids long, ids array<int>, round_trip boolean"
 
@@ -63,7 +63,7 @@ class PieceModel:
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in self._id):
             raise ValueError(f"{path} has pieces that run over a word's end")
         self._bytes = [b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self._pieces)]
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by piece, and the piece before it (0: none) shifted
         self._words: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
@@ -81,7 +81,7 @@ class PieceModel:
 
     def _fits(self, before: int, piece: int) -> bool:
         """Whether piece may follow before; before < 0: nothing merges across the boundary."""
-        key = (before if before >= 0 else -1, piece)
+        key = (before + 1 if before >= 0 else 0) << 32 | piece
         if (known := self._pairs.get(key)) is None:
             if len(self._pairs) > MEMO_PAIRS:
                 self._pairs.clear()
@@ -112,7 +112,7 @@ class PieceModel:
                 break
             if (piece := ids_of.get(last)) is not None:
                 before = back[end - n - base][1]
-                if (fits := pairs.get((before if before >= 0 else -1, piece))) is None:
+                if (fits := pairs.get((before + 1 if before >= 0 else 0) << 32 | piece)) is None:
                     fits = self._fits(before, piece)
                 if fits:
                     return end - n, piece
