@@ -124,10 +124,14 @@ def pose_metrics(frames: DataFrame, keys: list[str], pred: str = "pred", truth:
     rows = frames.where(finite_pose(F.col(pred)) & finite_pose(F.col(truth)))
     if aligned:
         rows = rows.withColumn("_aligned", aligned_pose(joints)(pred, truth))
-    p, t = F.col(pred), F.col(truth)
-    pr, tr = g.root_relative(p), g.root_relative(t)
-    each = [F.struct(g.distance(g.at(p, j), g.at(t, j)).alias("e"), g.distance(g.at(pr, j), g.at(tr, j)).alias("r"), (g.distance(g.at(F.col("_aligned"), j), g.at(t, j)) if aligned else F.lit(None).cast("double")).alias("a")) for j in joints]
-    long = rows.select(*keys, F.explode(F.array(*each)).alias("x")).select(*keys, "x.*")
+    parts = [F.col(pred).alias("p"), F.col(truth).alias("t"), F.col("_aligned").alias("a")][: 2 + aligned]
+    # a row for each joint, then scalar arithmetic: it stays in generated code
+    long = rows.select(*keys, g.at(F.col(pred), 0).alias("p0"), g.at(F.col(truth), 0).alias("t0"), F.posexplode(F.arrays_zip(*parts)).alias("joint", "x")).where(F.col("joint").isin(*joints))
+    at = lambda c, i: g.at(F.col(c), i).cast("double")
+    apart = lambda u, v: F.sqrt(sum((x * x for x in [u(i) - v(i) for i in range(3)]), F.lit(0.0)))
+    error, root = apart(lambda i: at("x.p", i), lambda i: at("x.t", i)), apart(lambda i: at("x.p", i) - at("p0", i), lambda i: at("x.t", i) - at("t0", i))
+    rest = apart(lambda i: at("x.a", i), lambda i: at("x.t", i)) if aligned else F.lit(None).cast("double")
+    long = long.select(*keys, error.alias("e"), root.alias("r"), rest.alias("a"))
     share = lambda limit: F.avg((F.col("e") <= limit).cast("double"))
     out = long.groupBy(keys).agg(
         F.round(F.count("*") / len(joints)).cast("long").alias("frames"), (F.avg("e") * 1000).alias("mpjpe_mm"), (F.avg("r") * 1000).alias("root_relative_mpjpe_mm"),
@@ -274,54 +278,64 @@ def ranked(scores: DataFrame, score: str, *ties: str) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(W.partitionBy(F.lit(0)).orderBy(F.col(score).asc_nulls_last(), *ties)))
 
 
-def pose_axis_search(reference: DataFrame, candidate: DataFrame, pose: str) -> DataFrame:
-    """Ranks the axis transforms of candidate poses by the distance of their shapes' distribution to the reference's.
+def shape_spread(df: DataFrame, keys: list[str], pose: str) -> DataFrame:
+    """keys, joint, axis, m, iqr: median and IQR (at least 1e-6) of the body joints of normalised shapes."""
+    long = joint_values(df.withColumn("_s", g.normalised_shape(F.col(pose))), keys, "_s").where(F.col("joint").isin(*g.BODY15))
+    group = [*keys, "joint", "axis"]
+    q = quantiles(distribution(long, group, "value"), group, (0.25, 0.5, 0.75)).groupBy(group)
+    pick = lambda x: F.max(F.when(F.col("q") == x, F.col("value")))
+    return q.agg(pick(0.5).alias("m"), F.greatest(pick(0.75) - pick(0.25), F.lit(1e-6)).alias("iqr"))
+
+
+def pose_distances(reference: DataFrame, candidates: DataFrame, keys: list[str], pose: str) -> DataFrame:
+    """keys, median_gap, iqr_gap, score: how far each group's shapes lie from the reference's distribution.
 
     Mean gap of the joints' medians over the reference's IQR (at least 0.05), plus 0.35
     of the mean absolute log ratio of the IQRs, on the body joints.
     """
-    from chronoweave.functions.geometry import BODY15
-
-    def spread(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-        long = joint_values(df.withColumn("_s", g.normalised_shape(F.col(column))), keys, "_s").where(F.col("joint").isin(*BODY15))
-        group = [*keys, "joint", "axis"]
-        q = quantiles(distribution(long, group, "value"), group, (0.25, 0.5, 0.75)).groupBy(group)
-        pick = lambda x: F.max(F.when(F.col("q") == x, F.col("value")))
-        return q.agg(pick(0.5).alias("m"), F.greatest(pick(0.75) - pick(0.25), F.lit(1e-6)).alias("iqr"))
-
-    moved = candidate.join(F.broadcast(axis_table(candidate.sparkSession))).withColumn("_t", F.transform(pose, lambda j: g.axis_transformed(j, F.col("perm"), F.col("signs"))))  # 48 rows
-    ref = spread(reference, [], pose).select("joint", "axis", F.col("m").alias("rm"), F.col("iqr").alias("ri"))
-    both = spread(moved, ["transform", "determinant"], "_t").join(F.broadcast(ref), ["joint", "axis"])  # 45 rows
+    ref = shape_spread(reference, [], pose).select("joint", "axis", F.col("m").alias("rm"), F.col("iqr").alias("ri"))
+    both = shape_spread(candidates, keys, pose).join(F.broadcast(ref), ["joint", "axis"])  # 45 rows
     gap = F.avg(F.abs(F.col("m") - F.col("rm")) / F.greatest(F.col("ri"), F.lit(0.05)))
     log = F.avg(F.abs(F.log((F.col("iqr") + 1e-4) / (F.col("ri") + 1e-4))))
-    out = both.groupBy("transform", "determinant").agg(gap.alias("median_gap"), log.alias("iqr_gap")).withColumn("score", F.col("median_gap") + 0.35 * F.col("iqr_gap"))
-    return ranked(out, "score", "transform")
+    return both.groupBy(keys).agg(gap.alias("median_gap"), log.alias("iqr_gap")).withColumn("score", F.col("median_gap") + 0.35 * F.col("iqr_gap"))
 
 
-def point_axis_search(reference: DataFrame, candidate: DataFrame, point: str) -> DataFrame:
-    """Ranks the axis transforms of candidate points by quantile gap plus 0.25 of the covariance gap.
+def xyz_gaps(reference: DataFrame, candidates: DataFrame, keys: list[str], point: str) -> DataFrame:
+    """keys, xyz_gap: mean absolute difference of seven quantiles of each coordinate, over the reference's IQR (at least 0.05).
 
-    reference, candidate: one point a row.
+    A point a row; points count where all three coordinates are finite.
     """
     from chronoweave.operators.statistics import GAP
 
-    moved = candidate.join(F.broadcast(axis_table(candidate.sparkSession))).withColumn("_p", g.axis_transformed(F.col(point), F.col("perm"), F.col("signs")))  # 48 rows
-
-    def parts(df: DataFrame, keys: list[str], column: str) -> tuple[DataFrame, DataFrame]:
-        long = df.select(*keys, F.posexplode(F.slice(column, 1, 3)).alias("axis", "value"))
-        q = quantiles(distribution(long, [*keys, "axis"], "value"), [*keys, "axis"], GAP)
-        x = [g.at(F.col(column), i) for i in range(3)]
-        cov = df.groupBy(keys).agg(F.array(*[F.covar_samp(x[i], x[j]) for i in range(3) for j in range(3)]).alias("cov"))
-        return q, cov
-
-    rq, rc = parts(reference, [], point)
-    iqr = F.greatest(F.max(F.when(F.col("q") == 0.75, F.col("value"))) - F.max(F.when(F.col("q") == 0.25, F.col("value"))), F.lit(0.05))
-    scale = rq.groupBy("axis").agg(iqr.alias("scale"))
-    keys = ["transform", "determinant"]
-    cq, cc = parts(moved, keys, "_p")
-    ref = rq.select("axis", "q", F.col("value").alias("rv")).join(scale, "axis")
-    gap = cq.join(F.broadcast(ref), ["axis", "q"]).groupBy(keys).agg(F.avg(F.abs(F.col("value") - F.col("rv")) / F.col("scale")).alias("quantile_gap"))  # 21 rows
-    both = cc.join(F.broadcast(rc.withColumnRenamed("cov", "rcov")))  # one row
+    whole = lambda df: df.where(F.forall(F.slice(point, 1, 3), g.is_finite))
+
+    def cut(df: DataFrame, own: list[str]) -> DataFrame:
+        long = whole(df).select(*own, F.posexplode(F.slice(point, 1, 3)).alias("axis", "value"))
+        return quantiles(distribution(long, [*own, "axis"], "value"), [*own, "axis"], GAP)
+
+    rq = cut(reference, [])
+    iqr = F.max(F.when(F.col("q") == 0.75, F.col("value"))) - F.max(F.when(F.col("q") == 0.25, F.col("value")))
+    ref = rq.select("axis", "q", F.col("value").alias("rv")).join(rq.groupBy("axis").agg(F.greatest(iqr, F.lit(0.05)).alias("scale")), "axis")
+    return cut(candidates, keys).join(F.broadcast(ref), ["axis", "q"]).groupBy(keys).agg(F.avg(F.abs(F.col("value") - F.col("rv")) / F.col("scale")).alias("xyz_gap"))  # 21 rows
+
+
+def point_distances(reference: DataFrame, candidates: DataFrame, keys: list[str], point: str) -> DataFrame:
+    """keys, quantile_gap, covariance_gap, score: quantile gap plus 0.25 of the covariance gap, a point a row."""
+    x = [g.at(F.col(point), i) for i in range(3)]
+    cov = lambda df, own: df.groupBy(own).agg(F.array(*[F.covar_samp(a, b) for a in x for b in x]).alias("cov"))
+    both = cov(candidates, keys).join(F.broadcast(cov(reference, []).withColumnRenamed("cov", "rcov")))  # one row
     frob = g.norm(F.zip_with("cov", "rcov", lambda a, b: a - b)) / F.greatest(g.norm(F.col("rcov")), F.lit(1e-6))
-    out = both.select(*keys, frob.alias("covariance_gap")).join(gap, keys).withColumn("score", F.col("quantile_gap") + 0.25 * F.col("covariance_gap"))
-    return ranked(out, "score", "transform")
+    gaps = xyz_gaps(reference, candidates, keys, point).withColumnRenamed("xyz_gap", "quantile_gap")
+    return both.select(*keys, frob.alias("covariance_gap")).join(gaps, keys).withColumn("score", F.col("quantile_gap") + 0.25 * F.col("covariance_gap"))
+
+
+def pose_axis_search(reference: DataFrame, candidate: DataFrame, pose: str) -> DataFrame:
+    """Ranks the axis transforms of candidate poses by the distance of their shapes' distribution to the reference's."""
+    moved = candidate.join(F.broadcast(axis_table(candidate.sparkSession))).withColumn(pose, F.transform(pose, lambda j: g.axis_transformed(j, F.col("perm"), F.col("signs"))))  # 48 rows
+    return ranked(pose_distances(reference, moved, ["transform", "determinant"], pose), "score", "transform")
+
+
+def point_axis_search(reference: DataFrame, candidate: DataFrame, point: str) -> DataFrame:
+    """Ranks the axis transforms of candidate points by the distance of their distribution to the reference's, one point a row."""
+    moved = candidate.join(F.broadcast(axis_table(candidate.sparkSession))).withColumn(point, g.axis_transformed(F.col(point), F.col("perm"), F.col("signs")))  # 48 rows
+    return ranked(point_distances(reference, moved, ["transform", "determinant"], point), "score", "transform")

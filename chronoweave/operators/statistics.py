@@ -109,7 +109,7 @@ def paired_corr(df: DataFrame, keys: list[str], x: str, y: str, name: str = "cor
     a, b = finite(F.col(x).cast("double")), finite(F.col(y).cast("double"))
     both = df.select(*keys, a.alias("a"), b.alias("b")).where("a is not null and b is not null")
     ok = (F.count("*") >= least_n) & (F.stddev_pop("a") >= 1e-12) & (F.stddev_pop("b") >= 1e-12)
-    return both.groupBy(keys).agg(F.count("*").alias("n"), F.when(ok, F.corr("a", "b")).alias(name))
+    return both.groupBy(keys).agg(F.count("*").alias("n"), F.when(ok, F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b"))).alias(name))
 
 
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
