@@ -9,6 +9,8 @@ from datetime import UTC, datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.functions.names import slugify
+
 _ANCHOR = "subject_id string, anchor_id string, anchor_type string, label string, confidence double, notes string"
 _MEMBER = "subject_id string, anchor_id string, run_id string, device_type string, sample_index long, member_role string, confidence double, notes string"
 
@@ -17,18 +19,23 @@ class AnchorService:
     def __init__(self, store):
         self.store, self.spark = store, store.spark
 
-    def create_pair(self, subject: str, source: tuple[str, str, int], target: tuple[str, str, int], anchor_id: str | None = None, label: str = "", confidence: float | None = None, provenance: dict | None = None, overwrite: bool = False) -> str:
+    def create_pair(self, subject: str, source: tuple[str, str, int], target: tuple[str, str, int], anchor_id: str | None = None, label: str = "", confidence: float | None = None, provenance: dict | None = None, overwrite: bool = False, anchor_type: str = "manual_correspondence", user_notes: str = "") -> str:
         """One anchor with a source and a target member (run, device, sample index)."""
-        stamp = datetime.now(UTC).strftime("%Y%m%dT%H%M%S")
-        anchor_id = anchor_id or f"anchor_{subject}_{stamp}_{uuid.uuid4().hex[:8]}"
-        if self.store.row_exists("ANCHOR", {"subject_id": subject, "anchor_id": anchor_id}):
-            if not overwrite:
-                raise ValueError(f"anchor {anchor_id!r} already exists")
-            self.delete(subject, anchor_id)
-        notes = json.dumps(provenance or {}, sort_keys=True)
-        self.store.upsert("ANCHOR", self.spark.createDataFrame([(subject, anchor_id, "pair", label, confidence, notes)], _ANCHOR))
+        now = datetime.now(UTC)
+        if not anchor_id:
+            slug = self.spark.range(1).select(slugify(F.lit(subject), 30)).first()[0]
+            anchor_id = f"anchor_{slug}_{now:%Y%m%dT%H%M%S%f}_{uuid.uuid4().hex[:8]}"
+        if not overwrite and self.store.row_exists("ANCHOR", {"subject_id": subject, "anchor_id": anchor_id}):
+            raise ValueError(f"anchor {anchor_id!r} already exists")
+        notes = json.dumps({"user_notes": user_notes, "provenance": {"created_by": "anchor_service", "created_at": now.strftime("%Y-%m-%dT%H:%M:%S.%f"), **(provenance or {})}}, sort_keys=True)
+        # both tables' rows are made before anything is deleted
+        anchor = self.spark.createDataFrame([(subject, anchor_id, anchor_type, label, confidence, notes)], _ANCHOR)
         members = [(subject, anchor_id, run, device, int(i), role, confidence, None) for role, (run, device, i) in (("source", source), ("target", target))]
-        self.store.upsert("ANCHOR_MEMBER", self.spark.createDataFrame(members, _MEMBER))
+        member = self.spark.createDataFrame(members, _MEMBER)
+        if overwrite:
+            self.delete(subject, anchor_id, missing_ok=True)
+        self.store.upsert("ANCHOR", anchor)
+        self.store.upsert("ANCHOR_MEMBER", member)
         return anchor_id
 
     def delete(self, subject: str, anchor_id: str, missing_ok: bool = False) -> None:

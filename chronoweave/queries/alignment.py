@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.functions.names import asset_id, is_absolute_path, normalise_asset_ref, slugify, version_id
 from chronoweave.functions.times import format_datetime, from_epoch_seconds, micros, parse_datetime
 from chronoweave.operators import nearest, piecewise, timelines
-from chronoweave.operators.lookup import best_rows, nearest_by_time, source_of_target
-from chronoweave.queries.data import ALL_ANCHORS, ANCHORS, RUN, SAMPLES, SEGMENTS, all_anchors, anchors, of_type, samples, table
+from chronoweave.operators.lookup import nearest_by_time, source_of_target, target_of_source
+from chronoweave.plans.payloads import audit
+from chronoweave.queries.data import ANCHORS, RUN, SAMPLES, SEGMENTS, anchors, of_type, samples, table
 from chronoweave.sources.store import upserted
 from chronoweave.sources.validation import duplicate_keys, null_required
 
@@ -109,7 +108,9 @@ def ols_residuals(spark, sf_dir):
 
 def ols_report(spark, sf_dir):
     rep = timelines.fit_report(timelines.fit_lines(samples(spark, sf_dir), RUN, "sample_index", "t"), RUN)
-    return rep.where("metric in ('num_fit_points', 'slope_sec')").select(*RUN, "metric", F.round("value", 3).alias("value"))
+    # residuals of fits to whole microseconds: a millisecond carries what the two engines' sums differ by
+    digits = F.when(F.col("metric") == "rmse_ms", F.round("value", 0)).when(F.col("metric") == "fps_est", F.round("value", 9)).otherwise(F.round("value", 3))
+    return rep.select(*RUN, "metric", digits.alias("value"))
 
 
 def run_summary(spark, sf_dir):
@@ -165,7 +166,8 @@ def piecewise_mapping(spark, sf_dir, pick=anchors):
 
 
 def lookup_forward(spark, sf_dir):
-    return best_rows(_mapping(spark, sf_dir, CONFIG), ["user_id", "source_sample_index"]).select("user_id", "source_sample_index", "target_sample_index", "rank")
+    mapping = _mapping(spark, sf_dir, CONFIG)
+    return target_of_source(mapping, mapping.select("user_id", "source_sample_index").distinct(), ["user_id"]).select("user_id", "source_sample_index", "target_sample_index", "rank")
 
 
 def lookup_inverse(spark, sf_dir):
@@ -196,7 +198,12 @@ def null_required_counts(spark, sf_dir):
 
 
 def missing_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+    """Documents as samples with payloads, labels as their summaries, through the audit."""
+    key = lambda n: [F.lit("s").alias("subject_id"), F.lit("r").alias("run_id"), F.lit("d").alias("device_type"), F.col(n).alias("sample_index")]
+    rows = table(spark, sf_dir, "documents").select(*key("doc_id"), F.lit("text").alias("artifact_role"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("artifact_ref"))
+    done = table(spark, sf_dir, "labels").select(*key("doc_id"))
+    found = audit(spark.createDataFrame([], "asset_id string, asset_ref string"), rows, done, rows.select(F.col("artifact_ref").alias("ref")))
+    return found.select("severity", "table_name", F.substring_index("key", "/", -1).cast("long").alias("doc_id"))
 
 
 def slugs(spark, sf_dir):
@@ -230,7 +237,7 @@ res AS (
 )"""
 
 _PREDICT = f"""
-WITH {SAMPLES}, {ANCHORS}, {SEGMENTS},
+WITH RECURSIVE {SAMPLES}, {ANCHORS}, {SEGMENTS},
 ends AS (SELECT user_id, min(source_start) AS lo, max(source_end) AS hi, max(segment_index) AS last FROM segments GROUP BY user_id),
 clicks AS (SELECT user_id, sample_index, t / 1e6 AS t FROM samples WHERE event_type = 'click'),
 placed AS (
@@ -282,22 +289,22 @@ SELECT user_id, source_event_type, target_event_type, round(o, 6) AS overlap_sec
 SELECT f.user_id, f.event_type, origin_us, round(slope, 3) AS slope, round(intercept_sec, 3) AS intercept_sec, n, round(sqrt(avg(r * r)) * 1000, 0) AS rmse_ms
 FROM fits f JOIN res ON f.user_id = res.user_id AND f.event_type = res.event_type GROUP BY ALL""",
     "ols_residuals": _FIT + " SELECT user_id, event_type, sample_index, round(r, 3) AS residual_sec FROM res",
-    "ols_report": _FIT + " SELECT user_id, event_type, 'num_fit_points' AS metric, CAST(n AS DOUBLE) AS value FROM fits UNION ALL SELECT user_id, event_type, 'slope_sec', round(slope, 3) FROM fits",
+    "ols_report": _FIT + " SELECT user_id, event_type, 'num_fit_points' AS metric, CAST(n AS DOUBLE) AS value FROM fits UNION ALL SELECT user_id, event_type, 'slope_sec', round(slope, 3) FROM fits UNION ALL SELECT user_id, event_type, 'intercept_sec', round(intercept_sec, 3) FROM fits UNION ALL SELECT user_id, event_type, 'rmse_ms', round(sqrt(avg(r * r)) * 1000, 0) FROM res GROUP BY ALL UNION ALL SELECT user_id, event_type, 'fps_est', CASE WHEN slope <> 0 THEN round(1 / slope, 9) END FROM fits",
     "run_summary": "SELECT c_custkey, c_name, count(o_orderkey) AS num_samples FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY ALL",
     "first_per_key": "SELECT o_custkey, o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS n FROM orders) WHERE n = 1",
-    "anchor_pairs": f"WITH {SAMPLES}, {ANCHORS} SELECT user_id, anchor_id, sample_index, source_time, target_time FROM anchors",
-    "piecewise_segments": f"WITH {SAMPLES}, {ANCHORS}, {SEGMENTS} SELECT user_id, segment_index, left_anchor_id, right_anchor_id, round(slope, 9) AS slope FROM segments",
+    "anchor_pairs": f"WITH RECURSIVE {SAMPLES}, {ANCHORS} SELECT user_id, anchor_id, sample_index, source_time, target_time FROM anchors",
+    "piecewise_segments": f"WITH RECURSIVE {SAMPLES}, {ANCHORS}, {SEGMENTS} SELECT user_id, segment_index, left_anchor_id, right_anchor_id, round(slope, 9) AS slope FROM segments",
     "piecewise_predict": _PREDICT + " SELECT user_id, sample_index, round(target_time, 3) AS target_time, region, CASE WHEN region <> 'unsupported' THEN seg END AS segment_index FROM predicted",
     "piecewise_predict_inside": _PREDICT + """
 SELECT user_id, sample_index, CASE WHEN region = 'interpolation' THEN round(target_time, 3) END AS target_time,
        CASE WHEN region = 'interpolation' THEN region ELSE 'unsupported' END AS region, CASE WHEN region = 'interpolation' THEN seg END AS segment_index FROM predicted""",
     "piecewise_residuals": f"""
-WITH {SAMPLES}, {ANCHORS}, {SEGMENTS},
+WITH RECURSIVE {SAMPLES}, {ANCHORS}, {SEGMENTS},
 pl AS (SELECT a.*, (SELECT max(segment_index) FROM segments s WHERE s.user_id = a.user_id AND s.source_start <= a.source_time) AS seg FROM anchors a)
 SELECT pl.user_id, anchor_id, round((target_start + slope * (source_time - source_start) - target_time) * 1000, 1) + 0.0 AS residual_ms, 'interpolation' AS region
 FROM pl JOIN segments s ON s.user_id = pl.user_id AND s.segment_index = pl.seg""",
     "piecewise_loo": f"""
-WITH {SAMPLES}, {ANCHORS},
+WITH RECURSIVE {SAMPLES}, {ANCHORS},
 w AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n, row_number() OVER o AS k,
         lag(source_time) OVER o AS s1, lead(source_time) OVER o AS n1, lag(source_time, 2) OVER o AS s2, lead(source_time, 2) OVER o AS n2,
         lag(target_time) OVER o AS g1, lead(target_time) OVER o AS h1, lag(target_time, 2) OVER o AS g2, lead(target_time, 2) OVER o AS h2
@@ -327,9 +334,9 @@ SELECT user_id, query, sample_index FROM (
 SELECT 'documents' AS table_name, unnest(['doc_id', 'lang', 'quality', 'toxic']) AS column_name, unnest([a, b, c, d]) AS missing
 FROM (SELECT count(*) FILTER (WHERE d.doc_id IS NULL) AS a, count(*) FILTER (WHERE lang IS NULL OR lang = '') AS b, count(*) FILTER (WHERE quality IS NULL) AS c, count(*) FILTER (WHERE toxic IS NULL) AS d
       FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id)""",
-    "missing_summary": "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    "missing_summary": "SELECT DISTINCT 'warning' AS severity, 'SAMPLE_SUMMARY' AS table_name, doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
     "slugs": r"""
-WITH s AS (SELECT doc_id, source, lang, left(trim(regexp_replace(left(text, 60), '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), 30) AS slug FROM documents)
+WITH s AS (SELECT doc_id, source, lang, left(trim(regexp_replace(text, '[^A-Za-z0-9_.-]+', '_', 'g'), '_'), 30) AS slug FROM documents)
 SELECT doc_id, CASE WHEN slug = '' THEN 'unknown' ELSE slug END AS slug, 'asset_' || source || '_' || lang || '_a_b_unknown' AS asset, source || '__' || lang AS version FROM s""",
     "asset_refs": r"SELECT page_id, 'runs/' || regexp_replace(regexp_replace(regexp_replace(url, '^https?:', ''), '^/+', ''), '/+$', '') || '/cam/x' AS ref, TRUE AS absolute, FALSE AS relative FROM pages",
     "time_columns": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS text, epoch_us(ts) AS us, epoch_us(ts) + 250000 AS later FROM events",
@@ -340,8 +347,3 @@ QUERIES = {f.__name__: f for f in (
     first_per_key, anchor_pairs, piecewise_segments, piecewise_predict, piecewise_predict_inside, piecewise_residuals, piecewise_loo, piecewise_mapping, lookup_forward, lookup_inverse,
     lookup_by_time, upsert_left_anti, duplicate_key_rows, null_required_counts, missing_summary, slugs, asset_refs, time_columns,
 )}
-
-#: The same over every anchor of a user.
-for _name in ("anchor_pairs", "piecewise_segments", "piecewise_predict", "piecewise_predict_inside", "piecewise_residuals", "piecewise_loo", "piecewise_mapping"):
-    QUERIES[f"{_name}_all"] = partial(QUERIES[_name], pick=all_anchors)
-    SQL[f"{_name}_all"] = SQL[_name].replace(ANCHORS, ALL_ANCHORS).replace("WITH ", "WITH RECURSIVE ", 1)

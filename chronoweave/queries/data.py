@@ -35,15 +35,7 @@ def of_type(rows: DataFrame, kind: str) -> DataFrame:
     return rows.where(F.col("event_type") == kind).drop("event_type")
 
 
-def anchors(rows: DataFrame, every: int = 3) -> DataFrame:
-    """Every third click of a user with the purchase of the same number, as anchors; users with two at least."""
-    click, buy = (of_type(rows, k) for k in ("click", "purchase"))
-    pairs = click.where(F.col("sample_index") % every == 0).select("user_id", "sample_index", (F.col("t") / 1e6).alias("source_time")).join(buy.select("user_id", "sample_index", (F.col("t") / 1e6).alias("target_time")), ["user_id", "sample_index"])
-    many = pairs.groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 2").select("user_id")
-    return pairs.join(many, "user_id").select("user_id", F.concat(F.lit("a"), F.lpad(F.col("sample_index").cast("string"), 6, "0")).alias("anchor_id"), "sample_index", "source_time", "target_time")
-
-
-def all_anchors(rows: DataFrame) -> DataFrame:
+def anchors(rows: DataFrame) -> DataFrame:
     """Every click of a user with the purchase of the same number, less those that do not come after the last one kept in both times."""
     click, buy = (of_type(rows, k) for k in ("click", "purchase"))
     pairs = click.select("user_id", "sample_index", (F.col("t") / 1e6).alias("source_time")).join(buy.select("user_id", "sample_index", (F.col("t") / 1e6).alias("target_time")), ["user_id", "sample_index"])
@@ -59,15 +51,6 @@ def all_anchors(rows: DataFrame) -> DataFrame:
 
 
 ANCHORS = """
-pairs AS (
-  SELECT c.user_id, 'a' || lpad(CAST(c.sample_index AS VARCHAR), 6, '0') AS anchor_id, c.sample_index,
-         c.t / 1e6 AS source_time, b.t / 1e6 AS target_time
-  FROM samples c JOIN samples b ON c.user_id = b.user_id AND c.sample_index = b.sample_index
-  WHERE c.event_type = 'click' AND b.event_type = 'purchase' AND c.sample_index % 3 = 0
-),
-anchors AS (SELECT * FROM pairs WHERE user_id IN (SELECT user_id FROM pairs GROUP BY user_id HAVING count(*) >= 2))"""
-
-ALL_ANCHORS = """
 pairs AS (
   SELECT c.user_id, 'a' || lpad(CAST(c.sample_index AS VARCHAR), 6, '0') AS anchor_id, c.sample_index,
          c.t / 1e6 AS source_time, b.t / 1e6 AS target_time

@@ -13,7 +13,7 @@ from chronoweave.operators import diagnostics as dg
 from chronoweave.operators import statistics as st
 from chronoweave.plans import context, windows
 from chronoweave.queries.data import SAMPLES, of_type, samples
-from chronoweave.queries.frames import _E, _JOINTS, _PTS, _bodies
+from chronoweave.queries.frames import _E, _JOINTS, _LIMB_ROWS, _PTS, _bodies
 
 EDGES = [0.0, 0.1, 0.2, 0.3, 0.5]
 WIDTH = 3
@@ -151,7 +151,6 @@ def window_anchors(spark, sf_dir):
 
 _DOMAIN = "f AS (SELECT vec_id, label % 2 = 0 AS reference, v FROM e)"
 _CLOUD = f"{_E}, {_PTS}, {_DOMAIN}, q AS (SELECT f.reference, pts.vec_id, pts.pos, pts.x, pts.y, pts.z, pts.d AS doppler, pts.v[6*pts.pos+5] AS signal, pts.v FROM pts JOIN f USING (vec_id))"
-_LIMB_ROWS = ", ".join(f"({a}, {b})" for a, b in g.LIMBS)
 _SKELETON = f"""
 limbs AS (SELECT * FROM (VALUES {_LIMB_ROWS}) t(a, b)),
 sk AS (SELECT q.reference, q.vec_id, q.pos, q.x - v[3*a+1] AS px, q.y - v[3*a+2] AS py, q.z - v[3*a+3] AS pz, v[3*b+1] - v[3*a+1] AS bx, v[3*b+2] - v[3*a+2] AS dy, v[3*b+3] - v[3*a+3] AS bz FROM q, limbs),

@@ -99,6 +99,11 @@ def _bodies(spark, sf_dir):
 
 
 def skeleton_distance(spark, sf_dir):
+    rows = _bodies(spark, sf_dir).select("vec_id", F.posexplode("points").alias("pos", "p"), "pose")
+    return pose.skeleton_distances(rows, ["vec_id", "pos"], "p", "pose").select("vec_id", "pos", F.round("d", 6).alias("distance"))
+
+
+def limb_distance(spark, sf_dir):
     rows = _bodies(spark, sf_dir)
     return rows.select("vec_id", F.posexplode("points").alias("pos", "p"), "pose").select("vec_id", "pos", F.round(g.segment_distance(F.col("p"), g.at(F.col("pose"), 0), g.at(F.col("pose"), 1)), 6).alias("distance"))
 
@@ -116,8 +121,8 @@ def projected_points(spark, sf_dir):
 
 
 def joint_statistics(spark, sf_dir):
-    out = pose.joint_statistics(_bodies(spark, sf_dir), [], "pose").where("frame = 'absolute'")
-    return out.select("joint", "axis", "count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "p50", "p99")])
+    out = pose.joint_statistics(_bodies(spark, sf_dir), [], "pose")
+    return out.select("frame", "joint", "axis", "count", *[F.round(c, 6).alias(c) for c in ("mean", "std", "p50", "p99")])
 
 
 def _pairs(spark, sf_dir):
@@ -157,19 +162,12 @@ def point_axis_search(spark, sf_dir):
     return pose.point_axis_search(rows.where("label % 2 = 0"), rows.where("label % 2 = 1"), "point")
 
 
-def theil_sen(spark, sf_dir):
-    rows = _bodies(spark, sf_dir).select("label", F.pmod("vec_id", F.lit(5)).alias("k"), "vec_id", g.at(F.col("points"), 0).alias("anchor"))
-    few = rows.where("vec_id < 500").select("label", ((F.col("vec_id") - 250) / 250.0).alias("relative_time"), "anchor")
-    out = pose.theil_sen_anchor(few, ["label"])
-    return out.select("label", "axis", F.round("value", 6).alias("value"))
-
-
-#: Consecutive vectors in a block: the groups of theil_sen_blocks stay this small on any table.
+#: Consecutive vectors in a block: the groups of theil_sen stay this small on any table.
 BLOCK = 500
 
 
-def theil_sen_blocks(spark, sf_dir):
-    """Over every vector, an anchor per label and block; block 0 is what theil_sen returns."""
+def theil_sen(spark, sf_dir):
+    """Over every vector, an anchor per label and block."""
     block = F.floor(F.col("vec_id") / BLOCK).cast("long")
     rows = _bodies(spark, sf_dir).select("label", block.alias("block"), ((F.col("vec_id") - block * BLOCK - BLOCK // 2) / (BLOCK / 2)).alias("relative_time"), g.at(F.col("points"), 0).alias("anchor"))
     out = pose.theil_sen_anchor(rows, ["label", "block"])
@@ -199,7 +197,14 @@ WITH {SAMPLES}, m AS (SELECT user_id, event_type, sample_index, value > 50 AS hi
 s AS (SELECT *, sum(CASE WHEN k = 1 OR high IS DISTINCT FROM was THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, event_type ORDER BY sample_index) - 1 AS segment_index FROM m),
 seg AS (SELECT user_id, event_type, CAST(segment_index AS BIGINT) AS segment_index, any_value(high) AS high, min(sample_index) AS start, max(sample_index) + 1 AS stop, count(*) AS n FROM s GROUP BY ALL)"""
 
+_LIMB_ROWS = ", ".join(f"({a}, {b})" for a, b in g.LIMBS)
+
 SQL = {
+    "skeleton_distance": f"""
+WITH {_E}, {_PTS}, limbs AS (SELECT * FROM (VALUES {_LIMB_ROWS}) t(a, b)),
+s AS (SELECT vec_id, pos, x - v[3*a+1] AS px, y - v[3*a+2] AS py, z - v[3*a+3] AS pz, v[3*b+1] - v[3*a+1] AS bx, v[3*b+2] - v[3*a+2] AS dy, v[3*b+3] - v[3*a+3] AS bz FROM pts, limbs),
+t AS (SELECT *, CASE WHEN bx*bx + dy*dy + bz*bz < 1e-12 THEN 0 ELSE greatest(0.0, least(1.0, (px*bx + py*dy + pz*bz) / (bx*bx + dy*dy + bz*bz))) END AS t FROM s)
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(min(sqrt(pow(px - t*bx, 2) + pow(py - t*dy, 2) + pow(pz - t*bz, 2))), 6) AS distance FROM t GROUP BY ALL""",
     "index_window": f"WITH {SAMPLES} SELECT user_id, event_type, sample_index, array_to_string(list(event_id ORDER BY sample_index) OVER (PARTITION BY user_id, event_type ORDER BY sample_index RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING), ',') AS ids FROM samples",
     "index_range": f"WITH {SAMPLES} SELECT user_id, event_type, string_agg(event_id || ',' || sample_index, ',' ORDER BY sample_index) AS ids FROM samples WHERE sample_index BETWEEN 2 AND 4 GROUP BY ALL",
     "strided_windows": f"""
@@ -228,24 +233,20 @@ SELECT event_id, event_type FROM a WHERE n <= 101 OR i IN (SELECT CAST(floor(j *
     "jsonl_offsets": f"""
 WITH {SAMPLES}, s AS (SELECT *, octet_length(encode('{{"payload":{{"k":"' || (props->>'k') || '"}},"sample_index":' || sample_index || '}}')) AS n FROM samples)
 SELECT user_id, event_type, sample_index, CAST(sum(n + 1) OVER (PARTITION BY user_id, event_type ORDER BY sample_index) - n - 1 AS BIGINT) AS "offset", n AS nbytes FROM s""",
-    "skeleton_distance": f"""
+    "limb_distance": f"""
 WITH {_E}, {_PTS}, s AS (SELECT vec_id, pos, x, y, z, v[1] AS ax, v[2] AS ay, v[3] AS az, v[4] - v[1] AS bx, v[5] - v[2] AS "by", v[6] - v[3] AS bz FROM pts),
 t AS (SELECT *, bx*bx + "by"*"by" + bz*bz AS l, greatest(0.0, least(1.0, ((x-ax)*bx + (y-ay)*"by" + (z-az)*bz) / (bx*bx + "by"*"by" + bz*bz))) AS t FROM s)
 SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(sqrt(pow(x-ax-t*bx, 2) + pow(y-ay-t*"by", 2) + pow(z-az-t*bz, 2)), 6) AS distance FROM t""",
     "world_points": f"WITH {_E}, {_PTS} SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(x, 6) AS x, round(y * {_COS}::DOUBLE + z * {_SIN}::DOUBLE, 6) AS y, round(z * {_COS}::DOUBLE - y * {_SIN}::DOUBLE + 1.76, 6) AS z, round(d, 6) AS doppler FROM pts",
     "projected_points": _project_sql(),
     "joint_statistics": f"""
-WITH {_E}, {_JOINTS}, l AS (SELECT joint, unnest([0, 1, 2]) AS axis, unnest([x, y, z]) AS value FROM j)
-SELECT CAST(joint AS INTEGER) AS joint, CAST(axis AS INTEGER) AS axis, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM l GROUP BY ALL""",
+WITH {_E}, {_JOINTS}, l AS (SELECT 'absolute' AS frame, joint, unnest([0, 1, 2]) AS axis, unnest([x, y, z]) AS value FROM j UNION ALL SELECT 'root_relative', joint, unnest([0, 1, 2]), unnest([x - rx, y - ry, z - rz]) FROM j)
+SELECT frame, CAST(joint AS INTEGER) AS joint, CAST(axis AS INTEGER) AS axis, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.99), 6) AS p99 FROM l GROUP BY ALL""",
     "pose_metrics": f"""
 WITH {_E}, {_JOINTS}, m AS (SELECT a.label, a.vec_id, sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2)) AS e, sqrt(pow(a.x-a.rx-b.x+b.rx,2)+pow(a.y-a.ry-b.y+b.ry,2)+pow(a.z-a.rz-b.z+b.rz,2)) AS r FROM j a JOIN j b ON b.vec_id = a.vec_id + 1 AND b.joint = a.joint)
 SELECT label, count(DISTINCT vec_id) AS frames, round(avg(e) * 1000, 5) AS mpjpe_mm, round(avg(r) * 1000, 5) AS root_relative_mpjpe_mm, round(quantile_cont(e, 0.5) * 1000, 5) AS median_joint_error_mm,
        round(avg(CAST(e <= 0.05 AS INT)), 5) AS pck_50mm, round(avg(CAST(e <= 0.1 AS INT)), 5) AS pck_100mm, round(avg(CAST(e <= 0.15 AS INT)), 5) AS pck_150mm FROM m GROUP BY label""",
     "theil_sen": f"""
-WITH {_E}, a AS (SELECT label, (vec_id - 250) / 250.0::DOUBLE AS t, unnest([0, 1, 2]) AS axis, unnest([v[1], v[2], v[3]]) AS y FROM e WHERE vec_id < 500),
-s AS (SELECT a.label, a.axis, median((b.y - a.y) / (b.t - a.t)) AS m FROM a JOIN a b ON a.label = b.label AND a.axis = b.axis AND b.t - a.t > 1e-12 GROUP BY ALL)
-SELECT a.label, CAST(a.axis AS INTEGER) AS axis, round(median(y - m * t), 6) AS value FROM a JOIN s ON a.label = s.label AND a.axis = s.axis GROUP BY ALL""",
-    "theil_sen_blocks": f"""
 WITH {_E}, b AS (SELECT label, CAST(floor(vec_id / {BLOCK}::DOUBLE) AS BIGINT) AS block, vec_id, v FROM e),
 a AS (SELECT label, block, (vec_id - block * {BLOCK} - {BLOCK // 2}) / {BLOCK / 2}::DOUBLE AS t, unnest([0, 1, 2]) AS axis, unnest([v[1], v[2], v[3]]) AS y FROM b),
 s AS (SELECT a.label, a.block, a.axis, median((b.y - a.y) / (b.t - a.t)) AS m FROM a JOIN a b ON a.label = b.label AND a.block = b.block AND a.axis = b.axis AND b.t - a.t > 1e-12 GROUP BY ALL)
@@ -254,5 +255,5 @@ SELECT a.label, a.block, CAST(a.axis AS INTEGER) AS axis, round(median(y - coale
 
 QUERIES = {f.__name__: f for f in (
     index_window, index_range, strided_windows, change_segments, valid_centres, sliding_support, temporal_split, calibration_split, lag_sweep, even_subsample, stratified_cap, matched_sample, ragged_offsets, jsonl_offsets,
-    skeleton_distance, world_points, projected_points, joint_statistics, pose_metrics, pose_metrics_aligned, geometric_median, farthest_points, axis_search, pose_axis_search, point_axis_search, theil_sen, theil_sen_blocks,
+    skeleton_distance, limb_distance, world_points, projected_points, joint_statistics, pose_metrics, pose_metrics_aligned, geometric_median, farthest_points, axis_search, pose_axis_search, point_axis_search, theil_sen,
 )}

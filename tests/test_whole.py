@@ -8,8 +8,8 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = ("events", "documents", "embeddings")
-ANCHORED = ["anchor_pairs_all", "piecewise_segments_all", "piecewise_predict_all", "piecewise_predict_inside_all", "piecewise_residuals_all", "piecewise_loo_all", "piecewise_mapping_all"]
-CASES = ["theil_sen_blocks", *ANCHORED]
+ANCHORED = ["anchor_pairs", "piecewise_segments", "piecewise_predict", "piecewise_predict_inside", "piecewise_residuals", "piecewise_loo", "piecewise_mapping"]
+CASES = ["theil_sen", "slugs", *ANCHORED]
 
 
 def same(v):
@@ -40,18 +40,16 @@ def test_equals_sql_on_the_wide_scale(spark, wide, name):
 
 def test_theil_sen_reads_every_vector(spark, wide):
     sf_dir, con = wide
-    rows = entry.queries()["theil_sen_blocks"](spark, sf_dir).collect()
+    rows = entry.queries()["theil_sen"](spark, sf_dir).collect()
     assert {r.block for r in rows} == {0, 1, 2, 3}  # 2,000 vectors in blocks of 500
-    first = {(r.label, r.axis, r.value) for r in entry.queries()["theil_sen"](spark, sf_dir).collect()}
-    assert {(r.label, r.axis, r.value) for r in rows if r.block == 0} == first
 
 
 def test_anchors_leave_out_only_what_breaks_the_order(spark):
-    from chronoweave.queries.data import all_anchors
+    from chronoweave.queries.data import anchors
 
     times = [(1, 1), (1, 2), (2, 2), (3, 3), (4, 3), (5, 4)]
     rows = [(1, kind, k, pair[side] * 1_000_000) for k, pair in enumerate(times) for side, kind in enumerate(("click", "purchase"))]
-    kept = all_anchors(spark.createDataFrame(rows, "user_id long, event_type string, sample_index long, t long"))
+    kept = anchors(spark.createDataFrame(rows, "user_id long, event_type string, sample_index long, t long"))
     assert sorted(r.sample_index for r in kept.collect()) == [0, 2, 3, 5]
 
 
