@@ -8,7 +8,8 @@ import pytest
 import __spark_entry__ as entry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SOME = ["nearest_topk", "overlap_pairs", "piecewise_predict", "lookup_inverse", "describe", "auc", "ks", "change_segments", "temporal_split", "index_window", "slugs", "ols_residuals"]
+SOME = ["nearest_topk", "overlap_pairs", "piecewise_predict", "lookup_inverse", "describe", "auc", "ks", "change_segments", "temporal_split", "index_window", "slugs", "ols_residuals",
+        "supervised_windows", "inference_windows", "diagnostic_windows", "bin_labels", "run_limits", "available_roles", "missing_summary", "ols_report", "lookup_forward", "skeleton_distance", "projected_points", "joint_statistics", "frame_geometry", "signal_relationships", "normalisation_comparison", "model_feature_gaps"]
 
 
 def same(v):
