@@ -27,7 +27,7 @@ BLOCK, CELL = 2048, 32
 #: Codewords of a half at most; the sample has several vectors for each.
 WORDS = 256
 #: A partner lies in any direction alike, so the part of its distance that leads to one cell is this many
-#: standard deviations long at most: all but two in a million partners' cells are walked to.
+#: standard deviations long at most; by the normal law fewer than one in a million partners lies beyond.
 DEVIATIONS = 5.0
 
 
