@@ -19,6 +19,7 @@ that it has committed for a word, and reads them again when the stream brings th
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +30,9 @@ from pyspark.sql import functions as F
 from chronoweave.llm.common import column_of, map_arrow, texts_of
 
 MARK = "▁"
-#: Words, and pairs of pieces, that a worker remembers before it starts afresh (about 200 and 100 bytes each).
-MEMO_WORDS = 200_000
-MEMO_PAIRS = 200_000
+#: Words that a worker has seen of late and those before them, as many again; pairs of pieces (about 200 and 100 bytes each).
+MEMO_WORDS = 120_000
+MEMO_PAIRS = 400_000
 
 SCHEMA = "doc_id long, n_ids long, ids array<int>, round_trip boolean"
 
@@ -65,6 +66,7 @@ class PieceModel:
         self._bytes = [b"" if sp.is_control(i) else b" \xe2\x81\x87 " if sp.is_unknown(i) else bytes([int(p[3:5], 16)]) if sp.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(self._pieces)]
         self._pairs: dict[int, bool] = {}  # by piece, and the piece before it (0: none) shifted
         self._words: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The model's merges, best score first, leftmost on a tie."""
@@ -188,14 +190,52 @@ class PieceModel:
         words = _RUNS.findall((MARK + text).replace(" ", MARK))
         found = list(map(self._words.get, words))
         if None in found:
-            if len(self._words) > MEMO_WORDS:
-                self._words.clear()
-            for w in words:
-                if w not in self._words:
-                    self._words[w] = np.fromiter(self.search(iter(w)), np.int32).tobytes()
-            found = map(self._words.get, words)
+            for k, ids in enumerate(found):
+                if ids is None:
+                    found[k] = self._word(words[k])
         return np.frombuffer(b"".join(found), np.int32)
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a word, remembered; words met often outlive the others."""
+        if (ids := self._words.get(word)) is None:
+            if (ids := self._before.get(word)) is None:
+                ids = self._short(word) if not self._unigram and len(word) < 2 * self._longest else np.fromiter(self.search(iter(word)), np.int32).tobytes()
+            if len(self._words) >= MEMO_WORDS:
+                self._before, self._words = self._words, {}
+            self._words[word] = ids
+        return ids
+
+    def _short(self, word: str) -> bytes:
+        """The search over a word that the window holds whole: no path is committed before its end."""
+        ends, id_of, fits_of, longest = self._ends, self._id.get, self._pairs.get, self._longest
+        n = len(word)
+        # by boundary: where the arc to it starts, its piece, and the key of pairs with that piece on the left
+        starts, pieces, left = [0] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
+        for end in range(1, n + 1):
+            starts[end], pieces[end] = end - 1, -2
+            for start in range(end - 1, max(end - longest, 0) - 1, -1):
+                last = word[start:end]
+                if last not in ends:
+                    break
+                if (piece := id_of(last)) is not None:
+                    fits = fits_of(left[start] | piece)
+                    if fits or fits is None and self._fits(pieces[start], piece):
+                        starts[end], pieces[end], left[end] = start, piece, piece + 1 << 32
+                        break
+        ids: list[int] = []
+        end = n
+        while end:
+            piece = pieces[end]
+            if piece >= 0:
+                ids.append(piece)
+            elif self._byte:
+                ids.extend(self._byte[b] for b in reversed(word[end - 1].encode("utf-8", "replace")))
+            elif not ids or ids[-1] != self._unknown:
+                ids.append(self._unknown)
+            end = starts[end]
+        ids.reverse()
+        return array("i", ids).tobytes()
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined, marks as spaces, the mark at the front left out."""
         text = b"".join(map(self._bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
