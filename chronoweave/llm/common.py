@@ -81,6 +81,21 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], held: str, most: int = BROADCAST_ROWS) -> DataFrame:
+    """rows with the columns of their group, left joined; keys are never null.
+
+    groups is a written table with a row for each group and its number of rows in
+    `held`. Few groups are broadcast. Of many, those that hold so many rows that only few
+    such groups can exist are broadcast, and the rows of the others are shuffled: no
+    task gets a large group whole.
+    """
+    if groups.count() <= most:
+        return rows.join(F.broadcast(groups), keys, "left")
+    heavy = groups.agg(F.sum(held)).first()[0] / most
+    large = F.broadcast(groups.where(F.col(held) > heavy))
+    return rows.join(large, keys, "inner").unionByName(rows.join(large.select(*keys), keys, "left_anti").join(groups.where(F.col(held) <= heavy), keys, "left"))
+
+
 def _give_back() -> None:
     """Hands the worker's freed memory back to the system, as the worker outlives its task."""
     pa.default_memory_pool().release_unused()
@@ -121,6 +136,13 @@ def column_of(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def recoded(texts: pa.Array, to: bytes) -> pa.Array:
+    """texts with each byte replaced by that of a table of 256; the table leaves bytes over 127 alone."""
+    _, offsets, data = texts.buffers()
+    changed = pa.py_buffer(memoryview(data).tobytes().translate(to)) if data else data
+    return pa.Array.from_buffers(texts.type, len(texts), [None, offsets, changed], null_count=0, offset=texts.offset)
+
+
 def partial_batch(schema: pa.Schema, **columns: pa.Array) -> pa.RecordBatch:
     """A batch with some of the columns; the others are null."""
     rows = len(next(iter(columns.values())))

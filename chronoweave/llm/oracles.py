@@ -127,4 +127,94 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, count(h.place) AS n_base,
 FROM w LEFT JOIN hits h ON h.doc_id = w.doc_id GROUP BY w.doc_id, w.w
 """
 
-ORACLES = {"op5_top_k": OP5, "op6_jaccard": OP6, "op7_vector_dedup": OP7, "op8_mixing": OP8, "licenses_base": LICENSES_BASE}
+OP11 = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS k, doc_id, coalesce('0' || lang, '1') AS lang, coalesce('0' || source, '1') AS source, coalesce(text, '') AS text FROM documents
+),
+w AS (
+  SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM t
+),
+g AS (SELECT k, i, array_to_string(w[i:i + 7], ' ') AS g FROM w, unnest(range(1, len(w) - 6)) u(i)),
+again AS (SELECT k, g FROM g GROUP BY k, g HAVING count(*) > 1),
+rep AS (SELECT k, count(DISTINCT i + j) AS n FROM g JOIN again USING (k, g), unnest(range(0, 8)) u(j) GROUP BY k),
+m AS (
+  SELECT w.k, doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines
+  FROM w LEFT JOIN rep ON rep.k = w.k
+),
+v AS (
+  SELECT k, lang, source, n_words, unnest([
+    {'rule': 'word_length', 'x': 1000 * word_chars // greatest(n_words, 1), 'floor': 250, 'two': true}, {'rule': 'symbols', 'x': 1000 * n_symbols // greatest(n_words, 1), 'floor': 20, 'two': false},
+    {'rule': 'dup_lines', 'x': 1000 * n_dup_lines // greatest(n_lines, 1), 'floor': 100, 'two': false}, {'rule': 'repeats', 'x': 1000 * n_repeat_words // greatest(n_words, 1), 'floor': 100, 'two': false}], recursive := true)
+  FROM m
+),
+b AS (SELECT *, CASE WHEN x < 128 THEN x ELSE (x >> (length(bin(x)) - 7)) << (length(bin(x)) - 7) END AS least FROM v WHERE n_words > 0),
+q AS (
+  SELECT lang, source, rule, count(*) AS n, quantile_disc(least, 0.25) AS low, quantile_disc(least, 0.75) AS high FROM b GROUP BY GROUPING SETS ((lang, source, rule), (lang, rule), (rule))
+),
+f AS (
+  SELECT o.lang, o.source, o.rule, CASE WHEN o.n >= 200 THEN o.low WHEN l.n >= 200 THEN l.low ELSE e.low END AS low, CASE WHEN o.n >= 200 THEN o.high WHEN l.n >= 200 THEN l.high ELSE e.high END AS high
+  FROM q o JOIN q l ON l.lang = o.lang AND l.source IS NULL AND l.rule = o.rule JOIN q e ON e.lang IS NULL AND e.source IS NULL AND e.rule = o.rule
+  WHERE o.source IS NOT NULL
+),
+bad AS (
+  SELECT DISTINCT v.k FROM v JOIN f USING (lang, source, rule)
+  WHERE v.x > f.high + 5 * greatest(f.high - f.low, floor) OR (two AND v.x < f.low - 5 * greatest(f.high - f.low, floor))
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND bad.k IS NULL AS kept
+FROM m LEFT JOIN bad ON bad.k = m.k
+"""
+
+OP12 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+),
+c AS (SELECT CAST(count(*) FILTER (len(w) > 0) AS BIGINT) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+),
+u AS (SELECT k, doc_id, len(w) AS n, unnest(w) AS t FROM d),
+p AS (SELECT k, doc_id, n, t, count(*) AS tf FROM u WHERE t IN (SELECT t FROM q) GROUP BY k, doc_id, n, t),
+x AS (SELECT t, CAST(floor(1000 * ln((2.0::DOUBLE * c.n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY t, c.n),
+s AS (
+  SELECT item_id, k, doc_id, CAST(sum(x.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * p.n * c.n) // c.l)))) AS BIGINT) AS score
+  FROM q JOIN p USING (t) JOIN x USING (t), c GROUP BY item_id, k, doc_id
+),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+#: Assignment of all parts to the entries of codebook {n}, and the codebook after it.
+_ASSIGNED = """
+a{n} AS MATERIALIZED (
+  SELECT k, p.part, p.x, min(CAST(list_dot_product(p.f, p.f) - 2 * list_dot_product(p.f, b.f) + list_dot_product(b.f, b.f) AS BIGINT) * 256 + b.entry) AS best
+  FROM p JOIN b{n} b USING (part) GROUP BY k, p.part, p.x
+)"""
+_MOVED = """
+m{n} AS (
+  SELECT part, entry, list(c ORDER BY j) AS c
+  FROM (SELECT part, best % 256 AS entry, j, CAST(floor(CAST(sum(x[j]) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM a{n}, unnest(range(1, len(x) + 1)) u(j) GROUP BY 1, 2, 3) GROUP BY part, entry
+),
+b{m} AS MATERIALIZED (SELECT part, entry, coalesce(m.c, b.c) AS c, CAST(coalesce(m.c, b.c) AS DOUBLE[]) AS f FROM b{n} b LEFT JOIN m{n} m USING (part, entry))"""
+
+OP13 = (
+    """
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS k, vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+),
+p AS MATERIALIZED (SELECT k, part, x, CAST(x AS DOUBLE[]) AS f FROM (SELECT k, part, v[part * (len(v) // 4) + 1:(part + 1) * (len(v) // 4)] AS x FROM v, unnest(range(0, 4)) u(part))),
+b0 AS MATERIALIZED (SELECT part, k AS entry, x AS c, f FROM p WHERE k < 256),"""
+    + ",".join(_ASSIGNED.format(n=n) + "," + _MOVED.format(n=n, m=n + 1) for n in range(4))
+    + ","
+    + _ASSIGNED.format(n=4)
+    + """,
+c AS (SELECT k, string_agg(format('{:02x}', best % 256), '' ORDER BY part) AS code, CAST(sum(best // 256) AS BIGINT) AS error FROM a4 GROUP BY k),
+h AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) AS h FROM b4)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM v JOIN c USING (k), h
+"""
+)
+
+ORACLES = {"op5_top_k": OP5, "op6_jaccard": OP6, "op7_vector_dedup": OP7, "op8_mixing": OP8, "op11_quality_rules": OP11, "op12_lexical_search": OP12, "op13_vector_codes": OP13, "licenses_base": LICENSES_BASE}

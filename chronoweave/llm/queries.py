@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from chronoweave.llm.common import crc_mod, fresh_path, table
 from chronoweave.llm.language_id import identify_language
+from chronoweave.llm.lexical_search import ranked_search
 from chronoweave.llm.licenses import license_scan
 from chronoweave.llm.mixing import mix
 from chronoweave.llm.ngram_join import jaccard_components
 from chronoweave.llm.pieces import encode_pieces
 from chronoweave.llm.quality import score_quality
+from chronoweave.llm.quality_rules import quality_rules
 from chronoweave.llm.token_counts import section_token_counts
 from chronoweave.llm.token_store import read_token_store, write_token_store
+from chronoweave.llm.vector_codes import vector_codes
 from chronoweave.llm.vector_dedup import near_duplicates
 from chronoweave.llm.vector_topk import top_k
 
@@ -72,8 +75,20 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "cross_entropy", "n_letters", "rejected")
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(table(spark, sf_dir, "documents")).drop("failed")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_token_counts, op2_pieces, op3_licenses, op4_token_store, op5_top_k, op6_jaccard, op7_vector_dedup, op8_mixing, op9_quality, op10_language, licenses_base)
+    own = (op1_token_counts, op2_pieces, op3_licenses, op4_token_store, op5_top_k, op6_jaccard, op7_vector_dedup, op8_mixing, op9_quality, op10_language, op11_quality_rules, op12_lexical_search, op13_vector_codes, licenses_base)
     return {f.__name__: f for f in own}
 
 
