@@ -4,7 +4,8 @@ A source's target is a multiple of its words: whole copies of every document are
 certain, and a sample of fixed size in words fills the rest. A document's probability
 of entering the sample grows with the root of its words; those that reach 1 are
 certain, and the others' are rescaled. Documents are ranked by random odds over
-inclusion odds, and taken in that order until the words are full.
+inclusion odds, and taken in that order until the words are full. Those after the first
+that does not fit are tried in the same order, and ever smaller ones fill what is left.
 
 Sources may be of any size: no row is sent to its source. Ranks are cut into slices
 whose word counts are pre-aggregated; only the documents of the one slice in which the
@@ -23,8 +24,8 @@ from chronoweave.llm.common import Scratch, small
 SLICES = 4096
 #: Inclusion probabilities are in proportion to this power of a document's words.
 POWER = 0.5
-#: Documents that may be added to a source at last, one at a time, each where it brings the words nearer the target.
-LAST = 3
+#: Documents after the first that does not fit that are tried in rank order, and of each doubling of size in a round of filling.
+NEXT, EACH = 256, 64
 
 _KEY = ["src", "doc_id", "size", "nth"]
 
@@ -127,19 +128,50 @@ def _planned(rows: DataFrame, cap: float, weights: tuple[int, ...], seed: str, s
     taken = scratch.write(of_cut.withColumn("upto", F.col("before") + within).where("upto <= room").select(*_KEY), "taken")
     room = sources.select("src", "room").join(plan.select("src", "before"), "src").join(taken.groupBy("src").agg(F.sum("size").alias("more")), "src", "left")
     room = scratch.write(room.select("src", (F.col("room") - F.coalesce("before", F.lit(0)) - F.coalesce("more", F.lit(0))).alias("left")), "left")
-    for k in range(LAST):
-        # of the documents not taken, the one that comes nearest to what is left, if it comes nearer than nothing
-        rest = _ranked(rows, small(plan), seed).where("size > 0 and not coalesce(slice < cut, false)").join(small(room.where("left > 0")), "src").where("size < 2 * left")
-        rest = _without(rest, taken)
-        nearest = rest.groupBy("src").agg(F.min(F.struct(F.abs(F.col("size") - F.col("left")).alias("miss"), F.coalesce("rank", F.lit(2.0)).alias("rank"), "doc_id", "size", "nth")).alias("x"))
-        extra = scratch.write(nearest.select("src", "x.doc_id", "x.size", "x.nth"), f"extra-{k}")
+    ranked = _ranked(rows, small(plan), seed).where("size > 0 and not coalesce(slice < cut, false)")
+
+    def others(most) -> DataFrame:
+        """Documents that no one has taken, no longer than `most`, with what is left."""
+        return _without(ranked.join(small(room.where("left > 0")), "src").where(F.col("size") <= most), taken)
+
+    def take(extra: DataFrame, name: str) -> bool:
+        nonlocal taken, room
+        extra = scratch.write(extra, name)
         if extra.isEmpty():
-            break
+            return False
         taken = scratch.write(taken.unionByName(extra), "taken")
-        room = scratch.write(room.join(extra.select("src", F.col("size").alias("got")), "src", "left").select("src", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left")), "left")
+        got = extra.groupBy("src").agg(F.sum("size").alias("got"))
+        room = scratch.write(room.join(got, "src", "left").select("src", (F.col("left") - F.coalesce("got", F.lit(0))).alias("left")), "left")
+        return True
+
+    # past the document that did not fit: the next ones in rank order
+    take(_filled(_first(others(F.col("left")), ["src"], NEXT), [F.col("rank"), F.col("doc_id"), F.col("size"), F.col("nth")]), "next")
+    # the rest is filled with ever smaller ones, until none fits
+    longest_first = [-F.col("size"), F.col("rank"), F.col("doc_id"), F.col("nth")]
+    k = 0
+    while take(_filled(_first(others(F.col("left")), ["src", F.length(F.bin("size"))], EACH), longest_first), f"fill-{k}"):
+        k += 1
+    # at last one more, where it comes nearer than nothing
+    nearest = others(2 * F.col("left")).groupBy("src").agg(F.min(F.struct("size", F.coalesce("rank", F.lit(2.0)).alias("rank"), "doc_id", "nth")).alias("x"), F.first("left").alias("left"))
+    take(nearest.where(F.col("x.size") < 2 * F.col("left")).select("src", "x.doc_id", "x.size", "x.nth"), "nearest")
     return plan, taken
 
 
+def _first(rows: DataFrame, group: list, k: int) -> DataFrame:
+    """The first k rows of each group in rank order; each task sends its own first k alone."""
+    order = W.partitionBy(*group).orderBy("rank", "doc_id", "size", "nth")
+    return rows.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k)
+
+
+def _filled(rows: DataFrame, order: list[Column]) -> DataFrame:
+    """Of a few documents of each source those (_KEY) that fit into what is left, tried one after the other."""
+    each = F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)], "doc_id", "size", "nth")
+    lists = rows.groupBy("src", "left").agg(F.array_sort(F.collect_list(each)).alias("x"))
+    nothing = F.slice(F.col("x"), 1, 0)
+    fold = F.aggregate("x", F.struct(F.col("left").alias("left"), nothing.alias("got")), lambda a, d: F.when(d["size"] <= a["left"], F.struct((a["left"] - d["size"]).alias("left"), F.concat(a["got"], F.array(d)).alias("got"))).otherwise(a))
+    return lists.select("src", F.explode(fold["got"]).alias("d")).select("src", "d.doc_id", "d.size", "d.nth")
+
+
 def _same(a: str, b: str):
     return (F.col(f"{a}.src") == F.col(f"{b}.src")) & F.col(f"{a}.doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col(f"{a}.size") == F.col(f"{b}.size")) & (F.col(f"{a}.nth") == F.col(f"{b}.nth"))
 
@@ -163,13 +195,15 @@ def mix(docs: DataFrame, cap: float = 3.0, weights: tuple[int, ...] = (1, 2, 3),
     Columns: doc_id, nth, src, size, source_size, target, inclusion, copies, taken.
     copies is the number of times the mix holds the document: the source's certain
     copies, and one more with probability `inclusion`; at most cap. taken is copies
-    times size. A source's taken words miss its target by no more than half its
-    smallest document that is left out, or by what its certain copies leave no document for.
+    times size. A source's taken words miss its target by no
+    more than half of its smallest document that has no more copies than its certain ones;
+    where only longer documents than what is left remain, the last may be added whole,
+    and the miss is no more than half of that.
 
     The order is a hash of id and seed: reruns agree. Rows of one id are told apart by
     nth, 0 but for repeated ids. Null texts have size 0, a null source is a source of
     its own, a null id is an id. Documents of size 0 come with their certain copies;
-    those longer than what is left to sample are not sampled (inclusion 0), but may be
+    those longer than what is left to sample are not sampled (inclusion 0), but one may be
     the last to be added. An empty table gives an empty table. Other columns, of any
     name, are not read.
     """

@@ -101,16 +101,35 @@ f0 AS (
   FROM r
 )"""
 
-#: One more document of a source, that which comes nearest to what is left.
+#: Of the first {k} documents of each {group} those that fit into what is left, tried in the given order.
+_FILL = """
+g{n} AS MATERIALIZED (SELECT *, room - coalesce(sum(CASE WHEN got THEN size END) OVER (PARTITION BY src), 0) AS gap FROM f{m}),
+c{n} AS MATERIALIZED (
+  SELECT src, doc_id, size, nth, gap, row_number() OVER (PARTITION BY src ORDER BY {order}) AS n
+  FROM (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY rank, doc_id, size, nth) AS e FROM g{n} WHERE NOT got AND size > 0 AND gap > 0 AND size <= gap) WHERE e <= {k}
+),
+w{n} AS (
+  SELECT src, n, doc_id, size, nth, TRUE AS took, gap - size AS gap FROM c{n} WHERE n = 1
+  UNION ALL
+  SELECT c.src, c.n, c.doc_id, c.size, c.nth, c.size <= w.gap, w.gap - CASE WHEN c.size <= w.gap THEN c.size ELSE 0 END FROM w{n} w JOIN c{n} c ON c.src = w.src AND c.n = w.n + 1
+),
+f{n} AS MATERIALIZED (
+  SELECT g.* EXCLUDE (got, gap), got OR coalesce(took, FALSE) AS got
+  FROM g{n} g LEFT JOIN w{n} w ON w.src = g.src AND w.doc_id IS NOT DISTINCT FROM g.doc_id AND w.size = g.size AND w.nth = g.nth
+)"""
+
+#: At last one more document, where it comes nearer than nothing.
 _NEAREST = """
 g{n} AS (SELECT *, room - coalesce(sum(CASE WHEN got THEN size END) OVER (PARTITION BY src), 0) AS gap FROM f{m}),
 f{n} AS (
-  SELECT * EXCLUDE (got, gap, o), got OR (o = 1 AND NOT got AND size > 0 AND gap > 0 AND size < 2 * gap) AS got
-  FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY CASE WHEN NOT got AND size > 0 AND gap > 0 AND size < 2 * gap THEN 0 ELSE 1 END, abs(size - gap), coalesce(rank, 2), doc_id, size, nth) AS o FROM g{n})
+  SELECT * EXCLUDE (got, o), got OR (o = 1 AND NOT got AND size > 0 AND gap > 0 AND size < 2 * gap) AS got
+  FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY CASE WHEN NOT got AND size > 0 AND gap > 0 AND size < 2 * gap THEN 0 ELSE 1 END, size, coalesce(rank, 2), doc_id, nth) AS o FROM g{n})
 )"""
 
-OP8 = "WITH " + _MIX + "".join("," + _NEAREST.format(n=k + 1, m=k) for k in range(3)) + """
-SELECT doc_id, size, source_size, target, (certain + CAST(got AS BIGINT)) * size AS taken FROM f3
+_FILLS = [dict(order="rank, doc_id, size, nth", group="src", k=256)] + [dict(order="size DESC, rank, doc_id, nth", group="src, length(bin(size))", k=64)] * 4
+
+OP8 = "WITH RECURSIVE " + _MIX + "".join("," + _FILL.format(n=k + 1, m=k, **x) for k, x in enumerate(_FILLS)) + "," + _NEAREST.format(n=6, m=5) + """
+SELECT doc_id, size, source_size, target, (certain + CAST(got AS BIGINT)) * size AS taken FROM f6
 """
 
 #: op3's columns that the contract fixes: places and labels of its phrases.
