@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.operators.scan import scan, slice_of
+
 
 def index_window(frames: DataFrame, run: list[str], radius: int, payload: str, index: str = "sample_index", name: str = "window") -> DataFrame:
     """Each frame with the rows of all frames within radius indices, in order; missing frames add nothing."""
@@ -73,10 +75,10 @@ def frame_stride(period_sec: float, fps: str = "target_fps"):
 
 def change_segments(rows: DataFrame, run: list[str], order: str, state: str) -> DataFrame:
     """Half-open segments [start, stop) of equal state in each run; null is a state."""
-    w = W.partitionBy(run).orderBy(order)
-    first = F.row_number().over(w) == 1
-    moved = first | ~F.col(state).eqNullSafe(F.lag(state).over(w))
-    marked = rows.withColumn("_new", moved.cast("int")).withColumn("segment_index", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)) - 1)
+    slices = slice_of(rows, order)
+    marked = scan(rows, run, slices, [order], previous={"_before": F.struct(F.col(state).alias("state"))})
+    moved = F.col("_before").isNull() | ~F.col(state).eqNullSafe(F.col("_before.state"))
+    marked = scan(marked.withColumn("_new", moved), run, slices, [order], sums={"segment_index": F.col("_new")}, of=[rows]).withColumn("segment_index", F.col("segment_index") - 1)
     group = marked.groupBy(*run, "segment_index").agg(F.first(state).alias(state), F.min(order).alias("start"), (F.max(order) + 1).alias("stop"), F.count("*").alias("n"))
     return group
 

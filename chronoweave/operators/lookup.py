@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.operators.nearest import nearest_targets
+from chronoweave.operators.scan import INDEX_SLICE, scan
+from chronoweave.sources.shared import written
 
 #: Rows that an inverse lookup without an exact match chooses from.
 NEARBY = 20
@@ -32,45 +34,41 @@ def source_of_target(mapping: DataFrame, wanted: DataFrame, keys: list[str], str
 
     Exact matches if there are any, by preference. Else the NEARBY rows nearest in
     target index compete, so a primary row beats a nearer one, unless strict_nearest.
-    The nearest rows on either side of a target are found by position, not by pairing
-    it with the whole mapping.
+
+    Mapped targets are numbered in slices of their index; a wanted target meets the
+    NEARBY mapped ones on either side by their numbers. Each brings its best row, for an
+    exact match, and its first NEARBY rows.
     """
-    marks = wanted.select(*keys, F.col("target_sample_index").alias("_t")).distinct()
-    rows = mapping.select(*keys, F.col("target_sample_index").alias("_t"), "source_sample_index", F.col("rank").alias("_rank"), F.lit(1).alias("_kind"))
-    sizes = rows.groupBy(keys).agg(F.count("*").alias("_n"))
-    both = rows.unionByName(marks.withColumns({"source_sample_index": F.lit(None).cast("long"), "_rank": F.lit(None).cast("int"), "_kind": F.lit(0)}))
-
-    def on_side(left: bool) -> DataFrame:
-        """The NEARBY rows on one side of each mark; of equal targets the smaller sources are nearer."""
-        tie = [F.desc_nulls_first("source_sample_index"), F.desc("_rank")] if left else [F.asc_nulls_first("source_sample_index"), F.asc("_rank")]
-        place = W.partitionBy(keys).orderBy("_t", "_kind", *tie).rowsBetween(W.unboundedPreceding, 0)
-        placed = both.withColumn("_p", F.sum("_kind").over(place))
-        at = placed.where("_kind = 0").join(sizes, keys)
-        span = F.sequence(F.greatest(F.col("_p") + 1 - NEARBY, F.lit(1)), F.col("_p")) if left else F.sequence(F.col("_p") + 1, F.least(F.col("_p") + NEARBY, F.col("_n")))
-        at = at.where("_p >= 1" if left else "_p < _n").select(*keys, F.col("_t").alias("_want"), F.explode(span).alias("_p"))
-        return at.join(placed.where("_kind = 1").select(*keys, "_p", "_t", "source_sample_index", "_rank"), [*keys, "_p"]).drop("_p")
-
-    near = on_side(True).unionByName(on_side(False)).withColumn("distance", F.abs(F.col("_t") - F.col("_want")))
-    nearest = W.partitionBy(*keys, "_want").orderBy("distance", "source_sample_index", "_t")
-    near = near.withColumn("_k", F.row_number().over(nearest)).where((F.col("_k") <= NEARBY) & (F.col("distance") > 0))
-    if strict_nearest:
-        near = near.where("_k = 1")
-    hits = mapping.join(marks.withColumn("_want", F.col("_t")), (F.col("target_sample_index") == F.col("_t")) & _same(mapping, marks, keys), "inner").select(mapping["*"], "_want", F.lit(0).cast("long").alias("distance"))
-    # the same tie order as among the nearest: distance, then source and target index
-    others = near.select(*keys, "_want", "distance", "source_sample_index", F.col("_t").alias("target_sample_index"), F.col("_rank").alias("rank"))
-    free = others.join(hits.select(*keys, "_want").distinct(), [*keys, "_want"], "left_anti")
-    free = mapping.join(free, [*keys, "source_sample_index", "target_sample_index", "rank"])
-    every = hits.select(*mapping.columns, "_want", "distance").unionByName(free.select(*mapping.columns, "_want", "distance"))
-    order = W.partitionBy(*keys, "_want").orderBy(*_preference(), "source_sample_index", "target_sample_index")
-    best = every.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
-    return best.withColumnRenamed("target_sample_index", "matched_target_index").withColumnRenamed("_want", "target_sample_index")
-
-
-def _same(a: DataFrame, b: DataFrame, keys: list[str]):
-    out = F.lit(True)
-    for k in keys:
-        out = out & (a[k] == b[k])
-    return out
+    key = [*keys, "target_sample_index"]
+    row = F.struct(*[F.col(c) for c in mapping.columns])
+    preferred = F.struct(
+        F.when(F.col("is_primary"), 0).when(~F.col("is_primary"), 1).otherwise(2).alias("p"), F.coalesce("rank", F.lit(1e6)).alias("r"), F.coalesce(F.abs("delta_ms"), F.lit(1e6)).alias("d"),
+        F.col("source_sample_index").alias("s"), row.alias("row"),
+    )
+    # of the rows of one target the smaller sources are nearer
+    first = W.partitionBy(key).orderBy("source_sample_index", "rank")
+    near = mapping.where(F.col("target_sample_index").isNotNull()).withColumns({"_n": F.row_number().over(first), "_x": preferred}).where(F.col("_n") <= NEARBY)
+    targets = near.groupBy(key).agg(F.collect_list("_x").alias("_near"))
+    best = mapping.where(F.col("target_sample_index").isNotNull()).withColumn("_x", preferred).groupBy(key).agg(F.min("_x").alias("_best"))
+    targets = targets.join(best, key).withColumn("_kind_of", F.lit(0))
+
+    asked = wanted.select(key).where(F.col("target_sample_index").isNotNull()).distinct().withColumn("_kind_of", F.lit(1))
+    placed = scan(targets.unionByName(asked, allowMissingColumns=True), keys, F.floor(F.col("target_sample_index") / INDEX_SLICE), ["target_sample_index", "_kind_of"], sums={"_p": F.col("_kind_of") == 0}, of=[mapping, wanted])
+    placed = written(placed, "placed-targets")  # both sides of the join read it
+    around = F.explode(F.sequence(F.col("_p") - NEARBY + 1, F.col("_p") + NEARBY))
+    meets = placed.where("_kind_of = 1").select(*keys, F.col("target_sample_index").alias("_want"), around.alias("_p"))
+    met = meets.join(placed.where("_kind_of = 0").select(*keys, "_p", F.col("target_sample_index").alias("_t"), "_near", "_best"), [*keys, "_p"])
+
+    away = F.abs(F.col("_t") - F.col("_want")).alias("distance")
+    choices = F.transform("_near", lambda x: F.struct(away, x["s"].alias("s"), F.col("_t").alias("t"), x["r"].alias("r"), x.alias("x")))
+    found = met.groupBy(*keys, "_want").agg(F.max(F.when(F.col("_t") == F.col("_want"), F.col("_best"))).alias("_hit"), F.flatten(F.collect_list(F.when(F.col("_t") != F.col("_want"), choices))).alias("_near"))
+    others = F.slice(F.array_sort("_near"), 1, 1 if strict_nearest else NEARBY)
+    # the same order as among exact matches, then the smaller target
+    pick = F.array_min(F.transform(others, lambda o: F.struct(o["x"]["p"].alias("p"), o["x"]["r"].alias("r"), o["x"]["d"].alias("d"), o["s"].alias("s"), o["t"].alias("t"), o["distance"].alias("distance"), o["x"]["row"].alias("row"))))
+    out = found.withColumn("_other", pick).withColumn("_row", F.coalesce("_hit.row", "_other.row")).where("_row is not null")
+    distance = F.when(F.col("_hit").isNotNull(), F.lit(0)).otherwise(F.col("_other.distance")).cast("long").alias("distance")
+    columns = [F.col(f"_row.{c}").alias("matched_target_index" if c == "target_sample_index" else c) for c in mapping.columns]
+    return out.select(*columns, F.col("_want").alias("target_sample_index"), distance)
 
 
 def nearest_by_time(samples: DataFrame, wanted: DataFrame, keys: list[str], query: str) -> DataFrame:

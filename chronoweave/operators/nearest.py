@@ -2,9 +2,8 @@
 
 A join on positions. Targets of a group are numbered in time order; each source finds
 how many targets lie before it; its candidates are a fixed number of positions on
-either side, an equi-join. To count over long runs, time is cut into slices: counts of
-slices are summed over a group, rows only inside their own slice, so no task needs to
-hold a run.
+either side, an equi-join. Counts over long runs are scanned in slices of time, so no
+task needs to hold a run.
 """
 
 from __future__ import annotations
@@ -15,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Microseconds in a slice of time.
-SLICE = 3_600_000_000
+from chronoweave.operators.scan import SLICE, scan
 
 #: Support states that no target stands behind.
 UNSUPPORTED = ("outside_run", "missing_source_time", "missing_target")
@@ -43,42 +41,33 @@ class NearestConfig:
             object.__setattr__(self, field, value)
 
 
-def positions(rows: DataFrame, keys: list[str], slice_width: int = SLICE) -> DataFrame:
-    """rows (keys, t, is_target, sample_index) with `pos`: targets strictly before t, for a
-    target its own place in the order of (t, sample_index); and `n`, the group's targets.
-    """
-    rows = rows.withColumn("_slice", F.floor(F.col("t") / slice_width))
-    mine = F.sum(F.col("is_target").cast("long"))
-    counts = rows.groupBy(*keys, "_slice").agg(mine.alias("_c"))
-    before = W.partitionBy(keys).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumns({"_before": F.coalesce(F.sum("_c").over(before), F.lit(0)), "n": F.sum("_c").over(W.partitionBy(keys))}).drop("_c")
-    # at one time sources come before targets, so they count strictly earlier ones
-    inside = W.partitionBy(*keys, "_slice").orderBy("t", "is_target", "sample_index").rowsBetween(W.unboundedPreceding, -1)
-    ranked = rows.withColumn("_in", F.coalesce(mine.over(inside), F.lit(0)))
-    return ranked.join(counts, [*keys, "_slice"]).withColumn("pos", F.col("_before") + F.col("_in")).drop("_slice", "_before", "_in")
-
-
-def nearest_targets(sources: DataFrame, targets: DataFrame, keys: list[str], k: int = 3, slice_width: int = SLICE) -> DataFrame:
+def nearest_targets(sources: DataFrame, targets: DataFrame, keys: list[str], k: int = 3, slice_width: int = SLICE, more: tuple[str, ...] = ()) -> DataFrame:
     """The k nearest targets of every source of the same group.
 
     sources, targets: keys, sample_index, t (long, microseconds; null times take no part).
     Returns keys, source_sample_index, source_t, target_sample_index, target_t, rank,
-    delta_us (target minus source), t_min, t_max (the group's target coverage). Ties in
-    distance go to the earlier target, equal times to the smaller sample_index. A group
-    with fewer targets gives fewer rows; k below 1 counts as 1.
+    delta_us (target minus source), t_min, t_max (the group's target coverage), and the
+    columns `more` of the sources. Ties in distance go to the earlier target, equal times
+    to the smaller sample_index. A group with fewer targets gives fewer rows; k below 1
+    counts as 1.
     """
     take = max(1, k)
-    src = sources.where("t is not null").select(*keys, "sample_index", "t")
-    tgt = targets.where("t is not null").select(*keys, "sample_index", "t")
-    both = positions(src.withColumn("is_target", F.lit(False)).unionByName(tgt.withColumn("is_target", F.lit(True))), keys, slice_width)
-    numbered = both.where("is_target").select(*keys, F.col("pos").alias("_p"), F.col("sample_index").alias("target_sample_index"), F.col("t").alias("target_t"))
-    span = tgt.groupBy(keys).agg(F.min("t").alias("t_min"), F.max("t").alias("t_max"))
+    src = sources.where("t is not null").select(*keys, "sample_index", "t", F.lit(False).alias("is_target"), F.struct(F.lit(0).alias("_"), *more).alias("_more"))
+    tgt = targets.where("t is not null").select(*keys, "sample_index", "t", F.lit(True).alias("is_target"))
+    # at one time sources come before targets, so they count strictly earlier ones
+    target = F.col("is_target").cast("long")
+    time = F.when(F.col("is_target"), F.col("t"))
+    both = scan(
+        src.unionByName(tgt, allowMissingColumns=True), keys, F.floor(F.col("t") / slice_width), ["t", "is_target", "sample_index"],
+        sums={"pos": target}, wholes={"n": (F.sum, target), "t_min": (F.min, time), "t_max": (F.max, time)}, of=[src, tgt],
+    )
+    numbered = both.where("is_target").select(*keys, (F.col("pos") - 1).alias("_p"), F.col("sample_index").alias("target_sample_index"), F.col("t").alias("target_t"))
     low, high = F.greatest(F.col("pos") - (take + 2), F.lit(0)), F.least(F.col("pos") + (take + 2), F.col("n") - 1)
-    wanted = both.where("not is_target and n > 0").select(*keys, F.col("sample_index").alias("source_sample_index"), F.col("t").alias("source_t"), F.explode(F.sequence(low, high)).alias("_p"))
+    wanted = both.where("not is_target and n > 0").select(*keys, F.col("sample_index").alias("source_sample_index"), F.col("t").alias("source_t"), "t_min", "t_max", "_more", F.explode(F.sequence(low, high)).alias("_p"))
     met = wanted.join(numbered, [*keys, "_p"]).withColumn("delta_us", F.col("target_t") - F.col("source_t"))
     order = W.partitionBy(*keys, "source_sample_index", "source_t").orderBy(F.abs("delta_us"), "_p")
-    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= take).drop("_p")
-    return best.join(span, keys)
+    best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= take)
+    return best.select(*keys, "source_sample_index", "source_t", "target_sample_index", "target_t", "rank", "delta_us", "t_min", "t_max", *[F.col(f"_more.{c}").alias(c) for c in more])
 
 
 def in_window(config: NearestConfig) -> Column:

@@ -5,21 +5,30 @@ Anchors: group keys, anchor_id, source_time, target_time (seconds, double).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions.times import finite
 from chronoweave.operators.nearest import UNSUPPORTED, NearestConfig, nearest_targets, primary
+from chronoweave.operators.scan import SLICE, scan
+from chronoweave.sources.shared import written
 
 #: Policies that all continue the first or last line.
 EXTRAPOLATING = ("allow_linear", "allow_with_penalty", "allow_nearest_only")
 
 
-def anchor_problems(anchors: DataFrame, keys: list[str], require_monotonic_target: bool = True) -> DataFrame:
+_ORDER = ["source_time", "anchor_id"]
+
+
+def _slice(seconds: str, width: int) -> Column:
+    """The slice, of `width` microseconds, of a time in seconds; times that are not finite stand together."""
+    return F.coalesce(F.floor(finite(F.col(seconds)) / (width / 1e6)), F.lit(1 << 62))
+
+
+def anchor_problems(anchors: DataFrame, keys: list[str], require_monotonic_target: bool = True, slice_width: int = SLICE) -> DataFrame:
     """Groups whose anchors make no model: keys, problem."""
-    order = W.partitionBy(keys).orderBy("source_time", "anchor_id")
-    rows = anchors.withColumns({"ds": F.col("source_time") - F.lag("source_time").over(order), "dt": F.col("target_time") - F.lag("target_time").over(order)})
+    rows = scan(anchors, keys, _slice("source_time", slice_width), _ORDER, previous={"_p": F.struct("source_time", "target_time")})
+    rows = rows.withColumns({"ds": F.col("source_time") - F.col("_p.source_time"), "dt": F.col("target_time") - F.col("_p.target_time")})
     bad = rows.groupBy(keys).agg(
         F.count("*").alias("n"),
         F.bool_or(finite(F.col("source_time")).isNull() | finite(F.col("target_time")).isNull()).alias("infinite"),
@@ -40,36 +49,30 @@ def check_anchors(anchors: DataFrame, keys: list[str], require_monotonic_target:
         raise ValueError(f"{found[0]['problem']}: {found[0].asDict()}")
 
 
-def fit_segments(anchors: DataFrame, keys: list[str]) -> DataFrame:
+def fit_segments(anchors: DataFrame, keys: list[str], slice_width: int = SLICE) -> DataFrame:
     """The lines between consecutive anchors, numbered from 0 in source time."""
-    order = W.partitionBy(keys).orderBy("source_time", "anchor_id")
-    nxt = lambda c: F.lead(c).over(order)
-    rows = anchors.select(
-        *keys, (F.row_number().over(order) - 1).alias("segment_index"), F.col("anchor_id").alias("left_anchor_id"), nxt("anchor_id").alias("right_anchor_id"),
-        F.col("source_time").alias("source_start"), nxt("source_time").alias("source_end"), F.col("target_time").alias("target_start"), nxt("target_time").alias("target_end"),
-    ).where("source_end is not null")
+    rows = scan(anchors, keys, _slice("source_time", slice_width), _ORDER, sums={"_n": F.lit(1)}, previous={"_p": F.struct("anchor_id", "source_time", "target_time")})
+    rows = rows.where("_p is not null").select(
+        *keys, (F.col("_n") - 2).alias("segment_index"), F.col("_p.anchor_id").alias("left_anchor_id"), F.col("anchor_id").alias("right_anchor_id"),
+        F.col("_p.source_time").alias("source_start"), F.col("source_time").alias("source_end"), F.col("_p.target_time").alias("target_start"), F.col("target_time").alias("target_end"),
+    )
     slope = (F.col("target_end") - F.col("target_start")) / (F.col("source_end") - F.col("source_start"))
     return rows.withColumn("slope", slope).withColumn("intercept", F.col("target_start") - F.col("slope") * F.col("source_start"))
 
 
-def predict(times: DataFrame, segments: DataFrame, keys: list[str], policy: str = "disallow") -> DataFrame:
+def predict(times: DataFrame, segments: DataFrame, keys: list[str], policy: str = "disallow", slice_width: int = SLICE) -> DataFrame:
     """times (keys, source_time, more) with target_time, region and segment_index.
 
     A row's segment is the last one that starts at or before it: segments and times are
-    merged in time order, so this is one window, not a range join. Outside the anchors
+    scanned together in time order, hour by hour, so no task holds a group. Outside the anchors
     the first or last line goes on if the policy extrapolates; else the row is
     unsupported and its target_time null, as for times that are not finite.
     """
     at = F.struct(*[F.col(c) for c in ("segment_index", "source_start", "source_end", "target_start", "slope")])
-    marks = segments.select(*keys, F.col("source_start").alias("_t"), F.lit(0).alias("_kind"), at.alias("_mark"), F.lit(None).cast(_row_type(times)).alias("_row"))
-    rows = times.select(*keys, F.col("source_time").cast("double").alias("_t"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_mark"].dataType).alias("_mark"), F.struct(*times.columns).alias("_row"))
-    order = W.partitionBy(keys).orderBy("_t", "_kind")
-    first = W.partitionBy(keys)
-    both = marks.unionByName(rows).withColumns({
-        "_at": F.last("_mark", ignorenulls=True).over(order.rowsBetween(W.unboundedPreceding, 0)),
-        "_first": F.min("_mark").over(first),
-        "_last": F.max("_mark").over(first),
-    }).where("_kind = 1")
+    marks = segments.select(*keys, F.col("source_start").alias("_t"), F.lit(0).alias("_side"), at.alias("_mark"), F.lit(None).cast(_row_type(times)).alias("_row"))
+    rows = times.select(*keys, F.col("source_time").cast("double").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(marks.schema["_mark"].dataType).alias("_mark"), F.struct(*times.columns).alias("_row"))
+    mark = F.col("_mark")
+    both = scan(marks.unionByName(rows), keys, _slice("_t", slice_width), ["_t", "_side"], lasts={"_at": mark}, wholes={"_first": (F.min, mark), "_last": (F.max, mark)}, of=[times, segments]).where("_side = 1")
     t = F.col("_t")
     seg = F.coalesce("_at", "_first")
     both = both.withColumn("_seg", seg)
@@ -92,24 +95,26 @@ def _row_type(df: DataFrame):
     return df.select(F.struct(*df.columns).alias("r")).schema["r"].dataType
 
 
-def anchor_residuals(anchors: DataFrame, segments: DataFrame, keys: list[str]) -> DataFrame:
+def anchor_residuals(anchors: DataFrame, segments: DataFrame, keys: list[str], slice_width: int = SLICE) -> DataFrame:
     """Prediction at each anchor against its own target time."""
     own = anchors.select(*keys, "anchor_id", "source_time", F.col("target_time").alias("observed_time"))
-    out = predict(own, segments, keys, "allow_linear")
+    out = predict(own, segments, keys, "allow_linear", slice_width)
     return out.withColumn("residual_sec", F.col("target_time") - F.col("observed_time")).withColumn("residual_ms", F.col("residual_sec") * 1000)
 
 
-def leave_one_out(anchors: DataFrame, keys: list[str]) -> DataFrame:
+def leave_one_out(anchors: DataFrame, keys: list[str], slice_width: int = SLICE) -> DataFrame:
     """Error at each anchor of the model fitted without it.
 
     Without an inner anchor its neighbours' line holds there; without the first or last
     the line of the two nearest goes on. With two anchors the rest is too few.
     """
-    order = W.partitionBy(keys).orderBy("source_time", "anchor_id")
-    at = lambda c, k: F.lag(c, k).over(order) if k > 0 else F.lead(c, -k).over(order)
-    columns = {f"{c}{k}": at(name, k) for c, name in (("s", "source_time"), ("g", "target_time")) for k in (2, 1, -1, -2)}
-    rows = anchors.withColumns(columns).withColumn("n", F.count("*").over(W.partitionBy(keys)))
-    rows = rows.withColumnsRenamed({"s-1": "s_1", "s-2": "s_2", "g-1": "g_1", "g-2": "g_2"})
+    own = F.struct("anchor_id", "source_time", "target_time")
+    rows = scan(anchors, keys, _slice("source_time", slice_width), _ORDER, sums={"_n": F.lit(1)}, wholes={"n": (F.sum, F.lit(1))})
+    # each anchor goes to the places of its two neighbours on either side
+    sent = rows.select(*keys, "n", own.alias("a"), "_n", F.explode(F.sequence(F.lit(-2), F.lit(2))).alias("_k")).withColumn("_n", F.col("_n") + F.col("_k"))
+    at = lambda k, c: F.max(F.when(F.col("_k") == k, F.col(c)))
+    columns = [at(k, f"a.{name}").alias(f"{c}{k}".replace("-", "_")) for c, name in (("s", "source_time"), ("g", "target_time")) for k in (2, 1, -1, -2)]
+    rows = sent.groupBy(*keys, "n", "_n").agg(at(0, "a").alias("a"), *columns).where("a is not null").select(*keys, "n", "a.*", *[f"{c}{k}" for c in "sg" for k in ("2", "1", "_1", "_2")])
     pick = lambda x, inner, first, last: F.when(F.col("s1").isNull(), F.col(x + first)).when(F.col("s_1").isNull(), F.col(x + last)).otherwise(F.col(x + inner))
     s0, s1, g0, g1 = pick("s", "1", "_1", "2"), pick("s", "_1", "_2", "1"), pick("g", "1", "_1", "2"), pick("g", "_1", "_2", "1")
     predicted = g0 + (g1 - g0) / (s1 - s0) * (F.col("source_time") - s0)
@@ -132,15 +137,14 @@ def label_piecewise(matched: DataFrame, config: NearestConfig) -> DataFrame:
     })
 
 
-def piecewise_mapping(sources: DataFrame, targets: DataFrame, segments: DataFrame, keys: list[str], config: NearestConfig = NearestConfig(), policy: str = "disallow") -> DataFrame:
+def piecewise_mapping(sources: DataFrame, targets: DataFrame, segments: DataFrame, keys: list[str], config: NearestConfig = NearestConfig(), policy: str = "disallow", slice_width: int = SLICE) -> DataFrame:
     """Nearest targets of the predicted times; rows the model does not support are left out.
 
     sources, targets: keys, sample_index, t (microseconds).
     """
     times = sources.where("t is not null").select(*keys, "sample_index", (F.col("t") / 1e6).alias("source_time"))
-    predicted = predict(times, segments, keys, policy).where("target_time is not null")
+    predicted = predict(times, segments, keys, policy, slice_width).where("target_time is not null")
     predicted = predicted.withColumn("t", F.bround(F.col("target_time") * 1e6).cast("long"))
-    matched = nearest_targets(predicted.select(*keys, "sample_index", "t"), targets, keys, config.top_k)
-    regions = predicted.select(*keys, F.col("sample_index").alias("source_sample_index"), F.col("t").alias("source_t"), "region", "segment_index")
-    matched = matched.join(regions, [*keys, "source_sample_index", "source_t"]).withColumn("delta_ms", F.col("delta_us") / 1000.0)
+    predicted = written(predicted, "predicted")  # the scan for neighbours reads it twice
+    matched = nearest_targets(predicted, targets, keys, config.top_k, slice_width, more=("region", "segment_index")).withColumn("delta_ms", F.col("delta_us") / 1000.0)
     return label_piecewise(matched, config)

@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.operators.scan import numbered, slice_of
 
-def sample_index(rows: DataFrame, run: list[str], order: list[str], name: str = "sample_index") -> DataFrame:
-    """rows numbered from 0 inside each run."""
-    return rows.withColumn(name, F.row_number().over(W.partitionBy(run).orderBy(order)).cast("long") - 1)
+
+def sample_index(rows: DataFrame, run: list[str], order: list[str], name: str = "sample_index", slice_width: int | None = None) -> DataFrame:
+    """rows numbered from 0 inside each run; a long run is cut into slices of its first order column."""
+    return numbered(rows, run, slice_of(rows, order[0], slice_width), order, name)
 
 
 def fit_lines(rows: DataFrame, run: list[str], x: str, y_us: str) -> DataFrame:

@@ -10,7 +10,8 @@ from chronoweave.functions.times import format_datetime, from_epoch_seconds, mic
 from chronoweave.operators import nearest, piecewise, timelines
 from chronoweave.operators.lookup import nearest_by_time, source_of_target, target_of_source
 from chronoweave.plans.payloads import audit
-from chronoweave.queries.data import ANCHORS, RUN, SAMPLES, SEGMENTS, anchors, of_type, samples, table
+from chronoweave.queries.data import ANCHORS, RUN, SAMPLES, SEGMENTS, SPARSE, anchors, of_type, samples, stored_samples, table
+from chronoweave.sources.shared import written
 from chronoweave.sources.store import upserted
 from chronoweave.sources.validation import duplicate_keys, null_required
 
@@ -52,9 +53,9 @@ _MAPPING = "user_id source_sample_index target_sample_index rank delta_ms mappin
 _SELECT = f"SELECT {', '.join(_MAPPING)} FROM mapping"
 
 
-def _mapping(spark: SparkSession, sf_dir: str, config: nearest.NearestConfig) -> DataFrame:
-    rows = samples(spark, sf_dir)
-    return nearest.nearest_mapping(of_type(rows, "click"), of_type(rows, "purchase"), ["user_id"], config)
+def _mapping(spark: SparkSession, sf_dir: str, config: nearest.NearestConfig, rows: DataFrame | None = None) -> DataFrame:
+    rows = stored_samples(spark, sf_dir) if rows is None else rows
+    return nearest.nearest_mapping(of_type(rows, "click"), of_type(rows, "purchase"), ["user_id"], config, SPARSE)
 
 
 def _shown(mapping: DataFrame) -> DataFrame:
@@ -123,19 +124,19 @@ def first_per_key(spark, sf_dir):
 
 
 def anchor_pairs(spark, sf_dir, pick=anchors):
-    return pick(samples(spark, sf_dir))
+    return pick(stored_samples(spark, sf_dir))
 
 
 def piecewise_segments(spark, sf_dir, pick=anchors):
-    s = piecewise.fit_segments(pick(samples(spark, sf_dir)), ["user_id"])
+    s = piecewise.fit_segments(written(pick(stored_samples(spark, sf_dir)), "anchors"), ["user_id"], SPARSE)
     return s.select("user_id", F.col("segment_index").cast("long").alias("segment_index"), "left_anchor_id", "right_anchor_id", F.round("slope", 9).alias("slope"))
 
 
 def _predicted(spark, sf_dir, policy, pick):
-    rows = samples(spark, sf_dir)
-    segments = piecewise.fit_segments(pick(rows), ["user_id"])
+    rows = stored_samples(spark, sf_dir)
+    segments = piecewise.fit_segments(written(pick(rows), "anchors"), ["user_id"], SPARSE)
     times = of_type(rows, "click").select("user_id", "sample_index", (F.col("t") / 1e6).alias("source_time"))
-    out = piecewise.predict(times, segments, ["user_id"], policy)
+    out = piecewise.predict(times, segments, ["user_id"], policy, SPARSE)
     return out.select("user_id", "sample_index", F.round("target_time", 3).alias("target_time"), "region", F.col("segment_index").cast("long").alias("segment_index"))
 
 
@@ -148,20 +149,20 @@ def piecewise_predict_inside(spark, sf_dir, pick=anchors):
 
 
 def piecewise_residuals(spark, sf_dir, pick=anchors):
-    a = pick(samples(spark, sf_dir))
-    out = piecewise.anchor_residuals(a, piecewise.fit_segments(a, ["user_id"]), ["user_id"])
+    a = written(pick(stored_samples(spark, sf_dir)), "anchors")
+    out = piecewise.anchor_residuals(a, piecewise.fit_segments(a, ["user_id"], SPARSE), ["user_id"], SPARSE)
     return out.select("user_id", "anchor_id", F.round("residual_ms", 1).alias("residual_ms"), "region")
 
 
 def piecewise_loo(spark, sf_dir, pick=anchors):
-    out = piecewise.leave_one_out(pick(samples(spark, sf_dir)), ["user_id"])
+    out = piecewise.leave_one_out(written(pick(stored_samples(spark, sf_dir)), "anchors"), ["user_id"], SPARSE)
     return out.select("user_id", "anchor_id", "status", F.round(F.col("error_ms") / 1000, 2).alias("error_sec"))
 
 
 def piecewise_mapping(spark, sf_dir, pick=anchors):
-    rows = samples(spark, sf_dir)
-    segments = piecewise.fit_segments(pick(rows), ["user_id"])
-    out = piecewise.piecewise_mapping(of_type(rows, "click"), of_type(rows, "purchase"), segments, ["user_id"], CONFIG, "allow_linear")
+    rows = stored_samples(spark, sf_dir)
+    segments = piecewise.fit_segments(written(pick(rows), "anchors"), ["user_id"], SPARSE)
+    out = piecewise.piecewise_mapping(of_type(rows, "click"), of_type(rows, "purchase"), segments, ["user_id"], CONFIG, "allow_linear", SPARSE)
     return out.select("user_id", "source_sample_index", "rank", "target_sample_index", F.round(F.col("delta_ms") / 1000, 1).alias("delta_sec"), "region", "support_status")
 
 
@@ -171,9 +172,10 @@ def lookup_forward(spark, sf_dir):
 
 
 def lookup_inverse(spark, sf_dir):
-    rows = samples(spark, sf_dir)
+    rows = stored_samples(spark, sf_dir)
     wanted = of_type(rows, "purchase").select("user_id", F.col("sample_index").alias("target_sample_index"))
-    return source_of_target(_mapping(spark, sf_dir, CONFIG), wanted, ["user_id"]).select("user_id", "target_sample_index", "source_sample_index", "distance")
+    mapping = written(_mapping(spark, sf_dir, CONFIG, rows), "mapping")
+    return source_of_target(mapping, wanted, ["user_id"]).select("user_id", "target_sample_index", "source_sample_index", "distance")
 
 
 def lookup_by_time(spark, sf_dir):

@@ -9,9 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chronoweave.functions.times import micros
+from chronoweave.operators.scan import scan
 from chronoweave.operators.timelines import sample_index
+from chronoweave.sources.shared import written
 
 RUN = ["user_id", "event_type"]
+#: Events of a run lie hours or days apart: slices of time for scans, in microseconds.
+SPARSE = 90 * 86_400_000_000
 
 #: The samples of events in DuckDB.
 SAMPLES = """
@@ -28,7 +32,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select(*RUN, "event_id", "value", "props", "ts", micros(F.col("ts")).alias("t"))
-    return sample_index(rows, RUN, ["ts", "event_id"]).drop("ts")
+    return sample_index(rows, RUN, ["ts", "event_id"], slice_width=SPARSE).drop("ts")
+
+
+def stored_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """samples as a table of its own, for queries that read them several times."""
+    return written(samples(spark, sf_dir), "samples")
 
 
 def of_type(rows: DataFrame, kind: str) -> DataFrame:
@@ -39,15 +48,23 @@ def anchors(rows: DataFrame) -> DataFrame:
     """Every click of a user with the purchase of the same number, less those that do not come after the last one kept in both times."""
     click, buy = (of_type(rows, k) for k in ("click", "purchase"))
     pairs = click.select("user_id", "sample_index", (F.col("t") / 1e6).alias("source_time")).join(buy.select("user_id", "sample_index", (F.col("t") / 1e6).alias("target_time")), ["user_id", "sample_index"])
-    lists = pairs.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("sample_index", "source_time", "target_time"))).alias("p"))
+    # both times never fall as numbers rise, so a pair later than its predecessor in both is kept whatever came before
+    before = pairs.select("user_id", (F.col("sample_index") + 1).alias("sample_index"), F.struct("source_time", "target_time").alias("b"))
+    pairs = pairs.join(before, ["user_id", "sample_index"], "left")
+    later = F.col("b").isNull() | ((F.col("source_time") > F.col("b.source_time")) & (F.col("target_time") > F.col("b.target_time")))
+    sure = F.when(later, F.col("sample_index"))
+    runs = scan(pairs, ["user_id"], F.floor(F.col("sample_index") / 65_536), ["sample_index"], lasts={"start": sure}, of=[click])
+    # the few pairs from one that is sure to the next, one after the other
+    lists = runs.groupBy("user_id", "start").agg(F.array_sort(F.collect_list(F.struct("sample_index", "source_time", "target_time"))).alias("p"))
 
     def step(kept, x):
         last = F.get(kept, F.size(kept) - 1)
         later = (x["source_time"] > last["source_time"]) & (x["target_time"] > last["target_time"])
         return F.when(later, F.concat(kept, F.array(x))).otherwise(kept)
 
-    kept = lists.select("user_id", F.aggregate(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1), step).alias("p")).where(F.size("p") >= 2)
-    return kept.select("user_id", F.explode("p").alias("a")).select("user_id", F.concat(F.lit("a"), F.lpad(F.col("a.sample_index").cast("string"), 6, "0")).alias("anchor_id"), "a.*")
+    kept = lists.select("user_id", F.explode(F.aggregate(F.slice("p", 2, F.size("p")), F.slice("p", 1, 1), step)).alias("a"))
+    several = kept.groupBy("user_id").count().where("count >= 2").select("user_id")
+    return kept.join(several, "user_id", "left_semi").select("user_id", F.concat(F.lit("a"), F.lpad(F.col("a.sample_index").cast("string"), 6, "0")).alias("anchor_id"), "a.*")
 
 
 ANCHORS = """
