@@ -298,7 +298,7 @@ def reference_frame_hypotheses(reference: DataFrame, target: DataFrame, frame_id
     turn, _, _ = kabsch_rotation(target, reference, pose)
     root = [g.at(g.at(F.col(pose), 0), i).cast("double") for i in range(3)]
     turned = [sum((root[j] * float(turn[j, i]) for j in range(3)), F.lit(0.0)) for i in range(3)]
-    medians = lambda df, cs: np.array([v if v is not None else 0.0 for v in df.agg(*[F.percentile(c, F.lit(0.5)) for c in cs]).first()])
+    medians = lambda df, cs: np.array([v if v is not None else 0.0 for v in st.percentiles(df, [], {f"m{i}": (c, 0.5) for i, c in enumerate(cs)}).first()])
     shift = medians(reference, root) - medians(target, turned)
     tried = [
         ("sensor_as_recorded", np.eye(3), np.zeros(3)), ("mounting_rotation_only", level, np.zeros(3)), ("mounting_rotation_and_height", level, np.array([0.0, 0.0, height])),

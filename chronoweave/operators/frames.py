@@ -78,7 +78,7 @@ def change_segments(rows: DataFrame, run: list[str], order: str, state: str) ->
     slices = slice_of(rows, order)
     marked = scan(rows, run, slices, [order], previous={"_before": F.struct(F.col(state).alias("state"))})
     moved = F.col("_before").isNull() | ~F.col(state).eqNullSafe(F.col("_before.state"))
-    marked = scan(marked.withColumn("_new", moved), run, slices, [order], sums={"segment_index": F.col("_new")}, of=[rows]).withColumn("segment_index", F.col("segment_index") - 1)
+    marked = scan(marked.withColumn("_new", moved), run, slices, [order], sums={"segment_index": F.col("_new").cast("long")}, of=[rows]).withColumn("segment_index", F.col("segment_index") - 1)
     group = marked.groupBy(*run, "segment_index").agg(F.first(state).alias(state), F.min(order).alias("start"), (F.max(order) + 1).alias("stop"), F.count("*").alias("n"))
     return group
 

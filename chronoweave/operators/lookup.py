@@ -53,7 +53,7 @@ def source_of_target(mapping: DataFrame, wanted: DataFrame, keys: list[str], str
     targets = targets.join(best, key).withColumn("_kind_of", F.lit(0))
 
     asked = wanted.select(key).where(F.col("target_sample_index").isNotNull()).distinct().withColumn("_kind_of", F.lit(1))
-    placed = scan(targets.unionByName(asked, allowMissingColumns=True), keys, F.floor(F.col("target_sample_index") / INDEX_SLICE), ["target_sample_index", "_kind_of"], sums={"_p": F.col("_kind_of") == 0}, of=[mapping, wanted])
+    placed = scan(targets.unionByName(asked, allowMissingColumns=True), keys, F.floor(F.col("target_sample_index") / INDEX_SLICE), ["target_sample_index", "_kind_of"], sums={"_p": 1 - F.col("_kind_of")}, of=[mapping, wanted])
     placed = written(placed, "placed-targets")  # both sides of the join read it
     around = F.explode(F.sequence(F.col("_p") - NEARBY + 1, F.col("_p") + NEARBY))
     meets = placed.where("_kind_of = 1").select(*keys, F.col("target_sample_index").alias("_want"), around.alias("_p"))

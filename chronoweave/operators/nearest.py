@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.operators.scan import SLICE, scan
+from chronoweave.operators.statistics import percentiles
 
 #: Support states that no target stands behind.
 UNSUPPORTED = ("outside_run", "missing_source_time", "missing_target")
@@ -117,10 +118,10 @@ def mapping_diagnostics(mapping: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if("is_primary").cast("double").alias("primary_rows"),
         F.countDistinct("source_sample_index").cast("double").alias("mapped_sources"),
         F.countDistinct(F.when(F.col("is_primary"), F.col("target_sample_index"))).cast("double").alias("primary_targets"),
-        F.percentile(main, F.lit(0.5)).alias("primary_abs_delta_ms_median"),
-        F.percentile(main, F.lit(0.95)).alias("primary_abs_delta_ms_p95"),
         F.max(main).alias("primary_abs_delta_ms_max"),
     )
+    q = percentiles(mapping, keys, {"primary_abs_delta_ms_median": (main, 0.5), "primary_abs_delta_ms_p95": (main, 0.95)})
+    wide = wide.join(q, keys) if keys else wide.join(F.broadcast(q))  # without keys: one row
     metrics = [c for c in wide.columns if c not in keys]
     long = wide.unpivot(keys, metrics, "metric", "value").where("value is not null")
     states = mapping.groupBy(*keys, "support_status").agg(F.count("*").cast("double").alias("value"))

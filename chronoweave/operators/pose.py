@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import geometry as g
-from chronoweave.operators.statistics import describe, distribution, minmax, paired_corr, quantiles
+from chronoweave.operators.statistics import describe, distribution, minmax, paired_corr, percentiles, quantiles
 
 _POINTS = "array<array<double>>"
 
@@ -256,14 +256,16 @@ def axis_search(frames: DataFrame, frame_id: str, points: str, pose: str) -> Dat
     tried = tried.where(F.forall("centroid", g.is_finite) & F.forall(g.at(F.col("moved"), 0), g.is_finite))
     group = ["transform", "determinant"]
     gap = tried.select(*group, frame_id, F.posexplode(g.minus(F.col("centroid"), g.at(F.col("moved"), 0))).alias("axis", "gap"))
-    shift = gap.groupBy(*group, "axis").agg(F.percentile("gap", F.lit(0.5)).alias("shift"))
+    many = frames.count() * 48
+    shift = percentiles(gap, [*group, "axis"], {"shift": (F.col("gap"), 0.5)}, [3 * many])
     rmse = gap.join(shift, [*group, "axis"]).groupBy(group).agg(F.sqrt(F.sum(F.pow(F.col("shift") - F.col("gap"), 2.0)) / F.countDistinct(frame_id)).alias("root_centroid_rmse"), F.countDistinct(frame_id).alias("frames"))
     pairs = tried.select(*group, F.posexplode(F.arrays_zip(g.at(F.col("moved"), 0).alias("r"), F.col("centroid").alias("c"))).alias("axis", "z")).select(*group, "axis", "z.*")
     corr = paired_corr(pairs, [*group, "axis"], "r", "c").groupBy(group).agg(F.avg("corr").alias("axis_correlation"))
     move = shift.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("axis", "shift"))).alias("m")).select(*group, F.array(*[F.col("m")[i] for i in range(3)]).alias("translation"))
     placed = tried.join(F.broadcast(move), group).withColumn("at", F.transform("moved", lambda j: F.zip_with(j, F.col("translation"), lambda a, b: a + b)))  # 48 rows
     dist = skeleton_distances(placed.select(*group, frame_id, "at", F.posexplode(points).alias("point", "p")), [*group, frame_id, "point"], "p", "at")
-    q25 = dist.groupBy(*group, frame_id).agg(F.percentile("d", F.lit(0.25)).alias("q")).groupBy(group).agg(F.percentile("q", F.lit(0.5)).alias("skeleton_q25"))
+    q25 = dist.groupBy(*group, frame_id).agg(F.percentile("d", F.lit(0.25)).alias("q"))  # of one frame's points
+    q25 = percentiles(q25, group, {"skeleton_q25": (F.col("q"), 0.5)}, [many])
     out = rmse.join(corr, group, "left").join(q25, group, "left").join(move, group)
     for c, reverse in (("root_centroid_rmse", False), ("skeleton_q25", False), ("axis_correlation", True)):
         out = minmax(out, [], c, reverse, f"_{c}")

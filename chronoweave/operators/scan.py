@@ -31,20 +31,25 @@ def slice_of(df: DataFrame, column: str, width: int | None = None) -> Column:
     return F.lit(0)
 
 
+def few(*tables: DataFrame | int) -> bool:
+    """Whether one task may hold all rows of the tables; a number stands for a table of so many rows."""
+    return sum(x if isinstance(x, int) else x.count() for x in tables) <= WHOLE
+
+
 def scan(
     rows: DataFrame,
     keys: list[str],
-    by: Column,
+    by: Column | None,
     order: list[str | Column],
     sums: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
     previous: dict[str, Column] | None = None,
     wholes: dict[str, tuple[Callable, Column]] | None = None,
-    of: list[DataFrame] | None = None,
+    of: list[DataFrame | int] | None = None,
 ) -> DataFrame:
     """rows with running columns over each group, in the given order.
 
-    by: the slice of a row, which grows with the order. of: the tables that rows are made
+    by: the slice of a row, which grows with the order; None if one task may hold a group. of: the tables that rows are made
     of, if rows itself is dear to count; tables of WHOLE rows together are scanned in one
     window for each group, since no task can get more. sums: the sum up to and with the
     row. lasts: the last value that is not null up to and with the row. previous: the
@@ -53,16 +58,16 @@ def scan(
     """
     sums, lasts, previous, wholes = sums or {}, lasts or {}, previous or {}, wholes or {}
     group = W.partitionBy(keys) if keys else W.partitionBy(F.lit(0))
-    if sum(df.count() for df in of or [rows]) <= WHOLE:
+    if by is None or few(*(of or [rows])):
         upto, earlier = (group.orderBy(*order).rowsBetween(W.unboundedPreceding, end) for end in (0, -1))
         return rows.withColumns(
-            {n: F.sum(c.cast("long")).over(upto) for n, c in sums.items()}
+            {n: F.sum(c).over(upto) for n, c in sums.items()}
             | {n: F.last(c, ignorenulls=True).over(upto) for n, c in lasts.items()}
             | {n: F.last(c).over(earlier) for n, c in previous.items()}
             | {n: f(c).over(group) for n, (f, c) in wholes.items()}
         )
     boxed = {n: F.struct(c.alias("v")) for n, c in previous.items()}  # a null value is a value here
-    mine = {f"_s_{n}": c.cast("long") for n, c in sums.items()} | {f"_l_{n}": c for n, c in lasts.items()} | {f"_p_{n}": c for n, c in boxed.items()}
+    mine = {f"_s_{n}": c for n, c in sums.items()} | {f"_l_{n}": c for n, c in lasts.items()} | {f"_p_{n}": c for n, c in boxed.items()}
     rows = rows.withColumns({"_slice": by.cast("long"), "_kind": F.lit(1)} | mine | {f"_w_{n}": c for n, (_, c) in wholes.items()})
     place = F.struct(*[F.col(c).alias(f"o{i}") if isinstance(c, str) else c.alias(f"o{i}") for i, c in enumerate(order)])
     latest = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), place))
@@ -92,6 +97,6 @@ def scan(
     return out.where("_kind = 1").drop("_slice", "_kind", *mine, *[f"_w_{n}" for n in wholes])
 
 
-def numbered(rows: DataFrame, keys: list[str], by: Column, order: list[str | Column], name: str = "n", of: list[DataFrame] | None = None) -> DataFrame:
+def numbered(rows: DataFrame, keys: list[str], by: Column, order: list[str | Column], name: str = "n", of: list[DataFrame | int] | None = None) -> DataFrame:
     """rows numbered from 0 in each group."""
     return scan(rows, keys, by, order, sums={name: F.lit(1)}, of=of).withColumn(name, F.col(name) - 1)

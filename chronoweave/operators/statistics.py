@@ -1,44 +1,70 @@
 """Exact distribution statistics that hold no group in one task.
 
 Everything rests on `distribution`: the distinct finite values of each group with
-counts and cumulative counts. Values are cut into slices at sampled quantiles; slices
-are summed over a group, values only inside a slice. Ranks, quantiles, ECDF distances
-and AUROC are read from it. NaN and infinite values are left out throughout.
+counts and cumulative counts, scanned in slices. A group is cut at its own sampled
+values, so it has as many slices as its distinct values need, wherever they lie. Ranks,
+quantiles, ECDF distances and AUROC are read from it. `percentiles` needs no
+distribution of all values: a histogram finds the bucket of each order statistic, and
+only that bucket's values are put in order. NaN and infinite values are left out throughout.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.functions.times import finite
+from chronoweave.operators.scan import few, scan
 
-#: Slices that values are cut into.
-SLICES = 64
+#: Distinct values of a slice, about: one value in so many, by its hash, is a cut.
+SLICE_VALUES = 1 << 18
+#: Buckets of a histogram between a group's least and largest value.
+BUCKETS = 4096
 #: The quantiles of a description and of a quantile gap.
 DESCRIBED = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 GAP = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
 
 
-def distribution(df: DataFrame, keys: list[str], value: str, weights: dict[str, Column] | None = None) -> DataFrame:
+def _cut(dist: DataFrame, keys: list[str]) -> DataFrame:
+    """dist with `_cut`: the number of its group's cuts below v, found by halving."""
+    sampled = dist.where(F.pmod(F.xxhash64(*keys, "v"), F.lit(SLICE_VALUES)) == 0)
+    cuts = F.broadcast(sampled.groupBy(keys).agg(F.array_sort(F.collect_list("v")).alias("_cuts")))  # 8 bytes for SLICE_VALUES values
+    dist = dist.join(cuts, keys, "left") if keys else dist.join(cuts, how="left")
+    n = F.coalesce(F.size("_cuts"), F.lit(0))
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(n + 1.0)).cast("int"))
+
+    def halve(s, _):
+        mid = F.floor((s["low"] + s["high"]) / 2).cast("int")
+        below = F.get(F.col("_cuts"), mid) < F.col("v")
+        return F.when(s["low"] >= s["high"], s).otherwise(F.struct(F.when(below, mid + 1).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(mid).alias("high")))
+
+    found = F.aggregate(steps, F.struct(F.lit(0).alias("low"), n.cast("int").alias("high")), halve)["low"]
+    return dist.withColumn("_cut", F.when(n > 0, found).otherwise(0)).drop("_cuts")
+
+
+def _values(df: DataFrame, value: str) -> Column:
+    """The value as a finite double, -0 as 0; else null."""
+    return finite(F.col(value).cast("double")) + F.lit(0.0)
+
+
+def distribution(df: DataFrame, keys: list[str], value: str, weights: dict[str, Column] | None = None, of: list[DataFrame | int] | None = None) -> DataFrame:
     """keys, v, c, upto (rows with values up to v), n; and for each named weight its sum at v and up to v.
 
-    One row per distinct finite value of a group.
+    One row per distinct finite value of a group. of: a table of as many rows, if df
+    itself is dear to count.
     """
     weights = weights or {}
-    rows = df.withColumn("v", finite(F.col(value).cast("double"))).where("v is not null").withColumn("v", F.col("v") + F.lit(0.0))
+    rows = df.withColumn("v", _values(df, value)).where("v is not null")
     sums = {"c": F.lit(1)} | {k: w.cast("double") for k, w in weights.items()}
     dist = rows.groupBy(*keys, "v").agg(*[F.sum(w).alias(k) for k, w in sums.items()])
-    cuts = dist.agg(F.percentile_approx("v", F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)]), 1000).alias("_cuts"))
-    dist = dist.join(F.broadcast(cuts)).withColumn("_slice", F.size(F.filter("_cuts", lambda b: b < F.col("v")))).drop("_cuts")  # one row of SLICES numbers
-    of_slice = dist.groupBy(*keys, "_slice").agg(*[F.sum(k).alias(f"_{k}") for k in sums])
-    group = W.partitionBy(keys) if keys else W.partitionBy(F.lit(0))
-    before = group.orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    of_slice = of_slice.select(*keys, "_slice", F.sum("_c").over(group).alias("n"), *[F.coalesce(F.sum(f"_{k}").over(before), F.lit(0)).alias(f"_{k}") for k in sums])
-    inside = W.partitionBy(*keys, "_slice").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    out = dist.join(of_slice, [*keys, "_slice"])
-    return out.select(*keys, "v", *sums, (F.col("_c") + F.sum("c").over(inside)).alias("upto"), *[(F.col(f"_{k}") + F.sum(k).over(inside)).alias(f"{k}_upto") for k in weights], "n")
+    by = None
+    if not few(*(of or [df])):
+        dist, by = _cut(dist, keys), F.col("_cut")
+    out = scan(dist, keys, by, ["v"], sums={"upto": F.col("c")} | {f"{k}_upto": F.col(k) for k in weights}, wholes={"n": (F.sum, F.col("c"))}, of=of or [df])
+    return out.select(*keys, "v", *sums, "upto", *[f"{k}_upto" for k in weights], "n")
 
 
 def average_rank() -> Column:
@@ -46,11 +72,19 @@ def average_rank() -> Column:
     return F.col("upto") - F.col("c") + (F.col("c") + 1) / 2.0
 
 
-def with_ranks(df: DataFrame, keys: list[str], value: str, rank: str = "avg_rank", n: str = "n_ranked") -> DataFrame:
-    """df with average ranks (ties share the mean) and the number of ranked rows; null where not finite."""
+def with_ranks(df: DataFrame, keys: list[str], value: str, rank: str = "avg_rank", n: str = "n_ranked", of: list[DataFrame | int] | None = None) -> DataFrame:
+    """df with average ranks (ties share the mean) and the number of ranked rows; null where not finite.
+
+    of: a table of as many rows, if df itself is dear to count.
+    """
+    if few(*(of or [df])):
+        group = W.partitionBy(keys) if keys else W.partitionBy(F.lit(0))
+        v = _values(df, value)
+        upto = F.count(v).over(group.orderBy(v.asc_nulls_last()).rangeBetween(W.unboundedPreceding, 0))
+        least = F.rank().over(group.orderBy(v.asc_nulls_last()))
+        return df.withColumns({rank: F.when(v.isNotNull(), (least + upto) / 2.0), n: F.when(v.isNotNull(), F.count(v).over(group))})
     dist = distribution(df, keys, value).select(*keys, F.col("v").alias("_v"), average_rank().alias(rank), F.col("n").alias(n))
-    rows = df.withColumn("_v", finite(F.col(value).cast("double")) + F.lit(0.0))
-    return rows.join(dist, [*keys, "_v"], "left").drop("_v")
+    return df.withColumn("_v", _values(df, value)).join(dist, [*keys, "_v"], "left").drop("_v")
 
 
 def percentile_ranks(df: DataFrame, keys: list[str], value: str, symmetric: bool = False, name: str = "percentile") -> DataFrame:
@@ -90,6 +124,42 @@ def grid_quantiles(dist: DataFrame, keys: list[str], steps: int) -> DataFrame:
     return out.select(*keys, "i", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part")).alias("value"))
 
 
+def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column, float]], of: list[DataFrame | int] | None = None) -> DataFrame:
+    """keys and one column for each wanted (value, q): the exact quantile, between two order statistics by linear interpolation.
+
+    Every group of df has a row; null without a finite value. Few rows are aggregated at
+    once. Of many, a pass counts each value's bucket between its group's ends, which
+    merges in any order; the buckets of the order statistics are known from these
+    counts, and only their values go on.
+    """
+    if few(*(of or [df])):
+        return df.groupBy(keys).agg(*[F.percentile(finite(c.cast("double")), F.lit(float(q))).alias(n) for n, (c, q) in wanted.items()])
+    values = F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.lit(float(q)).alias("q"), (finite(c.cast("double")) + F.lit(0.0)).alias("v")) for n, (c, q) in wanted.items()]))
+    rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], values.alias("_x")).select(*[f"_k{i}" for i in range(len(keys))], "_x.*")
+    own = [*[f"_k{i}" for i in range(len(keys))], "what", "q"]
+    same = lambda a, b: reduce(lambda x, k: x & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")), own, F.lit(True))
+    there = rows.where("v is not null")
+    ends = there.groupBy(own).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("total"))
+    # halves, so that the distance of the ends is finite
+    share = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+    bucket = F.when(F.col("high") / 2 > F.col("low") / 2, F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1))).otherwise(F.lit(0))
+    placed = there.alias("a").join(ends.alias("b"), same("a", "b")).select("a.*", "low", "high", "total").withColumn("bucket", bucket)
+    counts = placed.groupBy(*own, "total", "bucket").agg(F.count("*").alias("held"))
+    order = W.partitionBy(*own).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("held").over(order), F.lit(0)))
+    at = F.col("q") * (F.col("total") - 1)
+    within = lambda p, first, n: (p >= first) & (p < first + n)
+    held = counts.where(within(F.floor(at), F.col("before"), F.col("held")) | within(F.ceil(at), F.col("before"), F.col("held"))).drop("total", "held")
+    chosen = placed.alias("a").join(held.alias("b"), same("a", "b") & (F.col("a.bucket") == F.col("b.bucket"))).select("a.*", "before")
+    dist = distribution(chosen, [*own, "total", "before"], "v", of=of or [df])
+    first = F.col("before") + F.col("upto") - F.col("c")
+    ends = dist.groupBy(*own, "total").agg(F.max(F.when(within(F.floor(at), first, F.col("c")), F.col("v"))).alias("low"), F.max(F.when(within(F.ceil(at), first, F.col("c")), F.col("v"))).alias("high"))
+    found = ends.groupBy(*own[:-2]).agg(*[F.max(F.when(F.col("what") == n, F.col("low") + (F.col("high") - F.col("low")) * (at - F.floor(at)))).alias(n) for n in wanted])
+    groups = df.groupBy(keys).agg(F.lit(1).alias("_one"))
+    met = groups.join(found, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True)), "left")
+    return met.select(*keys, *wanted)
+
+
 def describe(df: DataFrame, keys: list[str], value: str, qs: tuple[float, ...] = DESCRIBED) -> DataFrame:
     """Count, min, mean, population deviation, max, iqr and quantiles of each group's finite values.
 
@@ -115,7 +185,7 @@ def paired_corr(df: DataFrame, keys: list[str], x: str, y: str, name: str = "cor
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson correlation of average ranks of jointly finite pairs."""
     both = df.where(finite(F.col(x).cast("double")).isNotNull() & finite(F.col(y).cast("double")).isNotNull()).select(*keys, x, y)
-    ranked = with_ranks(with_ranks(both, keys, x, "_rx", "_nx"), keys, y, "_ry", "_ny")
+    ranked = with_ranks(with_ranks(both, keys, x, "_rx", "_nx", [df]), keys, y, "_ry", "_ny", [df])
     return paired_corr(ranked, keys, "_rx", "_ry", "spearman")
 
 
@@ -128,7 +198,7 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, control: st
     ok = [finite(F.col(c).cast("double")).isNotNull() for c in (x, y, control)]
     rows = df.where(ok[0] & ok[1] & ok[2]).select(*keys, x, y, control)
     for c, r in ((x, "_a"), (y, "_b"), (control, "_r")):
-        rows = with_ranks(rows, keys, c, r, f"_n{r}")
+        rows = with_ranks(rows, keys, c, r, f"_n{r}", [df])
     base = rows.groupBy(keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in ("_a", "_b", "_r")], F.stddev_pop("_r").alias("s"))
     rows = rows.join(base, keys) if keys else rows.join(F.broadcast(base))  # without keys: one row
     z = (F.col("_r") - F.col("m_r")) / F.greatest(F.col("s"), F.lit(1e-12))
@@ -181,13 +251,17 @@ def quantisation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Levels of a channel: distinct values (to 6 digits), sign fractions, steps between levels, entropy."""
     x = finite(F.col(value).cast("double"))
     rows = df.withColumn("x", x).where("x is not null").withColumn("level", F.bround("x", 6))
-    levels = distribution(rows, keys, "level")
-    # inside a group levels are few against rows; the step to the one before
-    order = (W.partitionBy(keys) if keys else W.partitionBy(F.lit(0))).orderBy("v")
+    levels = distribution(rows, keys, "level", of=[df])
+    by = None
+    if not few(df):
+        levels, by = _cut(levels, keys), F.col("_cut")
+    levels = scan(levels, keys, by, ["v"], previous={"_before": F.col("v")}, of=[df])
     p = F.col("c") / F.col("n")
-    steps = levels.withColumns({"step": F.col("v") - F.lag("v").over(order), "h": -p * F.log2(p)})
+    steps = levels.withColumns({"step": F.col("v") - F.col("_before"), "h": -p * F.log2(p)})
     positive = F.when(F.col("step") > 1e-9, F.col("step"))
-    per = steps.groupBy(keys).agg(F.count("*").alias("unique_values"), F.sum("h").alias("entropy_bits"), F.min(positive).alias("min_step"), F.percentile(positive, F.lit(0.5)).alias("median_step"))
+    per = steps.groupBy(keys).agg(F.count("*").alias("unique_values"), F.sum("h").alias("entropy_bits"), F.min(positive).alias("min_step"))
+    middle = percentiles(steps, keys, {"median_step": (positive, 0.5)}, [df])
+    per = per.join(middle, keys) if keys else per.join(F.broadcast(middle))  # without keys: one row
     share = lambda c: F.avg(c.cast("double"))
     base = rows.groupBy(keys).agg(F.count("*").alias("samples"), share(F.abs("x") <= 1e-8).alias("zero_fraction"), share(F.col("x") < 0).alias("negative_fraction"), share(F.col("x") > 0).alias("positive_fraction"), F.min("x").alias("minimum"), F.max("x").alias("maximum"))
     out = base.join(per, keys) if keys else base.join(F.broadcast(per))  # without keys: one row

@@ -76,7 +76,7 @@ def nearest_primary_within(spark, sf_dir):
 
 
 def mapping_diagnostics(spark, sf_dir):
-    mapping = _mapping(spark, sf_dir, CONFIG).withColumn("version", F.lit("v1"))
+    mapping = written(_mapping(spark, sf_dir, CONFIG).withColumn("version", F.lit("v1")), "mapping")
     found = nearest.mapping_diagnostics(mapping.withColumn("target_key", F.lit(0)), ["version"])
     return found.select("metric", F.round("value", 4).alias("value"))
 

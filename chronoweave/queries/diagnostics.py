@@ -99,7 +99,7 @@ def bin_labels(spark, sf_dir):
 def run_limits(spark, sf_dir):
     rows = samples(spark, sf_dir).select(F.col("user_id").cast("string").alias("subject_id"), F.lit("r").alias("run_id"), F.col("event_type").alias("device_type"), "sample_index", "event_id")
     runs = rows.groupBy("subject_id", "run_id", "device_type").agg((F.min("event_id") % 4 - 1).cast("string").alias("nominal_fps"))
-    return context.run_limits(runs, rows.where("sample_index < 5"), camera="view")
+    return context.run_limits(runs, rows, camera="view")
 
 
 def available_roles(spark, sf_dir):
@@ -250,7 +250,7 @@ WITH {_CLOUD}, {_JOINTS}, l AS (
 SELECT reference, feature, count(*) AS count, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(quantile_cont(value, 0.5), 6) AS p50 FROM l GROUP BY ALL""",
     "bin_labels": "SELECT vec_id, CAST(round_even(greatest(0, least(1, (x + 0.25::DOUBLE) / 0.5::DOUBLE)) * 63, 0) AS BIGINT) AS label, round((x + 0.25::DOUBLE) / 0.5::DOUBLE, 6) AS share FROM (SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x FROM embeddings)",
     "run_limits": f"""
-WITH {SAMPLES}, f AS (SELECT user_id, event_type, min(event_id) % 4 - 1 AS f, max(CASE WHEN sample_index < 5 THEN sample_index END) AS m FROM samples GROUP BY ALL)
+WITH {SAMPLES}, f AS (SELECT user_id, event_type, min(event_id) % 4 - 1 AS f, max(sample_index) AS m FROM samples GROUP BY ALL)
 SELECT CAST(user_id AS VARCHAR) AS subject_id, 'r' AS run_id, event_type AS device_type, CAST(coalesce(m, 0) AS BIGINT) AS max_sample, CASE WHEN f > 0 THEN CAST(f AS DOUBLE) WHEN event_type = 'view' THEN 15.0::DOUBLE ELSE 20.0::DOUBLE END AS nominal_fps FROM f""",
     "available_roles": f"WITH {SAMPLES} SELECT CAST(user_id AS VARCHAR) AS subject_id, sample_index, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS roles FROM samples GROUP BY ALL",
     "supervised_windows": _FRAMES.format(stride=2, status=f"CASE {_POINTS_SHORT} {_POSE} ELSE 'ok' END AS status"),

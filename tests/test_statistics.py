@@ -1,7 +1,13 @@
 """Distribution statistics against numpy."""
 
+import math
+import random
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
+
+from chronoweave.operators import statistics as st
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +54,62 @@ def test_empty_sides(spark):
     df = spark.createDataFrame([("a", 1.0, True), ("a", 2.0, True)], "g string, x double, side boolean")
     assert st.auc(df, ["g"], "x", "side").first().auc is None
     assert st.ks(df, ["g"], "x", "side").first().ks is None
+
+
+@pytest.fixture
+def many(monkeypatch):
+    """Every table counts as large, with small slices and few buckets."""
+    from chronoweave.operators import scan, statistics
+
+    monkeypatch.setattr(scan, "WHOLE", 0)
+    monkeypatch.setattr(statistics, "SLICE_VALUES", 16)
+    monkeypatch.setattr(statistics, "BUCKETS", 8)
+
+
+def spread(spark):
+    """Groups of wide, narrow, tied, huge and no finite values; a null group."""
+    rnd = random.Random(7)
+    draw = {"wide": lambda: rnd.gauss(0, 1e6), "narrow": lambda: 1 + rnd.random() * 1e-9, "tied": lambda: float(rnd.randint(0, 5)), "huge": lambda: rnd.choice([-1, 1]) * 10 ** rnd.uniform(0, 308), None: lambda: rnd.expovariate(1)}
+    rows = [(g, f(), rnd.random()) for g, f in draw.items() for _ in range(rnd.randint(150, 300))]
+    rows += [("none", math.nan, 0.0), ("none", None, 0.0), ("wide", math.inf, 1.0), ("one", 3.0, 0.0), ("tied", -0.0, 0.5)]
+    return spark.createDataFrame(rows, "g string, v double, w double"), rows
+
+
+def test_percentiles_by_refinement(spark, many):
+    df, rows = spread(spark)
+    wanted = {"least": (F.col("v"), 0.0), "half": (F.col("v"), 0.5), "tail": (F.col("v"), 0.95), "top": (F.col("v"), 1.0), "other": (-F.col("w"), 0.25)}
+    found = {r.g: r for r in st.percentiles(df, ["g"], wanted).collect()}
+    assert set(found) == {r[0] for r in rows}
+    for g, r in found.items():
+        v = [x for h, x, _ in rows if h == g and x is not None and math.isfinite(x)]
+        w = [-y for h, _, y in rows if h == g]
+        assert r.other == pytest.approx(np.quantile(w, 0.25), rel=1e-12)
+        assert (r.least, r.half, r.tail, r.top) == (pytest.approx([np.quantile(v, q) for q in (0, 0.5, 0.95, 1)], rel=1e-9) if v else (None,) * 4)
+    whole = st.percentiles(df.where("g = 'wide'"), [], {"half": (F.col("v"), 0.5)}).first()
+    assert whole.half == pytest.approx(found["wide"].half)
+
+
+def test_distribution_in_slices(spark, many):
+    """Cuts follow each group's own values: narrow groups have slices too; ranks and sums are right."""
+    df, rows = spread(spark)
+    dist = st.distribution(df, ["g"], "v", {"w": F.col("w")})
+    cut = st._cut(dist.select("g", "v"), ["g"]).groupBy("g").agg(F.countDistinct("_cut").alias("slices")).collect()
+    slices = {r.g: r.slices for r in cut}
+    assert min(slices[g] for g in ("wide", "narrow", "huge")) > 4 and slices["one"] == 1
+    for r in dist.collect():
+        mine = [(x + 0.0, y) for h, x, y in rows if h == r.g and x is not None and math.isfinite(x)]
+        assert (r.n, r.upto, r.c) == (len(mine), sum(x <= r.v for x, _ in mine), sum(x == r.v for x, _ in mine))
+        assert r.w_upto == pytest.approx(sum(y for x, y in mine if x <= r.v))
+
+
+def test_ranks_do_not_depend_on_the_path(spark, monkeypatch):
+    from chronoweave.operators import scan
+
+    df, rows = spread(spark)
+    known = df.where("g is not null")
+    small = sorted(map(str, st.with_ranks(known, ["g"], "v").collect()))
+    pair = st.spearman(known, ["g"], "v", "w").orderBy("g").collect()
+    monkeypatch.setattr(scan, "WHOLE", 0)
+    monkeypatch.setattr(st, "SLICE_VALUES", 16)
+    assert sorted(map(str, st.with_ranks(known, ["g"], "v").collect())) == small
+    assert [(r.g, r.n, r.spearman) for r in st.spearman(known, ["g"], "v", "w").orderBy("g").collect()] == [(r.g, r.n, r.spearman if r.spearman is None else pytest.approx(r.spearman)) for r in pair]
