@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from chronoweave.operators.scan import scan, slice_of
 
+#: A draw counts rows in so many bits of their hash.
+SLICE_BITS = 12
+
 
 def index_window(frames: DataFrame, run: list[str], radius: int, payload: str, index: str = "sample_index", name: str = "window") -> DataFrame:
     """Each frame with the rows of all frames within radius indices, in order; missing frames add nothing."""
@@ -110,10 +115,11 @@ def temporal_split(rows: DataFrame, keys: list[str], order: list[str], fraction:
 
 def calibration_split(rows: DataFrame, keys: list[str], order: list[str], fraction: float) -> DataFrame:
     """Adds `part`: the first rows calibrate, the rest evaluate."""
-    n = F.count("*").over(W.partitionBy(keys))
+    placed = scan(rows, keys, slice_of(rows, order[0]), order, sums={"_i": F.lit(1)}, wholes={"_n": (F.sum, F.lit(1))})
+    n = F.col("_n")
     many = F.least(F.greatest(F.lit(10), F.bround(n * fraction)), n - 1)
     take = F.when(n >= 11, many).otherwise(F.greatest(F.lit(1), n - 1))
-    return rows.withColumn("part", F.when(F.row_number().over(W.partitionBy(keys).orderBy(order)) <= take, "calibration").otherwise("evaluation"))
+    return placed.withColumn("part", F.when(F.col("_i") <= take, "calibration").otherwise("evaluation")).drop("_i", "_n")
 
 
 def _drawn(seed: int, columns: list[str]):
@@ -121,57 +127,83 @@ def _drawn(seed: int, columns: list[str]):
     return F.xxhash64(F.lit(seed), *columns)
 
 
+def evenly(i: Column, n: Column, maximum: int) -> Column:
+    """Whether place i of n (from 0) is among `maximum` evenly spaced ones; all are, if maximum is 0 or less or n no larger."""
+    if maximum <= 0:
+        return F.lit(True)
+    # place i is taken if it is the whole part of j (n - 1) / (m - 1) for some j
+    step = (n - 1) / F.lit(float(max(maximum - 1, 1)))
+    j = F.ceil(i / F.greatest(step, F.lit(1e-12)) - 1e-9)
+    hit = (F.floor(j * step + 1e-9) == i) & (j <= maximum - 1) if maximum > 1 else i == 0
+    return (n <= maximum) | hit
+
+
 def even_subsample(rows: DataFrame, keys: list[str], order: list[str], maximum: int) -> DataFrame:
     """At most maximum rows of each group, evenly spaced; all of them if maximum is 0 or less."""
     if maximum <= 0:
         return rows
-    w = W.partitionBy(keys)
-    out = rows.withColumns({"_i": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
-    # row i is taken if it is the whole part of j (n - 1) / (m - 1) for some j
-    step = (F.col("_n") - 1) / F.lit(float(max(maximum - 1, 1)))
-    j = F.ceil(F.col("_i") / F.greatest(step, F.lit(1e-12)) - 1e-9)
-    hit = (F.floor(j * step + 1e-9) == F.col("_i")) & (j <= maximum - 1) if maximum > 1 else F.col("_i") == 0
-    return out.where((F.col("_n") <= maximum) | hit).drop("_i", "_n")
+    placed = scan(rows, keys, slice_of(rows, order[0]), order, sums={"_i": F.lit(1)}, wholes={"_n": (F.sum, F.lit(1))})
+    return placed.where(evenly(F.col("_i") - 1, F.col("_n"), maximum)).drop("_i", "_n")
+
+
+def drawn(rows: DataFrame, keys: list[str], identity: list[str], quotas: DataFrame | int, seed: int = 0) -> DataFrame:
+    """From each group the rows that come first in a random order, the same for every run: as many as its quota.
+
+    quotas: keys and `quota`, a row a group, or one number for all. The order is that of a
+    hash of the rows' identity. Rows are counted in slices of the hash; slices before
+    the one in which the quota falls are taken whole, and only that one's rows are put
+    in order.
+    """
+    if isinstance(quotas, int):
+        quotas = rows.select(keys).distinct().withColumn("quota", F.lit(quotas)) if keys else rows.sparkSession.range(1).select(F.lit(quotas).alias("quota"))
+    same = lambda a, b, names: reduce(lambda x, k: x & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")), names, F.lit(True))
+    hashed = rows.withColumn("_h", _drawn(seed, identity)).withColumn("_slice", F.shiftright("_h", 64 - SLICE_BITS))
+    counts = hashed.groupBy(*keys, "_slice").agg(F.count("*").alias("_c"))
+    before = (W.partitionBy(keys) if keys else W.partitionBy(F.lit(0))).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)  # 2 ** SLICE_BITS rows
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(before), F.lit(0)))
+    cut = counts.alias("c").join(quotas.alias("q"), same("c", "q", keys)).select("c.*", (F.col("q.quota") - F.col("_before")).alias("_take")).where("_take > 0")
+    met = hashed.alias("r").join(cut.alias("c"), same("r", "c", [*keys, "_slice"])).select("r.*", "_c", "_take")
+    whole = met.where("_take >= _c").select(rows.columns)
+    order = W.partitionBy(*keys, "_slice").orderBy("_h", *identity)
+    part = met.where("_take < _c").withColumn("_r", F.row_number().over(order)).where("_r <= _take").select(rows.columns)
+    return whole.unionByName(part)
 
 
 def random_cap(rows: DataFrame, identity: list[str], maximum: int, seed: int = 0) -> DataFrame:
     """A random subset of at most maximum rows, the same for every run."""
-    return rows.orderBy(_drawn(seed, identity), *identity).limit(maximum) if maximum > 0 else rows
+    return drawn(rows, [], identity, maximum, seed) if maximum > 0 else rows
 
 
 def stratified_cap(rows: DataFrame, strata: list[str], identity: list[str], maximum: int, seed: int = 0) -> DataFrame:
     """Each stratum keeps its share of maximum rows, at least one, at random."""
     sizes = rows.groupBy(strata).agg(F.count("*").alias("_n"))
     total = sizes.agg(F.sum("_n").alias("_total"))
-    sizes = sizes.join(F.broadcast(total)).withColumn("_quota", F.greatest(F.lit(1), F.bround(maximum * F.col("_n") / F.col("_total"))))  # one row
-    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(strata).orderBy(_drawn(seed, identity), *identity)))
-    return ranked.join(sizes, strata).where(F.col("_r") <= F.col("_quota")).select(rows.columns)
+    quotas = sizes.join(F.broadcast(total)).select(*strata, F.greatest(F.lit(1), F.bround(maximum * F.col("_n") / F.col("_total"))).alias("quota"))  # one row
+    return drawn(rows, strata, identity, quotas, seed)
 
 
 def balanced_reservoir(points: DataFrame, frame: list[str], identity: list[str], maximum: int, seed: int = 0) -> DataFrame:
     """At most ceil(maximum / frames) random rows of each frame, then at most maximum of all."""
-    frames = points.select(frame).distinct().agg(F.greatest(F.lit(1), F.ceil(F.lit(maximum) / F.count("*"))).alias("_per"))
-    ranked = points.withColumn("_r", F.row_number().over(W.partitionBy(frame).orderBy(_drawn(seed, identity), *identity)))
-    kept = ranked.join(F.broadcast(frames)).where("_r <= _per").select(points.columns)  # one row
-    return random_cap(kept, identity, maximum, seed + 1)
+    frames = points.select(frame).distinct()
+    per = frames.agg(F.greatest(F.lit(1), F.ceil(F.lit(maximum) / F.count("*"))).alias("quota"))
+    return random_cap(drawn(points, frame, identity, frames.join(F.broadcast(per)), seed), identity, maximum, seed + 1)  # one row
 
 
 def matched_sample(rows: DataFrame, bins: list[str], side: str, identity: list[str], seed: int = 0) -> DataFrame:
     """From each bin the same number of rows of both sides: the smaller side's count, at random."""
     counts = rows.groupBy(bins).agg(F.count_if(F.col(side)).alias("_a"), F.count_if(~F.col(side)).alias("_b"))
-    counts = counts.select(*bins, F.least("_a", "_b").alias("_take"))
-    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(*bins, side).orderBy(_drawn(seed, identity), *identity)))
-    return ranked.join(counts, bins).where(F.col("_r") <= F.col("_take")).select(rows.columns)
+    quotas = counts.select(*bins, F.explode(F.array(F.lit(True), F.lit(False))).alias(side), F.least("_a", "_b").alias("quota"))
+    return drawn(rows, [*bins, side], identity, quotas, seed)
 
 
 def subject_split(rows: DataFrame, subject: str, test: float = 0.2, validation: float = 0.1, seed: int = 0) -> DataFrame:
     """Adds `part`: whole subjects go to test, validation or training, in a random order."""
     subjects = rows.select(subject).distinct()
-    every = W.partitionBy(F.lit(0))
-    placed = subjects.withColumns({"_r": F.row_number().over(every.orderBy(_drawn(seed, [subject]), subject)), "_n": F.count("*").over(every)})
-    n_test, n_val = (F.greatest(F.lit(1), F.bround(F.col("_n") * f)) for f in (test, validation))
-    part = F.when(F.col("_r") <= n_test, "test").when(F.col("_r") <= n_test + n_val, "validation").otherwise("training")
-    return rows.join(placed.select(subject, part.alias("part")), subject)
+    sizes = [F.greatest(F.lit(1), F.bround(F.count("*") * f)) for f in (test, validation)]
+    # the first draw is the beginning of the second
+    first, both = (drawn(subjects, [], [subject], subjects.agg(q.alias("quota")), seed) for q in (sizes[0], sizes[0] + sizes[1]))
+    placed = both.join(first.withColumn("_first", F.lit(True)), subject, "left").select(subject, F.when(F.col("_first"), "test").otherwise("validation").alias("part"))
+    return rows.join(placed, subject, "left").withColumn("part", F.coalesce("part", F.lit("training")))
 
 
 def environment_split(rows: DataFrame, environment: str, test_env: str, val_env: str | None = None) -> DataFrame:

@@ -1,10 +1,9 @@
-"""Input packages, exports, packed datasets and prediction files."""
+"""Input packages, exports and prediction files."""
 
 from __future__ import annotations
 
 import os
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,23 +53,6 @@ def write_reports(reports: dict[str, DataFrame], folder: str) -> None:
         f.write("\n".join(lines) + "\n")
 
 
-def packed_records(spark: SparkSession, root: str) -> DataFrame:
-    """environment, subject, frames, paths of a packed dataset `<environment>/S*/point_clouds.npy` and `kpts.npy`.
-
-    Only the files' headers are read; clouds and poses must have equally many frames.
-    """
-    rows = []
-    for environment in sorted(os.listdir(root)):
-        for subject in sorted(os.listdir(f"{root}/{environment}")) if os.path.isdir(f"{root}/{environment}") else []:
-            folder = f"{root}/{environment}/{subject}"
-            if subject.startswith("S") and all(os.path.exists(f"{folder}/{f}.npy") for f in ("point_clouds", "kpts")):
-                clouds, poses = (np.load(f"{folder}/{f}.npy", mmap_mode="r") for f in ("point_clouds", "kpts"))
-                if clouds.ndim != 3 or clouds.shape[2] < 5 or poses.shape[1:] != (17, 3) or len(clouds) != len(poses):
-                    raise ValueError(f"{folder}: unexpected shapes {clouds.shape} and {poses.shape}")
-                rows.append((environment, subject, len(poses), f"{folder}/point_clouds.npy", f"{folder}/kpts.npy"))
-    return spark.createDataFrame(rows, "environment string, subject string, n_frames long, clouds string, poses string")
-
-
 def prediction_overlay(predictions: DataFrame, joints: int = 17) -> tuple[DataFrame, DataFrame]:
     """One prediction per target sample, the first by row_index, and counts of rows, kept and duplicate ones.
 
