@@ -7,9 +7,10 @@ import sys
 
 from chronoweave.operators.nearest import NearestConfig
 from chronoweave.plans.anchors import AnchorService
+from chronoweave.plans.audit import audit
 from chronoweave.plans.ingest import ingest
 from chronoweave.plans.mapping import MappingService, Timeline
-from chronoweave.plans.payloads import audit, build_artifacts, mapped_pair, read_payloads
+from chronoweave.plans.payloads import build_artifacts, mapped_pair, read_payloads
 from chronoweave.plans.synthetic import report
 from chronoweave.sources.package import read_package, write_reports
 from chronoweave.sources.store import ParquetStore
@@ -31,7 +32,7 @@ def _parser() -> argparse.ArgumentParser:
     command("ingest-temp", *store, ("--package",), ("--reports", {"default": None}))
     command("summary", *store)
     command("build-artifacts", *store, ("--package",), ("--payloads",), ("--overwrite", {"action": "store_true"}))
-    command("audit-artifacts", *store, ("--files",))
+    command("audit-artifacts", *store, ("--root",))
     command("inspect-pair", *store, ("--payloads",), ("--version",), ("--sample", {"type": int, "required": True}))
     command("map-nearest", *store, ("--subject",), *pair, ("--version",), *config)
     command("map-nearest-all", *store, *[(f"--{s}-{c}",) for s in ("source", "target") for c in ("device", "timeline")], ("--min-overlap-sec", many | {"default": 5.0}), *config)
@@ -68,7 +69,7 @@ def main(argv: list[str] | None = None, spark=None) -> int:
             package = read_package(spark, a.package)
             build_artifacts(store, a.payloads, package["rgb_samples"], package["radar_pc_samples"], a.overwrite)
         elif a.command == "audit-artifacts":
-            found = audit(store.read("RUN_ASSET"), store.read("SAMPLE_ARTIFACT"), store.read("SAMPLE_SUMMARY"), spark.read.text(a.files).withColumnRenamed("value", "ref"))
+            found = audit(store.read("RUN_ASSET"), store.read("SAMPLE_ARTIFACT"), store.read("SAMPLE_SUMMARY"), root=a.root)
             found.show(200, False)
             return int(not found.where("severity = 'error'").limit(1).isEmpty())
         elif a.command == "inspect-pair":

@@ -236,11 +236,31 @@ def normalised_half(value: Column, low: Column, high: Column) -> Column:
     return F.when(g.is_finite(value), F.when(high > low, (value - low) / (high - low)).otherwise(0.5))
 
 
+def frame_anchors(frames: DataFrame, points: str = "points") -> DataFrame:
+    """frames that hold a valid point, with `anchor`, the geometric median of these; points are left out."""
+    each = frames.withColumn("_valid", g.model_points(F.col(points))).where(F.size("_valid") > 0)
+    return each.withColumn("anchor", ps.geometric_median("_valid")).drop("_valid", points)
+
+
 def cloud_anchor(frames: DataFrame, keys: list[str], time: str = "relative_time", points: str = "points") -> DataFrame:
     """keys, anchor: geometric median of each frame's valid points, then a Theil-Sen line over the frames at time 0."""
-    each = frames.withColumn("_valid", g.model_points(F.col(points))).where(F.size("_valid") > 0).withColumn("anchor", ps.geometric_median("_valid"))
-    found = ps.theil_sen_anchor(each.select(*keys, time, "anchor"), keys, time)
-    return found.groupBy(keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("axis", "value"))), lambda s: s["value"]).alias("anchor"))
+    return lines_at_zero(frame_anchors(frames.select(*keys, time, points), points), keys, time)
+
+
+def lines_at_zero(anchors: DataFrame, keys: list[str], time: str = "relative_time", anchor: str = "anchor") -> DataFrame:
+    """keys, anchor: where the Theil-Sen lines through a window's frame anchors stand at time 0.
+
+    A window is a few frames, so its pairs are made in the row that holds them.
+    """
+    rows = anchors.groupBy(keys).agg(F.collect_list(F.struct(F.col(time).cast("double").alias("t"), F.slice(anchor, 1, 3).alias("p"))).alias("_x"))
+
+    def line(axis: int) -> Column:
+        own = F.filter(F.transform("_x", lambda x: F.struct(x["t"].alias("t"), g.at(x["p"], axis).alias("y"))), lambda x: g.is_finite(x["y"]))
+        pairs = F.flatten(F.transform(own, lambda a: F.transform(F.filter(own, lambda b: b["t"] - a["t"] > 1e-12), lambda b: (b["y"] - a["y"]) / (b["t"] - a["t"]))))
+        slope = F.coalesce(_median_of(pairs), F.lit(0.0))
+        return _median_of(F.transform(own, lambda x: x["y"] - slope * x["t"]))
+
+    return rows.select(*keys, F.array(*[line(i) for i in range(3)]).alias("anchor"))
 
 
 def frame_balanced_sample(windows: DataFrame, keys: list[str], frames: str, points: int, width: int) -> DataFrame:

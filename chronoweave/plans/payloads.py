@@ -1,4 +1,4 @@
-"""Payload tables, summaries, inspection of mapped pairs, and the audit of references."""
+"""Payload tables, summaries and inspection of mapped pairs."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronoweave.functions.names import artifact_ref, is_absolute_path, slugify
+from chronoweave.functions.names import artifact_ref, slugify
 from chronoweave.plans.ingest import CAMERA, RADAR, prepared
 from chronoweave.sources.payloads import TAILS, checked_payload
 
@@ -124,20 +124,3 @@ def target_fps(rows: DataFrame, runs: DataFrame, override: float | None = None)
     if not rates.where("r is null or size(r) <> 1").limit(1).isEmpty():
         raise ValueError("a target run has no single positive nominal rate")
     return rates.select(*key, F.element_at("r", 1).alias("target_fps"))
-
-
-def audit(assets: DataFrame, artifact_rows: DataFrame, summary: DataFrame, files: DataFrame) -> DataFrame:
-    """severity, table_name, key, issue. files: one column `ref`, what the storage roots hold."""
-    known = files.select(F.col("ref").alias("_ref")).distinct()
-
-    def references(df: DataFrame, table: str, ref: str, key) -> DataFrame:
-        rows = df.select(F.lit(table).alias("table_name"), key.alias("key"), F.coalesce(F.col(ref), F.lit("")).alias("ref"))
-        empty = rows.where("ref = ''").select(F.lit("warning").alias("severity"), "table_name", "key", F.lit("empty reference").alias("issue"))
-        absolute = rows.where(is_absolute_path(F.col("ref"))).select(F.lit("warning").alias("severity"), "table_name", "key", F.lit("absolute reference").alias("issue"))
-        gone = rows.where("ref <> ''").join(known, F.col("ref") == F.col("_ref"), "left_anti").select(F.lit("error").alias("severity"), "table_name", "key", F.concat(F.lit("missing file "), F.col("ref")).alias("issue"))
-        return empty.unionByName(absolute).unionByName(gone)
-
-    key = F.concat_ws("/", *SAMPLE, "artifact_role")
-    bare = artifact_rows.select(SAMPLE).distinct().join(summary, SAMPLE, "left_anti")
-    missing = bare.select(F.lit("warning").alias("severity"), F.lit("SAMPLE_SUMMARY").alias("table_name"), F.concat_ws("/", *SAMPLE).alias("key"), F.lit("sample has payloads but no summary").alias("issue"))
-    return references(assets, "RUN_ASSET", "asset_ref", F.col("asset_id")).unionByName(references(artifact_rows, "SAMPLE_ARTIFACT", "artifact_ref", key)).unionByName(missing)

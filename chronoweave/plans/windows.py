@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import geometry as g
-from chronoweave.operators.diagnostics import cloud_anchor
+from chronoweave.operators.diagnostics import frame_anchors, lines_at_zero
 from chronoweave.operators.frames import frame_stride, strided_windows, window_status, window_support
 from chronoweave.operators.pose import pose_metrics
 
@@ -121,11 +121,18 @@ def window_counts(windows: DataFrame, keys: list[str] | None = None) -> DataFram
     return windows.groupBy(*keys, "status").agg(F.count("*").alias("rows"))
 
 
-def window_anchors(windows: DataFrame) -> DataFrame:
-    """Usable windows with their robust cloud anchor."""
+def window_anchors(windows: DataFrame, radar: DataFrame, noise_filter: bool = False) -> DataFrame:
+    """Usable windows with their robust cloud anchor.
+
+    A frame that stands in many windows gets its geometric median once; windows meet
+    their frames' anchors by run and index.
+    """
     fine = windows.where("status = 'ok'")
-    frames = fine.select(*ROW, F.explode("frames").alias("_f")).select(*ROW, "_f.relative_time", "_f.points")
-    return fine.join(cloud_anchor(frames, ROW), ROW)
+    frame = [*TARGET, "index"]
+    wanted = fine.select(*ROW, F.explode("frames").alias("_f")).select(*ROW, "_f.relative_time", "_f.index")
+    frames = radar.select("subject_id", F.col("run_id").alias("target_run_id"), F.col("device_type").alias("target_device_type"), F.col("sample_index").alias("index"), g.radar_points(F.col("points"), noise_filter).alias("points"))
+    known = frame_anchors(frames.join(wanted.select(frame).distinct(), frame, "left_semi"))
+    return fine.join(lines_at_zero(wanted.join(known, frame), ROW), ROW)
 
 
 def stacked_points(frames: str = "frames"):

@@ -9,7 +9,7 @@ from chronoweave.functions.names import asset_id, is_absolute_path, normalise_as
 from chronoweave.functions.times import format_datetime, from_epoch_seconds, micros, parse_datetime
 from chronoweave.operators import nearest, piecewise, timelines
 from chronoweave.operators.lookup import nearest_by_time, source_of_target, target_of_source
-from chronoweave.plans.payloads import audit
+from chronoweave.plans.audit import audit
 from chronoweave.queries.data import ANCHORS, RUN, SAMPLES, SEGMENTS, SPARSE, anchors, of_type, samples, stored_samples, table
 from chronoweave.sources.shared import written
 from chronoweave.sources.store import upserted
@@ -204,8 +204,9 @@ def missing_summary(spark, sf_dir):
     key = lambda n: [F.lit("s").alias("subject_id"), F.lit("r").alias("run_id"), F.lit("d").alias("device_type"), F.col(n).alias("sample_index")]
     rows = table(spark, sf_dir, "documents").select(*key("doc_id"), F.lit("text").alias("artifact_role"), F.concat(F.lit("d/"), F.col("doc_id").cast("string")).alias("artifact_ref"))
     done = table(spark, sf_dir, "labels").select(*key("doc_id"))
-    found = audit(spark.createDataFrame([], "asset_id string, asset_ref string"), rows, done, rows.select(F.col("artifact_ref").alias("ref")))
-    return found.select("severity", "table_name", F.substring_index("key", "/", -1).cast("long").alias("doc_id"))
+    assets = rows.limit(1).select("subject_id", "run_id", "device_type", F.lit("text").alias("asset_role"), F.lit("external").alias("storage_key"), F.col("artifact_ref").alias("asset_ref"))
+    found = audit(assets, rows, done, files=rows.select(F.col("artifact_ref").alias("ref")))
+    return found.select("severity", F.col("table").alias("table_name"), F.col("sample_index").alias("doc_id"))
 
 
 def slugs(spark, sf_dir):

@@ -146,7 +146,7 @@ def diagnostic_windows(spark, sf_dir):
 def window_anchors(spark, sf_dir):
     mapping, radar, poses, fps = _recordings(spark, sf_dir)
     usable = windows.supervised_windows(mapping, radar, poses, WIDTH, fps, least_window=2, least_frames=2)
-    return windows.window_anchors(usable).select("subject_id", "target_sample_index", "anchor", F.size(windows.stacked_points()).alias("stacked"))
+    return windows.window_anchors(usable, radar).select("subject_id", "target_sample_index", "anchor", F.size(windows.stacked_points()).alias("stacked"))
 
 
 _DOMAIN = "f AS (SELECT vec_id, label % 2 = 0 AS reference, v FROM e)"

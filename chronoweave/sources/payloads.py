@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chronoweave.operators.scan import scan, slice_of
+
 #: Shape of a payload's rows by role.
 TAILS = {"pose2d": (26, 3), "conf2d": (), "pose3d": (32, 4), "radar_points": (6,)}
 
@@ -27,8 +29,7 @@ def ragged_index(rows: DataFrame, run: list[str], values: str = "values", index:
     """rows with begin and end of their values in the run's concatenation, in order of index."""
     n = F.coalesce(F.size(values), F.lit(0)).cast("long")
     n = F.when(n < 0, 0).otherwise(n)
-    end = F.sum(n).over(W.partitionBy(run).orderBy(index).rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumns({"end": end, "begin": end - n})
+    return scan(rows, run, slice_of(rows, index), [index], sums={"end": n}).withColumn("begin", F.col("end") - n)
 
 
 def ragged_issues(bundle: DataFrame, run: list[str], total: DataFrame | None = None, index: str = "sample_index") -> DataFrame:
@@ -69,12 +70,12 @@ def json_lines(rows: DataFrame, run: list[str], payload: str = "payload", index:
     """One compact JSON line per sample, keys sorted, with its byte offset and length in the run's file."""
     line = F.to_json(F.struct(F.col(payload).alias("payload"), F.col(index).alias("sample_index")), {"ignoreNullFields": "false"})
     out = rows.withColumn("line", line).withColumn("nbytes", F.octet_length("line").cast("long"))
-    upto = F.sum(F.col("nbytes") + 1).over(W.partitionBy(run).orderBy(index).rowsBetween(W.unboundedPreceding, 0))
-    return out.withColumn("offset", upto - F.col("nbytes") - 1)
+    out = scan(out, run, slice_of(rows, index), [index], sums={"_upto": F.col("nbytes") + 1}, of=[rows])
+    return out.withColumn("offset", F.col("_upto") - F.col("nbytes") - 1).drop("_upto")
 
 
 def read_json_lines(spark, path: str, payload_type: str) -> DataFrame:
-    """sample_index, payload of JSON-lines files; a key lookup is a filter on sample_index."""
+    """sample_index, payload of whole JSON-lines files; members.read_json_members reads single lines by their offsets."""
     return spark.read.schema(f"payload {payload_type}, sample_index long").json(path)
 
 

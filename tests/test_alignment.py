@@ -138,7 +138,8 @@ def test_nearest_against_brute_force(spark, k):
 
 
 def test_payloads(spark, package, store, tmp_path):
-    from chronoweave.plans.payloads import audit, build_artifacts, mapped_pair, read_payloads
+    from chronoweave.plans.audit import audit
+    from chronoweave.plans.payloads import build_artifacts, mapped_pair, read_payloads
     from chronoweave.plans.mapping import MappingService, Timeline
     from chronoweave.sources.payloads import npz_bundles, ragged_index, ragged_issues
 
@@ -150,8 +151,8 @@ def test_payloads(spark, package, store, tmp_path):
     both = {r.side: r for r in mapped_pair(store.read("SAMPLE_MAPPING"), read_payloads(spark, path), store.read("SAMPLE_SUMMARY"), "v1", 2).collect()}
     assert both["target"].sample_index == 3 and both["source"].payload is None
     files = store.read("SAMPLE_ARTIFACT").select(F.col("artifact_ref").alias("ref")).unionByName(store.read("RUN_ASSET").select(F.col("asset_ref").alias("ref")))
-    assert audit(store.read("RUN_ASSET"), store.read("SAMPLE_ARTIFACT"), store.read("SAMPLE_SUMMARY"), files).count() == 0
-    assert audit(store.read("RUN_ASSET"), store.read("SAMPLE_ARTIFACT"), store.read("SAMPLE_SUMMARY"), files.limit(0)).where("severity = 'error'").count() == 7
+    assert audit(store.read("RUN_ASSET"), store.read("SAMPLE_ARTIFACT"), store.read("SAMPLE_SUMMARY"), files=files).count() == 0
+    assert audit(store.read("RUN_ASSET"), store.read("SAMPLE_ARTIFACT"), store.read("SAMPLE_SUMMARY"), files=files.limit(0)).where("severity = 'error'").count() == 6
     ragged = spark.createDataFrame([("r", 2, [[1.0] * 6] * 2), ("r", 0, []), ("r", 1, [[3.0] * 6])], "run string, sample_index long, values array<array<double>>")
     index = ragged_index(ragged, ["run"])
     assert [(r.sample_index, r.begin, r.end) for r in index.orderBy("sample_index").collect()] == [(0, 0, 0), (1, 0, 1), (2, 1, 3)]

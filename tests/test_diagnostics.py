@@ -117,6 +117,38 @@ def test_cloud_anchor(spark):
     np.testing.assert_allclose(got[2], [4, 5, 6], atol=1e-6)
 
 
+def test_window_anchors_once_per_frame(spark, monkeypatch):
+    """Overlapping windows: as many medians as frames, and the values of a plain computation."""
+    from chronoweave.operators import pose as ps
+
+    rng = np.random.default_rng(4)
+    clouds = {k: rng.normal(size=(5, 5)) + k for k in range(30)}
+    clouds[11][:] = 0  # no valid point
+    radar = spark.createDataFrame([("s", "t", "radar", k, c.tolist()) for k, c in clouds.items()], "subject_id string, run_id string, device_type string, sample_index long, points array<array<double>>")
+    rows = [("s", "v", "c", "cam", k, "t", "radar", k) for k in range(2, 28)] + [("s", "v", "c", "cam", 100, "t", "radar", 5)]
+    mapping = spark.createDataFrame(rows, "subject_id string, mapping_version_id string, source_run_id string, source_device_type string, source_sample_index long, target_run_id string, target_device_type string, target_sample_index long")
+    usable = windows.radar_windows(mapping, radar, 5, None).withColumn("status", F.lit("ok"))
+    calls, plain = spark.sparkContext.accumulator(0), ps.geometric_median
+
+    def counted(cloud):
+        @F.udf("array<double>")
+        def seen(c):
+            calls.add(1)
+            return c
+
+        return plain(F.when(seen(F.flatten(cloud)).isNotNull(), F.col(cloud)))
+
+    monkeypatch.setattr(ps, "geometric_median", counted)
+    found = windows.window_anchors(usable, radar).collect()
+    assert calls.value == 29 and len(found) == len(rows)
+    centre = {k: ps.weiszfeld(c[:, :3]) for k, c in clouds.items() if k != 11}
+    for r in found:
+        own = [(i / 2, centre[r.target_sample_index + i]) for i in range(-2, 3) if r.target_sample_index + i in centre]
+        for axis in range(3):
+            slope = np.median([(b[axis] - a[axis]) / (u - t) for t, a in own for u, b in own if u > t])
+            assert r.anchor[axis] == pytest.approx(np.median([p[axis] - slope * t for t, p in own]), abs=1e-9)
+
+
 def test_versions_and_bundles(spark):
     versions = spark.createDataFrame([("s1", "v2", "near"), ("s1", "v1", "near"), ("s2", "v3", "affine")], "subject_id string, mapping_version_id string, mapping_method string")
     assert [r.mapping_version_id for r in windows.select_mapping_versions(versions, ["s1", "s1"], ["near"]).collect()] == ["v1", "v2"]
