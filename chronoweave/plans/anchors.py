@@ -15,12 +15,23 @@ _ANCHOR = "subject_id string, anchor_id string, anchor_type string, label string
 _MEMBER = "subject_id string, anchor_id string, run_id string, device_type string, sample_index long, member_role string, confidence double, notes string"
 
 
+def _deleted(tables, subject: str, anchor_id: str) -> int:
+    """Deletes an anchor, its members and its place in models; returns how many anchors that were."""
+    key = {"subject_id": subject, "anchor_id": anchor_id}
+    for name in ("ANCHOR_MEMBER", "MODEL_ANCHOR"):
+        tables.delete_where(name, key)
+    return tables.delete_where("ANCHOR", key)
+
+
 class AnchorService:
     def __init__(self, store):
         self.store, self.spark = store, store.spark
 
-    def create_pair(self, subject: str, source: tuple[str, str, int], target: tuple[str, str, int], anchor_id: str | None = None, label: str = "", confidence: float | None = None, provenance: dict | None = None, overwrite: bool = False, anchor_type: str = "manual_correspondence", user_notes: str = "") -> str:
-        """One anchor with a source and a target member (run, device, sample index)."""
+    def create_pair(self, subject: str, source: tuple[str, str, int], target: tuple[str, str, int], anchor_id: str | None = None, label: str = "", confidence: float | None = None, provenance: dict | None = None, overwrite: bool = False, anchor_type: str = "manual_correspondence", user_notes: str = "", members: dict[str, dict] | None = None) -> str:
+        """One anchor with a source and a target member (run, device, sample index).
+
+        members: for `source` and `target` what is a member's own: role, confidence, notes.
+        """
         now = datetime.now(UTC)
         if not anchor_id:
             slug = self.spark.range(1).select(slugify(F.lit(subject), 30)).first()[0]
@@ -30,21 +41,21 @@ class AnchorService:
         notes = json.dumps({"user_notes": user_notes, "provenance": {"created_by": "anchor_service", "created_at": now.strftime("%Y-%m-%dT%H:%M:%S.%f"), **(provenance or {})}}, sort_keys=True)
         # both tables' rows are made before anything is deleted
         anchor = self.spark.createDataFrame([(subject, anchor_id, anchor_type, label, confidence, notes)], _ANCHOR)
-        members = [(subject, anchor_id, run, device, int(i), role, confidence, None) for role, (run, device, i) in (("source", source), ("target", target))]
-        member = self.spark.createDataFrame(members, _MEMBER)
-        if overwrite:
-            self.delete(subject, anchor_id, missing_ok=True)
-        self.store.upsert("ANCHOR", anchor)
-        self.store.upsert("ANCHOR_MEMBER", member)
+        own = {side: {"role": side, "confidence": confidence, "notes": None} | (members or {}).get(side, {}) for side in ("source", "target")}
+        rows = [(subject, anchor_id, run, device, int(i), own[side]["role"], own[side]["confidence"], own[side]["notes"]) for side, (run, device, i) in (("source", source), ("target", target))]
+        member = self.spark.createDataFrame(rows, _MEMBER)
+        with self.store.transaction() as t:
+            if overwrite:
+                _deleted(t, subject, anchor_id)
+            t.upsert("ANCHOR", anchor)
+            t.upsert("ANCHOR_MEMBER", member)
         return anchor_id
 
     def delete(self, subject: str, anchor_id: str, missing_ok: bool = False) -> None:
         """Deletes an anchor, its members and its place in models."""
-        key = {"subject_id": subject, "anchor_id": anchor_id}
-        if not self.store.delete_where("ANCHOR", key) and not missing_ok:
-            raise KeyError(anchor_id)
-        for name in ("ANCHOR_MEMBER", "MODEL_ANCHOR"):
-            self.store.delete_where(name, key)
+        with self.store.transaction() as t:
+            if not _deleted(t, subject, anchor_id) and not missing_ok:
+                raise KeyError(anchor_id)
 
     def pairs(self, subject: str, source: tuple[str, str], target: tuple[str, str]) -> DataFrame:
         """Anchors that have a member in both runs, with both members side by side."""
@@ -70,11 +81,11 @@ class AnchorService:
         with open(path, encoding="utf-8") as f:
             document = json.load(f)
         anchors, members = document.get("ANCHOR", []), document.get("ANCHOR_MEMBER", [])
-        if overwrite:
-            for a in anchors:
-                self.delete(a["subject_id"], a["anchor_id"], missing_ok=True)
-        for name, rows, schema in (("ANCHOR", anchors, _ANCHOR), ("ANCHOR_MEMBER", members, _MEMBER)):
-            if rows:
-                columns = [c.split()[0] for c in schema.split(", ")]
-                self.store.upsert(name, self.spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], schema))
+        with self.store.transaction() as t:
+            for a in anchors if overwrite else []:
+                _deleted(t, a["subject_id"], a["anchor_id"])
+            for name, rows, schema in (("ANCHOR", anchors, _ANCHOR), ("ANCHOR_MEMBER", members, _MEMBER)):
+                if rows:
+                    columns = [c.split()[0] for c in schema.split(", ")]
+                    t.upsert(name, self.spark.createDataFrame([tuple(r.get(c) for c in columns) for r in rows], schema))
         return {"ANCHOR": len(anchors), "ANCHOR_MEMBER": len(members)}

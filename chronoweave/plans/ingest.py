@@ -149,9 +149,10 @@ def transform(spark: SparkSession, package: dict[str, DataFrame | None]) -> tupl
 def ingest(store, package: dict[str, DataFrame | None]) -> dict[str, DataFrame]:
     """Replaces the whole store by a package; returns the reports."""
     tables, reports = transform(store.spark, package)
-    store.initialise_empty()
-    for name, df in tables.items():
-        store.write(name, df)
+    with store.transaction() as t:
+        t.initialise_empty()
+        for name, df in tables.items():
+            t.write(name, df)
     return reports
 
 

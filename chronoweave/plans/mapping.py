@@ -59,14 +59,20 @@ class MappingService:
     def _times(self) -> DataFrame:
         return timeline_times(self.store.read("SAMPLE_TIME_ESTIMATE"))
 
-    def _guard(self, subject: str, version: str, overwrite: bool, model: str | None = None) -> None:
-        known = {"subject_id": subject, "mapping_version_id": version}
-        if self.store.row_exists("MAPPING_VERSION", known):
-            if not overwrite:
-                raise ValueError(f"mapping version {version!r} already exists")
-            self.store.delete_where("SAMPLE_MAPPING", known)
-            if model:
-                self.store.delete_where("MODEL_ANCHOR", {"subject_id": subject, "sync_model_id": model})
+    def _guard(self, subject: str, version: str, overwrite: bool) -> None:
+        if not overwrite and self.store.row_exists("MAPPING_VERSION", {"subject_id": subject, "mapping_version_id": version}):
+            raise ValueError(f"mapping version {version!r} already exists")
+
+    def _save(self, subject: str, version: str, model_id: str, model: DataFrame, version_row: DataFrame, mapping: DataFrame, anchors: DataFrame | None = None) -> None:
+        """A version with its model and rows, in place of what it held before: all of it or nothing."""
+        with self.store.transaction() as t:
+            t.delete_where("SAMPLE_MAPPING", {"subject_id": subject, "mapping_version_id": version})
+            t.upsert("SYNC_MODEL", model)
+            if anchors is not None:
+                t.delete_where("MODEL_ANCHOR", {"subject_id": subject, "sync_model_id": model_id})
+                t.upsert("MODEL_ANCHOR", anchors)
+            t.upsert("MAPPING_VERSION", version_row)
+            t.upsert("SAMPLE_MAPPING", mapping)
 
     def _version(self, subject: str, version: str, source: Timeline, target: Timeline, method: str, model: str, parameters: dict, parent: str | None = None) -> DataFrame:
         row = (subject, version, source.run_id, source.device_type, target.run_id, target.device_type, version, method, parent, model, json.dumps(parameters, sort_keys=True))
@@ -93,9 +99,9 @@ class MappingService:
             raise ValueError("a mapping of numeric timelines has to be allowed by allow_numeric_identity")
         labelled = nearest_mapping(src, tgt, ["subject_id"], config)
         model = f"identity__{version}"
-        self.store.upsert("SYNC_MODEL", self._model(subject, model, source, target, "identity_time", config.extrapolation_policy, json.dumps(asdict(config), sort_keys=True)))
-        self.store.upsert("MAPPING_VERSION", self._version(subject, version, source, target, "initial_nearest_for_anchoring", model, asdict(config)))
-        self.store.upsert("SAMPLE_MAPPING", sample_mapping(labelled, subject, version, source, target))
+        row = self._model(subject, model, source, target, "identity_time", config.extrapolation_policy, json.dumps(asdict(config), sort_keys=True))
+        made = self._version(subject, version, source, target, "initial_nearest_for_anchoring", model, asdict(config))
+        self._save(subject, version, model, row, made, sample_mapping(labelled, subject, version, source, target))
         return mapping_diagnostics(labelled, ["subject_id"])
 
     def map_all(self, source_device: str, source_timeline: str, target_device: str, target_timeline: str, config: NearestConfig = NearestConfig(), min_overlap_sec: float = 5.0, overwrite: bool = False) -> DataFrame:
@@ -132,9 +138,10 @@ class MappingService:
         from chronoweave.schemas import align
 
         held = self.store.read("SAMPLE_MAPPING").join(chosen.select("subject_id", "mapping_version_id"), ["subject_id", "mapping_version_id"], "left_anti")
-        self.store.write("SAMPLE_MAPPING", align("SAMPLE_MAPPING", held).unionByName(align("SAMPLE_MAPPING", labelled)))
-        self.store.upsert("SYNC_MODEL", models)
-        self.store.upsert("MAPPING_VERSION", versions)
+        with self.store.transaction() as t:
+            t.write("SAMPLE_MAPPING", align("SAMPLE_MAPPING", held).unionByName(align("SAMPLE_MAPPING", labelled)))
+            t.upsert("SYNC_MODEL", models)
+            t.upsert("MAPPING_VERSION", versions)
         rows = self.store.read("SAMPLE_MAPPING").groupBy("subject_id", "mapping_version_id").agg(F.count("*").alias("rows"))
         return pairs.join(rows, ["subject_id", "mapping_version_id"], "left").select("subject_id", "source_run_id", "target_run_id", "overlap_sec", "status", "mapping_version_id", F.when(F.col("status") == "mapped", F.coalesce("rows", F.lit(0))).alias("rows"))
 
@@ -155,7 +162,7 @@ class MappingService:
         subject = source.subject_id
         if not overwrite and self.store.row_exists("SYNC_MODEL", {"subject_id": subject, "sync_model_id": model}):
             raise ValueError(f"sync model {model!r} already exists")
-        self._guard(subject, version, overwrite, model)
+        self._guard(subject, version, overwrite)
         times = self._times()
         src, tgt = select(times, source), select(times, target)
         if not allow_mixed and _basis(src) != _basis(tgt):
@@ -171,10 +178,10 @@ class MappingService:
         # a model's anchors are set by hand: its document is small
         document = {n: [r.asDict() for r in df.drop("subject_id").collect()] for n, df in (("anchors", anchors), ("segments", segments), ("residuals", pw.anchor_residuals(anchors, segments, keys)), ("leave_one_out", loo))}
         document |= {"model_type": "piecewise_affine", "extrapolation_policy": policy}
-        self.store.upsert("SYNC_MODEL", self._model(subject, model, source, target, "piecewise_affine", policy, json.dumps(document, sort_keys=True)))
-        self.store.upsert("MODEL_ANCHOR", anchors.select("subject_id", F.lit(model).alias("sync_model_id"), "anchor_id"))
-        self.store.upsert("MAPPING_VERSION", self._version(subject, version, source, target, "nearest_predicted_time", model, asdict(config), parent))
-        self.store.upsert("SAMPLE_MAPPING", sample_mapping(labelled, subject, version, source, target, "region"))
+        row = self._model(subject, model, source, target, "piecewise_affine", policy, json.dumps(document, sort_keys=True))
+        made = self._version(subject, version, source, target, "nearest_predicted_time", model, asdict(config), parent)
+        used = anchors.select("subject_id", F.lit(model).alias("sync_model_id"), "anchor_id")
+        self._save(subject, version, model, row, made, sample_mapping(labelled, subject, version, source, target, "region"), used)
         extra = self.spark.createDataFrame([(subject, "anchors", float(len(document["anchors"]))), (subject, "segments", float(len(document["segments"])))], "subject_id string, metric string, value double")
         errors = loo.where("error_ms is not null").groupBy(keys).agg(F.percentile(F.abs("error_ms"), F.lit(0.5)).alias("loo_abs_error_ms_median"), F.max(F.abs("error_ms")).alias("loo_abs_error_ms_max"))
         return mapping_diagnostics(labelled, keys).unionByName(extra).unionByName(errors.unpivot(keys, ["loo_abs_error_ms_median", "loo_abs_error_ms_max"], "metric", "value"))

@@ -74,10 +74,11 @@ def build_artifacts(store, path: str, rgb: DataFrame | None, radar: DataFrame |
     every = reduce(DataFrame.unionByName, parts)
     every.write.mode("overwrite" if overwrite else "errorifexists").partitionBy("device_type", "artifact_role").parquet(path)
     written = read_payloads(store.spark, path)
-    store.upsert("SAMPLE_ARTIFACT", artifacts(written))
-    for f, df in ((camera_summary, rgb), (radar_summary, radar)):
-        if df is not None:
-            store.upsert("SAMPLE_SUMMARY", f(df))
+    with store.transaction() as t:
+        t.upsert("SAMPLE_ARTIFACT", artifacts(written))
+        for f, df in ((camera_summary, rgb), (radar_summary, radar)):
+            if df is not None:
+                t.upsert("SAMPLE_SUMMARY", f(df))
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
