@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 #: Target ids of noise, skeleton limbs, joint and channel orders, joints without the uncertain head.
 NOISE_TARGETS = (253.0, 254.0, 255.0)
 LIMBS = ((0, 1), (1, 2), (2, 3), (0, 4), (4, 5), (5, 6), (0, 7), (7, 8), (8, 9), (9, 10), (7, 11), (11, 12), (12, 13), (7, 14), (14, 15), (15, 16))
-BODY15 = tuple(i for i in range(17) if i not in (9, 10))
+JOINTS = 17
+BODY15 = tuple(i for i in range(JOINTS) if i not in (9, 10))
 JOINTS_32_TO_17 = (0, 18, 19, 20, 22, 23, 24, 2, 3, 27, 26, 12, 13, 14, 5, 6, 7)
 POINT_ORDER = (1, 0, 2, 4, 3)
 POSE_ORDER = (0, 2, 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -170,12 +171,68 @@ def joint_statistics(frames: DataFrame, keys: list[str], pose: str) -> DataFrame
     return describe(stacked, [*group, "frame"], "value")
 
 
-def pose_bounds(frames: DataFrame, pose: str, low: float = 0.001, high: float = 0.999, margin: float = 0.1, least: float = 0.05) -> DataFrame:
-    """joint, axis, low, high: outer quantiles widened by a part of their span, at least least."""
-    long = joint_values(frames, [], pose)
-    q = quantiles(distribution(long, ["joint", "axis"], "value"), ["joint", "axis"], (low, high)).groupBy("joint", "axis").agg(F.min("value").alias("a"), F.max("value").alias("b"))
-    pad = F.greatest((F.col("b") - F.col("a")) * margin, F.lit(least))
-    return q.select("joint", "axis", (F.col("a") - pad).alias("low"), (F.col("b") + pad).alias("high"))
+@dataclass(frozen=True)
+class PoseBounds:
+    """Least and largest coordinates of each joint in a target space, checked."""
+
+    low: tuple[tuple[float, ...], ...]
+    high: tuple[tuple[float, ...], ...]
+
+    def __post_init__(self):
+        low, high = (np.array(x, dtype=float) for x in (self.low, self.high))
+        if low.shape != (g.JOINTS, 3) or high.shape != (g.JOINTS, 3):
+            raise ValueError(f"bounds must be {g.JOINTS} joints of 3 numbers, not {low.shape} and {high.shape}")
+        if not (np.isfinite(low).all() and np.isfinite(high).all()):
+            raise ValueError("bounds must be finite")
+        if (high <= low).any():
+            raise ValueError("every high bound must be over its low one")
+
+    @classmethod
+    def of(cls, table: DataFrame) -> PoseBounds:
+        """From the rows that pose_bounds gives: one for each joint and axis."""
+        rows = {(r["joint"], r["axis"]): (r["low"], r["high"]) for r in table.collect()}
+        side = lambda k: tuple(tuple(rows[j, a][k] if (j, a) in rows else float("nan") for a in range(3)) for j in range(g.JOINTS))
+        return cls(side(0), side(1))
+
+
+def pose_bounds(frames: DataFrame, pose: str, mode: str = "absolute", anchor: str | None = None, translation: Sequence[float] = (0.0, 0.0, 0.0), body_scale: float = 1.0, low: float = 0.001, high: float = 0.999) -> DataFrame:
+    """joint, axis, low, high: bounds of the poses in a target space (see encode_target), that rotations, mirroring, scaling
+    up to body_scale and shifts up to translation do not leave.
+
+    Poses (and anchors, where the mode needs them) that are not finite are left out. The
+    pelvis takes its outer quantiles, widened by a tenth of their span or 5 cm and by the translation;
+    relative to an anchor, the outer radius around it, 25 cm at least. Other joints take their
+    outer radius around the pelvis, 15 cm at least. Absolute joints take the pelvis's
+    quantiles, widened by each joint's radius, 5 cm at least, and the translation.
+    """
+    whole = F.forall(F.col(pose), lambda j: F.forall(j, g.is_finite))
+    if mode == "cloud_anchor_relative":
+        if anchor is None:
+            raise ValueError("bounds relative to an anchor need the anchors' column")
+        whole = whole & F.coalesce(F.forall(F.col(anchor), g.is_finite), F.lit(False))
+    rows = frames.where(F.coalesce(whole, F.lit(False)))
+    rows = rows.select(g.encode_target(F.col(pose), mode, F.col(anchor) if anchor else None).alias("_encoded"), F.col(pose).alias("_pose"))
+    many = 3 * g.JOINTS * frames.count()
+    shift = F.element_at(F.array(*[F.lit(float(t)) for t in translation]), F.col("axis") + 1)
+    number = F.col("value").cast("double")
+
+    each = rows.select(F.posexplode("_encoded").alias("joint", "_j")).select("joint", F.posexplode("_j").alias("axis", "value"))
+    ends = percentiles(each, ["joint", "axis"], {"a": (number, low), "b": (number, high)}, [many])
+    # radius around the pelvis; of the pelvis itself around the anchor
+    centre = g.at(F.col("_pose"), 0)
+    away = F.when(F.col("joint") == 0, g.norm(g.at(F.col("_encoded"), 0)) if mode == "cloud_anchor_relative" else F.lit(0.0)).otherwise(g.norm(g.minus(F.col("_j"), centre)))
+    radii = rows.select("_encoded", "_pose", F.posexplode("_pose").alias("joint", "_j")).select("joint", away.alias("value"))
+    radii = percentiles(radii, ["joint"], {"r": (number, high)}, [many]).withColumn("r", F.col("r") * body_scale * 1.1)
+    both = ends.join(F.broadcast(radii), "joint")  # a row for each joint
+    root = ends.where("joint = 0").select("axis", F.col("a").alias("ra"), F.col("b").alias("rb"))
+    both = both.join(F.broadcast(root), "axis")  # three rows
+    if mode == "absolute":
+        radius = F.greatest("r", F.lit(0.05))
+        return both.select("joint", "axis", (F.col("ra") - radius - shift).alias("low"), (F.col("rb") + radius + shift).alias("high"))
+    pad = F.greatest((F.col("b") - F.col("a")) * 0.1, F.lit(0.05)) + shift
+    first = (F.col("joint") == 0) & F.lit(mode == "pelvis_relative")
+    radius = F.greatest("r", F.when(F.col("joint") == 0, 0.25).otherwise(0.15))
+    return both.select("joint", "axis", F.when(first, F.col("a") - pad).otherwise(-radius).alias("low"), F.when(first, F.col("b") + pad).otherwise(radius).alias("high"))
 
 
 def bounds_report(frames: DataFrame, frame_id: str, pose: str, bounds: DataFrame) -> tuple[DataFrame, DataFrame]:
