@@ -20,12 +20,12 @@ from chronoweave.llm.common import map_arrow, written
 from chronoweave.llm.components import connected_components
 from chronoweave.llm.vector_topk import _distances, _matrix, usable
 
-#: Vectors that the codebooks are fitted on, at most: a bounded sample by a hash of the id.
-SAMPLE = 4096
+#: Vectors that the codebooks are fitted on: at least, for each codeword, and bytes at most. A bounded sample by a hash of the id.
+SAMPLE, PER_WORD, SAMPLE_BYTES = 4096, 16, 32 << 20
 #: Vectors of a cell that meet in one task, and of a cell on average, about.
 BLOCK, CELL = 2048, 32
-#: Codewords of a half at most; the sample has several vectors for each.
-WORDS = 256
+#: Codewords of a half at most; cells grow beyond WORDS ** 2 * CELL vectors alone (some 500 million).
+WORDS = 4096
 #: A partner lies in any direction alike, so the part of its distance that leads to one cell is this many
 #: standard deviations long at most; by the normal law fewer than one in a million partners lies beyond.
 DEVIATIONS = 5.0
@@ -42,7 +42,7 @@ def codebook(half: np.ndarray, words: int, rounds: int = 12) -> np.ndarray:
         near = np.minimum(near, ((half - half[at[-1]]) ** 2).sum(axis=1))
     book = half[at]
     for _ in range(rounds):
-        own = np.argmin(_distances(half, book), axis=1)
+        own = np.concatenate([np.argmin(_distances(half[a : a + 4096], book), axis=1) for a in range(0, len(half), 4096)])
         size = np.bincount(own, minlength=words)
         sums = np.stack([np.bincount(own, half[:, j], words) for j in range(half.shape[1])], axis=1)
         book = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], book)
@@ -63,12 +63,13 @@ class MultiIndex:
         one, two = (np.argmin(d, axis=1) for d in self._to_words(unit))
         return one * len(self.books[1]) + two
 
-    def stop(self, radius: float) -> float:
+    def stop(self, radius: float, exact: bool = False) -> float:
         """How far beyond its own cell a vector walks for partners within radius.
 
-        In few dimensions it is the radius itself, and no partner is missed.
+        In few dimensions, and where the search is to be exact, it is the radius itself, and
+        no partner is missed. Else partners whose difference lies along few directions may be.
         """
-        return radius * min(1.0, DEVIATIONS / (2 * self.cut) ** 0.5)
+        return radius if exact else radius * min(1.0, DEVIATIONS / (2 * self.cut) ** 0.5)
 
     def visits(self, unit: np.ndarray, stop: float) -> tuple[np.ndarray, np.ndarray]:
         """(vector, cell) of the cells walked to, nearest first for each vector.
@@ -144,7 +145,7 @@ def _verified(q: pa.Table, x: pa.Table, least: float) -> pa.Table:
     return pa.table({"vec_id": pa.array(ids, pa.int64()), "links": pa.array(weight, pa.int64()), "root": pa.array(root, pa.int64())})
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, words: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98, words: int | None = None, exact: bool = False, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links of cosine at least `least` between vectors of one label, and their components.
 
     One row per row of vectors: vec_id, n_links (other rows linked to it), component_id
@@ -152,8 +153,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, words: int | None =
     vectors, those with null or non-finite components, rows without a label or an id and
     vectors of another length link with nothing. Identical vectors of one label are one
     class, so thousands of copies cost as much as one; each row of a repeated id counts by
-    its own vector. Links found are exact; of the links there are, the index finds all but
-    a share set by DEVIATIONS. Other columns, of any name, are not read.
+    its own vector. Links found are exact; of the links there are, the index finds all if
+    `exact`, which walks to several times as many cells, else all but
+    a share set by DEVIATIONS (see the README for figures). Other columns, of any name, are not read.
     """
     v = F.col(vector_col)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("string").alias("label"), F.transform(v, lambda x: x.cast("double")).alias("v"))
@@ -161,7 +163,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, words: int | None =
     rows = written(rows.withColumn("usable", F.coalesce("usable", F.lit(False))), "vectors")
     classes = written(rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "vector-classes")
 
-    parts = [_linked(classes.where(F.size("v") == r["dim"]), r["dim"], r["n"], least, words) for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()]
+    parts = [_linked(classes.where(F.size("v") == r["dim"]), r["dim"], r["n"], least, words, exact) for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()]
     if parts:
         found = parts[0]
         for p in parts[1:]:
@@ -178,14 +180,15 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, words: int | None =
     return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(classes: DataFrame, dim: int, n: int, least: float, words: int | None) -> DataFrame:
+def _linked(classes: DataFrame, dim: int, n: int, least: float, words: int | None, exact: bool) -> DataFrame:
     """vec_id, links, root of the classes of one vector length."""
     spark = classes.sparkSession
-    words = words or int(np.clip((n / CELL) ** 0.5, 4, WORDS))
-    sample = classes.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["v"]
+    most = max(SAMPLE_BYTES // (8 * dim), 4)
+    words = words or int(np.clip((n / CELL) ** 0.5, 4, min(WORDS, max(most // PER_WORD, 4))))
+    sample = classes.select("v").orderBy(F.xxhash64("vec_id"), "vec_id").limit(min(max(SAMPLE, PER_WORD * words), most)).toPandas()["v"]
     index = MultiIndex(_unit(np.stack(sample.to_list())), words)
     sent = spark.sparkContext.broadcast(index)
-    stop = index.stop(float(np.sqrt(2 - 2 * least)) * (1 + 1e-9) + 1e-9)
+    stop = index.stop(float(np.sqrt(2 - 2 * least)) * (1 + 1e-9) + 1e-9, exact)
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
         cell = sent.value.cells(_unit(_matrix(batch)))

@@ -116,6 +116,35 @@ def test_recall_of_the_index_against_brute_force(spark):
     assert all(np.unique(cells[who == v]).size == (who == v).sum() for v in range(50))  # no cell twice
 
 
+@pytest.mark.parametrize("axes", [1, 3])
+def test_partners_along_few_axes(spark, axes):
+    """Copies that differ along few directions: nine in ten at the target recall, every one if exact."""
+    from chronoweave.llm.vector_dedup import near_duplicates
+
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(600, 64))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    step = np.zeros((600, 64))
+    step[:, :axes] = rng.normal(size=(600, axes))
+    moved = base + step * (rng.uniform(0.12, 0.19, 600) / np.linalg.norm(step, axis=1))[:, None]
+    m = np.concatenate([base, moved])
+    unit = m / np.linalg.norm(m, axis=1)[:, None]
+    want = ((unit @ unit.T) >= 0.98).sum(axis=1) - 1
+    assert want.sum() > 900
+    df = spark.createDataFrame([(i, v, 1) for i, v in enumerate(m.tolist())], "vec_id long, embedding array<double>, label int")
+    got = [{r.vec_id: r.n_links for r in near_duplicates(df, words=64, exact=exact).collect()} for exact in (False, True)]
+    assert sum(got[0].values()) >= 0.9 * want.sum()
+    assert [got[1][i] for i in range(len(m))] == want.tolist()
+
+
+def test_codebooks_grow_within_bounds(monkeypatch):
+    from chronoweave.llm import vector_dedup as vd
+
+    half = np.random.default_rng(1).normal(size=(9000, 6))
+    book = vd.codebook(half, 300, rounds=2)
+    assert book.shape == (300, 6) and np.isfinite(book).all()
+
+
 def test_top_k_sends_a_vector_where_it_matters(spark):
     from chronoweave.llm import vector_topk as vt
 
