@@ -84,27 +84,45 @@ def _nearest_of_cells(data: DataFrame, k: int) -> DataFrame:
     return near.withColumn("n", F.row_number().over(W.partitionBy("cell").orderBy("d"))).where(F.col("n") <= k).select("cell", "d")
 
 
-def _best(queries: pa.Table, data: pa.Table, k: int) -> pa.Table:
-    """The k best vectors of one block for each query of one block."""
+def _concerns(part: int, limit: float, radius: float, between: np.ndarray, cell: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which vectors (their cells and distances to these pivots) may be among the best of a query group."""
+    # distances carry rounding errors far below a millionth of their size
+    return between[part][cell] - radius - d <= limit + 1e-6 * (1 + between[part][cell] + radius + d)
+
+
+def _best(queries: pa.Table, data: pa.Table, k: int, bounds: dict[int, tuple[float, float]], between: np.ndarray) -> pa.Table:
+    """The k best vectors of one block for each query of one block.
+
+    Each query group is multiplied by the vectors alone that its own bound leaves.
+    """
     out = [np.empty(0, np.int64)] * 3
     if queries.num_rows and data.num_rows:
         ids = data.column("vec_id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        ids, v = ids[order], _matrix(data)[order]
-        q, own = _matrix(queries), queries.column("vec_id").to_numpy()
+        every, v = ids[order], _matrix(data)[order]
+        cell, d = data.column("cell").to_numpy()[order], data.column("d").to_numpy()[order]
+        q, asked, parts = _matrix(queries), queries.column("vec_id").to_numpy(), queries.column("part").to_numpy()
         exact = float(np.abs(q).max()) * float(np.abs(v).max()) * q.shape[1] < 2.0**53
+        wide = v.astype(np.float64) if exact else v
         found = []
-        for a in range(0, len(q), 256):
-            part = q[a : a + 256]
-            score = (part.astype(np.float64) @ v.T.astype(np.float64)).astype(np.int64) if exact else part @ v.T
-            for i, row in enumerate(score):
-                allowed = ids != own[a + i]
-                row = np.where(allowed, row, np.iinfo(np.int64).min)
-                least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else row.min()
-                take = np.flatnonzero((row >= least) & allowed)
-                take = take[np.lexsort((ids[take], -row[take]))[:k]]
-                found.append((np.full(len(take), own[a + i]), ids[take], row[take]))
-        out = [np.concatenate(c) for c in zip(*found, strict=True)]
+        for p in np.unique(parts).tolist():
+            left = _concerns(p, *bounds[p], between, cell, d)
+            if not left.any():
+                continue
+            ids, x = (every, wide) if left.all() else (every[left], wide[left])
+            mine = np.flatnonzero(parts == p)
+            for a in range(0, len(mine), 256):
+                part, own = q[mine[a : a + 256]], asked[mine[a : a + 256]]
+                score = (part.astype(np.float64) @ x.T).astype(np.int64) if exact else part @ x.T
+                for i, row in enumerate(score):
+                    allowed = ids != own[i]
+                    row = np.where(allowed, row, np.iinfo(np.int64).min)
+                    least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else row.min()
+                    take = np.flatnonzero((row >= least) & allowed)
+                    take = take[np.lexsort((ids[take], -row[take]))[:k]]
+                    found.append((np.full(len(take), own[i]), ids[take], row[take]))
+        if found:
+            out = [np.concatenate(c) for c in zip(*found, strict=True)]
     return pa.table({"query_id": pa.array(out[0], pa.int64()), "vec_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.int64())})
 
 
@@ -157,9 +175,7 @@ def _one_dimension(data: DataFrame, queries: DataFrame, n: int, top: float, k: i
         for i, own in limits.items():
             needed = np.zeros(len(cell), bool)
             for part, limit, radius in own:
-                # distances carry rounding errors far below a millionth of their size
-                low = between[part][cell] - radius - d
-                needed |= low <= limit + 1e-6 * (1 + between[part][cell] + radius + d)
+                needed |= _concerns(part, limit, radius, between, cell, d)
             hit = np.flatnonzero(needed)
             blocks, query_blocks = splits[i]
             block = (ids[hit].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(blocks)
@@ -167,7 +183,7 @@ def _one_dimension(data: DataFrame, queries: DataFrame, n: int, top: float, k: i
                 rows.append(hit)
                 keys.append((np.full(len(hit), i, np.int64) << 40) | (block.astype(np.int64) << 20) | b)
         rows, keys = np.concatenate(rows), np.concatenate(keys)
-        return pa.record_batch([pa.array(keys), *(column_of(batch, c).take(pa.array(rows)) for c in ("vec_id", "v"))], ["key", "vec_id", "v"])
+        return pa.record_batch([pa.array(keys), *(column_of(batch, c).take(pa.array(rows)) for c in ("vec_id", "cell", "d", "v"))], ["key", "vec_id", "cell", "d", "v"])
 
     def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
         """A query goes to one block of its joined group, for all vector blocks."""
@@ -175,11 +191,14 @@ def _one_dimension(data: DataFrame, queries: DataFrame, n: int, top: float, k: i
         cell, ids = [group[c] for c in column_of(batch, "cell").to_pylist()], column_of(batch, "vec_id").to_pylist()
         pairs = [(r, (c << 40) | (b << 20) | ((v * 0x9E3779B1 >> 7) % splits[c][1])) for r, (c, v) in enumerate(zip(cell, ids, strict=True)) for b in range(splits[c][0])]
         rows = pa.array([p[0] for p in pairs])
-        return pa.record_batch([pa.array([p[1] for p in pairs], pa.int64()), *(column_of(batch, c).take(rows) for c in ("vec_id", "v"))], ["key", "vec_id", "v"])
+        return pa.record_batch([pa.array([p[1] for p in pairs], pa.int64()), *(column_of(batch, c).take(rows) for c in ("vec_id", "cell", "v"))], ["key", "vec_id", "part", "v"])
+
+    def searched(q: pa.Table, x: pa.Table) -> pa.Table:
+        limits, _, between, _ = sent.value
+        return _best(q, x, k, {part: (limit, radius) for own in limits.values() for part, limit, radius in own}, between)
 
-    keyed = "key long, vec_id long, v array<long>"
-    left, right = map_arrow(queries, spread, keyed), map_arrow(data, route, keyed)
-    return left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(lambda q, x: _best(q, x, k), "query_id long, vec_id long, score long")
+    left, right = map_arrow(queries, spread, "key long, vec_id long, part int, v array<long>"), map_arrow(data, route, "key long, vec_id long, cell int, d double, v array<long>")
+    return left.groupBy("key").cogroup(right.groupBy("key")).applyInArrow(searched, "query_id long, vec_id long, score long")
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, pivots: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -156,9 +156,15 @@ def test_top_k_sends_a_vector_where_it_matters(spark):
     best = vt._best
     counted = spark.sparkContext.accumulator(0)
 
-    def counting(q, x, k):
+    made, all_pairs = (spark.sparkContext.accumulator(0) for _ in range(2))
+
+    def counting(q, x, k, bounds, between):
         counted.add(x.num_rows)
-        return best(q, x, k)
+        all_pairs.add(q.num_rows * x.num_rows)
+        cell, d = x.column("cell").to_numpy(), x.column("d").to_numpy()
+        for part in q.column("part").to_pylist():
+            made.add(int(vt._concerns(part, *bounds[part], between, cell, d).sum()))
+        return best(q, x, k, bounds, between)
 
     vt._best = counting
     block, vt.QUERY_BLOCK = vt.QUERY_BLOCK, 8
@@ -173,6 +179,14 @@ def test_top_k_sends_a_vector_where_it_matters(spark):
         want = [k for k in np.lexsort((np.arange(1600), -s)) if k != q][:5]
         assert sorted((r["rank"], r.vec_id) for r in got if r.query_id == q) == [(n + 1, int(k)) for n, k in enumerate(want)]
     assert sent[0] < 8, sent  # of ten groups or more
+    # with all queries in one joined group, each group's own bound still leaves most products out
+    made.value = all_pairs.value = 0
+    vt._best = counting
+    try:
+        assert sorted(map(tuple, vt.top_k(df, F.col("vec_id") % 20 == 0, k=5, pivots=64).collect())) == sorted(map(tuple, got))
+    finally:
+        vt._best = best
+    assert 0 < made.value < 0.25 * all_pairs.value, (made.value, all_pairs.value)
 
 
 def test_joined_groups():
