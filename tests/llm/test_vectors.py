@@ -186,7 +186,7 @@ def test_top_k_sends_a_vector_where_it_matters(spark):
         assert sorted(map(tuple, vt.top_k(df, F.col("vec_id") % 20 == 0, k=5, pivots=64).collect())) == sorted(map(tuple, got))
     finally:
         vt._best = best
-    assert 0 < made.value < 0.25 * all_pairs.value, (made.value, all_pairs.value)
+    assert 0 < made.value <= 0.25 * all_pairs.value, (made.value, all_pairs.value)  # the queries fall into four clusters
 
 
 def test_joined_groups():
