@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.functions.times import finite
 from chronoweave.operators.scan import few, scan
+from chronoweave.sources.shared import written
 
 #: Distinct values of a slice, about: one value in so many, by its hash, is a cut.
 SLICE_VALUES = 1 << 18
@@ -62,7 +63,8 @@ def distribution(df: DataFrame, keys: list[str], value: str, weights: dict[str,
     dist = rows.groupBy(*keys, "v").agg(*[F.sum(w).alias(k) for k, w in sums.items()])
     by = None
     if not few(*(of or [df])):
-        dist, by = _cut(dist, keys), F.col("_cut")
+        # cuts, slices and rows all come from it: it is made once
+        dist, by = _cut(written(dist, "distribution"), keys), F.col("_cut")
     out = scan(dist, keys, by, ["v"], sums={"upto": F.col("c")} | {f"{k}_upto": F.col(k) for k in weights}, wholes={"n": (F.sum, F.col("c"))}, of=of or [df])
     return out.select(*keys, "v", *sums, "upto", *[f"{k}_upto" for k in weights], "n")
 
@@ -136,6 +138,7 @@ def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column,
         return df.groupBy(keys).agg(*[F.percentile(finite(c.cast("double")), F.lit(float(q))).alias(n) for n, (c, q) in wanted.items()])
     values = F.explode(F.array(*[F.struct(F.lit(n).alias("what"), F.lit(float(q)).alias("q"), (finite(c.cast("double")) + F.lit(0.0)).alias("v")) for n, (c, q) in wanted.items()]))
     rows = df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], values.alias("_x")).select(*[f"_k{i}" for i in range(len(keys))], "_x.*")
+    rows = written(rows, "percentile-values")
     own = [*[f"_k{i}" for i in range(len(keys))], "what", "q"]
     same = lambda a, b: reduce(lambda x, k: x & F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")), own, F.lit(True))
     there = rows.where("v is not null")
@@ -151,6 +154,7 @@ def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column,
     within = lambda p, first, n: (p >= first) & (p < first + n)
     held = counts.where(within(F.floor(at), F.col("before"), F.col("held")) | within(F.ceil(at), F.col("before"), F.col("held"))).drop("total", "held")
     chosen = placed.alias("a").join(held.alias("b"), same("a", "b") & (F.col("a.bucket") == F.col("b.bucket"))).select("a.*", "before")
+    chosen = written(chosen, "percentile-buckets")
     dist = distribution(chosen, [*own, "total", "before"], "v", of=of or [df])
     first = F.col("before") + F.col("upto") - F.col("c")
     ends = dist.groupBy(*own, "total").agg(F.max(F.when(within(F.floor(at), first, F.col("c")), F.col("v"))).alias("low"), F.max(F.when(within(F.ceil(at), first, F.col("c")), F.col("v"))).alias("high"))
