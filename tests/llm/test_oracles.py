@@ -7,13 +7,13 @@ import pytest
 
 import __spark_entry__ as entry
 
-NAMES = ["op5_top_k", "op6_jaccard", "op7_vector_dedup", "op8_mixing", "licenses_base"]
+NAMES = ["op5_top_k", "op6_jaccard", "op7_vector_dedup", "op8_mixing", "op11_quality_rules", "op12_lexical_search", "op13_vector_codes", "licenses_base"]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_equals_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     df = entry.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
