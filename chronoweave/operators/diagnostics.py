@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from chronoweave.functions import geometry as g
 from chronoweave.operators import pose as ps
 from chronoweave.operators import statistics as st
-from chronoweave.operators.frames import _drawn, frame_quotas, matched_sample
+from chronoweave.operators.frames import _drawn, drawn, frame_quotas, matched_sample
 from chronoweave.sources.shared import written
 
 #: Limits of the model's features, by group: divisor and clip.
@@ -62,13 +62,18 @@ def offset_summary(geometry: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def root_centred_points(frames: DataFrame, keys: list[str], frame_id: str, points: str, pose: str, maximum: int | None = None, seed: int = 0) -> DataFrame:
-    """keys, frame_id, point: points minus the frame's pelvis; of each frame its share of maximum, at random, if one is given."""
+    """keys, frame_id, point: points minus the frame's pelvis.
+
+    If a maximum is given, each frame gives its share of it at random, one point at least,
+    and of these at most the maximum are drawn for each domain.
+    """
     each = frames.select(*keys, frame_id, g.at(F.col(pose), 0).alias("_root"), F.posexplode(points).alias("_at", "_p"))
     if maximum:
         share = frames.groupBy(keys).agg(F.greatest(F.lit(1), F.ceil(F.lit(maximum) / F.count("*"))).alias("_per"))
         each = each.join(F.broadcast(share), keys) if keys else each.join(F.broadcast(share))  # a row for each domain
         order = st.W.partitionBy(*keys, frame_id).orderBy(_drawn(seed, [frame_id, "_at"]), "_at")
         each = each.withColumn("_r", F.row_number().over(order)).where("_r <= _per")
+        each = drawn(each, keys, [frame_id, "_at"], maximum, seed + 1)
     return each.select(*keys, frame_id, g.minus(F.col("_p"), F.col("_root")).alias("point"))
 
 

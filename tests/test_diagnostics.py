@@ -117,6 +117,22 @@ def test_cloud_anchor(spark):
     np.testing.assert_allclose(got[2], [4, 5, 6], atol=1e-6)
 
 
+@pytest.mark.parametrize("keys", [[], ["d"]])
+def test_root_centred_sample(spark, keys):
+    """Shares of frames, then the maximum over all frames of a domain; every point is one of its frame."""
+    rng = np.random.default_rng(6)
+    clouds = {(d, k): rng.normal(size=(6, 5)) for d, n in (("a", 30), ("b", 3)) for k in range(n)}
+    df = spark.createDataFrame([(d, 100 * (d == "b") + k, c.tolist(), [[float(k), 0.0, 0.0]] * 17) for (d, k), c in clouds.items()], "d string, frame long, points array<array<double>>, pose array<array<double>>")
+    for maximum in (8, 60, 1000):
+        got = dg.root_centred_points(df, keys, "frame", "points", "pose", maximum).collect()
+        groups = [[key for key in clouds if not keys or key[0] == d] for d in ("ab" if keys else "a")]
+        assert len(got) == sum(min(maximum, len(own) * min(6, max(1, -(-maximum // len(own))))) for own in groups)
+        for r in got:
+            d, k = ("b", r.frame - 100) if r.frame >= 100 else ("a", r.frame)
+            assert (np.abs(clouds[d, k][:, :3] - [k, 0, 0] - r.point).max(axis=1) < 1e-9).any()
+        assert len({tuple(r.point) for r in got}) == len(got)
+
+
 def test_window_anchors_once_per_frame(spark, monkeypatch):
     """Overlapping windows: as many medians as frames, and the values of a plain computation."""
     from chronoweave.operators import pose as ps
