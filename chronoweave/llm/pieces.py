@@ -33,6 +33,8 @@ MARK = "▁"
 #: Words that a worker has seen of late and those before them, as many again; pairs of pieces (about 200 and 100 bytes each).
 MEMO_WORDS = 120_000
 MEMO_PAIRS = 400_000
+#: Characters of texts whose words are looked up together.
+CHUNK = 1 << 20
 
 SCHEMA = "doc_id long, n_ids long, ids array<int>, round_trip boolean"
 
@@ -185,56 +187,85 @@ class PieceModel:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, committed word by word; an empty text has none."""
-        if not text:
-            return np.empty(0, np.int32)
-        words = _RUNS.findall((MARK + text).replace(" ", MARK))
-        found = list(map(self._words.get, words))
-        if None in found:
-            for k, ids in enumerate(found):
-                if ids is None:
-                    found[k] = self._word(words[k])
-        return np.frombuffer(b"".join(found), np.int32)
-
-    def _word(self, word: str) -> bytes:
-        """Ids of a word, remembered; words met often outlive the others."""
-        if (ids := self._words.get(word)) is None:
-            if (ids := self._before.get(word)) is None:
-                ids = self._short(word) if not self._unigram and len(word) < 2 * self._longest else np.fromiter(self.search(iter(word)), np.int32).tobytes()
-            if len(self._words) >= MEMO_WORDS:
-                self._before, self._words = self._words, {}
-            self._words[word] = ids
-        return ids
-
-    def _short(self, word: str) -> bytes:
-        """The search over a word that the window holds whole: no path is committed before its end."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each whole text; texts of CHUNK characters together, or one longer text, are searched at once."""
+        out: list[np.ndarray] = []
+        at = 0
+        while at < len(texts):
+            end, held = at, 0
+            while end < len(texts) and (end == at or held + len(texts[end]) <= CHUNK):
+                held += len(texts[end])
+                end += 1
+            split = [_RUNS.findall((MARK + t).replace(" ", MARK)) if t else [] for t in texts[at:end]]
+            ids = self._words_of(set().union(*split))
+            out += [np.frombuffer(b"".join(map(ids.__getitem__, words)), np.int32) for words in split]
+            at = end
+        return out
+
+    def _words_of(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of different words; those met of late are remembered, and words met often outlive the others."""
+        found, new = {}, []
+        for word in words:
+            if (ids := self._words.get(word)) is None and (ids := self._before.get(word)) is None:
+                new.append(word)
+            else:
+                found[word] = ids
+        short = not self._unigram
+        found.update(self._searched(sorted(w for w in new if short and len(w) < 2 * self._longest)))
+        found.update((w, np.fromiter(self.search(iter(w)), np.int32).tobytes()) for w in new if w not in found)
+        for word, ids in found.items():
+            if word not in self._words:
+                if len(self._words) >= MEMO_WORDS:
+                    self._before, self._words = self._words, {}
+                self._words[word] = ids
+        return found
+
+    def _searched(self, words: list[str]) -> Iterator[tuple[str, bytes]]:
+        """The search over words that the window holds whole: no path is committed before its end.
+
+        Arcs to the boundaries of a word's beginning are those of the word before it, as far as
+        both begin alike; in order, words share much.
+        """
         ends, id_of, fits_of, longest = self._ends, self._id.get, self._pairs.get, self._longest
-        n = len(word)
         # by boundary: where the arc to it starts, its piece, and the key of pairs with that piece on the left
-        starts, pieces, left = [0] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
-        for end in range(1, n + 1):
-            starts[end], pieces[end] = end - 1, -2
-            for start in range(end - 1, max(end - longest, 0) - 1, -1):
-                last = word[start:end]
-                if last not in ends:
+        starts, pieces, left, before = [0], [-1], [0], ""
+        for word in words:
+            n, same = len(word), 0
+            for x, y in zip(word, before):  # noqa: B905
+                if x != y:
                     break
-                if (piece := id_of(last)) is not None:
-                    fits = fits_of(left[start] | piece)
-                    if fits or fits is None and self._fits(pieces[start], piece):
-                        starts[end], pieces[end], left[end] = start, piece, piece + 1 << 32
+                same += 1
+            del starts[same + 1 :], pieces[same + 1 :], left[same + 1 :]
+            for end in range(same + 1, n + 1):
+                arc, own, key = end - 1, -2, 0
+                for start in range(end - 1, max(end - longest, 0) - 1, -1):
+                    last = word[start:end]
+                    if last not in ends:
                         break
-        ids: list[int] = []
-        end = n
-        while end:
-            piece = pieces[end]
-            if piece >= 0:
-                ids.append(piece)
-            elif self._byte:
-                ids.extend(self._byte[b] for b in reversed(word[end - 1].encode("utf-8", "replace")))
-            elif not ids or ids[-1] != self._unknown:
-                ids.append(self._unknown)
-            end = starts[end]
-        ids.reverse()
-        return array("i", ids).tobytes()
+                    if (piece := id_of(last)) is not None:
+                        fits = fits_of(left[start] | piece)
+                        if fits or fits is None and self._fits(pieces[start], piece):
+                            arc, own, key = start, piece, piece + 1 << 32
+                            break
+                starts.append(arc)
+                pieces.append(own)
+                left.append(key)
+            before = word
+            ids: list[int] = []
+            end = n
+            while end:
+                piece = pieces[end]
+                if piece >= 0:
+                    ids.append(piece)
+                elif self._byte:
+                    ids.extend(self._byte[b] for b in reversed(word[end - 1].encode("utf-8", "replace")))
+                elif not ids or ids[-1] != self._unknown:
+                    ids.append(self._unknown)
+                end = starts[end]
+            ids.reverse()
+            yield word, array("i", ids).tobytes()
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: bytes joined, marks as spaces, the mark at the front left out."""
@@ -293,7 +324,7 @@ def encode_pieces(docs: DataFrame, model_path: str | None = None, id_col: str =
 
     def encode(batch: pa.RecordBatch) -> pa.RecordBatch:
         m, texts = model(model_path), texts_of(batch)
-        ids = [m.encode(t) for t in texts]
+        ids = m.encode_all(texts)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(np.concatenate(ids)))
         return pa.record_batch([column_of(batch, "doc_id"), pa.array(lengths), lists, pa.array([m.decode(i) == t for i, t in zip(ids, texts, strict=True)])], ["doc_id", "n_ids", "ids", "round_trip"])
