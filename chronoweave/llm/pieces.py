@@ -34,7 +34,7 @@ MARK = "▁"
 MEMO_WORDS = 120_000
 MEMO_PAIRS = 400_000
 #: Characters of texts whose words are looked up together.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 
 SCHEMA = "doc_id long, n_ids long, ids array<int>, round_trip boolean"
 
