@@ -216,12 +216,15 @@ def root_relative(pose: Column) -> Column:
 def normalised_shape(pose: Column) -> Column:
     """Root-relative pose over its pelvis-to-neck length; where that is 0.2 or less or not
     finite, over the median limb length; at least 0.001."""
-    neck = distance(at(pose, 8), at(pose, 0))
-    limbs = F.array_sort(F.filter(F.array(*[distance(at(pose, a), at(pose, b)) for a, b in LIMBS]), is_finite))
-    n = F.size(limbs)
-    median = (F.get(limbs, F.floor((n - 1) / 2).cast("int")) + F.get(limbs, F.floor(n / 2).cast("int"))) / 2
-    scale = F.greatest(F.when(is_finite(neck) & (neck > 0.2), neck).otherwise(median), F.lit(1e-3))
-    return each(root_relative(pose), lambda j: F.transform(j, lambda x: x / scale))
+
+    def scale(p: Column) -> Column:
+        neck = distance(at(p, 8), at(p, 0))
+        limbs = F.array_sort(F.filter(F.array(*[distance(at(p, a), at(p, b)) for a, b in LIMBS]), is_finite))
+        median = bound(limbs, lambda x: (F.get(x, F.floor((F.size(x) - 1) / 2).cast("int")) + F.get(x, F.floor(F.size(x) / 2).cast("int"))) / 2)
+        return F.greatest(bound(neck, lambda d: F.when(is_finite(d) & (d > 0.2), d).otherwise(median)), F.lit(1e-3))
+
+    # the pose, its root and its scale are computed once, not for each number
+    return bound(pose, lambda p: bound(scale(p), lambda s: bound(at(p, 0), lambda root: each(p, lambda j: F.transform(minus(j, root), lambda x: x / s)))))
 
 
 def encode_target(pose: Column, mode: str, anchor: Column | None = None) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chronoweave.functions import geometry as g
-from chronoweave.operators.statistics import describe, distribution, minmax, paired_corr, percentiles, quantiles
+from chronoweave.operators.statistics import GAP, describe, distribution, minmax, paired_corr, percentiles, quantiles
+from chronoweave.sources.shared import written
 
 _POINTS = "array<array<double>>"
 
@@ -300,30 +301,95 @@ def axis_table(spark) -> DataFrame:
     return spark.createDataFrame([(n, list(p), list(map(float, s)), d) for n, p, s, d in g.axis_transforms()], "transform string, perm array<int>, signs array<double>, determinant int")
 
 
+def signed_axes(spark) -> DataFrame:
+    """transform, determinant, axis, source, sign: what each axis of the 48 transforms is made of, 144 rows."""
+    rows = [(n, d, i, p[i], float(s[i])) for n, p, s, d in g.axis_transforms() for i in range(3)]
+    return spark.createDataFrame(rows, "transform string, determinant int, axis int, source int, sign double")
+
+
+def three(point):
+    """The first three numbers of a point as doubles; null where there are fewer."""
+    return F.array(*[g.at(point, i).cast("double") for i in range(3)])
+
+
+def axis_quartiles(translation: dict[int, Sequence[float]]):
+    """An Arrow function of flat clouds and poses: for each axis transform the lower quartile of a cloud's distances to
+    the nearest limb of the transformed pose, moved by that transform's translation; null for an empty cloud."""
+    ends = np.array(g.LIMBS).T
+    perms, signs, moves = np.array([t[1] for t in g.axis_transforms()]), np.array([t[2] for t in g.axis_transforms()], float), np.array([translation[t] for t in range(48)])
+
+    def distances(points: np.ndarray, pose: np.ndarray) -> np.ndarray:
+        at = pose[:, perms].transpose(1, 0, 2) * signs[:, None] + moves[:, None]  # transforms, joints, axes
+        a, b = at[:, ends[0]], at[:, ends[1]]
+        ab = b - a
+        total = lambda x: x[0] + x[1] + x[2]
+        ab = [ab[:, None, :, i] for i in range(3)]
+        ap = [points[None, :, None, i] - a[:, None, :, i] for i in range(3)]
+        length = total([x * x for x in ab])
+        t = total([x * y for x, y in zip(ap, ab, strict=True)]) / np.where(length < 1e-12, 1.0, length)
+        t = np.where(length < 1e-12, 0.0, np.clip(t, 0.0, 1.0))
+        rest = [y - t * x for x, y in zip(ab, ap, strict=True)]
+        return np.sqrt(np.fmin.reduce(total([x * x for x in rest]), axis=2))
+
+    @F.pandas_udf("array<double>")
+    def quartiles(clouds: pd.Series, poses: pd.Series) -> pd.Series:
+        out = []
+        for cloud, pose in zip(clouds, poses, strict=True):
+            points = np.asarray(cloud, float).reshape(-1, 3)
+            if not len(points):
+                out.append(None)
+                continue
+            pose = np.asarray(pose, float).reshape(-1, 3)
+            # a few points at once, however large the cloud
+            with np.errstate(invalid="ignore"):
+                d = np.sort(np.concatenate([distances(points[i : i + 256], pose) for i in range(0, len(points), 256)], axis=1), axis=1)
+            place = 0.25 * (len(points) - 1)
+            low, high = d[:, int(place)], d[:, min(int(place) + 1, len(points) - 1)]
+            part = place - int(place)
+            out.append((low if part == 0 else low + (high - low) * part).tolist())
+        return pd.Series(out)
+
+    return quartiles
+
+
 def axis_search(frames: DataFrame, frame_id: str, points: str, pose: str) -> DataFrame:
     """Ranks the 48 axis transforms of poses by how well they meet the frames' clouds.
 
     Composite of the root-to-centroid residual (0.45), the frames' lower quartile of
     distances to the skeleton (0.45) and the axes' correlation (0.1), each min-max scaled.
+
+    An axis of a transformed root is one of three axes with one of two signs, so residuals and
+    correlations are those of 18 pairs of axes; only the distances to the skeleton are taken for
+    each transform, all 48 of a frame together.
     """
     spark = frames.sparkSession
-    base = frames.join(cloud_centroid(frames, [frame_id], points), frame_id)
-    tried = base.join(F.broadcast(axis_table(spark)))  # 48 rows
-    tried = tried.withColumn("moved", F.transform(pose, lambda j: g.axis_transformed(j, F.col("perm"), F.col("signs"))))
-    tried = tried.where(F.forall("centroid", g.is_finite) & F.forall(g.at(F.col("moved"), 0), g.is_finite))
-    group = ["transform", "determinant"]
-    gap = tried.select(*group, frame_id, F.posexplode(g.minus(F.col("centroid"), g.at(F.col("moved"), 0))).alias("axis", "gap"))
-    many = frames.count() * 48
-    shift = percentiles(gap, [*group, "axis"], {"shift": (F.col("gap"), 0.5)}, [3 * many])
-    rmse = gap.join(shift, [*group, "axis"]).groupBy(group).agg(F.sqrt(F.sum(F.pow(F.col("shift") - F.col("gap"), 2.0)) / F.countDistinct(frame_id)).alias("root_centroid_rmse"), F.countDistinct(frame_id).alias("frames"))
-    pairs = tried.select(*group, F.posexplode(F.arrays_zip(g.at(F.col("moved"), 0).alias("r"), F.col("centroid").alias("c"))).alias("axis", "z")).select(*group, "axis", "z.*")
-    corr = paired_corr(pairs, [*group, "axis"], "r", "c").groupBy(group).agg(F.avg("corr").alias("axis_correlation"))
-    move = shift.groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("axis", "shift"))).alias("m")).select(*group, F.array(*[F.col("m")[i] for i in range(3)]).alias("translation"))
-    placed = tried.join(F.broadcast(move), group).withColumn("at", F.transform("moved", lambda j: F.zip_with(j, F.col("translation"), lambda a, b: a + b)))  # 48 rows
-    dist = skeleton_distances(placed.select(*group, frame_id, "at", F.posexplode(points).alias("point", "p")), [*group, frame_id, "point"], "p", "at")
-    q25 = dist.groupBy(*group, frame_id).agg(F.percentile("d", F.lit(0.25)).alias("q"))  # of one frame's points
-    q25 = percentiles(q25, group, {"skeleton_q25": (F.col("q"), 0.5)}, [many])
-    out = rmse.join(corr, group, "left").join(q25, group, "left").join(move, group)
+    base = cloud_centroid(frames, [frame_id, points, pose], points)
+    base = base.withColumn("_root", three(g.at(F.col(pose), 0))).where(F.forall("centroid", g.is_finite) & F.forall("_root", g.is_finite))
+    flat = lambda c: F.flatten(F.transform(g.points_or_empty(F.col(c)), three))
+    # a point without three numbers has no distance
+    whole = F.filter(F.transform(g.points_or_empty(F.col(points)), three), lambda p: F.forall(p, lambda x: x.isNotNull()))
+    base = written(base.select(frame_id, "centroid", "_root", F.flatten(whole).alias("_points"), flat(pose).alias("_pose")), "axis-frames")
+    n = base.count()
+    axes, group = signed_axes(spark), ["transform", "determinant"]
+    own = ["axis", "source", "sign"]
+    pairs = [F.struct(F.lit(i).alias("axis"), F.lit(j).alias("source"), F.lit(float(s)).alias("sign"), g.at(F.col("centroid"), i).alias("c"), (g.at(F.col("_root"), j) * float(s)).alias("r")) for i in range(3) for j in range(3) for s in (1, -1)]
+    pairs = base.select(F.explode(F.array(*pairs)).alias("x")).select("x.*").withColumn("gap", F.col("c") - F.col("r"))
+    shift = written(percentiles(pairs, own, {"shift": (F.col("gap"), 0.5)}, [18 * n]), "axis-shifts")
+    residual = pairs.join(F.broadcast(shift), own).groupBy(own).agg(F.sum(F.pow(F.col("shift") - F.col("gap"), 2.0)).alias("residual"))  # 18 rows
+    counted = base.agg(F.countDistinct(frame_id).alias("frames"))
+    rmse = axes.join(residual, own).groupBy(group).agg(F.sum("residual").alias("residual")).join(F.broadcast(counted))
+    rmse = rmse.select(*group, F.sqrt(F.col("residual") / F.col("frames")).alias("root_centroid_rmse"), "frames")
+    corr = axes.join(paired_corr(pairs, own, "r", "c"), own).groupBy(group).agg(F.avg("corr").alias("axis_correlation"))
+    move = axes.join(shift, own).groupBy(group).agg(F.map_from_entries(F.collect_list(F.struct("axis", "shift"))).alias("m")).select(*group, F.array(*[F.col("m")[i] for i in range(3)]).alias("translation"))
+    moves = {r["transform"]: r["translation"] for r in move.collect()}  # 48 rows
+    names = [t[0] for t in g.axis_transforms()]
+    q25 = base.limit(0).select(F.lit(0).alias("number"), F.lit(0.0).alias("q"))
+    if moves:
+        q25 = base.select(F.posexplode(axis_quartiles({i: moves[t] for i, t in enumerate(names)})("_points", "_pose")).alias("number", "q"))
+    q25 = percentiles(q25, ["number"], {"skeleton_q25": (F.col("q"), 0.5)}, [48 * n])
+    q25 = q25.join(F.broadcast(spark.createDataFrame(list(enumerate(names)), "number int, transform string")), "number").drop("number")
+    out = rmse.join(corr, group, "left").join(q25, "transform", "left").join(move, group)
+    out = out.select(*group, "root_centroid_rmse", "frames", "axis_correlation", "skeleton_q25", "translation")
     for c, reverse in (("root_centroid_rmse", False), ("skeleton_q25", False), ("axis_correlation", True)):
         out = minmax(out, [], c, reverse, f"_{c}")
     out = out.withColumn("composite_score", 0.45 * F.col("_root_centroid_rmse") + 0.45 * F.col("_skeleton_q25") + 0.1 * F.col("_axis_correlation"))
@@ -352,8 +418,13 @@ def pose_distances(reference: DataFrame, candidates: DataFrame, keys: list[str],
     Mean gap of the joints' medians over the reference's IQR (at least 0.05), plus 0.35
     of the mean absolute log ratio of the IQRs, on the body joints.
     """
-    ref = shape_spread(reference, [], pose).select("joint", "axis", F.col("m").alias("rm"), F.col("iqr").alias("ri"))
-    both = shape_spread(candidates, keys, pose).join(F.broadcast(ref), ["joint", "axis"])  # 45 rows
+    return _shape_gaps(shape_spread(reference, [], pose), shape_spread(candidates, keys, pose), keys)
+
+
+def _shape_gaps(reference: DataFrame, spreads: DataFrame, keys: list[str]) -> DataFrame:
+    """pose_distances of spreads that are known."""
+    ref = reference.select("joint", "axis", F.col("m").alias("rm"), F.col("iqr").alias("ri"))
+    both = spreads.join(F.broadcast(ref), ["joint", "axis"])  # 45 rows
     gap = F.avg(F.abs(F.col("m") - F.col("rm")) / F.greatest(F.col("ri"), F.lit(0.05)))
     log = F.avg(F.abs(F.log((F.col("iqr") + 1e-4) / (F.col("ri") + 1e-4))))
     return both.groupBy(keys).agg(gap.alias("median_gap"), log.alias("iqr_gap")).withColumn("score", F.col("median_gap") + 0.35 * F.col("iqr_gap"))
@@ -364,37 +435,64 @@ def xyz_gaps(reference: DataFrame, candidates: DataFrame, keys: list[str], point
 
     A point a row; points count where all three coordinates are finite.
     """
-    from chronoweave.operators.statistics import GAP
+    return _quantile_gaps(_cut(reference, [], point), _cut(candidates, keys, point), keys)
+
 
-    whole = lambda df: df.where(F.forall(F.slice(point, 1, 3), g.is_finite))
+def _cut(df: DataFrame, own: list[str], point: str) -> DataFrame:
+    """own, axis, q, value: seven quantiles of each coordinate."""
+    whole = df.where(F.forall(F.slice(point, 1, 3), g.is_finite))
+    long = whole.select(*own, F.posexplode(F.slice(point, 1, 3)).alias("axis", "value"))
+    return quantiles(distribution(long, [*own, "axis"], "value"), [*own, "axis"], GAP)
 
-    def cut(df: DataFrame, own: list[str]) -> DataFrame:
-        long = whole(df).select(*own, F.posexplode(F.slice(point, 1, 3)).alias("axis", "value"))
-        return quantiles(distribution(long, [*own, "axis"], "value"), [*own, "axis"], GAP)
 
-    rq = cut(reference, [])
+def _quantile_gaps(reference: DataFrame, cuts: DataFrame, keys: list[str]) -> DataFrame:
+    """xyz_gaps of quantiles that are known."""
     iqr = F.max(F.when(F.col("q") == 0.75, F.col("value"))) - F.max(F.when(F.col("q") == 0.25, F.col("value")))
-    ref = rq.select("axis", "q", F.col("value").alias("rv")).join(rq.groupBy("axis").agg(F.greatest(iqr, F.lit(0.05)).alias("scale")), "axis")
-    return cut(candidates, keys).join(F.broadcast(ref), ["axis", "q"]).groupBy(keys).agg(F.avg(F.abs(F.col("value") - F.col("rv")) / F.col("scale")).alias("xyz_gap"))  # 21 rows
+    ref = reference.select("axis", "q", F.col("value").alias("rv")).join(reference.groupBy("axis").agg(F.greatest(iqr, F.lit(0.05)).alias("scale")), "axis")
+    return cuts.join(F.broadcast(ref), ["axis", "q"]).groupBy(keys).agg(F.avg(F.abs(F.col("value") - F.col("rv")) / F.col("scale")).alias("xyz_gap"))  # 21 rows
+
+
+def _covariances(df: DataFrame, own: list[str], point: str) -> DataFrame:
+    x = [g.at(F.col(point), i) for i in range(3)]
+    return df.groupBy(own).agg(F.array(*[F.covar_samp(a, b) for a in x for b in x]).alias("cov"))
 
 
 def point_distances(reference: DataFrame, candidates: DataFrame, keys: list[str], point: str) -> DataFrame:
     """keys, quantile_gap, covariance_gap, score: quantile gap plus 0.25 of the covariance gap, a point a row."""
-    x = [g.at(F.col(point), i) for i in range(3)]
-    cov = lambda df, own: df.groupBy(own).agg(F.array(*[F.covar_samp(a, b) for a in x for b in x]).alias("cov"))
-    both = cov(candidates, keys).join(F.broadcast(cov(reference, []).withColumnRenamed("cov", "rcov")))  # one row
+    return _point_gaps(_covariances(reference, [], point), _covariances(candidates, keys, point), xyz_gaps(reference, candidates, keys, point), keys)
+
+
+def _point_gaps(reference: DataFrame, covariances: DataFrame, gaps: DataFrame, keys: list[str]) -> DataFrame:
+    """point_distances of covariances and quantile gaps that are known."""
+    both = covariances.join(F.broadcast(reference.withColumnRenamed("cov", "rcov")))  # one row
     frob = g.norm(F.zip_with("cov", "rcov", lambda a, b: a - b)) / F.greatest(g.norm(F.col("rcov")), F.lit(1e-6))
-    gaps = xyz_gaps(reference, candidates, keys, point).withColumnRenamed("xyz_gap", "quantile_gap")
-    return both.select(*keys, frob.alias("covariance_gap")).join(gaps, keys).withColumn("score", F.col("quantile_gap") + 0.25 * F.col("covariance_gap"))
+    return both.select(*keys, frob.alias("covariance_gap")).join(gaps.withColumnRenamed("xyz_gap", "quantile_gap"), keys).withColumn("score", F.col("quantile_gap") + 0.25 * F.col("covariance_gap"))
 
 
 def pose_axis_search(reference: DataFrame, candidate: DataFrame, pose: str) -> DataFrame:
-    """Ranks the axis transforms of candidate poses by the distance of their shapes' distribution to the reference's."""
-    moved = candidate.join(F.broadcast(axis_table(candidate.sparkSession))).withColumn(pose, F.transform(pose, lambda j: g.axis_transformed(j, F.col("perm"), F.col("signs"))))  # 48 rows
-    return ranked(pose_distances(reference, moved, ["transform", "determinant"], pose), "score", "transform")
+    """Ranks the axis transforms of candidate poses by the distance of their shapes' distribution to the reference's.
+
+    A transform permutes and signs the axes of a shape and leaves its scale alone, so medians and IQRs
+    of all 48 are those of the poses as they are, under the same axes and signs.
+    """
+    group = ["transform", "determinant"]
+    as_is = written(shape_spread(candidate.withColumn(pose, F.transform(pose, three)), [], pose).withColumnRenamed("axis", "source"), "shape-spread")  # 45 rows
+    moved = as_is.join(F.broadcast(signed_axes(candidate.sparkSession)), "source").select(*group, "joint", "axis", (F.col("m") * F.col("sign")).alias("m"), "iqr")
+    return ranked(_shape_gaps(shape_spread(reference, [], pose), moved, group), "score", "transform")
 
 
 def point_axis_search(reference: DataFrame, candidate: DataFrame, point: str) -> DataFrame:
-    """Ranks the axis transforms of candidate points by the distance of their distribution to the reference's, one point a row."""
-    moved = candidate.join(F.broadcast(axis_table(candidate.sparkSession))).withColumn(point, g.axis_transformed(F.col(point), F.col("perm"), F.col("signs")))  # 48 rows
-    return ranked(point_distances(reference, moved, ["transform", "determinant"], point), "score", "transform")
+    """Ranks the axis transforms of candidate points by the distance of their distribution to the reference's, one point a row.
+
+    Quantiles and covariances of all 48 are those of the points as they are: a signed axis has the
+    negated quantiles from the other end, a pair of axes the covariance under both signs.
+    """
+    group, axes = ["transform", "determinant"], signed_axes(candidate.sparkSession)
+    candidate = candidate.withColumn(point, three(F.col(point)))
+    cuts = written(_cut(candidate, [], point).withColumnRenamed("axis", "source"), "point-quantiles")  # 21 rows
+    other = F.element_at(F.create_map(*[F.lit(x) for pair in zip(GAP, reversed(GAP), strict=True) for x in pair]), F.col("q"))
+    moved = cuts.join(F.broadcast(axes), "source").select(*group, "axis", F.when(F.col("sign") < 0, other).otherwise(F.col("q")).alias("q"), (F.col("value") * F.col("sign")).alias("value"))
+    table = axis_table(candidate.sparkSession)
+    pairs = F.array(*[F.get(F.col("cov"), g.at(F.col("perm"), i) * 3 + g.at(F.col("perm"), j)) * g.at(F.col("signs"), i) * g.at(F.col("signs"), j) for i in range(3) for j in range(3)])
+    cov = _covariances(candidate, [], point).join(F.broadcast(table)).select(*group, pairs.alias("cov"))
+    return ranked(_point_gaps(_covariances(reference, [], point), cov, _quantile_gaps(_cut(reference, [], point), moved, group), group), "score", "transform")
