@@ -10,21 +10,24 @@ bounded size.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chronoweave.llm.common import map_arrow, written
+from chronoweave.llm.common import BATCH_BYTES, column_of, map_arrow, map_batches, written
 from chronoweave.llm.components import connected_components
 from chronoweave.llm.vector_topk import _distances, _matrix, usable
 
 #: Vectors that the codebooks are fitted on: at least, for each codeword, and bytes at most. A bounded sample by a hash of the id.
 SAMPLE, PER_WORD, SAMPLE_BYTES = 4096, 16, 32 << 20
-#: Vectors of a cell that meet in one task, and of a cell on average, about.
+#: Vectors of a cell that meet in one task, and of a label's cell on average, about.
 BLOCK, CELL = 2048, 32
-#: Codewords of a half at most; cells grow beyond WORDS ** 2 * CELL vectors alone (some 500 million).
+#: Vectors whose walks are held at once.
+WALKERS = 512
+#: Codewords of a half at most; cells grow beyond WORDS ** 2 * CELL vectors of a label alone (some 500 million).
 WORDS = 4096
 #: A partner lies in any direction alike, so the part of its distance that leads to one cell is this many
 #: standard deviations long at most; by the normal law fewer than one in a million partners lies beyond.
@@ -114,7 +117,7 @@ def _unit(v: np.ndarray) -> np.ndarray:
 
 
 def _verified(q: pa.Table, x: pa.Table, least: float) -> pa.Table:
-    """Links between one block of visitors and one block of a cell.
+    """Links between one block of visitors and one block of a cell, all of one label.
 
     Per visitor the vectors linked to it (all rows behind a class counted), and edges
     that join what is connected inside the block pair, one for each vector at most.
@@ -124,8 +127,7 @@ def _verified(q: pa.Table, x: pa.Table, least: float) -> pa.Table:
         a, b = _matrix(q).astype(np.float64), _matrix(x).astype(np.float64)
         qi, xi, n = q.column("vec_id").to_numpy(), x.column("vec_id").to_numpy(), x.column("n").to_numpy()
         linked = (a @ b.T) / (np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))[None]) >= least
-        _, label = np.unique(np.concatenate([q.column("label").to_numpy(zero_copy_only=False), x.column("label").to_numpy(zero_copy_only=False)]).astype(str), return_inverse=True)
-        linked &= (qi[:, None] != xi[None]) & (label[: len(qi), None] == label[None, len(qi) :])
+        linked &= qi[:, None] != xi[None]
         counts = linked @ n
         left, right = np.full(len(qi), -1, np.int64), np.full(len(xi), -1, np.int64)
         for start in np.flatnonzero(linked.any(axis=1)).tolist():
@@ -163,7 +165,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, words: int | None =
     rows = written(rows.withColumn("usable", F.coalesce("usable", F.lit(False))), "vectors")
     classes = written(rows.where("usable").groupBy("label", "v").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n")), "vector-classes")
 
-    parts = [_linked(classes.where(F.size("v") == r["dim"]), r["dim"], r["n"], least, words, exact) for r in classes.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).collect()]
+    # classes of the label that a class has, on average over the classes of a length
+    held = classes.groupBy(F.size("v").alias("dim"), "label").agg(F.count("*").cast("double").alias("n")).groupBy("dim").agg((F.sum(F.col("n") * F.col("n")) / F.sum("n")).alias("n"))
+    parts = [_linked(classes.where(F.size("v") == r["dim"]), r["dim"], r["n"], least, words, exact) for r in held.collect()]
     if parts:
         found = parts[0]
         for p in parts[1:]:
@@ -180,8 +184,12 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, words: int | None =
     return joined.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _linked(classes: DataFrame, dim: int, n: int, least: float, words: int | None, exact: bool) -> DataFrame:
-    """vec_id, links, root of the classes of one vector length."""
+def _linked(classes: DataFrame, dim: int, n: float, least: float, words: int | None, exact: bool) -> DataFrame:
+    """vec_id, links, root of the classes of one vector length; n of them have a label on average.
+
+    Only vectors of one label meet: each label has the cells of the grid to itself, so the grid is
+    as fine as a label's vectors need and a vector visits no cell for other labels' sake.
+    """
     spark = classes.sparkSession
     most = max(SAMPLE_BYTES // (8 * dim), 4)
     words = words or int(np.clip((n / CELL) ** 0.5, 4, min(WORDS, max(most // PER_WORD, 4))))
@@ -194,25 +202,37 @@ def _linked(classes: DataFrame, dim: int, n: int, least: float, words: int | Non
         cell = sent.value.cells(_unit(_matrix(batch)))
         return pa.record_batch([*batch.columns, pa.array(cell)], [*batch.schema.names, "cell"])
 
-    def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def walks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         unit = _unit(_matrix(batch))
-        rows, cells = [], []
-        for a in range(0, len(unit), 512):
-            r, c = sent.value.visits(unit[a : a + 512], stop)
-            rows.append(r + a)
-            cells.append(c)
-        at = pa.array(np.concatenate(rows))
-        return pa.record_batch([*(c.take(at) for c in batch.columns), pa.array(np.concatenate(cells))], [*batch.schema.names, "cell"])
+        for a in range(0, len(unit), WALKERS):
+            r, c = sent.value.visits(unit[a : a + WALKERS], stop)
+            yield r + a, c
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a vector is repeated for each of its cells: what leaves at once is bounded, however many these are
+        rows = max(BATCH_BYTES // (8 * dim + 64), 1)
+        for batch in batches:
+            for r, c in walks(batch) if batch.num_rows else ():
+                for a in range(0, len(r), rows):
+                    at = pa.array(r[a : a + rows])
+                    yield pa.record_batch([*(x.take(at) for x in batch.columns), pa.array(c[a : a + rows])], [*batch.schema.names, "cell"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r, c in walks(batch) if batch.num_rows else ():
+                both = pa.table({"label": column_of(batch, "label").take(pa.array(r)), "cell": c}).group_by(["label", "cell"]).aggregate([([], "count_all")])
+                yield from both.select(["label", "cell", "count_all"]).rename_columns(["label", "cell", "visits"]).combine_chunks().to_batches()
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in classes.schema) + ", cell long"
-    data, visitors = map_arrow(classes, place, schema), map_arrow(classes, visit, schema)
-    blocks = lambda rows: F.ceil(F.count("*") / rows).cast("int")
-    held = data.groupBy("cell").agg(blocks(BLOCK).alias("held"))
-    sizes = written(visitors.groupBy("cell").agg(blocks(BLOCK).alias("come")).join(held, "cell"), "vector-cells")
+    data, visitors = map_arrow(classes, place, schema), map_batches(classes, visit, schema)
+    cell = ["label", "cell"]
+    held = data.groupBy(cell).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("held"))
+    come = map_batches(classes, count, "label string, cell long, visits long").groupBy(cell).agg(F.ceil(F.sum("visits") / BLOCK).cast("int").alias("come"))
+    sizes = written(come.join(held, cell), "vector-cells")
     own = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = visitors.join(sizes, "cell").withColumn("a", own("come")).withColumn("b", every("held"))
-    right = data.join(sizes, "cell").withColumn("b", own("held")).withColumn("a", every("come"))
-    key = ["cell", "a", "b"]
-    pairs = left.select(*key, "label", "vec_id", "n", "v").groupBy(key).cogroup(right.select(*key, "label", "vec_id", "n", "v").groupBy(key))
+    left = visitors.join(sizes, cell).withColumn("a", own("come")).withColumn("b", every("held"))
+    right = data.join(sizes, cell).withColumn("b", own("held")).withColumn("a", every("come"))
+    key = [*cell, "a", "b"]
+    pairs = left.select(*key, "vec_id", "n", "v").groupBy(key).cogroup(right.select(*key, "vec_id", "n", "v").groupBy(key))
     return pairs.applyInArrow(lambda q, x: _verified(q, x, least), "vec_id long, links long, root long")
