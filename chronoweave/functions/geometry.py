@@ -136,9 +136,10 @@ def pose_17(people: Column, person: int = 0, euler_deg: Sequence[float] = (0.0,
     """17 joints in sensor axes of one person of 32 joints; null if the person or joints are missing."""
     joints = at(people, person)
     rotation = euler_rotation(*map(math.radians, euler_deg))
-    moved = each(pose_to_sensor(joints), lambda j: rigid(j, rotation, translation))
-    picked = F.array(*[at(moved, i) for i in JOINTS_32_TO_17])
-    return F.when((F.size(joints) >= 32) & (F.size(at(joints, 0)) >= 3), picked)
+    # the joints that stay are moved, once each
+    picked = F.array(*[at(joints, i) for i in JOINTS_32_TO_17])
+    moved = each(pose_to_sensor(picked), lambda j: rigid(j, rotation, translation))
+    return F.when((F.size(joints) >= 32) & (F.size(at(joints, 0)) >= 3), moved)
 
 
 def pose_17_raw(people: Column, person: int = 0) -> Column:

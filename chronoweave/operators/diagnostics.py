@@ -100,7 +100,7 @@ def signal_relationships(points: DataFrame, geometry: DataFrame, keys: list[str]
     of_point = {"range": F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")), "abs_doppler": F.abs("doppler"), "x": F.col("x"), "y": F.col("y"), "z": F.col("z")}
     long = _unpivoted(points, keys, of_point, "related_variable", {"signal": F.col("signal").cast("double"), "level": F.lit("point")})
     frames = _unpivoted(geometry, keys, {n: F.col(n) for n in FRAME_VARIABLES}, "related_variable", {"signal": F.col("return_signal_median"), "level": F.lit("frame")})
-    every = long.unionByName(frames)
+    every = written(long.unionByName(frames), "signal-pairs")  # counts, correlations and ranks read it
     group = [*keys, "level", "related_variable"]
     pearson = st.paired_corr(every, group, "signal", "value", "pearson").drop("n")
     spearman = st.spearman(every, group, "signal", "value").select(*group, "spearman")
@@ -143,15 +143,15 @@ def normalisation_comparison(candidates: DataFrame, reference: str, identity: li
     every = written(long(candidates), "signal-long")
     matched = written(long(matched_sample(st.in_bins(candidates, range_col, edges, "_bin"), ["_bin"], reference, identity, seed)), "signal-matched")
     key = ["normalisation"]
-    apart = lambda df, name: st.auc(df, key, "value", "other").select(*key, F.greatest("auc", 1 - F.col("auc")).alias(name))
+    apart = lambda df, ks, auc: st.ks_and_auc(df, key, "value", "side").select(*key, F.col("ks").alias(ks), F.greatest("auc", 1 - F.col("auc")).alias(auc))
     out = every.groupBy(key).agg(F.count_if("side").alias("reference_points"), F.count_if("other").alias("target_points"))
     parts = [
-        st.quantile_gap(every, key, "value", "side"), st.ks(every, key, "value", "side").withColumnRenamed("ks", "ks_statistic"), st.wasserstein(every, key, "value", "side"), apart(every, "domain_auc"),
-        matched.groupBy(key).agg(F.count_if("side").alias("matched_points")), apart(matched, "matched_domain_auc"), st.ks(matched, key, "value", "side").withColumnRenamed("ks", "matched_ks"),
+        st.gap_and_wasserstein(every, key, "value", "side"), apart(every, "ks_statistic", "domain_auc"),
+        matched.groupBy(key).agg(F.count_if("side").alias("matched_points")), apart(matched, "matched_ks", "matched_domain_auc"),
     ]
     for part in parts:
         out = out.join(part, key, "left")
-    return out
+    return out.select(*key, "reference_points", "target_points", "quantile_gap", "ks_statistic", "wasserstein", "domain_auc", "matched_points", "matched_domain_auc", "matched_ks")
 
 
 def model_feature_values(points: DataFrame, keys: list[str], window: str) -> tuple[DataFrame, DataFrame]:

@@ -51,6 +51,11 @@ def _values(df: DataFrame, value: str) -> Column:
     return finite(F.col(value).cast("double")) + F.lit(0.0)
 
 
+def _counted(tables: list[DataFrame | int]) -> list[int]:
+    """Rows of the tables together, counted once for all steps that ask."""
+    return [sum(x if isinstance(x, int) else x.count() for x in tables)]
+
+
 def distribution(df: DataFrame, keys: list[str], value: str, weights: dict[str, Column] | None = None, of: list[DataFrame | int] | None = None) -> DataFrame:
     """keys, v, c, upto (rows with values up to v), n; and for each named weight its sum at v and up to v.
 
@@ -58,14 +63,15 @@ def distribution(df: DataFrame, keys: list[str], value: str, weights: dict[str,
     itself is dear to count.
     """
     weights = weights or {}
+    of = _counted(of or [df])
     rows = df.withColumn("v", _values(df, value)).where("v is not null")
     sums = {"c": F.lit(1)} | {k: w.cast("double") for k, w in weights.items()}
     dist = rows.groupBy(*keys, "v").agg(*[F.sum(w).alias(k) for k, w in sums.items()])
     by = None
-    if not few(*(of or [df])):
+    if not few(*of):
         # cuts, slices and rows all come from it: it is made once
         dist, by = _cut(written(dist, "distribution"), keys), F.col("_cut")
-    out = scan(dist, keys, by, ["v"], sums={"upto": F.col("c")} | {f"{k}_upto": F.col(k) for k in weights}, wholes={"n": (F.sum, F.col("c"))}, of=of or [df])
+    out = scan(dist, keys, by, ["v"], sums={"upto": F.col("c")} | {f"{k}_upto": F.col(k) for k in weights}, wholes={"n": (F.sum, F.col("c"))}, of=of)
     return out.select(*keys, "v", *sums, "upto", *[f"{k}_upto" for k in weights], "n")
 
 
@@ -79,14 +85,27 @@ def with_ranks(df: DataFrame, keys: list[str], value: str, rank: str = "avg_rank
 
     of: a table of as many rows, if df itself is dear to count.
     """
-    if few(*(of or [df])):
+    return _with_each_rank(df, keys, {value: (rank, n)}, of)
+
+
+def _with_each_rank(df: DataFrame, keys: list[str], ranks: dict[str, tuple[str, str]], of: list[DataFrame | int] | None = None) -> DataFrame:
+    """with_ranks of several columns: value, and the names of its rank and of the number of ranked rows.
+
+    Of many rows, each column's distribution is taken from df as it is, not from rows that were joined for another.
+    """
+    of, rows = _counted(of or [df]), df
+    if few(*of):
         group = W.partitionBy(keys) if keys else W.partitionBy(F.lit(0))
-        v = _values(df, value)
-        upto = F.count(v).over(group.orderBy(v.asc_nulls_last()).rangeBetween(W.unboundedPreceding, 0))
-        least = F.rank().over(group.orderBy(v.asc_nulls_last()))
-        return df.withColumns({rank: F.when(v.isNotNull(), (least + upto) / 2.0), n: F.when(v.isNotNull(), F.count(v).over(group))})
-    dist = distribution(df, keys, value).select(*keys, F.col("v").alias("_v"), average_rank().alias(rank), F.col("n").alias(n))
-    return df.withColumn("_v", _values(df, value)).join(dist, [*keys, "_v"], "left").drop("_v")
+        for value, (rank, n) in ranks.items():
+            v = _values(df, value)
+            upto = F.count(v).over(group.orderBy(v.asc_nulls_last()).rangeBetween(W.unboundedPreceding, 0))
+            least = F.rank().over(group.orderBy(v.asc_nulls_last()))
+            rows = rows.withColumns({rank: F.when(v.isNotNull(), (least + upto) / 2.0), n: F.when(v.isNotNull(), F.count(v).over(group))})
+        return rows
+    for value, (rank, n) in ranks.items():
+        dist = distribution(df, keys, value, of=of).select(*keys, F.col("v").alias("_v"), average_rank().alias(rank), F.col("n").alias(n))
+        rows = rows.withColumn("_v", _values(df, value)).join(dist, [*keys, "_v"], "left").drop("_v")
+    return rows
 
 
 def percentile_ranks(df: DataFrame, keys: list[str], value: str, symmetric: bool = False, name: str = "percentile") -> DataFrame:
@@ -189,7 +208,7 @@ def paired_corr(df: DataFrame, keys: list[str], x: str, y: str, name: str = "cor
 def spearman(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """Pearson correlation of average ranks of jointly finite pairs."""
     both = df.where(finite(F.col(x).cast("double")).isNotNull() & finite(F.col(y).cast("double")).isNotNull()).select(*keys, x, y)
-    ranked = with_ranks(with_ranks(both, keys, x, "_rx", "_nx", [df]), keys, y, "_ry", "_ny", [df])
+    ranked = _with_each_rank(both, keys, {x: ("_rx", "_nx"), y: ("_ry", "_ny")}, [df])
     return paired_corr(ranked, keys, "_rx", "_ry", "spearman")
 
 
@@ -201,8 +220,10 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, control: st
     """
     ok = [finite(F.col(c).cast("double")).isNotNull() for c in (x, y, control)]
     rows = df.where(ok[0] & ok[1] & ok[2]).select(*keys, x, y, control)
-    for c, r in ((x, "_a"), (y, "_b"), (control, "_r")):
-        rows = with_ranks(rows, keys, c, r, f"_n{r}", [df])
+    of = _counted([df])
+    rows = _with_each_rank(rows, keys, {c: (r, f"_n{r}") for c, r in ((x, "_a"), (y, "_b"), (control, "_r"))}, of).select(*keys, "_a", "_b", "_r")
+    if not few(*of):
+        rows = written(rows, "ranks")  # means come first, moments second
     base = rows.groupBy(keys).agg(F.count("*").alias("n"), *[F.avg(c).alias(f"m{c}") for c in ("_a", "_b", "_r")], F.stddev_pop("_r").alias("s"))
     rows = rows.join(base, keys) if keys else rows.join(F.broadcast(base))  # without keys: one row
     z = (F.col("_r") - F.col("m_r")) / F.greatest(F.col("s"), F.lit(1e-12))
@@ -220,37 +241,72 @@ def partial_spearman(df: DataFrame, keys: list[str], x: str, y: str, control: st
 
 def auc(df: DataFrame, keys: list[str], score: str, positive: str) -> DataFrame:
     """AUROC with average ranks for ties; null without both classes. Null labels are left out."""
-    dist = distribution(df.where(F.col(positive).isNotNull()), keys, score, {"pos": F.col(positive).cast("boolean").cast("int")})
-    sums = dist.groupBy(keys).agg(F.sum(F.col("pos") * average_rank()).alias("s"), F.sum("pos").alias("n1"), F.max("n").alias("n"))
+    return _auc(distribution(df.where(F.col(positive).isNotNull()), keys, score, {"pos": F.col(positive).cast("boolean").cast("int")}), keys, "pos")
+
+
+def _auc(dist: DataFrame, keys: list[str], positive: str) -> DataFrame:
+    """auc of a distribution with the positive rows as a weight."""
+    sums = dist.groupBy(keys).agg(F.sum(F.col(positive) * average_rank()).alias("s"), F.sum(positive).alias("n1"), F.max("n").alias("n"))
     n1, n0 = F.col("n1"), F.col("n") - F.col("n1")
     return sums.select(*keys, n1.cast("long").alias("n_positive"), n0.cast("long").alias("n_negative"), F.when((n1 > 0) & (n0 > 0), (F.col("s") - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("auc"))
 
 
+def sides(df: DataFrame, keys: list[str], value: str, side: str) -> DataFrame:
+    """The distribution of rows with a side, with the rows of either side as weights: a where it is true, b where false."""
+    first = F.col(side).cast("boolean").cast("int")
+    return distribution(df.where(F.col(side).isNotNull()), keys, value, {"a": first, "b": 1 - first})
+
+
 def ks(df: DataFrame, keys: list[str], value: str, side: str) -> DataFrame:
     """Largest distance of the ECDFs of rows with side true and with side false; null if one is empty."""
-    first = F.col(side).cast("boolean").cast("int")
-    dist = distribution(df.where(F.col(side).isNotNull()), keys, value, {"a": first, "b": 1 - first})
+    return _ks(sides(df, keys, value, side), keys)
+
+
+def _ks(dist: DataFrame, keys: list[str]) -> DataFrame:
+    """ks of the distribution that sides gives."""
     total = dist.groupBy(keys).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     both = dist.join(total, keys) if keys else dist.join(F.broadcast(total))  # without keys: one row
     gap = F.abs(F.col("a_upto") / F.col("na") - F.col("b_upto") / F.col("nb"))
     return both.groupBy(keys).agg(F.when((F.max("na") > 0) & (F.max("nb") > 0), F.max(F.when((F.col("na") > 0) & (F.col("nb") > 0), gap))).alias("ks"))
 
 
+def ks_and_auc(df: DataFrame, keys: list[str], value: str, side: str) -> DataFrame:
+    """ks, and the AUROC of the rows with side false, from one distribution."""
+    dist = sides(df, keys, value, side)
+    return _ks(dist, keys).join(_auc(dist, keys, "b").select(*keys, "auc"), keys)
+
+
 def wasserstein(df: DataFrame, keys: list[str], value: str, side: str, steps: int = 2000) -> DataFrame:
     """Mean absolute difference of the two sides' quantiles on a grid of steps + 1 points."""
-    grid = grid_quantiles(distribution(df.where(F.col(side).isNotNull()), [*keys, side], value), [*keys, side], steps)
+    return _wasserstein(distribution(df.where(F.col(side).isNotNull()), [*keys, side], value), keys, side, steps)
+
+
+def _wasserstein(dist: DataFrame, keys: list[str], side: str, steps: int = 2000) -> DataFrame:
+    """wasserstein of the distribution of each side."""
+    grid = grid_quantiles(dist, [*keys, side], steps)
     wide = grid.groupBy(*keys, "i").agg(F.max(F.when(F.col(side), F.col("value"))).alias("a"), F.max(F.when(~F.col(side), F.col("value"))).alias("b"))
     return wide.groupBy(keys).agg(F.avg(F.abs(F.col("a") - F.col("b"))).alias("wasserstein"))
 
 
 def quantile_gap(df: DataFrame, keys: list[str], value: str, reference: str, floor: float = 0.05) -> DataFrame:
     """Mean absolute difference of seven quantiles over the reference side's IQR (at least floor)."""
-    found = quantiles(distribution(df.where(F.col(reference).isNotNull()), [*keys, reference], value), [*keys, reference], GAP)
+    return _quantile_gap(distribution(df.where(F.col(reference).isNotNull()), [*keys, reference], value), keys, reference, floor)
+
+
+def _quantile_gap(dist: DataFrame, keys: list[str], reference: str, floor: float = 0.05) -> DataFrame:
+    """quantile_gap of the distribution of each side."""
+    found = quantiles(dist, [*keys, reference], GAP)
     wide = found.groupBy(*keys, "q").agg(F.max(F.when(F.col(reference), F.col("value"))).alias("r"), F.max(F.when(~F.col(reference), F.col("value"))).alias("t"))
     iqr = F.max(F.when(F.col("q") == 0.75, F.col("r"))) - F.max(F.when(F.col("q") == 0.25, F.col("r")))
     return wide.groupBy(keys).agg((F.avg(F.abs(F.col("t") - F.col("r"))) / F.greatest(iqr, F.lit(floor))).alias("quantile_gap"))
 
 
+def gap_and_wasserstein(df: DataFrame, keys: list[str], value: str, reference: str) -> DataFrame:
+    """quantile_gap and wasserstein from one distribution of each side."""
+    dist = distribution(df.where(F.col(reference).isNotNull()), [*keys, reference], value)
+    return _quantile_gap(dist, keys, reference).join(_wasserstein(dist, keys, reference), keys)
+
+
 def quantisation(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Levels of a channel: distinct values (to 6 digits), sign fractions, steps between levels, entropy."""
     x = finite(F.col(value).cast("double"))

@@ -30,3 +30,37 @@ def test_axis_searches_do_not_repeat_rows_for_each_transform(spark, monkeypatch)
     assert ps.point_axis_search(flat, flat, "point").count() == 48 and max(seen) == 40 * 3
     seen.clear()
     assert ps.axis_search(df, "frame", "points", "pose").count() == 48 and sorted(seen) == [10 * 18, 10 * 48]
+
+
+def test_a_pose_is_moved_once(spark):
+    """The 17 joints come from one pass over the joints, not one pass for each of them."""
+    from pyspark.sql import functions as F
+
+    from chronoweave.functions import geometry as g
+
+    df = spark.createDataFrame([([[[float(3 * j + a) for a in range(3)] for j in range(32)]],)], f"people array<{POSE}>")
+    out = df.select(g.pose_17(F.col("people"), 0, (10.0, 20.0, 30.0), (0.1, 0.2, 0.3)).alias("p"))
+    assert out._jdf.queryExecution().analyzed().toString().count("transform(") <= 4
+    turn = np.array(g.euler_rotation(*np.radians([10.0, 20.0, 30.0])))
+    want = [turn @ (np.array([3 * j, 3 * j + 2, -(3 * j + 1)]) / 1000) + [0.1, 0.2, 0.3] for j in g.JOINTS_32_TO_17]
+    assert np.allclose(out.first().p, want)
+
+
+def test_ranks_of_several_columns_count_and_join_rows_once(spark, monkeypatch):
+    """Each column's distribution comes from the rows as they are, which are counted once."""
+    from chronoweave.operators import scan
+    from chronoweave.operators import statistics as st
+
+    df = spark.createDataFrame([("a", float(i % 7), float(i % 5), float(i % 3)) for i in range(60)], "k string, x double, y double, z double")
+    small = st.partial_spearman(df, ["k"], "x", "y", "z").collect()
+    monkeypatch.setattr(scan, "WHOLE", 0)
+    plans, distribution = [], st.distribution
+
+    def seen(rows, *args, **more):
+        plans.append(rows._jdf.queryExecution().analyzed().toString().count("Join"))
+        assert all(isinstance(x, int) for x in more["of"])
+        return distribution(rows, *args, **more)
+
+    monkeypatch.setattr(st, "distribution", seen)
+    large = st.partial_spearman(df, ["k"], "x", "y", "z").collect()
+    assert plans == [0, 0, 0] and abs(large[0].partial_spearman - small[0].partial_spearman) < 1e-12
