@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: Slugs of so few characters are made from the part of a text that they show.
+SHORT = 100
+
 
 def slugify(value: Column, max_len: int = 80) -> Column:
     """Runs of characters other than letters, digits, `_.-` become `_`; trimmed and cut; never empty."""
-    text = F.trim(F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), "[^A-Za-z0-9_.-]+", "_"), F.lit("_"))
+    text = F.coalesce(value.cast("string"), F.lit(""))
+    if max_len <= SHORT:
+        # what trimming leaves out, as many characters or runs as the slug has, and whether more than trimming would leave out follows
+        text = F.regexp_extract(text, f"^[^A-Za-z0-9.-]*(?:[A-Za-z0-9_.-]|[^A-Za-z0-9_.-]++){{0,{max_len}}}+[^A-Za-z0-9.-]*[A-Za-z0-9.-]?", 0)
+    text = F.trim(F.regexp_replace(text, "[^A-Za-z0-9_.-]+", "_"), F.lit("_"))
     text = F.substring(text, 1, max_len)
     return F.when(text == "", "unknown").otherwise(text)
 

@@ -64,3 +64,20 @@ def test_ranks_of_several_columns_count_and_join_rows_once(spark, monkeypatch):
     monkeypatch.setattr(st, "distribution", seen)
     large = st.partial_spearman(df, ["k"], "x", "y", "z").collect()
     assert plans == [0, 0, 0] and abs(large[0].partial_spearman - small[0].partial_spearman) < 1e-12
+
+
+def test_a_slug_reads_no_further_than_it_shows(spark):
+    """The same slug as from the whole text, whose rest is not rewritten."""
+    import re
+
+    from pyspark.sql import functions as F
+
+    from chronoweave.functions.names import slugify
+
+    whole = lambda t, n: re.sub("[^A-Za-z0-9_.-]+", "_", t).strip("_")[:n] or "unknown"
+    texts = ["", "_", "__ a", "a", "abc__", "abc _ _", "abc _ _ d", "ab\ncdé\U0001f600ef" * 9, " " * 500 + "x" * 3 + " " * 500 + "y", "a b " * 50, "abcd" + "_" * 40, "abcd" + " " * 40 + ".", "ab_", "ab_c", "_" * 90 + "-" * 90, "\U0001f600" * 50]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    for n in (1, 2, 3, 4, 5, 30, 100, 1000):
+        out = df.select("i", slugify(F.col("t"), n).alias("s"))
+        assert {r.i: r.s for r in out.collect()} == {i: whole(t, n) for i, t in enumerate(texts)}
+        assert ("regexp_extract" in out._jdf.queryExecution().analyzed().toString()) == (n <= 100)
