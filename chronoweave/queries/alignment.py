@@ -174,7 +174,8 @@ def lookup_forward(spark, sf_dir):
 def lookup_inverse(spark, sf_dir):
     rows = stored_samples(spark, sf_dir)
     wanted = of_type(rows, "purchase").select("user_id", F.col("sample_index").alias("target_sample_index"))
-    mapping = written(_mapping(spark, sf_dir, CONFIG, rows), "mapping")
+    # a lookup carries whole rows of the mapping with each target: only what decides and what is asked for
+    mapping = written(_mapping(spark, sf_dir, CONFIG, rows).select("user_id", "source_sample_index", "target_sample_index", "is_primary", "rank", "delta_ms"), "mapping")
     return source_of_target(mapping, wanted, ["user_id"]).select("user_id", "target_sample_index", "source_sample_index", "distance")
 
 
