@@ -6,6 +6,8 @@ Points are rows or arrays of x, y, z, Doppler, signal; poses are arrays of 17 jo
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -296,11 +298,15 @@ def kabsch_rotation(source: DataFrame, target: DataFrame, pose: str) -> tuple[np
 
     Medians in Spark; 45 numbers of each side and a 3 by 3 SVD on the driver.
     """
+    return _template_rotation(*[ps.median_template(frames, [], pose).where(F.col("joint").isin(*g.BODY15)) for frames in (source, target)])
+
+
+def _template_rotation(source: DataFrame, target: DataFrame) -> tuple[np.ndarray, float, float]:
+    """kabsch_rotation of templates that are known."""
 
-    def template(frames: DataFrame) -> np.ndarray:
-        rows = ps.median_template(frames, [], pose).where(F.col("joint").isin(*g.BODY15)).collect()
+    def template(medians: DataFrame) -> np.ndarray:
         out = np.zeros((len(g.BODY15), 3))
-        for r in rows:
+        for r in medians.collect():
             out[g.BODY15.index(r["joint"]), r["axis"]] = r["value"]
         return out - out.mean(axis=0)
 
@@ -312,39 +318,134 @@ def kabsch_rotation(source: DataFrame, target: DataFrame, pose: str) -> tuple[np
     return rotation, rmse(a - b), rmse(a @ rotation - b)
 
 
+#: The sets of numbers whose quantiles compare two domains; those of the target are taken along directions.
+NUMBERS = ("reference_shape", "reference_root", "reference_pose", "reference_points", "reference_centred", "template", "shape", "root", "pose", "points", "centred")
+_GROUP = ["numbers", "joint", "axis"]
+
+
+def _flat_numbers(frames: DataFrame, frame_id: str, points: str, pose: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Joints (number, place p and shape r), points (place p) and points from the pelvis (r), a row each.
+
+    p0 to p2 and r0 to r2 are the coordinates, p_whole and r_whole say whether all of them are finite.
+    """
+    one = frames.select(frame_id, F.col(pose).alias("_pose"), F.col(points).alias("_points"))
+    joints = one.withColumn("_s", g.normalised_shape(F.col("_pose"))).select(F.posexplode(F.arrays_zip(F.col("_pose").alias("p"), F.col("_s").alias("r"))).alias("joint", "z")).select("joint", "z.p", "z.r")
+    centred = root_centred_points(one, [], frame_id, "_points", "_pose").select(F.col("point").alias("r"))
+
+    def flat(rows: DataFrame, own: list[str], names: str, label: str) -> DataFrame:
+        scalars = [g.at(F.col(c), i).cast("double").alias(f"{c}{i}") for c in names for i in range(3)]
+        return written(rows.select(*own, *scalars, *[F.forall(F.slice(c, 1, 3), g.is_finite).alias(f"{c}_whole") for c in names]), label)
+
+    return flat(joints, ["joint"], "pr", "joint-numbers"), flat(one.select(F.explode("_points").alias("p")), [], "p", "point-numbers"), flat(centred, [], "r", "centred-numbers")
+
+
+def _long_numbers(rows: DataFrame, wanted: list[tuple[str, Column | int, int, Column]]) -> DataFrame:
+    """numbers, joint, axis, value in a long form of rows."""
+    key = lambda c: F.lit(c).cast("tinyint")
+    each = [F.struct(key(NUMBERS.index(n)).alias("numbers"), key(joint).alias("joint"), key(axis).alias("axis"), v.alias("value")) for n, joint, axis, v in wanted]
+    return rows.select(F.explode(F.array(*each)).alias("x")).select("x.*")
+
+
+def _reference_numbers(joints: DataFrame, cloud: DataFrame, centred: DataFrame) -> DataFrame:
+    """Numbers of the reference domain on its own three axes; places count where they are whole."""
+    joint = F.col("joint")
+    whole = lambda name, c: [(name, 0, i, F.when(F.col(f"{c}_whole"), F.col(f"{c}{i}"))) for i in range(3)]
+    each = lambda name, joint, c: [(name, joint, i, F.col(f"{c}{i}")) for i in range(3)]
+    return reduce(DataFrame.unionByName, [
+        _long_numbers(joints, whole("reference_pose", "p")), _long_numbers(joints.where(joint == 0), each("reference_root", 0, "p")), _long_numbers(joints.where(joint.isin(*g.BODY15)), each("reference_shape", joint, "r")),
+        _long_numbers(cloud, whole("reference_points", "p")), _long_numbers(centred, whole("reference_centred", "r")),
+    ])
+
+
+def _numbers_along(joints: DataFrame, cloud: DataFrame, centred: DataFrame, directions: dict[int, tuple[float, ...]], template: bool = False) -> DataFrame:
+    """Numbers of the target domain along directions, whose keys stand for the axis; what is not whole is finite along none.
+
+    template: the shapes on their own axes too, each coordinate by itself.
+    """
+    joint = F.col("joint")
+    along = lambda c, d: sum((F.col(f"{c}{j}") * x for j, x in enumerate(d)), F.lit(0.0))
+    every = lambda name, joint, c: [(name, joint, k, along(c, d)) for k, d in directions.items()]
+    own = [("template", joint, i, F.col(f"r{i}")) for i in range(3)] if template else []
+    return reduce(DataFrame.unionByName, [
+        _long_numbers(joints, every("pose", 0, "p")), _long_numbers(joints.where(joint == 0), every("root", 0, "p")), _long_numbers(joints.where(joint.isin(*g.BODY15)), every("shape", joint, "r") + own),
+        _long_numbers(cloud, every("points", 0, "p")), _long_numbers(centred, every("centred", 0, "r")),
+    ])
+
+
+def _number_quantiles(numbers: DataFrame) -> DataFrame:
+    """The quantiles that each set of numbers is compared by."""
+    is_any = lambda *names: F.col("numbers").isin(*[NUMBERS.index(n) for n in names])
+    lits = lambda qs: F.array(*map(F.lit, qs))
+    qs = F.when(is_any("template", "reference_root", "root"), lits((0.5,))).when(is_any("reference_shape", "shape"), lits((0.25, 0.5, 0.75))).otherwise(lits(st.GAP))
+    return written(st.group_quantiles(numbers, _GROUP, "value", qs), "number-quantiles")  # some hundred groups
+
+
 def reference_frame_hypotheses(reference: DataFrame, target: DataFrame, frame_id: str, points: str, pose: str, pitch_down_deg: float = g.SENSOR_PITCH_DOWN_DEG, height: float = g.SENSOR_HEIGHT_M) -> DataFrame:
     """Five rigid placements of the target domain, scored against the reference domain and ranked.
 
     As it is, by the sensor's mounting (with and without its height), and by the rotation
-    between the pose templates (with and without the medians' translation).
+    between the pose templates (with and without the medians' translation). Equal scores rank by name.
+
+    A moved coordinate is a coordinate along a row of the rotation, plus a translation. So quantiles are taken
+    once along each of the eight directions that the rotations have; a translation shifts
+    them and leaves shapes and root-centred points alone, and rotated covariances are those as they are, rotated.
     """
     spark = reference.sparkSession
     level = np.array(g.sensor_rotation(pitch_down_deg)).T
-    turn, _, _ = kabsch_rotation(target, reference, pose)
-    root = [g.at(g.at(F.col(pose), 0), i).cast("double") for i in range(3)]
-    turned = [sum((root[j] * float(turn[j, i]) for j in range(3)), F.lit(0.0)) for i in range(3)]
-    medians = lambda df, cs: np.array([v if v is not None else 0.0 for v in st.percentiles(df, [], {f"m{i}": (c, 0.5) for i, c in enumerate(cs)}).first()])
-    shift = medians(reference, root) - medians(target, turned)
+    ref, own = (_flat_numbers(df, frame_id, points, pose) for df in (reference, target))
+    directions: list[tuple[float, ...]] = []  # eight at most
+
+    def added(*rotations: np.ndarray) -> dict[int, tuple[float, ...]]:
+        """Directions of the rotations that are not known yet."""
+        start = len(directions)
+        for row in (tuple(map(float, row)) for r in rotations for row in r.T):
+            if row not in directions:
+                directions.append(row)
+        return dict(list(enumerate(directions))[start:])
+
+    cuts = _number_quantiles(_reference_numbers(*ref).unionByName(_numbers_along(*own, added(np.eye(3), level), template=True)))
+    of = lambda name: cuts.where(F.col("numbers") == NUMBERS.index(name)).drop("numbers")
+    turn, _, _ = _template_rotation(of("template"), of("reference_shape").where("q = 0.5"))
+    new = added(turn)
+    if new:
+        cuts = cuts.unionByName(_number_quantiles(_numbers_along(*own, new)))
+    medians = lambda name: {r["axis"]: r["value"] for r in of(name).collect()}
+    here, there = medians("reference_root"), medians("root")
+    shift = np.array([here.get(i, 0.0) - there.get(directions.index(tuple(map(float, row))), 0.0) for i, row in enumerate(turn.T)])
     tried = [
-        ("sensor_as_recorded", np.eye(3), np.zeros(3)), ("mounting_rotation_only", level, np.zeros(3)), ("mounting_rotation_and_height", level, np.array([0.0, 0.0, height])),
-        ("pose_template_rotation_only", turn, np.zeros(3)), ("pose_template_rotation_and_translation", turn, shift),
+        ("sensor_as_recorded", 0, np.zeros(3)), ("mounting_rotation_only", 1, np.zeros(3)), ("mounting_rotation_and_height", 1, np.array([0.0, 0.0, height])),
+        ("pose_template_rotation_only", 2, np.zeros(3)), ("pose_template_rotation_and_translation", 2, shift),
     ]
-    rows = [(n, r.T.tolist(), t.tolist(), *map(float, g.euler_angles(r.tolist()))) for n, r, t in tried]
-    table = spark.createDataFrame(rows, "hypothesis string, rotation array<array<double>>, translation array<double>, euler_x_deg double, euler_y_deg double, euler_z_deg double")
-
-    def placed(p: Column) -> Column:
-        moved = F.zip_with("rotation", "translation", lambda row, t: g.dot(F.transform(F.slice(p, 1, 3), lambda x: x.cast("double")), row) + t)
-        return F.concat(moved, F.transform(F.slice(p, F.lit(4), F.greatest(F.size(p) - 3, F.lit(0))), lambda x: x.cast("double")))
-
-    moved = target.join(F.broadcast(table)).select("hypothesis", frame_id, F.transform(points, placed).alias("_points"), F.transform(pose, placed).alias("_pose"))  # five rows
-    moved = written(moved, "placements")
-    ref = reference.select(frame_id, F.col(points).alias("_points"), F.col(pose).alias("_pose"))
-    key = ["hypothesis"]
-    flat = lambda df, own, c: df.select(*own, F.explode(c).alias("point"))
-    pose_part = ps.pose_distances(ref, moved, key, "_pose").select(*key, F.col("score").alias("pose_score"), F.col("median_gap").alias("pose_median_gap"), F.col("iqr_gap").alias("pose_iqr_gap"))
-    centred = ps.point_distances(root_centred_points(ref, [], frame_id, "_points", "_pose"), root_centred_points(moved, key, frame_id, "_points", "_pose"), key, "point")
-    centred = centred.select(*key, F.col("score").alias("point_score"), F.col("covariance_gap").alias("point_covariance_gap"))
-    pose_gap = ps.xyz_gaps(flat(ref, [], "_pose"), flat(moved, key, "_pose"), key, "point").withColumnRenamed("xyz_gap", "pose_xyz_gap")
-    point_gap = ps.xyz_gaps(flat(ref, [], "_points"), flat(moved, key, "_points"), key, "point").withColumnRenamed("xyz_gap", "point_xyz_gap")
-    out = table.drop("rotation").join(pose_part, key).join(centred, key).join(pose_gap, key).join(point_gap, key)
+    rotations = [np.eye(3), level, turn]
+    rows = [(n, k, t.tolist(), *map(float, g.euler_angles(rotations[k].tolist()))) for n, k, t in tried]
+    table = spark.createDataFrame(rows, "hypothesis string, turned int, translation array<double>, euler_x_deg double, euler_y_deg double, euler_z_deg double")
+    axes = [(k, i, directions.index(tuple(map(float, row)))) for k, r in enumerate(rotations) for i, row in enumerate(r.T)]
+    axes = F.broadcast(spark.createDataFrame(axes, "turned int, axis int, direction int"))  # nine rows
+    key, same = ["hypothesis"], ["turned"]
+
+    def placed(name: str) -> DataFrame:
+        return of(name).withColumnRenamed("axis", "direction").join(axes, "direction")
+
+    def spread(rows: DataFrame, own: list[str]) -> DataFrame:
+        pick = lambda x: F.max(F.when(F.col("q") == x, F.col("value")))
+        return rows.groupBy(*own, "joint", "axis").agg(pick(0.5).alias("m"), F.greatest(pick(0.75) - pick(0.25), F.lit(1e-6)).alias("iqr"))
+
+    def gaps(name: str) -> DataFrame:
+        moved = placed(name).join(F.broadcast(table), same).withColumn("value", F.col("value") + F.get("translation", F.col("axis")))  # five rows
+        return ps._quantile_gaps(of(f"reference_{name}"), moved, key)
+
+    # these are computed once for each rotation, so hypotheses that share one have equal scores
+    pose_part = ps._shape_gaps(spread(of("reference_shape"), []), spread(placed("shape"), same), same)
+    pose_part = pose_part.select(*same, F.col("score").alias("pose_score"), F.col("median_gap").alias("pose_median_gap"), F.col("iqr_gap").alias("pose_iqr_gap"))
+    # a point without one of three coordinates has no place once it is moved
+    point = F.array(*[F.col(f"r{i}") for i in range(3)])
+    as_is = ps._covariances(own[2].where(F.forall(point, lambda x: x.isNotNull())).select(point.alias("point")), [], "point")
+    at = lambda r, i, j: sum((F.col("cov")[3 * a + b] * float(r[a, i] * r[b, j]) for a in range(3) for b in range(3)), F.lit(0.0))
+    turned = [F.struct(F.lit(k).alias("turned"), F.array(*[at(r, i, j) for i in range(3) for j in range(3)]).alias("cov")) for k, r in enumerate(rotations)]
+    covariances = as_is.select(F.explode(F.array(*turned)).alias("x")).select("x.*")
+    quantile_gaps = ps._quantile_gaps(of("reference_centred"), placed("centred"), same)
+    centred = ps._point_gaps(ps._covariances(ref[2].select(point.alias("point")), [], "point"), covariances, quantile_gaps, same)
+    centred = centred.select(*same, F.col("score").alias("point_score"), F.col("covariance_gap").alias("point_covariance_gap"))
+    pose_gap, point_gap = gaps("pose").withColumnRenamed("xyz_gap", "pose_xyz_gap"), gaps("points").withColumnRenamed("xyz_gap", "point_xyz_gap")
+    out = table.join(pose_part, same).join(centred, same).join(pose_gap, key).join(point_gap, key).drop(*same)
     return ps.ranked(out.withColumn("composite_score", F.col("pose_score") + F.col("point_score")), "composite_score", "hypothesis")

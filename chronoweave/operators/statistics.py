@@ -24,6 +24,8 @@ from chronoweave.sources.shared import written
 SLICE_VALUES = 1 << 18
 #: Buckets of a histogram between a group's least and largest value.
 BUCKETS = 4096
+#: The same where some hundred groups are counted together: their counts fit a task.
+GROUP_BUCKETS = 512
 #: The quantiles of a description and of a quantile gap.
 DESCRIBED = (0.001, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 0.999)
 GAP = (0.01, 0.05, 0.25, 0.50, 0.75, 0.95, 0.99)
@@ -183,6 +185,39 @@ def percentiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[Column,
     return met.select(*keys, *wanted)
 
 
+def group_quantiles(df: DataFrame, keys: list[str], value: str, qs: Column) -> DataFrame:
+    """keys, q, value: exact quantiles of a few large groups, as quantiles gives them; qs is an array of the keys' own.
+
+    df is read three times, for each group's ends, for the counts of the buckets between
+    them and for the values of buckets that hold an order statistic. Only those values are
+    shuffled and put in order (all of a group, where outliers crowd it into one bucket). Keys
+    are not null; the groups' ends are broadcast.
+    """
+    rows = df.select(*keys, _values(df, value).alias("v")).where("v is not null")
+    ends = rows.groupBy(keys).agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("total"))
+    ends = F.broadcast(written(ends, "quantile-ends"))  # a row for each group
+    # halves, so that the distance of the ends is finite
+    share = (F.col("v") / 2 - F.col("low") / 2) / (F.col("high") / 2 - F.col("low") / 2)
+    bucket = F.when(F.col("high") / 2 > F.col("low") / 2, F.least(F.floor(share * GROUP_BUCKETS), F.lit(GROUP_BUCKETS - 1))).otherwise(F.lit(0)).cast("int")
+    placed = rows.join(ends, keys).select(*keys, "v", "total", bucket.alias("bucket"))
+    counts = placed.groupBy(*keys, "total", "bucket").agg(F.count("*").alias("held"))
+    earlier = W.partitionBy(keys).orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("before", F.coalesce(F.sum("held").over(earlier), F.lit(0)))
+    at = lambda q: q * (F.col("total") - 1)
+    inside = lambda p, first, n: (p >= first) & (p < first + n)
+    hit = lambda first, n: F.filter(qs, lambda q: inside(F.floor(at(q)), first, n) | inside(F.ceil(at(q)), first, n))
+    held = counts.where(F.size(hit(F.col("before"), F.col("held"))) > 0).select(*keys, "bucket", "before")
+    held = F.broadcast(written(held, "quantile-buckets"))  # two for each group and quantile at most
+    chosen = written(placed.join(held, [*keys, "bucket"]), "quantile-values")
+    dist = distribution(chosen, [*keys, "total", "bucket", "before"], "v")
+    first = F.col("before") + F.col("upto") - F.col("c")
+    found = dist.select(*keys, "total", "v", "c", first.alias("first"), F.explode(hit(first, F.col("c"))).alias("q"))
+    pos = at(F.col("q"))
+    pick = lambda p: F.max(F.when(inside(p, F.col("first"), F.col("c")), F.col("v")))
+    found = found.groupBy(*keys, "total", "q").agg(pick(F.floor(pos)).alias("_lo"), pick(F.ceil(pos)).alias("_hi"))
+    return found.select(*keys, "q", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (pos - F.floor(pos))).alias("value"))
+
+
 def describe(df: DataFrame, keys: list[str], value: str, qs: tuple[float, ...] = DESCRIBED) -> DataFrame:
     """Count, min, mean, population deviation, max, iqr and quantiles of each group's finite values.
 
